@@ -67,3 +67,65 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The text column as UTF-8 bytes; null becomes the empty string."""
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
+
+
+def spread(values: np.ndarray, lengths: np.ndarray, which: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """The segments ``which`` of ``values``, one after another; segment k has ``lengths[k]`` values."""
+    starts = np.cumsum(lengths) - lengths if starts is None else starts
+    size = lengths[which]
+    step = np.repeat(starts[which] - (np.cumsum(size) - size), size)
+    return values[step + np.arange(int(size.sum()))]
+
+
+def segment_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive groups of ``values``; group k has ``counts[k]`` of them."""
+    total = np.r_[0, np.cumsum(values)]
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
+
+
+def numbered(words: list) -> tuple[np.ndarray, list]:
+    """A number for each word, and the distinct words in the order of their numbers."""
+    seen: dict = {}
+    give = seen.setdefault
+    return np.array([give(w, len(seen)) for w in words], np.int64), list(seen)
+
+
+class WordIds:
+    """Token ids of words, remembered within a worker process; the memory is emptied at ``limit`` words."""
+
+    def __init__(self, encode_words, limit: int = 500_000) -> None:
+        self.encode_words, self.limit = encode_words, limit
+        self._empty()
+
+    def _empty(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat = np.zeros(1 << 16, np.int32)
+        self.starts, self.lengths, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+
+    def look_up(self, words: list[str]) -> np.ndarray:
+        """The numbers of ``words``; number k's ids are ``flat[starts[k]:starts[k] + lengths[k]]``."""
+        if len(self.known) > self.limit:
+            self._empty()
+        known = self.known
+        had = len(known)
+        which = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
+        if len(known) > had:
+            fresh = list(known)[had:] if had < 1000 else [w for w in dict.fromkeys(words) if known[w] >= had]
+            ids, counts = self.encode_words(fresh)
+            self.flat = self._room(self.flat, self.used, len(ids))
+            self.starts, self.lengths = self._room(self.starts, had, len(fresh)), self._room(self.lengths, had, len(fresh))
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.lengths[had : len(known)] = counts
+            self.starts[had : len(known)] = self.used + np.cumsum(counts) - counts
+            self.used += len(ids)
+        return which
+
+    @staticmethod
+    def _room(array: np.ndarray, used: int, more: int) -> np.ndarray:
+        return array if used + more <= len(array) else np.concatenate([array[:used], np.zeros(max(used, more) + more, array.dtype)])
+
+    def ids(self, words: list[str], n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids, one after another, and how many each text has; text k has ``n_words[k]`` words."""
+        which = self.look_up(words)
+        return spread(self.flat, self.lengths, which, self.starts), segment_sums(self.lengths[which], n_words)

@@ -7,10 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import chat_format, quality_rules
+from gradelake.llm import chat_format, quality_rules, sentence_pieces, token_files
 from gradelake.llm.common import table
 
 
+def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's piece ids and of the text they decode to."""
+    out = sentence_pieces.encode_and_decode(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and digest, read back from the written token files."""
+    path = token_files.write_token_ids(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return token_files.read_token_ids(spark, path).select(
+        "doc_id",
+        "start",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word statistics and the compression-band verdict of every document."""
     return quality_rules.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -66,6 +88,8 @@ FROM e GROUP BY conv_id"""
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name; ``pipeline`` is added where corpus_pipeline.py can be imported."""
     return {
+        "op4_sentence_pieces": op4_sentence_pieces,
+        "op5_token_files": op5_token_files,
         "op7_quality_rules": op7_quality_rules,
         "op9_chat_format": op9_chat_format,
     }
