@@ -7,10 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import chat_format, quality_rules, sentence_pieces, token_files
+from gradelake.llm import chat_format, decontaminate, quality_rules, sentence_pieces, token_files
 from gradelake.llm.common import table
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie inside an occurrence of a benchmark window, and the items they are from."""
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+_OP3_SQL = r"""
+WITH fold AS (SELECT '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+' AS re, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), re) AS w FROM documents, fold),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), u, l), re) AS w FROM benchmark, fold),
+iw AS (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS gram FROM iw),
+q AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM g) WHERE len(w) >= n),
+m AS (SELECT doc_id, item_id, g.n, q.p FROM q JOIN g ON q.n = g.n AND array_to_string(list_slice(w, p, p + q.n - 1), ' ') = gram),
+h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(m.p, m.p + n)) AS pos FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM m) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
 def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's piece ids and of the text they decode to."""
     out = sentence_pieces.encode_and_decode(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -88,6 +117,7 @@ FROM e GROUP BY conv_id"""
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name; ``pipeline`` is added where corpus_pipeline.py can be imported."""
     return {
+        "op3_decontaminate": op3_decontaminate,
         "op4_sentence_pieces": op4_sentence_pieces,
         "op5_token_files": op5_token_files,
         "op7_quality_rules": op7_quality_rules,
@@ -97,4 +127,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op9_chat_format": _op9_sql()}
+    return {"op3_decontaminate": _OP3_SQL, "op9_chat_format": _op9_sql()}
