@@ -129,3 +129,16 @@ class WordIds:
         """All words' ids, one after another, and how many each text has; text k has ``n_words[k]`` words."""
         which = self.look_up(words)
         return spread(self.flat, self.lengths, which, self.starts), segment_sums(self.lengths[which], n_words)
+
+
+def sampled(rows: DataFrame, group: str, per_group: int) -> tuple[DataFrame, dict]:
+    """About ``per_group`` rows of each value of ``group`` by a hash of doc_id and text, and all groups' row counts.
+
+    The groups are few (labels, languages): their counts are on the driver. Null groups are left out.
+    """
+    counts = {r[0]: r[1] for r in rows.filter(F.col(group).isNotNull()).groupBy(group).count().collect()}
+    if not counts:
+        return rows.limit(0), counts
+    rates = F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, per_group / n))))
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    return rows.filter(draw < rates[F.col(group)]), counts

@@ -7,8 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import chat_format, decontaminate, quality_rules, sentence_pieces, token_files
-from gradelake.llm.common import table
+from gradelake.llm import chat_format, decontaminate, language_id, quality_model, quality_rules, sentence_pieces, token_files
+from gradelake.llm.common import crc32_mod, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = language_id.fit(docs.filter(crc32_mod("doc_id", 5) != 0))
+    held_out = F.coalesce(crc32_mod("doc_id", 5) == 0, F.lit(False))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("nearest").alias("lang_pred"), "score", (F.col("lang") != F.col("nearest")).alias("rejected"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +96,16 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learned from labels outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality").filter(crc32_mod("doc_id", 4) != 2)
+    network = quality_model.fit(docs.join(labels.withColumnRenamed("quality", "label"), "doc_id"))
+    held_out = F.coalesce(crc32_mod("doc_id", 4) == 2, F.lit(False))
+    scored = quality_model.score(docs, network)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def _op9_sql() -> str:
     template = chat_format.DEFAULT
     quote = lambda s: "'" + s.replace("'", "''") + "'" if "\u001b" not in s else " || ".join(["chr(27)", *(quote(x) for x in s.split("\u001b") if x)])
@@ -117,11 +136,13 @@ FROM e GROUP BY conv_id"""
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name; ``pipeline`` is added where corpus_pipeline.py can be imported."""
     return {
+        "op1_language_id": op1_language_id,
         "op3_decontaminate": op3_decontaminate,
         "op4_sentence_pieces": op4_sentence_pieces,
         "op5_token_files": op5_token_files,
         "op7_quality_rules": op7_quality_rules,
         "op9_chat_format": op9_chat_format,
+        "op10_quality_model": op10_quality_model,
     }
 
 
