@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import chat_format, decontaminate, language_id, quality_model, quality_rules, sentence_pieces, token_files
+from gradelake.llm import chat_format, decontaminate, language_id, quality_model, quality_rules, sentence_pieces, token_files, toxicity
 from gradelake.llm.common import crc32_mod, table
 
 
@@ -76,6 +76,20 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity chain's probabilities for every document, learned from labels outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = toxicity.classify(docs, fitted_toxicity(spark, sf_dir))
+    return found.withColumn("held_out", F.coalesce(crc32_mod("doc_id", 5) == 0, F.lit(False)))
+
+
+def fitted_toxicity(spark: SparkSession, sf_dir: str) -> toxicity.Chain:
+    """The chain learned from ``labels`` whose crc32(doc_id as text) mod 5 is not 0."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").filter(crc32_mod("doc_id", 5) != 0)
+    return toxicity.fit(docs.join(labels.withColumnRenamed("toxic", "label"), "doc_id"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one that holds control strings, formatted and read back."""
     ours = "</s>[INST] ok [/INST]"
@@ -141,6 +155,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sentence_pieces": op4_sentence_pieces,
         "op5_token_files": op5_token_files,
         "op7_quality_rules": op7_quality_rules,
+        "op8_toxicity": op8_toxicity,
         "op9_chat_format": op9_chat_format,
         "op10_quality_model": op10_quality_model,
     }
