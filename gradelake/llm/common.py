@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -91,43 +92,96 @@ def numbered(words: list) -> tuple[np.ndarray, list]:
     return np.array([give(w, len(seen)) for w in words], np.int64), list(seen)
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each ``data[start:end]``; ``data`` has eight spare bytes at its end."""
+    lengths = ends - starts
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    out = lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    own = np.arange(len(starts))
+    at = 0
+    while len(own):
+        left = np.minimum(lengths[own] - at, 8).astype(np.uint64)
+        got = eight[starts[own] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+        h = (out[own] ^ got) * np.uint64(0xFF51AFD7ED558CCD)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
+        out[own] = h ^ (h >> np.uint64(29))
+        at += 8
+        own = own[lengths[own] > at]
+    return out
+
+
 class WordIds:
-    """Token ids of words, remembered within a worker process; the memory is emptied at ``limit`` words."""
+    """Token ids of words, remembered within a worker process by the words' hashes.
 
-    def __init__(self, encode_words, limit: int = 500_000) -> None:
+    ``encode_words`` takes distinct words and gives all their ids and how many each has. The memory is some tens of
+    bytes a word, and is emptied when it would hold more than ``limit`` words.
+    """
+
+    def __init__(self, encode_words, limit: int = 2_000_000) -> None:
         self.encode_words, self.limit = encode_words, limit
         self._empty()
 
     def _empty(self) -> None:
-        self.known: dict[str, int] = {}
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.levels = [none, none]  # hashes in order with word numbers: the bulk, and what came since
+        self.n_known = self.used = 0
         self.flat = np.zeros(1 << 16, np.int32)
-        self.starts, self.lengths, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
-
-    def look_up(self, words: list[str]) -> np.ndarray:
-        """The numbers of ``words``; number k's ids are ``flat[starts[k]:starts[k] + lengths[k]]``."""
-        if len(self.known) > self.limit:
-            self._empty()
-        known = self.known
-        had = len(known)
-        which = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
-        if len(known) > had:
-            fresh = list(known)[had:] if had < 1000 else [w for w in dict.fromkeys(words) if known[w] >= had]
-            ids, counts = self.encode_words(fresh)
-            self.flat = self._room(self.flat, self.used, len(ids))
-            self.starts, self.lengths = self._room(self.starts, had, len(fresh)), self._room(self.lengths, had, len(fresh))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.lengths[had : len(known)] = counts
-            self.starts[had : len(known)] = self.used + np.cumsum(counts) - counts
-            self.used += len(ids)
-        return which
+        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        found = np.full(len(hashes), -1, np.int64)
+        for keys, numbers in self.levels:
+            if len(keys):
+                at = np.searchsorted(keys, hashes)
+                at[at == len(keys)] = 0
+                same = keys[at] == hashes
+                found[same] = numbers[at[same]]
+        return found
 
     @staticmethod
     def _room(array: np.ndarray, used: int, more: int) -> np.ndarray:
         return array if used + more <= len(array) else np.concatenate([array[:used], np.zeros(max(used, more) + more, array.dtype)])
 
-    def ids(self, words: list[str], n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All words' ids, one after another, and how many each text has; text k has ``n_words[k]`` words."""
-        which = self.look_up(words)
+    @staticmethod
+    def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys, numbers = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], numbers[order]
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> np.ndarray:
+        ids, counts = self.encode_words(words)
+        n, had = len(words), self.n_known
+        self.flat = self._room(self.flat, self.used, len(ids))
+        self.starts, self.lengths = self._room(self.starts, had, n), self._room(self.lengths, had, n)
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.lengths[had : had + n] = counts
+        self.starts[had : had + n] = self.used + np.cumsum(counts) - counts
+        self.used, self.n_known = self.used + len(ids), had + n
+        numbers = np.arange(had, had + n)
+        order = np.argsort(hashes)
+        bulk, recent = self.levels
+        recent = self._merged(recent, (hashes[order], numbers[order]))
+        self.levels = [self._merged(bulk, recent), (recent[0][:0], recent[1][:0])] if len(recent[0]) > max(20_000, len(bulk[0]) // 8) else [bulk, recent]
+        return numbers
+
+    def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words ``data[start:end]``, one after another, and how many each text has.
+
+        Text k has ``n_words[k]`` words; ``data`` is UTF-8 with eight spare bytes at its end.
+        """
+        codes, hashes = pd.factorize(word_hashes(data, starts, ends))
+        number = self._find(hashes)
+        if (number < 0).any():
+            if self.n_known + int((number < 0).sum()) > self.limit:
+                self._empty()
+                number[:] = -1
+            first = np.zeros(len(hashes), np.int64)
+            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+            fresh = np.flatnonzero(number < 0)
+            raw = data.tobytes()
+            words = [raw[a:b].decode() for a, b in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist(), strict=True)]
+            number[fresh] = self._learn(hashes[fresh], words)
+        which = number[codes]
         return spread(self.flat, self.lengths, which, self.starts), segment_sums(self.lengths[which], n_words)
 
 

@@ -16,7 +16,6 @@ can span, so texts of any length give the library's ids.
 from __future__ import annotations
 
 import codecs
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,10 +24,10 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gradelake.llm.common import WordIds, segment_sums, slices, spread, texts
+from gradelake.llm.common import WordIds, raw_texts, segment_sums, slices, spread
 
 SPACE = "▁"
-_WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
+_SPACE_BYTES = SPACE.encode()
 _FAR = np.int32(2**31 - 1)
 codecs.register_error("piece_byte", lambda e: ("�", e.start + 1))
 
@@ -97,7 +96,8 @@ class PieceModel:
         return self.ranks[at], self.merged[at]
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words, one after another, and how many each word has."""
+        """The ids of all words, one after another, and how many each word has; spaces stand for themselves."""
+        words = [w.replace(" ", SPACE) for w in words]
         chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         symbol = self.of_char[chars]
@@ -158,11 +158,20 @@ class PieceModel:
         ids[spots] = self.byte_ids[np.frombuffer("".join(map(chr, c.tolist())).encode(), np.uint8)]
         return ids, np.bincount(np.repeat(owner, width), minlength=n_words)
 
-    def encode(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after another, and how many each text has."""
-        split = [_WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in docs]
-        n_words = np.array([len(w) for w in split], np.int64)
-        return self.words.ids([w for ws in split for w in ws], n_words)
+    def encode(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (UTF-8), one after another, and how many each text has."""
+        docs = [b" " + t.replace(_SPACE_BYTES, b" ") if t else b"" for t in docs]
+        sizes = np.array([len(t) for t in docs], np.int64)
+        data = np.frombuffer(b"".join(docs) + bytes(8), np.uint8)
+        n = len(data) - 8
+        space = data[:n] == 32
+        opens = space.copy()  # a word is a run of spaces and what follows; each text opens one
+        opens[1:] &= ~space[:-1]
+        opens[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        starts = np.flatnonzero(opens)
+        before = np.r_[0, np.cumsum(opens)]
+        ends = np.cumsum(sizes)
+        return self.words.ids(data, starts, np.r_[starts[1:], n][: len(starts)], before[ends] - before[ends - sizes])
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """The texts of ``ids``, of which each text has as many as ``counts`` says."""
@@ -195,7 +204,7 @@ def encode_and_decode(docs: DataFrame, model: str | None = None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model_at(path)
         for batch in slices(batches):
-            ids, counts = tables.encode(texts(batch))
+            ids, counts = tables.encode(raw_texts(batch))
             offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
             decoded = pa.array(tables.decode(ids, counts), pa.string())

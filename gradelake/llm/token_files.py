@@ -17,7 +17,6 @@ are ordered by their ids; an empty table gives no rows; other columns are ignore
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -30,14 +29,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import WordIds, shared_dir, slices, texts, written
+from gradelake.llm.common import WordIds, raw_texts, shared_dir, slices, written
 
 MAGIC = b"TIB1"
 BLOCK_IDS = 1 << 20
-_CHUNK = re.compile(r"[^ \t-\r]+")
-#: A plain word and the marks after it, which the tokenizer's own splitting separates too.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
-_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_BLANK, _REST, _LETTER, _MARK = 0, 1, 2, 4
+#: Words end at blanks, and between a letter and a mark (never an apostrophe): the tokenizer's own splitting ends one there.
+_KIND = np.array(
+    [_BLANK if b == 32 or 9 <= b <= 13 else _LETTER if chr(b).isalpha() and b < 128 else _MARK if 33 <= b < 127 and b != 39 and not chr(b).isdigit() else _REST for b in range(256)],
+    np.uint8,
+)
 
 _codes = np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3
 #: Of each control byte: the lengths of its four ids.
@@ -57,28 +58,30 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.parts: dict[str, list[int]] = {}
         self.words = WordIds(self.encode_words)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, one after another, and how many each word has."""
-        split = []
-        for w in words:
-            m = _PLAIN.fullmatch(w)
-            split.append((m[1].lower(), m[2]) if m else (w.lower(),) if _WORD.fullmatch(w) else (w,))
-        if len(self.parts) > self.words.limit:
-            self.parts = {}
-        parts = self.parts
-        fresh = list({p for ps in split for p in ps if p not in parts})
-        for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            parts[p] = e.ids
-        ids = [[x for p in ps for x in parts[p]] for ps in split]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         return np.array([x for xs in ids for x in xs], np.int32), np.array([len(x) for x in ids], np.int64)
 
-    def encode(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after another, and how many each text has."""
-        split = [_CHUNK.findall(t) for t in docs]
-        return self.words.ids([w for ws in split for w in ws], np.array([len(w) for w in split], np.int64))
+    def encode(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (UTF-8), one after another, and how many each text has."""
+        sizes = np.array([len(t) + 1 for t in docs], np.int64)
+        data = np.frombuffer(b"".join(t + b" " for t in docs) + bytes(8), np.uint8).copy()
+        # The tokenizer ignores case: fold A-Z so that fewer words differ, but not under combining marks.
+        data[:-1] += 32 * ((data[:-1] >= 65) & (data[:-1] <= 90) & (data[1:] < 128)).astype(np.uint8)
+        kind = _KIND[data[:-8]]
+        inside = kind != _BLANK
+        turn = np.abs(np.diff(kind.astype(np.int8))) == _MARK - _LETTER
+        turn &= inside[1:] & inside[:-1] & (kind[1:] != _REST) & (kind[:-1] != _REST)
+        opens = inside.copy()
+        opens[1:] &= ~inside[:-1] | turn
+        closes = inside.copy()
+        closes[:-1] &= ~inside[1:] | turn
+        before = np.r_[0, np.cumsum(opens)]
+        ends = np.cumsum(sizes)
+        return self.words.ids(data, np.flatnonzero(opens), np.flatnonzero(closes) + 1, before[ends] - before[ends - sizes])
 
 
 @lru_cache(maxsize=2)
@@ -139,7 +142,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         encoder = encoder_at(vocabulary)
         kind = "<u2" if max(encoder.size, end_id) < 1 << 16 else "<u4"
         for batch in slices(batches):
-            ids, counts = encoder.encode(texts(batch))
+            ids, counts = encoder.encode(raw_texts(batch))
             ids = np.insert(ids, np.cumsum(counts), end_id).astype(kind)
             data = ids.tobytes()
             ends = np.cumsum(counts + 1) * ids.itemsize
