@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import chat_format, decontaminate, jaccard_join, language_id, quality_model, quality_rules, sentence_pieces, token_files, toxicity
+from gradelake.llm import chat_format, decontaminate, jaccard_join, language_id, quality_model, quality_rules, sentence_pieces, suffix_dedup, token_files, toxicity
 from gradelake.llm.common import crc32_mod, table
 
 
@@ -20,6 +20,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("nearest").alias("lang_pred"), "score", (F.col("lang") != F.col("nearest")).alias("rejected"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document once repeated strings of 400 bytes are gone."""
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), 400)
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie inside an occurrence of a benchmark window, and the items they are from."""
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -169,6 +176,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name; ``pipeline`` is added where corpus_pipeline.py can be imported."""
     return {
         "op1_language_id": op1_language_id,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_decontaminate": op3_decontaminate,
         "op4_sentence_pieces": op4_sentence_pieces,
         "op5_token_files": op5_token_files,
