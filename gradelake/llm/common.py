@@ -186,7 +186,7 @@ class WordIds:
 
 
 def sampled(rows: DataFrame, group: str, per_group: int) -> tuple[DataFrame, dict]:
-    """About ``per_group`` rows of each value of ``group`` by a hash of doc_id and text, and all groups' row counts.
+    """About ``per_group`` rows of each value of ``group`` by a hash of doc_id, and all groups' row counts.
 
     The groups are few (labels, languages): their counts are on the driver. Null groups are left out.
     """
@@ -194,5 +194,15 @@ def sampled(rows: DataFrame, group: str, per_group: int) -> tuple[DataFrame, dic
     if not counts:
         return rows.limit(0), counts
     rates = F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, per_group / n))))
-    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     return rows.filter(draw < rates[F.col(group)]), counts
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[DataFrame, dict]:
+    """Texts of about ``per_label`` rows of each label (0 or 1) in ``labels`` (doc_id, label), and the labels' counts.
+
+    Only the sampled ids are broadcast, about ``2 * per_label`` at any size of the tables.
+    """
+    known = labels.filter(F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("label"))
+    some, counts = sampled(known, "label", per_label)
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), counts

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import raw_texts, sampled, slices
+from gradelake.llm.common import labelled_sample, raw_texts, slices
 
 BLOCK, PER_CHUNK, STEP, WIDTH, CLASSES = 128, 4, 3, 6, 128
 #: Bytes as the filters see them: ASCII as it is, of longer characters' bytes the high bits, in the control codes' places.
@@ -186,10 +186,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(rows: DataFrame, settings: Settings = Settings()) -> Network:
-    """Learn from rows with doc_id, text and a label of 0 or 1; other labels are ignored."""
-    rows = rows.filter(F.col("label").isin(0, 1)).select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    some, counts = sampled(rows, "label", settings.sample)
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Network:
+    """Learn from the texts (doc_id, text) that ``labels`` (doc_id, label) marks 0 or 1; other labels are ignored."""
+    some, counts = labelled_sample(docs, labels, settings.sample)
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
     if len(counts) < 2:
         net = Network.fresh(settings)

@@ -80,7 +80,8 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"))
+    settings = jaccard_join.Settings(width=4, percent=85)
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"), settings)
 
 
 _OP6_SQL = r"""
@@ -112,7 +113,7 @@ def fitted_toxicity(spark: SparkSession, sf_dir: str) -> toxicity.Chain:
     """The chain learned from ``labels`` whose crc32(doc_id as text) mod 5 is not 0."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").filter(crc32_mod("doc_id", 5) != 0)
-    return toxicity.fit(docs.join(labels.withColumnRenamed("toxic", "label"), "doc_id"))
+    return toxicity.fit(docs, labels.withColumnRenamed("toxic", "label"))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +140,7 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document, learned from labels outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "quality").filter(crc32_mod("doc_id", 4) != 2)
-    network = quality_model.fit(docs.join(labels.withColumnRenamed("quality", "label"), "doc_id"))
+    network = quality_model.fit(docs, labels.withColumnRenamed("quality", "label"))
     held_out = F.coalesce(crc32_mod("doc_id", 4) == 2, F.lit(False))
     scored = quality_model.score(docs, network)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

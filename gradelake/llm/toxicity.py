@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import sampled, slices, texts
+from gradelake.llm.common import labelled_sample, slices, texts
 
 _WORD = re.compile(r"[^\W\d_]+")
 CATEGORIES = ("insult", "veiled", "toxic")
@@ -37,12 +37,12 @@ CATEGORIES = ("insult", "veiled", "toxic")
 class Settings:
     """``sample`` bounds the labelled texts of each label; features need ``least`` toxic texts and are at most ``features``."""
 
-    sample: int = 4000
+    sample: int = 3000
     least: int = 4
-    features: int = 2000
+    features: int = 1200
     folds: int = 4
-    rounds: int = 300
-    rate: float = 0.2
+    rounds: int = 200
+    rate: float = 0.1
     ridge: float = 1e-4
     threshold: float = 0.5
     insults: tuple[str, ...] = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -62,16 +62,21 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, s: Settings) -> np.ndarray:
-    """Weights of a logistic model, the bias last; accelerated gradient steps on the mean log loss with a ridge."""
-    x1 = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
-    w = np.zeros(x1.shape[1])
-    w[-1] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+def logistic(x: np.ndarray, y: np.ndarray, rows: np.ndarray, s: Settings) -> np.ndarray:
+    """Weights of logistic models, the bias last: column k is learned from the rows that ``rows[:, k]`` marks.
+
+    All models take their accelerated gradient steps together; each step is two matrix products.
+    """
+    x1 = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
+    share = (rows / np.maximum(rows.sum(axis=0), 1)).astype(np.float32)
+    w = np.zeros((x1.shape[1], rows.shape[1]), np.float32)
+    pull = np.full((x1.shape[1], 1), s.ridge, np.float32)
+    pull[-1] = 0
     step, moving = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, s.rounds + 1):
-        g = x1.T @ (_sigmoid(x1 @ w) - y).astype(x1.dtype) / len(y) + s.ridge * np.r_[w[:-1], 0]
+        g = x1.T @ ((_sigmoid(x1 @ w) - y[:, None]) * share).astype(np.float32) + pull * w
         step, moving = 0.9 * step + 0.1 * g, 0.99 * moving + 0.01 * g * g
-        w = w - s.rate * step / (1 - 0.9**t) / (np.sqrt(moving / (1 - 0.99**t)) + 1e-6) * min(1.0, 2 * (1 - t / (s.rounds + 1)))
+        w = w - s.rate * min(1.0, 2 * (1 - t / (s.rounds + 1))) * (step / (1 - 0.9**t)) / (np.sqrt(moving / (1 - 0.99**t)) + 1e-6)
     return w
 
 
@@ -128,24 +133,18 @@ def learn_chain(docs: list[str], toxic: np.ndarray, s: Settings) -> Chain:
     x = np.concatenate([chain.matrix(docs[k : k + 512]) for k in range(0, len(docs), 512)])
     labels = {"insult": toxic & open_insult, "veiled": toxic & ~open_insult, "toxic": toxic}
     fold = np.arange(len(docs)) % s.folds
+    rows = np.stack([np.ones(len(docs), bool), *(fold != k for k in range(s.folds))], axis=1)
     for name in CATEGORIES:
-        y = labels[name].astype(np.float32)
-        chain.weights.append(logistic(x, y, s))
-        if name == CATEGORIES[-1]:
-            break
-        unseen = np.zeros(len(docs), np.float32)
-        for k in range(s.folds):
-            own = fold == k
-            w = logistic(x[~own], y[~own], s)
-            unseen[own] = _sigmoid(x[own] @ w[:-1] + w[-1])
-        x = np.concatenate([x, unseen[:, None]], axis=1)
+        w = logistic(x, labels[name].astype(np.float32), rows, s)
+        chain.weights.append(w[:, 0].astype(np.float64))
+        unseen = _sigmoid(x @ w[:-1] + w[-1])[np.arange(len(docs)), 1 + fold]  # each row by the model without its fold
+        x = np.concatenate([x, unseen[:, None].astype(np.float32)], axis=1)
     return chain
 
 
-def fit(rows: DataFrame, settings: Settings = Settings()) -> Chain:
-    """Learn from rows with doc_id, text and a label of 0 or 1 (1: toxic); other labels are ignored."""
-    rows = rows.filter(F.col("label").isin(0, 1)).select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    some, counts = sampled(rows, "label", settings.sample)
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Chain:
+    """Learn from the texts (doc_id, text) that ``labels`` (doc_id, label) marks 0 or 1 (toxic); others are ignored."""
+    some, counts = labelled_sample(docs, labels, settings.sample)
     if len(counts) < 2:
         return Chain({}, [np.array([-10.0])] + [np.r_[np.zeros(k), -10.0] for k in range(1, len(CATEGORIES))], settings)
 
