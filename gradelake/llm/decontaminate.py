@@ -201,6 +201,16 @@ def _merged(spans):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, spans (hit words, begin inclusive, end exclusive), items."""
+    return _found(docs, benchmark, window, shingle, block_bytes).drop("text_key")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of ``docs``, all columns, without a word inside a benchmark window."""
+    hit = _found(docs, benchmark, window, shingle, block_bytes).filter("n_hit > 0").select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]) & (F.xxhash64(docs["text"]) == hit["hit_key"]), "left_anti")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, block_bytes: int) -> DataFrame:
     rows = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64("text"))
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     total = items.agg(F.sum(F.length("text") + 16)).first()[0] or 0
@@ -224,7 +234,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
         same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.text_key").eqNullSafe(F.col("b.text_key"))
         empty = F.array().cast("array<struct<begin:bigint,end:bigint>>")
         out = n_words.alias("a").join(found.alias("b"), same, "left").select(
-            "a.doc_id", "n_words", _merged(F.coalesce("spans", empty)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
+            "a.doc_id", "a.text_key", "n_words", _merged(F.coalesce("spans", empty)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
         )
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items")
+    return out.select("doc_id", "text_key", "n_words", n_hit.alias("n_hit"), "spans", "items")

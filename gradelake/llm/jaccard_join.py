@@ -44,8 +44,8 @@ class Settings:
     order's end, ``rounds`` how often a region gets a new pivot before what is left of it is joined directly.
     """
 
-    width: int = 4
-    percent: int = 85
+    width: int = 5
+    percent: int = 80
     direct: int = 64
     frequent: int = 1 << 16
     rounds: int = 5
@@ -129,11 +129,11 @@ def _points(docs: DataFrame, frequent: np.ndarray, s: Settings) -> DataFrame:
                 shares.append(int(late.sum()))
                 prefixes.append(np.concatenate([tokens[~late], tokens[late]])[:take])
                 counts.append(buckets(tokens).tobytes())
-            own = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
-            columns = [own, pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shares, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "often", "prefix", "buckets"])
+            own = [batch.column(batch.schema.get_field_index(c)).cast(pa.int64()) for c in ("doc_id", "text_key")]
+            columns = [*own, pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shares, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "key", "n", "often", "prefix", "buckets"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, key long, n long, often long, prefix array<long>, buckets binary")
+    return docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(work, "doc_id long, text_key long, key long, n long, often long, prefix array<long>, buckets binary")
 
 
 def _within(tokens: np.ndarray, often: np.ndarray) -> np.ndarray:
@@ -179,7 +179,7 @@ def _sets(docs: DataFrame, points: DataFrame, keys: DataFrame, s: Settings) -> D
             sets = shingle_sets(raw_texts(batch), s.width)
             yield pa.RecordBatch.from_arrays([pa.array([key_of(t) for t in sets], pa.int64()), pa.array([t.tobytes() for t in sets], pa.binary())], names=["key", "tokens"])
 
-    own = docs.select("doc_id", "text").withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
+    own = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
     some = own.join(wanted.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id")).distinct(), "doc_id", "left_semi")
     made = some.select("text").mapInArrow(work, "key long, tokens binary")
     return written(made.join(keys, "key", "left_semi").dropDuplicates(["key"]), "sets")
@@ -206,8 +206,8 @@ def _about_pivots(stars: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """Per point and pivot: ``linked``, whether it lies in the ``window``, and the prefix of its differences.
 
     Differences are the shingles that only one of point and pivot has; the point's own come first, as few points
-    share them. A window point's partners share at least ``size - most`` of its differences, a linked point's more
-    than 0.45 of them.
+    share them. A window point's partners share at least ``apart - most`` of its differences, and more than
+    percent / (100 + percent) of a linked point's.
     """
     p, q = s.percent, 100 - s.percent
 
@@ -222,7 +222,7 @@ def _about_pivots(stars: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
                 near = (100 + p) * apart <= q * (n + len(v))
                 inside = not near and 100 * both >= (100 - 2 * q) * (n + len(v) - both)
                 most = int(q * (n + n * 100 / p) / (100 + p))
-                least = max(1, apart - most) if inside else max(1, int(0.45 * apart))
+                least = max(1, apart - most) if inside else max(1, p * apart // (100 + p))
                 linked.append(near)
                 window.append(inside)
                 prefix.append(np.concatenate([u[~shared], v[~_within(v, u)]])[: apart - least + 1] if (near or inside) and apart else u[:0])
@@ -255,7 +255,28 @@ def _regions(entries: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links lead to)."""
-    s = settings
+    return _placed(docs, settings).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs``, all columns, whose doc_id is their component's smallest, each text of an id once.
+
+    Rows with a null doc_id stay if their component has no other id. Only what goes is shuffled with the texts.
+    """
+    placed = written(_placed(docs, settings), "placed")
+    gone = placed.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-1)).alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    same = (F.coalesce(docs["doc_id"], F.lit(-1)) == gone["gone_id"]) & F.xxhash64(docs["text"]).eqNullSafe(gone["gone_key"])
+    left = docs.join(gone, same, "left_anti")
+    twice = placed.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n") > 0)).groupBy("doc_id").count().filter("count > 1")
+    if not twice.limit(1).count():
+        return left
+    again = written(twice.select(F.col("doc_id").alias("twice_id")), "twice")
+    here = left["doc_id"].eqNullSafe(again["twice_id"])
+    return left.join(again, here, "left_anti").unionByName(left.join(again, here, "left_semi").dropDuplicates(["doc_id"]))
+
+
+def _placed(docs: DataFrame, s: Settings) -> DataFrame:
+    """doc_id, a hash of the text, set size and component of every document."""
     docs = docs.select("doc_id", "text")
     points = written(_points(docs, _frequent(docs, s), s), "points")
     classes = written(points.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("often").alias("often"), F.first("prefix").alias("prefix"), F.first("buckets").alias("buckets")), "classes")
@@ -287,7 +308,7 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings()) -> Data
         edges = edges.unionByName(more)
     roots = components(edges)
     placed = points.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select(
-        "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("root")
+        "doc_id", "text_key", "n", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("root")
     )
     first = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(first, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return placed.join(first, "root", "left").select("doc_id", "text_key", "n", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -277,6 +277,22 @@ def spans_of(places: np.ndarray, length: int) -> list[dict[str, int]]:
     return [{"begin": a, "end": b + length} for a, b in zip(places[opens].tolist(), places[closes].tolist(), strict=True)]
 
 
+def widened(text: bytes, spans: list[dict[str, int]]) -> list[dict[str, int]]:
+    """The spans widened to whole UTF-8 characters, and merged where they meet."""
+    out: list[dict[str, int]] = []
+    for s in spans:
+        begin, end = s["begin"], s["end"]
+        while begin > 0 and text[begin] & 0xC0 == 0x80:
+            begin -= 1
+        while end < len(text) and text[end] & 0xC0 == 0x80:
+            end += 1
+        if out and begin <= out[-1]["end"]:
+            out[-1]["end"] = end
+        else:
+            out.append({"begin": begin, "end": end})
+    return out
+
+
 def _kept(text: bytes, spans: list[dict[str, int]]) -> bytes:
     out, at = [], 0
     for s in spans:
@@ -304,8 +320,11 @@ def _splitters(docs: DataFrame, length: int, ranges: int) -> np.ndarray:
     return np.sort(np.array(found, np.float64).astype(np.uint64) << np.uint64(11))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, n_bytes, spans (removed bytes), kept (the remaining bytes), and ``carry`` columns."""
+def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_bytes, spans (removed bytes), kept (the remaining bytes), and ``carry`` columns.
+
+    With ``whole_characters``, spans are widened to whole characters, so that what is kept is text again.
+    """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", *carry)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -369,6 +388,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
         for p, d in zip(table.column("print").to_pylist(), which.tolist(), strict=True):
             if rows_of[d] > 1 or p in told:
                 spans[d] = [{"begin": 0, "end": len(docs[d])}]
+        if whole_characters:
+            spans = [widened(t, s) for t, s in zip(docs, spans, strict=True)]
         kept = [_kept(t, s) for t, s in zip(docs, spans, strict=True)]
         out = {"doc_id": table.column("doc_id"), "n_bytes": pa.array([len(docs[d]) for d in which], pa.int64())}
         out |= {"spans": pa.array([spans[d] for d in which], SPAN), "kept": pa.array([kept[d] for d in which], pa.binary())}
