@@ -6,10 +6,10 @@ that share none are never brought together. A prefix shingle with few points is
 shingle with many points, such as one of a large family of near copies, gets a pivot: the point with the largest share
 of frequent shingles. Exact distances d to the pivot then decide, with radius r and the triangle inequality:
 
-* d <= r: the point is linked with the pivot, and through it with all such points; pairs of them need no look;
-* r < d <= 2r, the window: the point can only be linked to points near the pivot that differ from it alike, so it is
-  replicated into the pivot's region, where points are joined on the prefix of their differences from the pivot;
-* d > r: the point stays with the others of that kind, which form a new, smaller region with a new pivot, recursively.
+* d <= r, the core: the point is linked with the pivot, and through it with all such points; pairs of them need no look;
+* r < d <= 2r, the window: its links lead to points within 3r of the pivot that differ from the pivot as it does. The
+  points within 3r are replicated into the pivot's region and joined on the prefix of their differences from the pivot;
+* d > 2r: the points stay with each other in a new, smaller region with a new pivot, recursively.
 
 Every pair that is brought together passes size and bucket-count bounds and is verified on whole shingle sets.
 
@@ -108,8 +108,15 @@ def _frequent(docs: DataFrame, s: Settings) -> np.ndarray:
             yield flush()
 
     found = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = found.filter(F.col("n") > s.direct).orderBy(F.desc("n"), "token").limit(s.frequent).select("token").toPandas()
-    return np.sort(rows["token"].to_numpy(np.int64))
+    found = written(found.filter(F.col("n") > s.direct), "frequent")
+    sizes = found.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.count("*").alias("rows")).orderBy(F.desc("level")).collect()
+    least, total = 64, 0
+    for row in sizes:  # whole levels of frequency, as many as there is room for
+        total += row["rows"]
+        if total > s.frequent:
+            break
+        least = row["level"]
+    return np.sort(found.filter(F.col("n") >= F.lit(1 << int(least)).cast("long")).select("token").toPandas()["token"].to_numpy(np.int64))
 
 
 def _points(docs: DataFrame, frequent: np.ndarray, s: Settings) -> DataFrame:
@@ -146,8 +153,8 @@ def _within(tokens: np.ndarray, often: np.ndarray) -> np.ndarray:
 
 def buckets(tokens: np.ndarray) -> np.ndarray:
     """How many shingles begin with which bits. Counts of two sets differ in sum by no more than the sets do."""
-    bits = int(np.clip(np.ceil(np.log2(max(1, len(tokens)) / 12)), 5, 11))
-    return np.bincount((tokens.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).clip(max=65535).astype("<u2")
+    bits = int(np.clip(np.ceil(np.log2(max(1, len(tokens)) / 1.5)), 5, 15))
+    return np.bincount((tokens.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).clip(max=255).astype(np.uint8)
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, s: Settings) -> DataFrame:
@@ -158,7 +165,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, s: Settings) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y, m, n in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
-                u, v = np.frombuffer(x, "<u2").astype(np.int64), np.frombuffer(y, "<u2").astype(np.int64)
+                u, v = np.frombuffer(x, np.uint8).astype(np.int32), np.frombuffer(y, np.uint8).astype(np.int32)
                 size = min(len(u), len(v))
                 apart = int(np.abs(u.reshape(size, -1).sum(axis=1) - v.reshape(size, -1).sum(axis=1)).sum())
                 keep.append((100 + p) * apart <= q * (m + n))
@@ -203,36 +210,33 @@ def _linked(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
 
 
 def _about_pivots(stars: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """Per point and pivot: ``linked``, whether it lies in the ``window``, and the prefix of its differences.
+    """Per point and pivot: the ``zone`` (core, window, outer or beyond), and the prefix of its differences.
 
     Differences are the shingles that only one of point and pivot has; the point's own come first, as few points
-    share them. A window point's partners share at least ``apart - most`` of its differences, and more than
-    percent / (100 + percent) of a linked point's.
+    share them. Of the differences of a window or outer point, its partners share at least ``apart - most``; of a core
+    point's, its partners in the window share more than percent / (100 + percent).
     """
     p, q = s.percent, 100 - s.percent
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, window, prefix = [], [], []
+            zones, prefix = [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 u, v = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
                 shared = _within(u, v)
                 both, n = int(shared.sum()), len(u)
-                apart = n + len(v) - 2 * both
-                near = (100 + p) * apart <= q * (n + len(v))
-                inside = not near and 100 * both >= (100 - 2 * q) * (n + len(v) - both)
-                most = int(q * (n + n * 100 / p) / (100 + p))
-                least = max(1, apart - most) if inside else max(1, p * apart // (100 + p))
-                linked.append(near)
-                window.append(inside)
-                prefix.append(np.concatenate([u[~shared], v[~_within(v, u)]])[: apart - least + 1] if (near or inside) and apart else u[:0])
-            columns = [batch.column(0), batch.column(1), pa.array(linked), pa.array(window), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "pivot", "linked", "window", "prefix"])
+                apart, union = n + len(v) - 2 * both, n + len(v) - both
+                zone = next((z for z, k in (("core", 1), ("window", 2), ("outer", 3)) if 100 * both >= (100 - k * q) * union), "beyond")
+                least = max(1, p * apart // (100 + p) if zone == "core" else apart - int(q * (n + n * 100 / p) / (100 + p)))
+                zones.append(zone)
+                prefix.append(u[:0] if zone == "beyond" else np.concatenate([u[~shared], v[~_within(v, u)]])[: apart - least + 1])
+            columns = [batch.column(0), batch.column(1), pa.array(zones, pa.string()), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "pivot", "zone", "prefix"])
 
     one = sets.select("key", F.col("tokens").alias("x"))
     two = sets.select(F.col("key").alias("pivot"), F.col("tokens").alias("y"))
     joined = stars.join(one, "key").join(two, "pivot").select("key", "pivot", "x", "y")
-    return joined.mapInArrow(work, "key long, pivot long, linked boolean, window boolean, prefix array<long>")
+    return joined.mapInArrow(work, "key long, pivot long, zone string, prefix array<long>")
 
 
 def _similar_size(s: Settings):
@@ -286,22 +290,22 @@ def _placed(docs: DataFrame, s: Settings) -> DataFrame:
     pairs = written(_bounded(_direct_pairs(small, s), classes, s), "pairs")
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(large.select("key")).distinct()
     sets = _sets(docs, points, wanted, s)
-    links = [_linked(pairs, sets, s)]
+    links = [written(_linked(pairs, sets, s), "links")]
     for turn in range(s.rounds):
         if not large.limit(1).count():
             break
         stars = large.filter("key <> pivot").select("key", "pivot").distinct()
         about = written(_about_pivots(stars, sets, s), "about")
-        links.append(about.filter("linked").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
-        differ = about.select("key", "pivot", "window", F.explode("prefix").alias("token"))
-        one = differ.filter("window").select("pivot", "token", F.col("key").alias("a"))
-        two = differ.filter("not window").select("pivot", "token", F.col("key").alias("b"))
-        links.append(_linked(_bounded(one.join(two, ["pivot", "token"]).select("a", "b").distinct(), classes, s), sets, s))
-        left = large.join(about.filter("not linked").select("key", "pivot"), ["key", "pivot"]).select("token", "key", "n", "often")
+        links.append(about.filter("zone = 'core'").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
+        differ = about.join(classes.select("key", "n"), "key").select("key", "n", "pivot", "zone", F.explode("prefix").alias("token"))
+        one = differ.filter("zone = 'window'").select("pivot", "token", F.col("key").alias("a"), F.col("n").alias("m"))
+        two = differ.select("pivot", "token", F.col("key").alias("b"), "n")
+        within = one.join(two, ["pivot", "token"]).filter(_similar_size(s)).select("a", "b").distinct()
+        links.append(written(_linked(written(_bounded(within, classes, s), "within"), sets, s), "links"))
+        left = large.join(about.filter("zone in ('outer', 'beyond')").select("key", "pivot"), ["key", "pivot"]).select("token", "key", "n", "often")
         again = written(_regions(left), "regions")
-        last = turn + 1 == s.rounds
-        direct = again if last else again.filter(F.col("size") <= s.direct)
-        links.append(_linked(_bounded(_direct_pairs(direct, s), classes, s), sets, s))
+        direct = again if turn + 1 == s.rounds else again.filter(F.col("size") <= s.direct)
+        links.append(written(_linked(written(_bounded(_direct_pairs(direct, s), classes, s), "pairs"), sets, s), "links"))
         large = again.filter(F.col("size") > s.direct)
     edges = links[0]
     for more in links[1:]:

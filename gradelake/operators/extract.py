@@ -101,7 +101,7 @@ def carried_down(rows: DataFrame, document: str, order: str, *columns: str) -> D
 def normal_subject(rows: DataFrame) -> DataFrame:
     """Table rows with total, grade, points and status repaired; rows without marks and grade go."""
     total = F.coalesce(F.col("total"), F.col("internal") + F.col("external"))
-    total = F.least(total, F.col("max_marks"))
+    total = F.when(total.isNotNull(), F.least(total, F.col("max_marks")))  # least() passes over nulls
     rows = rows.withColumn("total", total)
     known = points(F.col("grade"))
     grade = F.when(known.isNotNull(), F.upper(F.trim("grade"))).otherwise(F.coalesce(grade_of_points(to_double(F.col("grade"))), grade_of_marks(F.col("total"), F.col("max_marks"))))

@@ -35,7 +35,7 @@ def subject_problems(marks: Column, maximum: Column, grade: Column, gp: Column,
 
 def repaired(rows: DataFrame) -> DataFrame:
     """Marks clamped, then grade, points and status derived again from them, in that order."""
-    marks = F.least(F.greatest("total_marks", F.lit(0)), F.col("max_marks"))
+    marks = F.when(F.col("total_marks").isNotNull(), F.least(F.greatest("total_marks", F.lit(0)), F.col("max_marks")))
     rows = rows.withColumn("total_marks", marks)
     rows = rows.withColumn("grade", F.when(points(F.col("grade")).isNull(), grade_of_marks(F.col("total_marks"), F.col("max_marks"))).otherwise(F.col("grade")))
     rows = rows.withColumn("grade_points", points(F.col("grade")))
