@@ -110,12 +110,14 @@ def _frequent(docs: DataFrame, s: Settings) -> np.ndarray:
     found = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     found = written(found.filter(F.col("n") > s.direct), "frequent")
     sizes = found.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.count("*").alias("rows")).orderBy(F.desc("level")).collect()
-    least, total = 64, 0
+    least, total = None, 0
     for row in sizes:  # whole levels of frequency, as many as there is room for
         total += row["rows"]
         if total > s.frequent:
             break
         least = row["level"]
+    if least is None:
+        return np.zeros(0, np.int64)
     return np.sort(found.filter(F.col("n") >= F.lit(1 << int(least)).cast("long")).select("token").toPandas()["token"].to_numpy(np.int64))
 
 
