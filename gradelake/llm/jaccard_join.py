@@ -7,9 +7,10 @@ shingle with many points, such as one of a large family of near copies, gets a p
 of frequent shingles. Exact distances d to the pivot then decide, with radius r and the triangle inequality:
 
 * d <= r, the core: the point is linked with the pivot, and through it with all such points; pairs of them need no look;
-* r < d <= 2r, the window: its links lead to points within 3r of the pivot that differ from the pivot as it does. The
-  points within 3r are replicated into the pivot's region and joined on the prefix of their differences from the pivot;
-* d > 2r: the points stay with each other in a new, smaller region with a new pivot, recursively.
+* d > r: the pivot isn't between the point and any point that it links with, so the two differ from the pivot in a
+  common shingle. Points are replicated into the regions (pivot, shingle) of a necessary prefix of their differences
+  from the pivot. Such a region holds the points that differ from the pivot alike; it is joined directly if it is small
+  and gets a pivot of its own, recursively, if it is large. Regions of core points alone are left out.
 
 Every pair that is brought together passes size and bucket-count bounds and is verified on whole shingle sets.
 
@@ -41,13 +42,14 @@ class Settings:
     """Points link from a Jaccard similarity of ``percent`` / 100; the other figures only steer the work.
 
     ``direct`` is the largest region joined without a pivot, ``frequent`` the most shingles that are moved to the
-    order's end, ``rounds`` how often a region gets a new pivot before what is left of it is joined directly.
+    order's end, ``rounds`` how often large regions get new pivots, as long as that halves the pairs in them, before what
+    is left of them is joined directly.
     """
 
     width: int = 5
     percent: int = 80
-    direct: int = 64
-    frequent: int = 1 << 16
+    direct: int = 16
+    frequent: int = 1 << 20
     rounds: int = 5
 
 
@@ -121,9 +123,8 @@ def _frequent(docs: DataFrame, s: Settings) -> np.ndarray:
     return np.sort(found.filter(F.col("n") >= F.lit(1 << int(least)).cast("long")).select("token").toPandas()["token"].to_numpy(np.int64))
 
 
-def _points(docs: DataFrame, frequent: np.ndarray, s: Settings) -> DataFrame:
+def _points(docs: DataFrame, held, s: Settings) -> DataFrame:
     """Per document: its point's key, set size, number of frequent shingles, prefix, and bucket counts."""
-    held = docs.sparkSession.sparkContext.broadcast(frequent)  # at most settings.frequent numbers
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = held.value
@@ -211,52 +212,89 @@ def _linked(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
-def _about_pivots(stars: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """Per point and pivot: the ``zone`` (core, window, outer or beyond), and the prefix of its differences.
+def _about_pivots(stars: DataFrame, sets: DataFrame, held, s: Settings) -> DataFrame:
+    """Per point and pivot: whether it is ``core``, the number of its differences and their prefix.
 
     Differences are the shingles that only one of point and pivot has; the point's own come first, as few points
-    share them. Of the differences of a window or outer point, its partners share at least ``apart - most``; of a core
-    point's, its partners in the window share more than percent / (100 + percent).
+    share them, and of these the frequent ones last. A point beyond the core shares at least ``apart - most`` of its differences with a point that it links
+    with, a core point more than percent / (100 + percent) of its own with a point beyond the core.
     """
     p, q = s.percent, 100 - s.percent
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = held.value
         for batch in batches:
-            zones, prefix = [], []
+            cores, prefix, aparts = [], [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 u, v = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
                 shared = _within(u, v)
                 both, n = int(shared.sum()), len(u)
                 apart, union = n + len(v) - 2 * both, n + len(v) - both
-                zone = next((z for z, k in (("core", 1), ("window", 2), ("outer", 3)) if 100 * both >= (100 - k * q) * union), "beyond")
-                least = max(1, p * apart // (100 + p) if zone == "core" else apart - int(q * (n + n * 100 / p) / (100 + p)))
-                zones.append(zone)
-                prefix.append(u[:0] if zone == "beyond" else np.concatenate([u[~shared], v[~_within(v, u)]])[: apart - least + 1])
-            columns = [batch.column(0), batch.column(1), pa.array(zones, pa.string()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "pivot", "zone", "prefix"])
+                core = 100 * both >= p * union
+                least = max(1, p * apart // (100 + p) if core else apart - int(q * (n + n * 100 / p) / (100 + p)))
+                cores.append(core)
+                aparts.append(apart)
+                own = u[~shared]
+                late = _within(own, often)
+                prefix.append(np.concatenate([own[~late], own[late], v[~_within(v, u)]])[: apart - least + 1])
+            columns = [batch.column(0), batch.column(1), pa.array(cores, pa.bool_()), pa.array(aparts, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "pivot", "core", "apart", "prefix"])
 
     one = sets.select("key", F.col("tokens").alias("x"))
     two = sets.select(F.col("key").alias("pivot"), F.col("tokens").alias("y"))
     joined = stars.join(one, "key").join(two, "pivot").select("key", "pivot", "x", "y")
-    return joined.mapInArrow(work, "key long, pivot long, zone string, prefix array<long>")
+    return joined.mapInArrow(work, "key long, pivot long, core boolean, apart long, prefix array<long>")
 
 
-def _similar_size(s: Settings):
-    return (100 * F.least("m", "n") >= s.percent * F.greatest("m", "n")) & (F.col("a") != F.col("b"))
+_MEMBER = ("key", "n", "often", "core", "home", "origin", "apart", "pos")
 
 
 def _direct_pairs(members: DataFrame, s: Settings) -> DataFrame:
-    """Pairs of points of one region (token) with sizes that allow a link."""
-    one = members.select("token", F.col("key").alias("a"), F.col("n").alias("m"))
-    two = members.select("token", F.col("key").alias("b"), "n")
-    return one.join(two, "token").filter(F.col("a") < F.col("b")).filter(_similar_size(s)).select("a", "b").distinct()
+    """Pairs of points of one region (token), not both of its core, one at home at least, whose first common shingle this can be.
+
+    From that shingle on (at ``pos`` of a point's ``apart`` shingles in order), both points must have room for as many
+    common ones as a link needs: half of what the two have together, less what the radius allows them to differ by.
+    """
+    rest = F.col("apart") - F.col("pos")
+    one = members.select("token", F.col("key").alias("a"), F.col("n").alias("m"), F.col("core").alias("in_a"), F.col("home").alias("home_a"), F.col("apart").alias("apart_a"), rest.alias("rest_a"))
+    two = members.select("token", F.col("key").alias("b"), "n", F.col("core").alias("in_b"), F.col("home").alias("home_b"), F.col("apart").alias("apart_b"), rest.alias("rest_b"))
+    p, q = s.percent, 100 - s.percent
+    look = ~(F.col("in_a") & F.col("in_b")) & (F.col("home_a") | F.col("home_b"))
+    room = 2 * (100 + p) * F.least("rest_a", "rest_b") >= (100 + p) * (F.col("apart_a") + F.col("apart_b")) - q * (F.col("m") + F.col("n"))
+    return one.join(two, "token").filter((F.col("a") < F.col("b")) & look & room)
 
 
 def _regions(entries: DataFrame) -> DataFrame:
-    """``entries`` (token, key, n, often) with their region's size and pivot; regions of one point are left out."""
+    """``entries`` (token and the columns of _MEMBER) with their region's size and pivot.
+
+    Regions that hold no pair to look at are left out. Of regions of one origin with the same points (equal sums of
+    64-bit hashes) the one whose shingle comes first stays: a family's shingles mostly lie in the same documents.
+    """
     central = F.struct((F.col("often") / F.col("n")).alias("share"), F.col("key").alias("key"))
-    tokens = entries.groupBy("token").agg(F.count("*").alias("size"), F.max(central)["key"].alias("pivot")).filter("size > 1")
-    return entries.select("token", "key", "n", "often").join(tokens, "token")
+    tokens = entries.groupBy("token").agg(
+        F.count("*").alias("size"),
+        F.max(central)["key"].alias("pivot"),
+        F.bool_and("core").alias("inside"),
+        F.bool_or("home").alias("lived"),
+        F.first("origin").alias("origin"),
+        F.sum("pos").alias("place"),
+        F.sum(F.xxhash64("key", "core", "home").cast("decimal(20)")).alias("points"),
+    )
+    same = ["origin", "points", "size", "pivot"]
+    tokens = tokens.filter("size > 1 and lived and not inside").groupBy(*same).agg(F.min_by("token", F.struct("place", "token")).alias("token"))
+    return entries.select("token", *_MEMBER).join(tokens.drop("origin", "points"), "token")
+
+
+def _by_size(large: DataFrame, s: Settings) -> DataFrame:
+    """Regions cut by set size: a point is at home at its own level and visits the next, as links reach no further."""
+    level = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / s.percent)) * (1 + 1e-9)))
+    both = large.withColumn("home", F.explode(F.array(F.lit(True), F.lit(False))))
+    return _regions(both.withColumn("token", F.xxhash64("token", level + F.when(F.col("home"), 0).otherwise(1))))
+
+
+def _near_in_size(pairs: DataFrame, s: Settings) -> DataFrame:
+    alike = 100 * F.least("m", "n") >= s.percent * F.greatest("m", "n")
+    return pairs.filter(alike).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -284,34 +322,44 @@ def keep_one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFr
 def _placed(docs: DataFrame, s: Settings) -> DataFrame:
     """doc_id, a hash of the text, set size and component of every document."""
     docs = docs.select("doc_id", "text")
-    points = written(_points(docs, _frequent(docs, s), s), "points")
+    held = docs.sparkSession.sparkContext.broadcast(_frequent(docs, s))  # at most settings.frequent numbers
+    points = written(_points(docs, held, s), "points")
     classes = written(points.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("often").alias("often"), F.first("prefix").alias("prefix"), F.first("buckets").alias("buckets")), "classes")
-    entries = classes.select(F.explode("prefix").alias("token"), "key", "n", "often")
+    fixed = {"core": F.lit(False), "home": F.lit(True), "origin": F.lit(0).cast("long"), "apart": F.col("n")}
+    entries = classes.select("key", "n", "often", F.posexplode("prefix").alias("pos", "token")).withColumns(fixed)
     regions = written(_regions(entries), "regions")
-    small, large = regions.filter(F.col("size") <= s.direct), written(regions.filter(F.col("size") > s.direct), "large")
-    pairs = written(_bounded(_direct_pairs(small, s), classes, s), "pairs")
+    is_large = F.col("size") > s.direct
+    cut = written(_by_size(regions.filter(is_large), s), "regions-by-size")
+    large = cut.filter(is_large)
+    found = _direct_pairs(regions.filter(~is_large), s).unionByName(_direct_pairs(cut.filter(~is_large), s))
+    pairs = written(_bounded(_near_in_size(found, s), classes, s), "pairs")
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(large.select("key")).distinct()
     sets = _sets(docs, points, wanted, s)
-    links = [written(_linked(pairs, sets, s), "links")]
-    for turn in range(s.rounds):
-        if not large.limit(1).count():
+    edges, later = None, None
+    work = large.agg(F.sum("size")).first()[0]  # twice the pairs in the large regions
+    for _ in range(s.rounds):
+        if not work:
             break
         stars = large.filter("key <> pivot").select("key", "pivot").distinct()
-        about = written(_about_pivots(stars, sets, s), "about")
-        links.append(about.filter("zone = 'core'").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
-        differ = about.join(classes.select("key", "n"), "key").select("key", "n", "pivot", "zone", F.explode("prefix").alias("token"))
-        one = differ.filter("zone = 'window'").select("pivot", "token", F.col("key").alias("a"), F.col("n").alias("m"))
-        two = differ.select("pivot", "token", F.col("key").alias("b"), "n")
-        within = one.join(two, ["pivot", "token"]).filter(_similar_size(s)).select("a", "b").distinct()
-        links.append(written(_linked(written(_bounded(within, classes, s), "within"), sets, s), "links"))
-        left = large.join(about.filter("zone in ('outer', 'beyond')").select("key", "pivot"), ["key", "pivot"]).select("token", "key", "n", "often")
-        again = written(_regions(left), "regions")
-        direct = again if turn + 1 == s.rounds else again.filter(F.col("size") <= s.direct)
-        links.append(written(_linked(written(_bounded(_direct_pairs(direct, s), classes, s), "pairs"), sets, s), "links"))
-        large = again.filter(F.col("size") > s.direct)
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.unionByName(more)
+        about = written(_about_pivots(stars, sets, held, s), "about")
+        core = about.filter("core").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
+        edges = core if edges is None else edges.unionByName(core)
+        differ = about.select("key", F.col("pivot").alias("origin"), "core", "apart", F.posexplode("prefix").alias("pos", "shingle"))
+        differ = differ.join(classes.select("key", "n", "often"), "key").withColumns({"token": F.xxhash64("origin", "shingle"), "home": F.lit(True)})
+        again = written(_regions(differ), "regions")
+        cut = written(_by_size(again.filter(is_large), s), "regions-by-size")
+        left = cut.filter(is_large).agg(F.sum("size")).first()[0]
+        if left and 2 * left > work:  # new pivots no longer help
+            break
+        large, work = cut.filter(is_large), left
+        found = _direct_pairs(again.filter(~is_large), s).unionByName(_direct_pairs(cut.filter(~is_large), s))
+        later = found if later is None else later.unionByName(found)
+    if work:
+        later = _direct_pairs(large, s) if later is None else later.unionByName(_direct_pairs(large, s))
+    if later is not None:
+        pairs = pairs.unionByName(written(_bounded(_near_in_size(later, s), classes, s), "pairs"))
+    linked = written(_linked(pairs, sets, s), "links")
+    edges = linked if edges is None else linked.unionByName(edges)
     roots = components(edges)
     placed = points.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select(
         "doc_id", "text_key", "n", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("root")
