@@ -329,8 +329,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
     docs = docs.select("doc_id", "text", *carry)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_blocks = int(max(4 * parts, total >> 22, 1))
-    n_ranges = int(max(parts, total >> 23, 1))
+    # A block sends a row to each range it has suffixes for, so both follow the bytes, not the number of partitions.
+    n_blocks = int(max(64, total >> 22))
+    n_ranges = int(max(32, total >> 23))
     n_buckets = int(max(parts, total >> 24, 1))
     splitters = _splitters(docs, length, n_ranges)
     extra = [f for f in docs.schema.fields if f.name in carry]
