@@ -42,8 +42,8 @@ class Settings:
     """Points link from a Jaccard similarity of ``percent`` / 100; the other figures only steer the work.
 
     ``direct`` is the largest region joined without a pivot, ``frequent`` the most shingles that are moved to the
-    order's end, ``rounds`` how often large regions get new pivots, as long as that halves the pairs in them, before what
-    is left of them is joined directly.
+    order's end, ``rounds`` how often large regions get new pivots, as long as that halves the pairs in them and a point's
+    region holds more than ``crowd`` points on average; what is left of them is then joined directly.
     """
 
     width: int = 5
@@ -51,6 +51,7 @@ class Settings:
     direct: int = 16
     frequent: int = 1 << 20
     rounds: int = 5
+    crowd: int = 64
 
 
 def shingle_sets(docs: list[bytes], width: int) -> list[np.ndarray]:
@@ -336,9 +337,9 @@ def _placed(docs: DataFrame, s: Settings) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(large.select("key")).distinct()
     sets = _sets(docs, points, wanted, s)
     edges, later = None, None
-    work = large.agg(F.sum("size")).first()[0]  # twice the pairs in the large regions
+    work, rows = large.agg(F.sum("size"), F.count("*")).first()  # twice the pairs in the large regions, their points
     for _ in range(s.rounds):
-        if not work:
+        if not rows or work <= s.crowd * rows:
             break
         stars = large.filter("key <> pivot").select("key", "pivot").distinct()
         about = written(_about_pivots(stars, sets, held, s), "about")
@@ -348,13 +349,13 @@ def _placed(docs: DataFrame, s: Settings) -> DataFrame:
         differ = differ.join(classes.select("key", "n", "often"), "key").withColumns({"token": F.xxhash64("origin", "shingle"), "home": F.lit(True)})
         again = written(_regions(differ), "regions")
         cut = written(_by_size(again.filter(is_large), s), "regions-by-size")
-        left = cut.filter(is_large).agg(F.sum("size")).first()[0]
+        left, points_left = cut.filter(is_large).agg(F.sum("size"), F.count("*")).first()
         if left and 2 * left > work:  # new pivots no longer help
             break
-        large, work = cut.filter(is_large), left
+        large, work, rows = cut.filter(is_large), left, points_left
         found = _direct_pairs(again.filter(~is_large), s).unionByName(_direct_pairs(cut.filter(~is_large), s))
         later = found if later is None else later.unionByName(found)
-    if work:
+    if rows:
         later = _direct_pairs(large, s) if later is None else later.unionByName(_direct_pairs(large, s))
     if later is not None:
         pairs = pairs.unionByName(written(_bounded(_near_in_size(later, s), classes, s), "pairs"))
