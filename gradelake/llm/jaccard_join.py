@@ -22,6 +22,7 @@ doc_id (null if it has none); an empty table gives no rows; other columns are ig
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -304,24 +305,35 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings()) -> Data
 
 
 def keep_one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id is their component's smallest, each text of an id once.
+    """The rows of ``docs``, all columns, whose doc_id is their component's smallest, one of each id and component.
 
-    Rows with a null doc_id stay if their component has no other id. Only what goes is shuffled with the texts.
+    Rows with a null doc_id stay, one of each component that has no other id. Rows without words are components by
+    themselves and all stay. Only what goes is shuffled with the texts.
     """
     placed = written(_placed(docs, settings), "placed")
-    gone = placed.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-1)).alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
-    same = (F.coalesce(docs["doc_id"], F.lit(-1)) == gone["gone_id"]) & F.xxhash64(docs["text"]).eqNullSafe(gone["gone_key"])
-    left = docs.join(gone, same, "left_anti")
-    twice = placed.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n") > 0)).groupBy("doc_id").count().filter("count > 1")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+
+    def is_row(of: DataFrame):
+        return docs["doc_id"].eqNullSafe(of["row_id"]) & F.xxhash64(docs["text"]).eqNullSafe(of["row_key"])
+
+    gone = placed.filter(~stays).select(F.col("doc_id").alias("row_id"), F.col("text_key").alias("row_key")).distinct()
+    left = docs.join(gone, is_row(gone), "left_anti")
+    # Several rows of one id may be kept in different components: only those of the same one are repetitions.
+    kept = placed.filter(stays & (F.col("n") > 0))
+    twice = kept.groupBy("doc_id", "root").count().filter("count > 1")
     if not twice.limit(1).count():
         return left
-    again = written(twice.select(F.col("doc_id").alias("twice_id")), "twice")
-    here = left["doc_id"].eqNullSafe(again["twice_id"])
-    return left.join(again, here, "left_anti").unionByName(left.join(again, here, "left_semi").dropDuplicates(["doc_id"]))
+    roots = twice.select(F.col("doc_id").alias("twice_id"), F.col("root").alias("twice_root"))
+    same = kept["doc_id"].eqNullSafe(roots["twice_id"]) & (kept["root"] == roots["twice_root"])
+    again = written(kept.join(roots, same, "left_semi").select(F.col("doc_id").alias("row_id"), F.col("text_key").alias("row_key"), "root").distinct(), "twice")
+    root = f"root_{uuid.uuid4().hex}"
+    again = again.withColumnRenamed("root", root)
+    rows = left.join(again, is_row(again)).select(*(docs[c] for c in docs.columns), root)
+    return left.join(again, is_row(again), "left_anti").unionByName(rows.dropDuplicates(["doc_id", root]).drop(root))
 
 
 def _placed(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, a hash of the text, set size and component of every document."""
+    """doc_id, a hash of the text, set size, component's root (null without words) and component of every document."""
     docs = docs.select("doc_id", "text")
     held = docs.sparkSession.sparkContext.broadcast(_frequent(docs, s))  # at most settings.frequent numbers
     points = written(_points(docs, held, s), "points")
@@ -366,4 +378,4 @@ def _placed(docs: DataFrame, s: Settings) -> DataFrame:
         "doc_id", "text_key", "n", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("root")
     )
     first = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(first, "root", "left").select("doc_id", "text_key", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return placed.join(first, "root", "left").select("doc_id", "text_key", "n", "root", F.coalesce("component_id", "doc_id").alias("component_id"))

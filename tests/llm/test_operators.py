@@ -181,6 +181,17 @@ def test_jaccard_keeps_one_of_each(spark):
     assert jaccard_join.keep_one_of_each(left.limit(0)).count() == 0
 
 
+def test_jaccard_keeps_different_texts_of_one_id(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, ""), (None, None), (4, texts[2]), (4, texts[3]), (4, texts[3] + " tail"), (4, "")]
+    rows += [(-1, texts[4]), (None, texts[4]), (5, texts[5]), (6, texts[5])]  # a null id is not the id -1
+    left = jaccard_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").withColumn("root", F.lit("x")))
+    assert left.columns == ["doc_id", "text", "root"]
+    got = sorted((str(r.doc_id), (r.text or "").removesuffix(" tail")) for r in left.collect())
+    want = [("None", texts[0]), ("None", texts[1]), ("None", ""), ("None", ""), ("4", texts[2]), ("4", texts[3]), ("4", ""), ("-1", texts[4]), ("5", texts[5])]
+    assert got == sorted(want)
+
+
 def test_quality_rules_base_equals_brute_force(spark):
     random.seed(5)
     texts = [*AWKWARD, "one two three four five six\none two three four five six\n\nq", "#a *b $c %d &e |f <g> h i j k"]
