@@ -7,18 +7,19 @@ are sorted:
    string of ``length`` bytes holds an anchor and the ``length // 2`` bytes from it on, so a repeated string has a
    repeated anchor suffix. The leading token of an anchor suffix is the fingerprint of these bytes.
 2. *Candidates*: positions whose first smallest hash is a repeated anchor. A candidate's suffix has two leading tokens,
-   fingerprints of its first and second half (96 bits together).
+   fingerprints of its first and second half (64 bits each).
 
 Both kinds are treated alike: sampled splitters range-partition the suffixes by leading token, each bucket sorts its
-suffixes by multikey quicksort, and equal neighbours are repeats. A splitter never parts equal leading tokens, so the
+suffixes token by token (``multikey_order``: numpy's sort by the first, then by the second among ties), and equal
+neighbours are repeats. The order is that of the windows' fingerprints, not the alphabet's. A splitter never parts equal leading tokens, so the
 comparison across a boundary is decided by its first token. Documents are dealt into blocks by a hash of their text;
 a block sends each of its distinct suffixes once, so a passage that a third of all documents hold is sent at most once
 a block, and gets back a bit for each. Equal texts of one task are recognised before anything is shuffled.
 
 Defined results: null and empty texts, and texts shorter than ``length``, lose nothing; equal texts of ``length``
 bytes or more lose all, in each document; matches never cross documents; strings are judged on the input; a null doc_id stays
-null; repeated rows each get their row; an empty table gives no rows. Equality of strings is equality of 96-bit
-fingerprints.
+null; repeated rows each get their row; an empty table gives no rows. Equality of strings is equality of
+the two halves' 64-bit fingerprints; no bytes are compared.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=1)
 def _byte_values() -> np.ndarray:
-    return np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
 class Prints:
@@ -207,7 +208,7 @@ class Suffixes:
         cuts = self.cuts(splitters)
         there = np.flatnonzero(np.diff(cuts))
         first = [_packed(self.tokens[0][cuts[r] : cuts[r + 1]]) for r in there]
-        second = [(self.tokens[1][cuts[r] : cuts[r + 1]] >> np.uint64(32)).astype("<u4").tobytes() if len(self.tokens) > 1 else b"" for r in there]
+        second = [self.tokens[1][cuts[r] : cuts[r + 1]].astype("<u8").tobytes() if len(self.tokens) > 1 else b"" for r in there]
         return pa.table({"range": pa.array(there, pa.int32()), "block": pa.array([block] * len(there), pa.int32()), "first": pa.array(first, pa.binary()), "second": pa.array(second, pa.binary())})
 
     def repeated(self, bits: dict[int, bytes], splitters: np.ndarray) -> np.ndarray:
@@ -229,7 +230,7 @@ def _judge(suffixes: DataFrame) -> DataFrame:
         tokens = [np.concatenate(firsts)]
         second = b"".join(table.column("second").to_pylist())
         if second:
-            tokens.append(np.frombuffer(second, "<u4"))
+            tokens.append(np.frombuffer(second, "<u8"))
         bits = np.split(repeats(tokens), np.cumsum(sizes)[:-1])
         return pa.table({"block": table.column("block"), "range": table.column("range"), "bits": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())})
 
@@ -262,7 +263,7 @@ def _candidate_suffixes(docs: list[bytes], length: int, anchors: Suffixes, repea
             doc.append(p.doc[ok])
             place.append(p.place[ok])
             one.append(p.prints.at(starts, length // 2))
-            two.append(p.prints.at(starts + length // 2, length - length // 2) & np.uint64(0xFFFFFFFF00000000))
+            two.append(p.prints.at(starts + length // 2, length - length // 2))
     return Suffixes([np.concatenate(one), np.concatenate(two)]), np.concatenate(doc), np.concatenate(place)
 
 

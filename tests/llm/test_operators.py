@@ -117,6 +117,17 @@ def test_multikey_order():
     assert suffix_dedup.repeats([a, b]).tolist() == [list(zip(a, b, strict=True)).count(x) > 1 for x in zip(a, b, strict=True)]
 
 
+def test_second_halves_differ_by_64_bits(spark):
+    none = np.zeros(0, np.uint64)
+    blocks = [suffix_dedup.Suffixes([np.full(1, 9 << 40, np.uint64), np.full(1, (5 << 40) + low, np.uint64)]).rows(k, none) for k, low in enumerate([1, 2, 1])]
+    rows = spark.createDataFrame([tuple(x.values()) for t in blocks for x in t.to_pylist()], "range int, block int, first binary, second binary")
+    assert {r.block: r.bits[0] >> 7 for r in suffix_dedup._judge(rows).collect()} == {0: 1, 1: 0, 2: 1}
+    text = bytes(range(100)) * 2
+    own = suffix_dedup._anchor_suffixes([text], 40)
+    found = suffix_dedup._candidate_suffixes([text], 40, own, own.repeated({}, none))[0]
+    assert (found.tokens[1] & np.uint64(0xFFFFFFFF)).any()
+
+
 def words_of(text):
     out, word = [], ""
     for ch in (text or "").translate({c: c + 32 for c in range(65, 91)}) + " ":
