@@ -340,23 +340,30 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        n_again = 0
         for batch in slices(batches):
             raw = raw_texts(batch)
             prints = [hashlib.blake2b(t, digest_size=16).digest() if len(t) >= length else None for t in raw]
-            again = []
-            for p in prints:
-                again.append(p is not None and p in seen)
+            home = [None if p is None else int.from_bytes(p[:8], "little") % n_blocks for p in prints]
+            block, own = list(home), batch.column(batch.schema.get_field_index("text")).to_pylist()
+            for k, p in enumerate(prints):
+                if p is not None and p in seen:
+                    n_again += 1
+                    block[k], own[k] = -1 - n_again % (1 << 20), None
                 seen.add(p)
-            block = [None if p is None else int.from_bytes(p[:8], "little") % n_blocks for p in prints]
-            columns = [*batch.columns, pa.array(prints, pa.binary()), pa.array(block, pa.int32()), pa.array(again)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "print", "block", "again"])
-
-    dealt = docs.mapInArrow(deal, f"doc_id long, text string{carried}, print binary, block int, again boolean")
-    # The first of a task's equal texts goes to its block; the others, like short texts, are settled where they are.
+            columns = [own if n == "text" else batch.column(n) for n in batch.schema.names]
+            columns = [pa.array(c, pa.string()) if isinstance(c, list) else c for c in columns]
+            columns += [pa.array(prints, pa.binary()), pa.array(block, pa.int32()), pa.array(home, pa.int32()), pa.array([len(t) for t in raw], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "print", "block", "home", "n_bytes"])
+
+    dealt = docs.mapInArrow(deal, f"doc_id long, text string{carried}, print binary, block int, home int, n_bytes long")
+    # The first of a task's equal texts goes to its block. The others leave their text behind and are spread over
+    # negative blocks: which they are depends on the tasks, so it is written once and never worked out again.
     name = f"repeat_blocks_{uuid.uuid4().hex}"
-    rows = dealt.filter("block is not null and not again").drop("again")
+    rows = dealt.filter("block is not null")
     rows.repartition(n_buckets, "block").write.bucketBy(n_buckets, "block").sortBy("block").option("compression", "zstd").saveAsTable(name)
-    blocks = spark.table(name)
+    again = spark.table(name).filter("block < 0")
+    blocks = spark.table(name).filter("block >= 0").drop("home", "n_bytes")
     def anchors(key, table):
         return _anchor_suffixes(_block_docs(table)[1], length).rows(key[0].as_py(), splitters)
 
@@ -371,7 +378,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
 
     two = written(_judge(narrow.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(windows, shape)).withColumn("stage", F.lit(2)), "window-bits")
     # Texts of which a task holds several, told to their blocks: at most one row for each text and task.
-    told = dealt.filter("again").select("block", F.lit(0).alias("range"), F.col("print").alias("bits"), F.lit(3).alias("stage")).distinct()
+    told = again.select(F.col("home").alias("block"), F.lit(0).alias("range"), F.col("print").alias("bits"), F.lit(3).alias("stage")).distinct()
     bits = one.unionByName(two).unionByName(told)
 
     def cut(key, table, bits):
@@ -402,7 +409,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
     whole = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end"))).cast(_SPAN_SQL)
     none, empty = F.array().cast(_SPAN_SQL), F.lit("").cast("binary")
     length_of = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
-    copies = dealt.filter("again").select("doc_id", length_of, *carry).select("doc_id", "n_bytes", whole.alias("spans"), empty.alias("kept"), *carry)
+    copies = again.select("doc_id", "n_bytes", whole.alias("spans"), empty.alias("kept"), *carry)
     short = docs.filter(F.coalesce(F.octet_length("text"), F.lit(0)) < length)
     short = short.select("doc_id", length_of, none.alias("spans"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("kept"), *carry)
     return cutted.unionByName(copies).unionByName(short)

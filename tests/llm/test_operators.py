@@ -128,6 +128,28 @@ def test_second_halves_differ_by_64_bits(spark):
     assert (found.tokens[1] & np.uint64(0xFFFFFFFF)).any()
 
 
+def test_repeats_of_a_task_are_settled_once(spark, tmp_path):
+    random.seed(8)
+    text = " ".join(str(random.random()) for _ in range(60))
+    for k in range(6):
+        spark.createDataFrame([(k, text if k < 4 else f"short {k}")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/docs")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum", "spark.sql.files.maxPartitionBytes") if spark.conf.get(k, None)}
+    got = []
+    try:
+        for first, later in ((1 << 10, 1 << 27), (1 << 27, 1 << 10)):  # how files make tasks changes between the jobs
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+            spark.conf.set("spark.sql.files.minPartitionNum", 1)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", first)
+            left = suffix_dedup.remove_repeats(spark.read.parquet(f"{tmp_path}/docs"))
+            spark.conf.set("spark.sql.files.maxPartitionBytes", later)
+            got.append(sorted((r.doc_id, bytes(r.kept)) for r in left.collect()))
+    finally:
+        for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum", "spark.sql.files.maxPartitionBytes"):
+            spark.conf.set(k, held[k]) if k in held else spark.conf.unset(k)
+    want = [(k, b"" if k < 4 else f"short {k}".encode()) for k in range(6)]
+    assert got == [want, want]
+
+
 def words_of(text):
     out, word = [], ""
     for ch in (text or "").translate({c: c + 32 for c in range(65, 91)}) + " ":
