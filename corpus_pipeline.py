@@ -28,10 +28,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 400 bytes or more that occur twice."""
+    """Documents without the passages of over 50 words, or of 400 bytes or more, that occur twice."""
     other = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     packed = docs.select("doc_id", "text", *([F.struct(*(docs[c] for c in other)).alias("carried")] if other else []))
-    left = suffix_dedup.remove_repeats(packed, carry=("carried",) if other else (), whole_characters=True)
+    left = suffix_dedup.remove_repeats(packed, carry=("carried",) if other else (), whole_characters=True, n_words=51)
     columns = {"doc_id": F.col("doc_id"), "text": F.col("kept").cast("string"), "n_chars": F.length(F.col("kept").cast("string")).cast("long")}
     columns |= {c: F.col("carried")[c] for c in other}
     return left.select(*(columns[c].alias(c) for c in docs.columns))

@@ -16,8 +16,11 @@ comparison across a boundary is decided by its first token. Documents are dealt
 a block sends each of its distinct suffixes once, so a passage that a third of all documents hold is sent at most once
 a block, and gets back a bit for each. Equal texts of one task are recognised before anything is shuffled.
 
-Defined results: null and empty texts, and texts shorter than ``length``, lose nothing; equal texts of ``length``
-bytes or more lose all, in each document; matches never cross documents; strings are judged on the input; a null doc_id stays
+With ``n_words``, that many consecutive words that start elsewhere too are repeats as well, whatever their bytes: the
+same two steps run over each text's words, as 64-bit hashes, in place of its bytes. Words end at white space.
+
+Defined results: null and empty texts, and texts shorter than ``length`` (and of fewer than ``n_words`` words), lose nothing; other equal
+texts lose all, in each document; matches never cross documents; strings are judged on the input; a null doc_id stays
 null; repeated rows each get their row; an empty table gives no rows. Equality of strings is equality of
 the two halves' 64-bit fingerprints; no bytes are compared.
 """
@@ -34,13 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import raw_texts, slices, written
+from gradelake.llm.common import raw_texts, slices, word_hashes, written
 
 SPAN = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 _SPAN_SQL = "array<struct<begin:bigint,end:bigint>>"
 _PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _GRAM = 16
+#: An anchor of words is chosen by the hash of so many.
+_WORD_GRAM = 4
 
 
 @lru_cache(maxsize=2)
@@ -57,15 +62,15 @@ def _byte_values() -> np.ndarray:
 
 
 class Prints:
-    """Fingerprints of any substring of ``data`` in constant time."""
+    """Fingerprints of any run of ``values`` in constant time."""
 
-    def __init__(self, data: np.ndarray) -> None:
-        up, self.down = _powers(1 << int(len(data)).bit_length())
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_byte_values()[data] * up[: len(data)], out=self.sums[1:])
+    def __init__(self, values: np.ndarray) -> None:
+        up, self.down = _powers(1 << int(len(values)).bit_length())
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[: len(values)], out=self.sums[1:])
 
     def at(self, starts: np.ndarray, length: int) -> np.ndarray:
-        """Fingerprints of the ``length`` bytes from each start on."""
+        """Fingerprints of the ``length`` values from each start on."""
         return _mixed((self.sums[starts + length] - self.sums[starts]) * self.down[starts])
 
     def first(self, n: int, length: int) -> np.ndarray:
@@ -90,11 +95,17 @@ def sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 class Piece:
-    """Some texts' possible starts (or a part of a long text's), with their anchors."""
+    """Some texts' possible starts (or a part of a long text's), with their anchors.
+
+    Texts are bytes, or arrays of their words' hashes; places and ``length`` count the one or the other.
+    """
 
-    def __init__(self, docs: list[bytes], spans: list[tuple[int, int, int]], length: int) -> None:
+    def __init__(self, docs: list, spans: list[tuple[int, int, int]], length: int) -> None:
         self.length, half = length, length // 2
-        data = np.frombuffer(b"".join(docs[d][a : b + length - 1] for d, a, b in spans), np.uint8)
+        parts = [docs[d][a : b + length - 1] for d, a, b in spans]
+        in_bytes = isinstance(parts[0], bytes)
+        data = _byte_values()[np.frombuffer(b"".join(parts), np.uint8)] if in_bytes else np.concatenate(parts)
+        gram = _GRAM if in_bytes else _WORD_GRAM
         sizes = np.array([b - a + length - 1 for _, a, b in spans], np.int64)
         first = np.cumsum(sizes) - sizes
         n_starts = sizes - (length - 1)
@@ -102,7 +113,7 @@ class Piece:
         self.doc = np.repeat([d for d, _, _ in spans], n_starts)
         self.place = self.starts + np.repeat(np.array([a for _, a, _ in spans], np.int64) - first, n_starts)
         self.prints = Prints(data)
-        grams = self.prints.first(len(data) - _GRAM + 1, _GRAM) >> np.uint64(32)
+        grams = self.prints.first(len(data) - gram + 1, gram) >> np.uint64(32)
         self.anchor_of = sliding_argmin(grams, half + 1)[self.starts]
         flag = np.zeros(len(data) + 1, bool)
         flag[self.anchor_of] = True
@@ -116,7 +127,7 @@ class Piece:
         return flag[self.anchor_of]
 
 
-def pieces(docs: list[bytes], length: int) -> Iterator[Piece]:
+def pieces(docs: list, length: int) -> Iterator[Piece]:
     """The texts' starts in pieces of bounded size; long texts are cut, with the overlap that whole strings need."""
     spans: list[tuple[int, int, int]] = []
     n = 0
@@ -252,7 +263,7 @@ def _block_docs(table: pa.Table) -> tuple[pa.Table, list[bytes], np.ndarray]:
     return table, table.filter(pa.array(first)).column("text").cast(pa.binary()).to_pylist(), which
 
 
-def _candidate_suffixes(docs: list[bytes], length: int, anchors: Suffixes, repeated: np.ndarray) -> tuple[Suffixes, np.ndarray, np.ndarray]:
+def _candidate_suffixes(docs: list, length: int, anchors: Suffixes, repeated: np.ndarray) -> tuple[Suffixes, np.ndarray, np.ndarray]:
     """The candidates' suffixes with their texts and places."""
     doc, place, one, two, done = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], 0
     for p in pieces(docs, length):
@@ -267,15 +278,33 @@ def _candidate_suffixes(docs: list[bytes], length: int, anchors: Suffixes, repea
     return Suffixes([np.concatenate(one), np.concatenate(two)]), np.concatenate(doc), np.concatenate(place)
 
 
-def _anchor_suffixes(docs: list[bytes], length: int) -> Suffixes:
+def _anchor_suffixes(docs: list, length: int) -> Suffixes:
     return Suffixes([np.concatenate([*(p.tokens for p in pieces(docs, length)), np.zeros(0, np.uint64)])])
 
 
-def spans_of(places: np.ndarray, length: int) -> list[dict[str, int]]:
-    """Maximal runs of bytes covered by the strings that start at ``places`` (ascending)."""
-    opens = np.r_[True, places[1:] > places[:-1] + length]
+def words_of(docs: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Each text's words: their hashes, and where they begin and end in the text."""
+    sizes = np.array([len(t) + 1 for t in docs], np.int64)
+    data = np.frombuffer(b"".join(t + b" " for t in docs) + bytes(8), np.uint8)
+    inside = ~((data[:-8] == 32) | ((data[:-8] >= 9) & (data[:-8] <= 13)))
+    turn = np.diff(inside.astype(np.int8), prepend=0)
+    begins, ends = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+    first = np.cumsum(sizes) - sizes
+    cuts = np.searchsorted(begins, first[1:])
+    parts = [np.split(x, cuts) if docs else [] for x in (word_hashes(data, begins, ends), begins, ends)]
+    return parts[0], [x - f for x, f in zip(parts[1], first, strict=True)], [x - f for x, f in zip(parts[2], first, strict=True)]
+
+
+def _units(docs: list[bytes], in_words: bool) -> list:
+    return words_of(docs)[0] if in_words else docs
+
+
+def spans_of(begins: np.ndarray, ends: np.ndarray) -> list[dict[str, int]]:
+    """Maximal runs of bytes covered by the strings from ``begins`` (ascending) to ``ends``."""
+    reach = np.maximum.accumulate(ends)
+    opens = np.r_[True, begins[1:] > reach[:-1]]
     closes = np.r_[opens[1:], True]
-    return [{"begin": a, "end": b + length} for a, b in zip(places[opens].tolist(), places[closes].tolist(), strict=True)]
+    return [{"begin": a, "end": b} for a, b in zip(begins[opens].tolist(), reach[closes].tolist(), strict=True)]
 
 
 def widened(text: bytes, spans: list[dict[str, int]]) -> list[dict[str, int]]:
@@ -302,7 +331,7 @@ def _kept(text: bytes, spans: list[dict[str, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _splitters(docs: DataFrame, length: int, ranges: int) -> np.ndarray:
+def _splitters(docs: DataFrame, length: int, ranges: int, in_words: bool) -> np.ndarray:
     """Boundaries that deal leading tokens evenly, from the anchors of a hash-chosen fiftieth of the texts.
 
     Only the evenness of the ranges depends on them.
@@ -310,7 +339,7 @@ def _splitters(docs: DataFrame, length: int, ranges: int) -> np.ndarray:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            tokens = np.concatenate([*(p.tokens for p in pieces(raw_texts(batch), length)), np.zeros(0, np.uint64)])
+            tokens = np.concatenate([*(p.tokens for p in pieces(_units(raw_texts(batch), in_words), length)), np.zeros(0, np.uint64)])
             tokens = tokens[tokens % np.uint64(8) == 0]
             yield pa.RecordBatch.from_arrays([pa.array((tokens >> np.uint64(11)).astype(np.float64))], names=["token"])
 
@@ -321,9 +350,38 @@ def _splitters(docs: DataFrame, length: int, ranges: int) -> np.ndarray:
     return np.sort(np.array(found, np.float64).astype(np.uint64) << np.uint64(11))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
+def _repeat_bits(docs: DataFrame, blocks: DataFrame, length: int, ranges: int, in_words: bool) -> tuple[DataFrame, np.ndarray]:
+    """For each block and range, which anchors (stage 1; words: 4) and candidates (2; 5) are repeated, and the splitters."""
+    splitters, stage = _splitters(docs, length, ranges, in_words), 4 if in_words else 1
+
+    def anchors(key, table):
+        return _anchor_suffixes(_units(_block_docs(table)[1], in_words), length).rows(key[0].as_py(), splitters)
+
+    shape = "range int, block int, first binary, second binary"
+    narrow = blocks.select("block", "print", "text")
+    one = written(_judge(narrow.groupBy("block").applyInArrow(anchors, shape)).withColumn("stage", F.lit(stage)), "anchor-bits")
+
+    def windows(key, table, bits):
+        docs = _units(_block_docs(table)[1], in_words)
+        own = _anchor_suffixes(docs, length)
+        return _candidate_suffixes(docs, length, own, own.repeated(_bits_of(bits, stage), splitters))[0].rows(key[0].as_py(), splitters)
+
+    two = written(_judge(narrow.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(windows, shape)).withColumn("stage", F.lit(stage + 1)), "window-bits")
+    return one.unionByName(two), splitters
+
+
+def _repeated_strings(docs: list, length: int, bits: pa.Table, stage: int, splitters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The repeated strings' texts and places."""
+    own = _anchor_suffixes(docs, length)
+    found, doc, place = _candidate_suffixes(docs, length, own, own.repeated(_bits_of(bits, stage), splitters))
+    gone = found.repeated(_bits_of(bits, stage + 1), splitters)
+    return doc[gone], place[gone]
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] = (), whole_characters: bool = False, n_words: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_bytes, spans (removed bytes), kept (the remaining bytes), and ``carry`` columns.
 
+    Strings of ``length`` bytes that occur twice go, and runs of ``n_words`` words where that is given.
     With ``whole_characters``, spans are widened to whole characters, so that what is kept is text again.
     """
     spark = docs.sparkSession
@@ -334,16 +392,18 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
     n_blocks = int(max(64, total >> 22))
     n_ranges = int(max(32, total >> 23))
     n_buckets = int(max(parts, total >> 24, 1))
-    splitters = _splitters(docs, length, n_ranges)
     extra = [f for f in docs.schema.fields if f.name in carry]
     carried = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in extra)
 
+    def counts(text: bytes) -> bool:
+        return len(text) >= length or (n_words is not None and len(text) >= 2 * n_words - 1 and len(text.split()) >= n_words)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         n_again = 0
         for batch in slices(batches):
             raw = raw_texts(batch)
-            prints = [hashlib.blake2b(t, digest_size=16).digest() if len(t) >= length else None for t in raw]
+            prints = [hashlib.blake2b(t, digest_size=16).digest() if counts(t) else None for t in raw]
             home = [None if p is None else int.from_bytes(p[:8], "little") % n_blocks for p in prints]
             block, own = list(home), batch.column(batch.schema.get_field_index("text")).to_pylist()
             for k, p in enumerate(prints):
@@ -364,34 +424,30 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
     rows.repartition(n_buckets, "block").write.bucketBy(n_buckets, "block").sortBy("block").option("compression", "zstd").saveAsTable(name)
     again = spark.table(name).filter("block < 0")
     blocks = spark.table(name).filter("block >= 0").drop("home", "n_bytes")
-    def anchors(key, table):
-        return _anchor_suffixes(_block_docs(table)[1], length).rows(key[0].as_py(), splitters)
-
-    shape = "range int, block int, first binary, second binary"
-    narrow = blocks.select("block", "print", "text")
-    one = written(_judge(narrow.groupBy("block").applyInArrow(anchors, shape)).withColumn("stage", F.lit(1)), "anchor-bits")
-
-    def windows(key, table, bits):
-        docs = _block_docs(table)[1]
-        own = _anchor_suffixes(docs, length)
-        return _candidate_suffixes(docs, length, own, own.repeated(_bits_of(bits, 1), splitters))[0].rows(key[0].as_py(), splitters)
-
-    two = written(_judge(narrow.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(windows, shape)).withColumn("stage", F.lit(2)), "window-bits")
+    bits, splitters = _repeat_bits(docs, blocks, length, n_ranges, False)
+    if n_words is not None:
+        more, word_splitters = _repeat_bits(docs, blocks, n_words, n_ranges, True)
+        bits = bits.unionByName(more)
     # Texts of which a task holds several, told to their blocks: at most one row for each text and task.
     told = again.select(F.col("home").alias("block"), F.lit(0).alias("range"), F.col("print").alias("bits"), F.lit(3).alias("stage")).distinct()
-    bits = one.unionByName(two).unionByName(told)
+    bits = bits.unionByName(told)
 
     def cut(key, table, bits):
         table, docs, which = _block_docs(table)
-        own = _anchor_suffixes(docs, length)
-        found, doc, place = _candidate_suffixes(docs, length, own, own.repeated(_bits_of(bits, 1), splitters))
-        gone = found.repeated(_bits_of(bits, 2), splitters)
+        doc, begin = _repeated_strings(docs, length, bits, 1, splitters)
+        end = begin + length
+        if n_words is not None:
+            hashes, opens, closes = words_of(docs)
+            at, place = _repeated_strings(hashes, n_words, bits, 4, word_splitters)
+            first = np.cumsum([0, *(len(x) for x in hashes)])[at] + place
+            doc, begin = np.r_[doc, at], np.r_[begin, np.concatenate(opens)[first]]
+            end = np.r_[end, np.concatenate(closes)[first + n_words - 1]]
         spans: list[list[dict[str, int]]] = [[] for _ in docs]
-        doc, place = doc[gone], place[gone]
-        order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order]
+        order = np.lexsort((begin, doc))
+        doc, begin, end = doc[order], begin[order], end[order]
         for d in np.unique(doc).tolist():
-            spans[d] = spans_of(place[doc == d] if len(docs) == 1 else place[slice(*np.searchsorted(doc, [d, d + 1]))], length)
+            own = slice(*np.searchsorted(doc, [d, d + 1]))
+            spans[d] = spans_of(begin[own], end[own])
         told = {b for s, b in zip(bits.column("stage").to_pylist(), bits.column("bits").to_pylist(), strict=True) if s == 3}
         rows_of = np.bincount(which, minlength=len(docs))
         for p, d in zip(table.column("print").to_pylist(), which.tolist(), strict=True):
@@ -408,8 +464,6 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
     cutted = blocks.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(cut, result)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end"))).cast(_SPAN_SQL)
     none, empty = F.array().cast(_SPAN_SQL), F.lit("").cast("binary")
-    length_of = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     copies = again.select("doc_id", "n_bytes", whole.alias("spans"), empty.alias("kept"), *carry)
-    short = docs.filter(F.coalesce(F.octet_length("text"), F.lit(0)) < length)
-    short = short.select("doc_id", length_of, none.alias("spans"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("kept"), *carry)
+    short = dealt.filter("block is null").select("doc_id", "n_bytes", none.alias("spans"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("kept"), *carry)
     return cutted.unionByName(copies).unionByName(short)

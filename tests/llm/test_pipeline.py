@@ -1,5 +1,7 @@
 """The pipeline's stages against brute force on their own inputs, and whole."""
 
+import zlib
+
 import corpus_pipeline as pipeline
 import numpy as np
 from gradelake.llm import jaccard_join, queries, sentence_pieces, toxicity
@@ -60,6 +62,28 @@ def test_stages(spark, small, tmp_path):
     assert pipeline.run(spark, small).count() == len(after)
 
 
+def test_passages_of_over_50_words_go(spark, small):
+    def said(doc, n, width):
+        return [f"{hash_of(doc, k):0{width}d}" for k in range(n)]
+
+    def hash_of(doc, k):
+        return zlib.crc32(f"{doc} {k}".encode()) % 10**4
+
+    rows, want = [], []
+    for k, n in enumerate([50, 51, 52, 55, 58, 62]):
+        passage = said(f"passage {k}", n, 4)
+        for side, blank in ((0, " "), (1, "\n")):  # where lines end doesn't matter
+            one, two = said(f"{k} {side} before", 30 + side, 4), said(f"{k} {side} after", 20, 4)
+            rows.append((2 * k + side, " ".join(one) + " " + blank.join(passage) + " " + " ".join(two)))
+            want.append(one + (passage if n == 50 else []) + two)
+    alone = " ".join(said("whole", 51, 4))
+    rows += [(20, alone), (21, alone), (22, "x" * 500 + " a"), (23, "x" * 500 + " b"), (24, alone.rsplit(" ", 1)[0])]
+    want += [[], [], ["a"], ["b"], alone.split()[:-1]]
+    assert max(len(t) for k, t in rows if k < 12) < 900 and 5 * 62 < 400
+    got = pipeline.cut_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), small).orderBy("doc_id").collect()
+    assert [r.text.split() for r in got] == want
+
+
 def test_empty_and_odd_tables(spark, small):
     docs = spark.createDataFrame([(1, None, None), (2, "", None), (None, "a b c", "q")], "doc_id long, text string, block string")
     for rows in (docs, docs.limit(0)):
