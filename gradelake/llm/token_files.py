@@ -17,6 +17,7 @@ are ordered by their ids; an empty table gives no rows; other columns are ignore
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -51,7 +52,10 @@ def default_vocabulary() -> str:
 
 
 class WordEncoder:
-    """Encodes words with the tokenizers library; white space separates words and is dropped by the tokenizer."""
+    """Encodes words with the tokenizers library; white space separates words and is dropped by the tokenizer.
+
+    The tokenizer's added tokens are taken out of a text first, as they are written, like the library does it.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -59,6 +63,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.words = WordIds(self.encode_words)
+        added = sorted((t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, one after another, and how many each word has."""
@@ -68,7 +74,8 @@ class WordEncoder:
     def encode(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (UTF-8), one after another, and how many each text has."""
         sizes = np.array([len(t) + 1 for t in docs], np.int64)
-        data = np.frombuffer(b"".join(t + b" " for t in docs) + bytes(8), np.uint8).copy()
+        joined = b"".join(t + b" " for t in docs)
+        data = np.frombuffer(joined + bytes(8), np.uint8).copy()
         # The tokenizer ignores case: fold A-Z so that fewer words differ, but not under combining marks.
         data[:-1] += 32 * ((data[:-1] >= 65) & (data[:-1] <= 90) & (data[1:] < 128)).astype(np.uint8)
         kind = _KIND[data[:-8]]
@@ -79,6 +86,13 @@ class WordEncoder:
         opens[1:] &= ~inside[:-1] | turn
         closes = inside.copy()
         closes[:-1] &= ~inside[1:] | turn
+        for m in self.added.finditer(joined) if self.added else ():  # an added token is a word of its own
+            a, b = m.span()
+            data[a:b] = np.frombuffer(m[0], np.uint8)
+            opens[a:b] = closes[a:b] = False
+            opens[a] = closes[b - 1] = True
+            opens[b] = inside[b]
+            closes[a - 1 : a] = inside[a - 1 : a]
         before = np.r_[0, np.cumsum(opens)]
         ends = np.cumsum(sizes)
         return self.words.ids(data, np.flatnonzero(opens), np.flatnonzero(closes) + 1, before[ends] - before[ends - sizes])

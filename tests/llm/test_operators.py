@@ -65,6 +65,20 @@ def test_token_files_read_back(spark, monkeypatch):
     assert token_files.read_token_ids(spark, token_files.write_token_ids(frame(spark, AWKWARD).limit(0))).count() == 0
 
 
+def test_added_tokens_in_texts():
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(token_files.default_vocabulary())
+    texts = []
+    for s in ("<|endoftext|>", "<|startoftext|>"):
+        texts += [s, f"a {s} b", f"A{s}B", f"{s}{s}x", f"é{s}\u0301", f"<|{s}|>", s.upper(), s.title(), f"{s.upper()}{s}", s[:-1], f"A\u0130{s}'s"]
+    ids, counts = token_files.encoder_at(token_files.default_vocabulary()).encode([t.encode() for t in texts])
+    ends = np.cumsum(counts)
+    got = [ids[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)]
+    want = [tk.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [t for t, x, y in zip(texts, got, want, strict=True) if x != y] == []
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 1000])
 def test_packing_round_trip(n):
     ranks = np.random.default_rng(n).integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32) >> np.arange(n, dtype=np.uint32) % 31
