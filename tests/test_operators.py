@@ -88,6 +88,19 @@ def test_simhash_pairs_equal_brute_force(spark, small):
     assert got == want
 
 
+def test_simhash_classes_keep_their_members(spark, small, monkeypatch):
+    from gradelake.plans import queries
+
+    texts = [(1, "red green"), (2, "green red"), (3, "Red green green red"), (4, "far other words here")]  # equal signatures, different texts
+    signatures = dedup.simhash(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text")
+    value = signatures.filter("doc_id = 4").first().simhash
+    signatures = signatures.unionByName(spark.createDataFrame([(5, value ^ 1), (6, value ^ 2)], signatures.schema))
+    monkeypatch.setattr(queries, "f15_simhash", lambda spark, sf_dir: signatures)
+    got = queries.m02_simhash_pairs(spark, small).collect()
+    assert sorted((r.id, r.other_id, r.links) for r in got if r["kind"] == "member") == [(1, 1, 0), (2, 1, 0), (3, 1, 0), (4, 4, 2), (5, 5, 2), (6, 6, 2)]
+    assert sorted((r.id, r.other_id, r.bits_apart) for r in got if r["kind"] == "pair") == [(4, 5, 1), (4, 6, 1), (5, 6, 2)]
+
+
 def test_minhash_of_equal_texts(spark):
     got = dedup.minhash(spark.createDataFrame([(1, "abcdef"), (2, "ABCDEF"), (3, "zzzz")], "id int, t string"), "id", "t", 16).orderBy("id").collect()
     assert got[0].minhash == got[1].minhash != got[2].minhash
