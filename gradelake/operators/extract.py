@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gradelake.functions.grades import grade_of_marks, grade_of_points, points, to_double, to_int
 from gradelake.functions.text import USN, semester
+from gradelake.sources.folders import shared_folder
 
 FAIL_LETTERS = ("F", "E", "U", "AB", "W", "X")
 
@@ -111,18 +113,31 @@ def normal_subject(rows: DataFrame) -> DataFrame:
     return rows.withColumn("grade_points", gp).withColumn("credits", F.coalesce("credits", F.lit(3))).withColumn("status", F.when(F.col("total") >= passing, "PASS").otherwise("FAIL"))
 
 
-def threads(messages: DataFrame, key: str, parent: str, rounds: int = 64) -> DataFrame:
+def threads(messages: DataFrame, key: str, parent: str) -> DataFrame:
     """Every message with its thread's root and its depth; an unknown parent makes a root.
 
-    A message points at its parent; pointers are doubled, so the rounds grow with the logarithm of the depth.
+    A message points at its parent; pointers are doubled until none moves, so the rounds grow with the logarithm of the
+    depth, which isn't bounded. Each round is written to the shared folder. Messages that answer each other in a circle
+    have no root: there the rounds end once a pointer has gone over more steps than there are messages.
     """
+    spark = messages.sparkSession
+    folder = f"{shared_folder(spark)}/threads-{uuid.uuid4().hex}"
     ids = messages.select(F.col(key).alias("id"), F.col(parent).alias("parent"))
     known = ids.select(F.col("id").alias("known"))
     at = ids.join(known, ids["parent"] == known["known"], "left").select("id", F.coalesce("known", "id").alias("up"), F.when(F.col("known").isNull(), 0).otherwise(1).alias("steps"))
-    for _ in range(max(1, rounds.bit_length() - 1)):
-        over = at.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
-        at = at.join(over, "up").select("id", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"))
-    return at.select(F.col("id").alias(key), F.col("up").alias("root"), F.col("steps").alias("depth"))
+    at = at.withColumns({"steps": F.col("steps").cast("long"), "moved": F.col("steps") > 0})
+    n, done, moving = None, 0, True
+    while moving and (n is None or 1 << (done - 1) <= n):
+        at.write.parquet(f"{folder}/{done}")
+        at = spark.read.schema(at.schema).parquet(f"{folder}/{done}")
+        n, moving = at.agg(F.count("*"), F.max("moved")).first()
+        done += 1
+        if moving:
+            held = at
+            over = at.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
+            at = at.join(over, "up").select("id", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("up") != F.col("next")).alias("moved"))
+    at = held if moving else at
+    return at.select(F.col("id").alias(key), F.col("up").alias("root"), F.col("steps").cast("int").alias("depth"))
 
 
 __all__ = ["FORMATS", "carried_down", "extract_results", "normal_subject", "sheet_rows", "threads", "unpivot_grades"]

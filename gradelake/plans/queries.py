@@ -452,7 +452,7 @@ def w06_carried_down(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x14_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Root and depth of every message, each answering the turn before."""
     at = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))
-    return extract.threads(table(spark, sf_dir, "conversations").select(at(F.col("turn")).alias("id"), at(F.col("turn") - 1).alias("parent")), "id", "parent", rounds=16)
+    return extract.threads(table(spark, sf_dir, "conversations").select(at(F.col("turn")).alias("id"), at(F.col("turn") - 1).alias("parent")), "id", "parent")
 
 
 @query("v02_subject_problems", """

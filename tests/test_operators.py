@@ -62,6 +62,18 @@ def test_subject_code_and_dates(spark):
     assert one(spark, text.mail_date(F.lit("soon"))) is None
 
 
+def test_threads_of_any_depth(spark, tmp_path):
+    from gradelake.plans import queries
+
+    rows = [(1, k) for k in range(100)] + [(2, k) for k in range(17)] + [(3, 0)]
+    spark.createDataFrame(rows, "conv_id long, turn long").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.id, r.root, r.depth) for r in queries.x14_threads(spark, str(tmp_path)).collect()}
+    assert got == {(f"{c}:{k}", f"{c}:0", k) for c, k in rows}
+    circle = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", None), ("d", "c")], "id string, parent string")
+    assert {("c", "c", 0), ("d", "c", 1)} < {(r.id, r.root, r.depth) for r in extract.threads(circle, "id", "parent").collect()}
+    assert extract.threads(circle.limit(0), "id", "parent").count() == 0
+
+
 def test_simhash_matches_its_definition(spark):
     import hashlib
 
