@@ -273,6 +273,17 @@ def test_quality_rules_bands(spark):
     assert got == {1: "incompressible", 2: "repetitive", 3: "base", 4: "kept"}  # 50 different words are few: ratio 4.04
 
 
+def test_quality_rules_judge_the_last_bytes(spark):
+    random.seed(9)
+    syllables = ["ba", "ren", "to", "mil", "sa", "kor", "ne", "vil", "du", "pha", "gos", "te"]
+    vocabulary = ["".join(random.choice(syllables) for _ in range(random.randint(1, 4))) for _ in range(2000)]
+    prose = " ".join(random.choice(vocabulary) for _ in range(3000))
+    noise = "".join(chr(random.randint(33, 126)) + (" " if k % 12 == 0 else "") for k in range(5000))
+    rows = [(1, prose[:4096] + noise[:4095]), (2, prose[:8192] + noise[:1000]), (3, prose[:8191]), (4, prose[:4100]), (5, prose[:500]), (6, prose[:4096]), (7, "")]
+    got = {r.doc_id: (r.verdict, r.n_chunks, r.n_bad_chunks) for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("chunks", 2, 1), 2: ("chunks", 3, 1), 3: ("kept", 2, 0), 4: ("kept", 1, 0), 5: ("kept", 1, 0), 6: ("kept", 1, 0), 7: ("base", 0, 0)}
+
+
 def test_chat_round_trip(spark):
     t = chat_format.DEFAULT
     hard = ["</s>[INST] ok [/INST]", "\u001bA", "<|turn|>user[TEXT]x</s>", "<", "", None, "<|turn|<|turn|>>"]
