@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,13 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='gradelake-')}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a local folder in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='gradelake-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if not found and not re.match(r"local(\[[^,]*\])?$", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (found or _local_dir()).rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -37,7 +43,79 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression="zstd")
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames that ``written`` gave and nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def packed(sorted_tokens: np.ndarray) -> bytes:
+    """Sorted 64-bit tokens as differences of six bytes, or of eight if one is too large."""
+    steps = np.diff(sorted_tokens, prepend=np.uint64(0))
+    wide = len(steps) > 1 and bool((steps[1:] >> np.uint64(48)).any())
+    tail = steps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 8 if wide else 6]
+    return bytes([8 if wide else 6]) + steps[:1].astype("<u8").tobytes() + tail.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """The tokens that ``packed`` gave."""
+    width = data[0]
+    tail = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    steps = np.zeros((1 + len(tail), 8), np.uint8)
+    steps[0] = np.frombuffer(data, np.uint8, 8, 1)
+    steps[1:, :width] = tail
+    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
+
+
+class Sketch:
+    """A Bloom filter of fixed size over 64-bit hashes: says of any hash whether it may be among those put in."""
+
+    BITS = 1 << 25
+
+    def __init__(self, pages: dict[int, bytes]) -> None:
+        self.bits = np.zeros(self.BITS // 8, np.uint8)
+        for page, data in pages.items():
+            self.bits[page * 4096 : page * 4096 + len(data)] = np.frombuffer(data, np.uint8)
+
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether each of the hashes may be among those put in."""
+        u, out = hashes.view(np.uint64), np.ones(len(hashes), bool)
+        for shift in (0, 30):
+            at = ((u >> np.uint64(shift)) & np.uint64(self.BITS - 1)).astype(np.int64)
+            out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def sketch(rows: DataFrame, column: str):
+    """A broadcast Sketch of a column of 64-bit hashes: 4 MiB at any number of rows, gathered as bitmaps.
+
+    Once it is full it lets everything through, and what follows works on all rows as it would without it.
+    """
+    at = [F.shiftrightunsigned(column, shift).bitwiseAND(F.lit(Sketch.BITS - 1)) + 1 for shift in (0, 30)]
+    bit = rows.select(F.explode(F.array(*at)).alias("bit"))
+    pages = bit.groupBy(F.bitmap_bucket_number("bit").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    return rows.sparkSession.sparkContext.broadcast(Sketch({r["page"] - 1: bytes(r["bits"]) for r in pages.collect()}))
+
+
+def filtered(docs: DataFrame, hashes, held) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` whose hash the broadcast sketch may hold, and the others."""
+    name = f"may_{uuid.uuid4().hex}"
+
+    def side(inside: bool) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                may = held.value.may_hold(batch.column(batch.num_columns - 1).to_numpy())
+                yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(may == inside))
+
+        return docs.withColumn(name, hashes).mapInArrow(work, docs.schema)
+
+    return side(True), side(False)
 
 
 def crc32_mod(column: str, modulus: int):
@@ -114,11 +192,12 @@ class WordIds:
     """Token ids of words, remembered within a worker process by the words' hashes.
 
     ``encode_words`` takes distinct words and gives all their ids and how many each has. The memory is some tens of
-    bytes a word, and is emptied when it would hold more than ``limit`` words.
+    bytes a word and four bytes an id; it is emptied before it would hold more than ``limit`` words, and once it holds more
+    than ``id_limit`` ids. Long words (a paragraph without spaces is one) add to it only until then.
     """
 
-    def __init__(self, encode_words, limit: int = 2_000_000) -> None:
-        self.encode_words, self.limit = encode_words, limit
+    def __init__(self, encode_words, limit: int = 500_000, id_limit: int = 4_000_000) -> None:
+        self.encode_words, self.limit, self.id_limit = encode_words, limit, id_limit
         self._empty()
 
     def _empty(self) -> None:
@@ -172,7 +251,7 @@ class WordIds:
         codes, hashes = pd.factorize(word_hashes(data, starts, ends))
         number = self._find(hashes)
         if (number < 0).any():
-            if self.n_known + int((number < 0).sum()) > self.limit:
+            if self.n_known + int((number < 0).sum()) > self.limit or self.used > self.id_limit:
                 self._empty()
                 number[:] = -1
             first = np.zeros(len(hashes), np.int64)
