@@ -10,8 +10,7 @@ are sorted:
    fingerprints of its first and second half (64 bits each).
 
 Both kinds are treated alike: sampled splitters range-partition the suffixes by leading token, each bucket sorts its
-suffixes token by token (``multikey_order``: numpy's sort by the first, then by the second among ties), and equal
-neighbours are repeats. The order is that of the windows' fingerprints, not the alphabet's. A splitter never parts equal leading tokens, so the
+suffixes by multikey quicksort (``multikey_order``), and equal neighbours are repeats. The order is that of the windows' fingerprints, not the alphabet's. A splitter never parts equal leading tokens, so the
 comparison across a boundary is decided by its first token. Documents are dealt into blocks by a hash of their text;
 a block sends each of its distinct suffixes once, so a passage that a third of all documents hold is sent at most once
 a block, and gets back a bit for each. Equal texts of one task are recognised before anything is shuffled.
@@ -37,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import raw_texts, slices, word_hashes, written
+from gradelake.llm.common import packed, raw_texts, slices, unpacked, word_hashes, written
 
 SPAN = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 _SPAN_SQL = "array<struct<begin:bigint,end:bigint>>"
@@ -46,6 +45,10 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _GRAM = 16
 #: An anchor of words is chosen by the hash of so many.
 _WORD_GRAM = 4
+#: Suffixes that are sorted without parting them first.
+_SMALL = 1 << 16
+#: Splitters are sampled at so many quantiles at most; between them they are set evenly.
+_SAMPLED = 1 << 10
 
 
 @lru_cache(maxsize=2)
@@ -145,7 +148,31 @@ def pieces(docs: list, length: int) -> Iterator[Piece]:
 
 
 def multikey_order(tokens: list[np.ndarray]) -> np.ndarray:
-    """Order of suffixes by their tokens: sort by one token, then each run of ties by the next."""
+    """Order of suffixes by their tokens, by multikey quicksort.
+
+    A run of suffixes is parted around a sampled median of one token into smaller, equal and larger ones; the equal
+    ones go on with the next token. Runs of up to ``_SMALL`` suffixes are sorted outright.
+    """
+    order = np.arange(len(tokens[0]))
+    runs = [(0, len(order), 0)]
+    while runs:
+        a, b, depth = runs.pop()
+        own = order[a:b]
+        if b - a < 2 or depth == len(tokens):
+            continue
+        if b - a <= _SMALL:
+            order[a:b] = own[_small_order([t[own] for t in tokens[depth:]])]
+            continue
+        key = tokens[depth][own]
+        pivot = np.partition(key[:: (b - a) // 255], 128)[128]
+        less, same, more = own[key < pivot], own[key == pivot], own[key > pivot]
+        order[a:b] = np.concatenate([less, same, more])
+        runs += [(a, a + len(less), depth), (a + len(less), b - len(more), depth + 1), (b - len(more), b, depth)]
+    return order
+
+
+def _small_order(tokens: list[np.ndarray]) -> np.ndarray:
+    """Order by one token, then each run of ties by the next."""
     order = np.argsort(tokens[0], kind="stable")
     for depth in range(1, len(tokens)):
         same = np.ones(len(order), bool)
@@ -176,23 +203,6 @@ def repeats(tokens: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _packed(sorted_tokens: np.ndarray) -> bytes:
-    """Sorted 64-bit tokens as differences of six bytes, or of eight if one is too large."""
-    steps = np.diff(sorted_tokens, prepend=np.uint64(0))
-    wide = len(steps) > 1 and bool((steps[1:] >> np.uint64(48)).any())
-    tail = steps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 8 if wide else 6]
-    return bytes([8 if wide else 6]) + steps[:1].astype("<u8").tobytes() + tail.tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    width = data[0]
-    tail = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
-    steps = np.zeros((1 + len(tail), 8), np.uint8)
-    steps[0] = np.frombuffer(data, np.uint8, 8, 1)
-    steps[1:, :width] = tail
-    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
-
-
 class Suffixes:
     """A block's distinct suffixes in order, and where each of its own suffixes is among them."""
 
@@ -218,7 +228,7 @@ class Suffixes:
         """One row for each range of the splitters that has suffixes."""
         cuts = self.cuts(splitters)
         there = np.flatnonzero(np.diff(cuts))
-        first = [_packed(self.tokens[0][cuts[r] : cuts[r + 1]]) for r in there]
+        first = [packed(self.tokens[0][cuts[r] : cuts[r + 1]]) for r in there]
         second = [self.tokens[1][cuts[r] : cuts[r + 1]].astype("<u8").tobytes() if len(self.tokens) > 1 else b"" for r in there]
         return pa.table({"range": pa.array(there, pa.int32()), "block": pa.array([block] * len(there), pa.int32()), "first": pa.array(first, pa.binary()), "second": pa.array(second, pa.binary())})
 
@@ -236,7 +246,7 @@ def _judge(suffixes: DataFrame) -> DataFrame:
     """Sort each range's suffixes and give back, for each block, a bit per suffix: repeated in another block or not."""
 
     def sort(table):
-        firsts = [_unpacked(x) for x in table.column("first").to_pylist()]
+        firsts = [unpacked(x) for x in table.column("first").to_pylist()]
         sizes = np.array([len(x) for x in firsts], np.int64)
         tokens = [np.concatenate(firsts)]
         second = b"".join(table.column("second").to_pylist())
@@ -334,7 +344,7 @@ def _kept(text: bytes, spans: list[dict[str, int]]) -> bytes:
 def _splitters(docs: DataFrame, length: int, ranges: int, in_words: bool) -> np.ndarray:
     """Boundaries that deal leading tokens evenly, from the anchors of a hash-chosen fiftieth of the texts.
 
-    Only the evenness of the ranges depends on them.
+    Only the evenness of the ranges depends on them. At most ``_SAMPLED`` of them are sampled, whatever the input.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,10 +354,12 @@ def _splitters(docs: DataFrame, length: int, ranges: int, in_words: bool) -> np.
             yield pa.RecordBatch.from_arrays([pa.array((tokens >> np.uint64(11)).astype(np.float64))], names=["token"])
 
     some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(50)) == 0).select("text").mapInArrow(work, "token double")
-    found = some.approxQuantile("token", [k / ranges for k in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
-    if len(found) < ranges - 1:
-        found = [k / ranges * (1 << 53) for k in range(1, ranges)]
-    return np.sort(np.array(found, np.float64).astype(np.uint64) << np.uint64(11))
+    n = min(ranges, _SAMPLED)
+    found = some.approxQuantile("token", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else []
+    if len(found) < n - 1:
+        found = [k / n * (1 << 53) for k in range(1, n)]
+    found = np.interp(np.arange(1, ranges) / ranges, np.arange(n + 1) / n, [0.0, *sorted(found), float(1 << 53)])
+    return found.astype(np.uint64) << np.uint64(11)
 
 
 def _repeat_bits(docs: DataFrame, blocks: DataFrame, length: int, ranges: int, in_words: bool) -> tuple[DataFrame, np.ndarray]:
