@@ -6,7 +6,7 @@ language has several centroids, found by spherical k-means over a bounded sample
 cover every learnable text. A text gets the language of the centroid with the largest cosine; it is rejected if its
 distance exceeds what the language's own texts of that length show.
 
-Defined results: a null text or one without a letter is ``und`` with score 0 and rejected; with nothing to learn
+Defined results: a null text or one without a letter (Unicode category L) is ``und`` with score 0 and rejected; with nothing to learn
 from every text is; ties between centroids go to the first language in sorted order; a null doc_id stays null;
 repeated rows each get their row; an empty table gives no rows; other columns are ignored.
 """
@@ -20,13 +20,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradelake.llm.common import sampled, slices, texts
 
 _OTHER = re.compile(r"[\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 #: Texts whose vectors are built at once.
 _ROWS = 256

@@ -17,7 +17,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.filter(crc32_mod("doc_id", 5) != 0))
     held_out = F.coalesce(crc32_mod("doc_id", 5) == 0, F.lit(False))
     found = language_id.identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held_out.alias("held_out"), F.col("nearest").alias("lang_pred"), "score", (F.col("lang") != F.col("nearest")).alias("rejected"))
+    return found.select("doc_id", held_out.alias("held_out"), F.col("nearest").alias("lang_pred"), "score", (F.col("lang") == language_id.UNKNOWN).alias("rejected"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +98,10 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(root) AS component_id F
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word statistics and the compression-band verdict of every document."""
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text"))
+    """Word statistics and the compression-band verdict of every document, bands learned outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality").filter(crc32_mod("doc_id", 5) != 0)
+    return quality_rules.quality_rules(docs, quality_rules.calibrated(docs, labels.withColumnRenamed("quality", "label")))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
