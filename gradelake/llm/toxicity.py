@@ -4,10 +4,12 @@ Categories are predicted one after another: the model of a category sees the tex
 of all earlier categories. While training, these probabilities come from models that have not seen the row
 (out-of-fold predictions); while scoring, from the models trained on all rows.
 
-The labels table has one flag, so the chain's categories are derived from it and from a short list of open insults:
-``insult`` (toxic, with a listed word), ``veiled`` (toxic, without one), then ``toxic`` itself, which decides.
-Features are words and four- and five-letter word beginnings that some labelled texts share; each counts by the
-logarithm of its occurrences. Training runs in one task over a bounded sample of labelled texts; scoring is a map.
+The labels table has one flag, so the chain's categories are derived from the texts it marks: two-means over their
+features splits them into ``kind_a`` (the larger part) and ``kind_b``; ``toxic`` itself comes last and decides.
+Features are words and four- and five-letter word beginnings that some toxic texts share; each counts by the
+logarithm of its occurrences. They are chosen anew for each fold, from the rows outside it only, so an out-of-fold
+probability owes nothing to its row's label. Training runs in one task over a bounded sample of labelled texts;
+scoring is a map.
 
 Defined results: a null text is empty; empty texts get the models' bias and are kept unless that alone rejects them;
 with labels of one kind only, or none, nothing is toxic; a null doc_id stays null; repeated rows each get their
@@ -30,22 +32,25 @@ from pyspark.sql import functions as F
 from gradelake.llm.common import labelled_sample, slices, texts
 
 _WORD = re.compile(r"[^\W\d_]+")
-CATEGORIES = ("insult", "veiled", "toxic")
+CATEGORIES = ("kind_a", "kind_b", "toxic")
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the labelled texts of each label; features need ``least`` toxic texts and are at most ``features``."""
+    """``sample`` bounds the labelled texts of each label; features need ``least`` toxic texts and are at most ``features``.
+
+    ``memory`` bounds the words whose features a worker remembers.
+    """
 
     sample: int = 3000
     least: int = 4
-    features: int = 1200
+    features: int = 1000
     folds: int = 4
-    rounds: int = 200
+    rounds: int = 150
     rate: float = 0.1
     ridge: float = 1e-4
     threshold: float = 0.5
-    insults: tuple[str, ...] = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
+    memory: int = 100_000
 
 
 def features_of(word: str) -> tuple[str, ...]:
@@ -62,19 +67,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rows: np.ndarray, s: Settings) -> np.ndarray:
-    """Weights of logistic models, the bias last: column k is learned from the rows that ``rows[:, k]`` marks.
-
-    All models take their accelerated gradient steps together; each step is two matrix products.
-    """
+def logistic(x: np.ndarray, y: np.ndarray, s: Settings) -> np.ndarray:
+    """Weights of a logistic model, the bias last, by accelerated gradient steps."""
     x1 = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
-    share = (rows / np.maximum(rows.sum(axis=0), 1)).astype(np.float32)
-    w = np.zeros((x1.shape[1], rows.shape[1]), np.float32)
-    pull = np.full((x1.shape[1], 1), s.ridge, np.float32)
+    w = np.zeros(x1.shape[1], np.float32)
+    pull = np.full(x1.shape[1], s.ridge, np.float32)
     pull[-1] = 0
     step, moving = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, s.rounds + 1):
-        g = x1.T @ ((_sigmoid(x1 @ w) - y[:, None]) * share).astype(np.float32) + pull * w
+        g = ((_sigmoid(x1 @ w) - y) / max(1, len(y))).astype(np.float32) @ x1 + pull * w
         step, moving = 0.9 * step + 0.1 * g, 0.99 * moving + 0.01 * g * g
         w = w - s.rate * min(1.0, 2 * (1 - t / (s.rounds + 1))) * (step / (1 - 0.9**t)) / (np.sqrt(moving / (1 - 0.99**t)) + 1e-6)
     return w
@@ -93,7 +94,7 @@ class Chain:
         """Log-scaled feature counts, one row for each text."""
         out = np.zeros((len(docs), len(self.features)), np.float32)
         memory, known = self._memory, self.features
-        if len(memory) > 500_000:
+        if len(memory) > self.settings.memory:
             memory.clear()
         for k, text in enumerate(docs):
             hits: list[int] = []
@@ -117,28 +118,61 @@ class Chain:
         return before
 
 
-def learn_chain(docs: list[str], toxic: np.ndarray, s: Settings) -> Chain:
-    """Choose features and train the chain."""
+def chosen_features(owns: list[tuple[str, ...]], toxic: np.ndarray, rows: np.ndarray, s: Settings) -> list[str]:
+    """The features that say most about ``toxic`` among the texts that ``rows`` marks; ``owns`` has each text's features."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
-    listed = set(s.insults)
-    open_insult = np.zeros(len(docs), bool)
-    for k, text in enumerate(docs):
-        own = set(words_of(text))
-        open_insult[k] = bool(own & listed)
-        seen[int(toxic[k])].update({f for w in own for f in features_of(w)})
-    n = [max(1, int((toxic == v).sum())) for v in (0, 1)]
+    for k in np.flatnonzero(rows).tolist():
+        seen[int(toxic[k])].update(owns[k])
+    n = [max(1, int((rows & (toxic == v)).sum())) for v in (False, True)]
     lift = {f: np.log((c + 0.5) / n[1]) - np.log((seen[0][f] + 0.5) / n[0]) for f, c in seen[1].items() if c >= s.least}
-    best = sorted((f for f, v in lift.items() if v > 1), key=lambda f: (-lift[f] * np.sqrt(seen[1][f]), f))[: s.features]
-    chain = Chain({f: k for k, f in enumerate(best)}, [], s)
-    x = np.concatenate([chain.matrix(docs[k : k + 512]) for k in range(0, len(docs), 512)])
-    labels = {"insult": toxic & open_insult, "veiled": toxic & ~open_insult, "toxic": toxic}
-    fold = np.arange(len(docs)) % s.folds
-    rows = np.stack([np.ones(len(docs), bool), *(fold != k for k in range(s.folds))], axis=1)
-    for name in CATEGORIES:
-        w = logistic(x, labels[name].astype(np.float32), rows, s)
-        chain.weights.append(w[:, 0].astype(np.float64))
-        unseen = _sigmoid(x @ w[:-1] + w[-1])[np.arange(len(docs)), 1 + fold]  # each row by the model without its fold
-        x = np.concatenate([x, unseen[:, None].astype(np.float32)], axis=1)
+    return sorted((f for f, v in lift.items() if v > 1), key=lambda f: (-lift[f] * np.sqrt(seen[1][f]), f))[: s.features]
+
+
+def two_kinds(x: np.ndarray) -> np.ndarray:
+    """Which rows are of the second kind: two-means of unit vectors from the two rows that lie farthest apart."""
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    if len(unit) < 2:
+        return np.zeros(len(unit), bool)
+    one = int(np.argmin(unit @ unit.mean(axis=0)))
+    centres = np.stack([unit[one], unit[int(np.argmin(unit @ unit[one]))]])
+    for _ in range(10):
+        second = (unit @ centres.T).argmax(axis=1) == 1
+        for k, own in enumerate((~second, second)):
+            if own.any():
+                centres[k] = unit[own].mean(axis=0)
+    return second if second.sum() <= len(second) / 2 else ~second
+
+
+def learn_chain(docs: list[str], toxic: np.ndarray, s: Settings) -> Chain:
+    """Choose features and train the chain; the probabilities that later models see come from models without the row's fold."""
+    owns = [tuple({f for w in set(words_of(text)) for f in features_of(w)}) for text in docs]
+    every, fold = np.ones(len(docs), bool), np.arange(len(docs)) % s.folds
+    chain = Chain({f: k for k, f in enumerate(chosen_features(owns, toxic, every, s))}, [], s)
+
+    def matrix(features: dict[str, int]) -> np.ndarray:
+        part = Chain(features, [], s)
+        return np.concatenate([part.matrix(docs[k : k + 512]) for k in range(0, len(docs), 512)])
+
+    x = matrix(chain.features)
+    labels = {name: np.zeros(len(docs), bool) for name in CATEGORIES}
+    labels["toxic"] = toxic
+    second = two_kinds(x[toxic])
+    labels["kind_a"][np.flatnonzero(toxic)[~second]] = True
+    labels["kind_b"][np.flatnonzero(toxic)[second]] = True
+    unseen = np.zeros((len(docs), len(CATEGORIES)), np.float32)
+    for k in range(s.folds):
+        learnt = fold != k
+        own = matrix({f: i for i, f in enumerate(chosen_features(owns, toxic, learnt, s))})
+        before = np.zeros((len(docs), 0), np.float32)
+        for c, name in enumerate(CATEGORIES[:-1]):  # inside a fold's rows, earlier probabilities are those of its own models
+            both = np.concatenate([own, before], axis=1)
+            w = logistic(both[learnt], labels[name][learnt].astype(np.float32), s)
+            p = _sigmoid(both @ w[:-1] + w[-1]).astype(np.float32)
+            unseen[~learnt, c] = p[~learnt]
+            before = np.concatenate([before, p[:, None]], axis=1)
+    for c, name in enumerate(CATEGORIES):
+        w = logistic(np.concatenate([x, unseen[:, :c]], axis=1), labels[name].astype(np.float32), s)
+        chain.weights.append(w.astype(np.float64))
     return chain
 
 
@@ -154,7 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         names = [list(chain.features)] + [[]] * (len(chain.weights) - 1)
         return pd.DataFrame({"k": range(len(chain.weights)), "features": names, "weights": chain.weights})
 
-    out = some.groupBy(F.lit(1).alias("one")).applyInPandas(learn, "k int, features array<string>, weights array<double>").orderBy("k").collect()
+    found = some.groupBy(F.lit(1).alias("one")).applyInPandas(learn, "k int, features array<string>, weights array<double>").collect()
+    out = sorted(found, key=lambda r: r["k"])
     return Chain({f: k for k, f in enumerate(out[0]["features"])}, [np.array(r["weights"]) for r in out], settings)
 
 
