@@ -7,7 +7,8 @@ are candidates. A candidate's window start follows from the shingle's place in t
 must leave room for the whole window within the text (length bound); then the words are compared one by one.
 
 The side that is held by every task is the index of benchmark items. Its size is checked: items are dealt into
-blocks of about ``block_bytes`` of text, and each block is matched in a pass of its own; documents are never
+blocks of about ``block_bytes`` of text (an index takes some ten bytes for each, 40 MB at the
+default, and its words up to thrice that in a worker), and each block is matched in a pass of its own; documents are never
 shuffled for a single block, and only the hits are for several.
 
 Defined results: a null text or item has no words; items without words have no windows; equal items are matched
@@ -17,6 +18,7 @@ their row; empty tables give no rows, and an empty benchmark no hits; other colu
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,29 +64,42 @@ class Index:
         sizes = np.array([len(x) for x in lists], np.int64)
         starts = np.cumsum(sizes) - sizes
         n_windows = np.maximum(sizes - window + 1, 1) if len(sizes) else sizes
-        self.item = np.repeat(np.arange(len(lists)), n_windows)
+        self.item = np.repeat(np.arange(len(lists), dtype=np.int32), n_windows)
         self.at = np.repeat(starts - (np.cumsum(n_windows) - n_windows), n_windows) + np.arange(n_windows.sum())
-        self.length = np.repeat(np.minimum(sizes, window), n_windows)
+        self.length = np.repeat(np.minimum(sizes, window), n_windows).astype(np.int32)
         self.width = np.minimum(self.length, shingle)
-        # Every (window, shingle) with the shingle's offset.
-        n = self.length - self.width + 1
-        self.of_window = np.repeat(np.arange(len(n)), n)
-        self.offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        self.key = np.zeros(len(self.of_window), np.uint64)
-        for w in np.unique(self.width):
-            own = self.width[self.of_window] == w
-            self.key[own] = _keys(self.flat, self.at[self.of_window[own]] + self.offset[own], int(w))
-        self.keys, self.key_no = np.unique(self.key, return_inverse=True)
         self.widths = [int(w) for w in np.unique(self.width)]
+        # A shingle that several windows share is kept once: its key depends on its place among all words alone.
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        keys = [np.zeros(0, np.uint64)]
+        for w in self.widths:
+            inside = np.flatnonzero((owner[w - 1 :] == owner[: len(owner) - w + 1]) & (np.minimum(sizes, shingle)[owner[w - 1 :]] == w))
+            keys.append(_keys(self.flat, inside, w))
+        self.keys = np.unique(np.concatenate(keys))
+
+    def seeker(self) -> Index:
+        """What counting shingles in documents needs: words and keys without the windows."""
+        out = copy.copy(self)
+        out.flat = out.item = out.at = out.length = out.width = None
+        return out
 
     def choose(self, counts: np.ndarray) -> None:
         """Keep of each window only its prefix: the rarest shingle by ``counts`` (ties: the smaller key)."""
-        order = np.lexsort((self.key, counts[self.key_no], self.of_window))
-        first = order[np.r_[True, np.diff(self.of_window[order]) > 0]] if len(order) else order
-        first = first[np.argsort(self.key[first], kind="stable")]
-        self.key, self.of_window, self.offset = self.key[first], self.of_window[first], self.offset[first]
-        self.keys, self.key_first, self.key_n = np.unique(self.key, return_index=True, return_counts=True)
-        del self.key_no
+        least = np.full(len(self.at), np.iinfo(np.int64).max)
+        best, offset = np.zeros(len(self.at), np.uint64), np.zeros(len(self.at), np.int32)
+        for w in self.widths:
+            own = np.flatnonzero(self.width == w)
+            key = _keys(self.flat, np.arange(len(self.flat) - w + 1), w)
+            n = counts[np.minimum(np.searchsorted(self.keys, key), len(counts) - 1)]
+            for k in range(int(self.length[own].max()) - w + 1):
+                fits = own[self.length[own] - w >= k]
+                there = self.at[fits] + k
+                rarer = (n[there] < least[fits]) | ((n[there] == least[fits]) & (key[there] < best[fits]))
+                fits, there = fits[rarer], there[rarer]
+                least[fits], best[fits], offset[fits] = n[there], key[there], k
+        self.of_window = np.argsort(best, kind="stable")
+        self.offset = offset[self.of_window]
+        self.keys, self.key_first, self.key_n = np.unique(best[self.of_window], return_index=True, return_counts=True)
 
     def documents(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The texts' words as numbers (-1: not in the benchmark), and how many each text has."""
@@ -144,7 +159,7 @@ def _runs(begin: np.ndarray, length: np.ndarray) -> list[dict[str, int]]:
 
 def _count(docs: DataFrame, index: Index) -> np.ndarray:
     """How often each shingle of ``index`` occurs in all documents."""
-    held = docs.sparkSession.sparkContext.broadcast(index)
+    held = docs.sparkSession.sparkContext.broadcast(index.seeker())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
@@ -199,12 +214,12 @@ def _merged(spans):
     return F.aggregate(F.array_sort(spans), F.array().cast(kind), add)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_bytes: int = 4 << 20) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, spans (hit words, begin inclusive, end exclusive), items."""
     return _found(docs, benchmark, window, shingle, block_bytes).drop("text_key")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_bytes: int = 4 << 20) -> DataFrame:
     """The rows of ``docs``, all columns, without a word inside a benchmark window."""
     hit = _found(docs, benchmark, window, shingle, block_bytes).filter("n_hit > 0").select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).distinct()
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]) & (F.xxhash64(docs["text"]) == hit["hit_key"]), "left_anti")

@@ -17,6 +17,7 @@ are ordered by their ids; an empty table gives no rows; other columns are ignore
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -51,16 +52,32 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The splitting for which a text's words can be encoded apart. Any other tokenizer gets whole texts.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _splits_at_words(definition: dict) -> bool:
+    """Whether a tokenizer's definition drops white space, ignores case and parts letters from marks."""
+    steps = (definition.get("normalizer") or {}).get("normalizers") or []
+    split = ((definition.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    blanks = [(x["pattern"], x["content"]) for x in steps if x["type"] == "Replace"] == [({"Regex": r"\s+"}, " ")]
+    ours = split.get("pattern") == {"Regex": _SPLIT} and split.get("behavior") == "Removed" and split.get("invert") is True
+    return blanks and ours and [x["type"] for x in steps] == _NORMALIZERS and definition.get("post_processor") is None
+
+
 class WordEncoder:
     """Encodes words with the tokenizers library; white space separates words and is dropped by the tokenizer.
 
-    The tokenizer's added tokens are taken out of a text first, as they are written, like the library does it.
+    The tokenizer's added tokens are taken out of a text first, as they are written, like the library does it. A
+    tokenizer that splits texts in another way gets them whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = _splits_at_words(json.loads(self.tokenizer.to_str()))
         self.size = self.tokenizer.get_vocab_size()
         self.words = WordIds(self.encode_words)
         added = sorted((t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
@@ -73,6 +90,8 @@ class WordEncoder:
 
     def encode(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (UTF-8), one after another, and how many each text has."""
+        if not self.by_words:
+            return self.encode_words([t.decode() for t in docs])
         sizes = np.array([len(t) + 1 for t in docs], np.int64)
         joined = b"".join(t + b" " for t in docs)
         data = np.frombuffer(joined + bytes(8), np.uint8).copy()
