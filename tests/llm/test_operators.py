@@ -215,8 +215,8 @@ def test_jaccard_components_equal_sql(spark):
     documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841
     want = sorted(duckdb.sql(queries._OP6_SQL).fetchall())
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    for direct, rounds in ((64, 5), (3, 2)):
-        got = jaccard_join.jaccard_components(df, jaccard_join.Settings(width=4, percent=85, direct=direct, rounds=rounds))
+    for direct, rounds, pivots, chunk in ((64, 5, 2048, 1_000_000), (3, 2, 4, 300), (3, 5, 0, 1_000_000)):
+        got = jaccard_join.jaccard_components(df, jaccard_join.Settings(width=4, percent=85, direct=direct, rounds=rounds, pivots=pivots, chunk=chunk))
         assert sorted(map(tuple, got.collect())) == want
 
 
@@ -381,3 +381,153 @@ def test_folds_are_crc32(spark):
 
 def test_spread():
     assert spread(np.arange(10), np.array([2, 0, 3]), np.array([2, 0, 1, 2])).tolist() == [2, 3, 4, 0, 1, 2, 3, 4]
+
+
+def test_multikey_quicksort_parts_large_runs(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_SMALL", 300)
+    r = np.random.default_rng(5)
+    a, b = r.integers(0, 7, 5000, dtype=np.uint64), r.integers(0, 900, 5000, dtype=np.uint64)
+    order = suffix_dedup.multikey_order([a, b])
+    assert sorted(order.tolist()) == list(range(5000))
+    assert [(a[k], b[k]) for k in order] == sorted(zip(a, b, strict=True))
+
+
+def small_documents(spark, small):
+    return spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+
+
+def test_suffix_query_equals_brute_force(spark, small):
+    rows = small_documents(spark, small)
+    raw = [(r.text or "").encode() for r in rows]
+    want = []
+    for r, t, c in zip(rows, raw, brute_repeats(raw, 400), strict=True):
+        want.append((r.doc_id, len(t), int(c.sum()), int((np.diff(np.r_[0, c.astype(int)]) == 1).sum()), sha(np.frombuffer(t, np.uint8)[~c].tobytes())))
+    assert sorted(map(tuple, queries.op2_suffix_dedup(spark, small).collect())) == sorted(want)
+
+
+def test_piece_query_equals_the_library(spark, small):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.default_model())
+    want = []
+    for r in small_documents(spark, small):
+        ids = sp.encode(r.text or "")
+        want.append((r.doc_id, len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids))))
+    assert sorted(map(tuple, queries.op4_sentence_pieces(spark, small).collect())) == sorted(want)
+
+
+def test_token_query_equals_the_library(spark, small):
+    from tokenizers import Tokenizer
+
+    tk, start, want = Tokenizer.from_file(token_files.default_vocabulary()), 0, []
+    for r in small_documents(spark, small):
+        ids = [*tk.encode(r.text or "", add_special_tokens=False).ids, 1]
+        want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, queries.op5_token_files(spark, small).collect())) == want
+
+
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = token_files.WordEncoder(path)
+    docs = ["Two  words\n\nhere", "", "Été <|endoftext|> x"]
+    ids, counts = encoder.encode([t.encode() for t in docs])
+    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in docs]
+    assert not encoder.by_words and token_files.encoder_at(token_files.default_vocabulary()).by_words
+    assert ids.tolist() == [x for w in want for x in w] and counts.tolist() == [len(w) for w in want]
+
+
+def test_word_memory_is_bounded():
+    from gradelake.llm.common import WordIds
+
+    words = WordIds(lambda ws: (np.array([len(w) for w in ws for _ in w], np.int32), np.array([len(w) for w in ws], np.int64)), limit=5, id_limit=40)
+    for text in ("a bb ccc", "a bb ccc dddd eeeee", "q" * 50, "a bb", "zz yy xx ww vv"):
+        raw = text.encode()
+        data = np.frombuffer(raw + bytes(8), np.uint8)
+        starts = np.array([k for k in range(len(raw)) if text[k] != " " and (k == 0 or text[k - 1] == " ")])
+        ends = np.array([s + len(w) for s, w in zip(starts, text.split(), strict=True)])
+        ids, n = words.ids(data, starts, ends, np.array([len(starts)]))
+        assert ids.tolist() == [len(w) for w in text.split() for _ in w] and n.tolist() == [len(ids)]
+        assert words.n_known <= 5 and words.used <= 40 + len(raw)
+
+
+def test_quality_query_equals_brute_force(spark, small):
+    docs = {r.doc_id: (r.text or "").encode() for r in small_documents(spark, small)}
+    labels = spark.read.parquet(f"{small}/labels.parquet").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    limits = quality_rules.calibrated(spark.read.parquet(f"{small}/documents.parquet"), labels.withColumnRenamed("quality", "label"))
+    assert limits != quality_rules.Limits()
+    ratio = quality_rules.compression(limits)
+
+    def band(n):
+        return next((b.lowest, b.highest) for b in limits.bands if n < b.below)
+
+    for r in queries.op7_quality_rules(spark, small).collect():
+        t = docs[r.doc_id]
+        lowest, highest = band(len(t))
+        said = "base" if r.base_failed else "incompressible" if ratio(t) < lowest else "repetitive" if ratio(t) > highest else "kept"
+        if said == "kept":
+            bad, ends = 0, quality_rules.chunk_ends(len(t), limits)
+            for a, b in zip([0, *ends], ends):
+                lowest, highest = band(b - a) if b - a < 4096 else (limits.chunk_lowest, limits.chunk_highest)
+                bad += not lowest <= ratio(t[a:b]) <= highest
+            said = "chunks" if bad > 0.25 * max(1, len(ends)) else "kept"
+        assert (r.verdict, r.kept) == (said, said == "kept")
+
+
+def test_calibrated_bands_reject_planted_junk(spark, small):
+    folder = f"{small[: -len('sf0.001')]}sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet").selectExpr("doc_id", "quality AS label")
+    known = docs.select("doc_id", "text").join(labels, "doc_id").withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    limits = quality_rules.calibrated(docs, known.filter("not held_out").select("doc_id", "label"))
+    got = quality_rules.quality_rules(known.filter("held_out"), limits).join(labels, "doc_id").filter("not base_failed").toPandas()
+    assert got[got.label == 1].kept.mean() > 0.99
+    assert got[got.label == 0].kept.mean() < 0.55
+    random.seed(11)
+    prose = [r.text for r in docs.join(labels.filter("label = 1"), "doc_id").filter("length(text) between 6000 and 9000").limit(5).collect()]
+    noise = ["".join(random.choice("abcdefghijklmnopqrstuvwxyz      ") for _ in range(n)) for n in (300, 1500, 6000)]
+    again = [" ".join(w for k in range(30) for w in [*p.split()[:4], str(k * 7919)]) for p in prose]
+    rows = spark.createDataFrame(list(enumerate(prose + noise + again)), "doc_id long, text string")
+    said = [r.verdict for r in quality_rules.quality_rules(rows, limits).orderBy("doc_id").collect()]
+    assert said[: len(prose)] == ["kept"] * len(prose)
+    assert said[len(prose) : len(prose) + 3] == ["incompressible"] * 3
+    assert set(said[len(prose) + 3 :]) == {"repetitive"}
+    assert quality_rules.calibrated(docs, labels.limit(0)) == quality_rules.Limits()
+
+
+def test_empty_tables(spark):
+    empty = frame(spark, AWKWARD).limit(0)
+    assert sentence_pieces.encode_and_decode(empty).count() == 0
+    assert quality_rules.quality_rules(empty).count() == 0
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, label int")
+    assert toxicity.classify(empty, toxicity.fit(frame(spark, AWKWARD), labels.limit(0))).count() == 0
+    assert quality_model.score(empty, quality_model.fit(empty, labels)).count() == 0
+    model = language_id.fit(frame(spark, ["the cat walks", "a dog runs far"]).withColumn("lang", F.lit("en")))
+    assert language_id.identify(empty, model).count() == 0
+
+
+def test_trained_chain_on_awkward_rows(spark):
+    random.seed(12)
+    calm, rude = "river stone walked under bright morning".split(), "idiot moron pathetic loser".split()
+    texts = [" ".join(random.choice(calm) for _ in range(12)) + (" " + " ".join(random.choice(rude[:2] if k % 4 else rude[2:]) for _ in range(3)) if k % 2 else "") for k in range(80)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, label int")
+    chain = toxicity.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), labels)
+    got = toxicity.classify(frame(spark, [*AWKWARD, "you idiot", "the river walked " * 3000], "clashes"), chain).collect()
+    verdict = {r.doc_id: r.rejected for r in got}
+    assert len(got) == len(AWKWARD) + 2 and verdict[len(AWKWARD)] and not any(v for k, v in verdict.items() if k != len(AWKWARD))
+    assert sum(toxicity.two_kinds(np.array([[1, 0], [1, 0], [0, 1], [1, 0.1]], np.float32))) == 1
+
+
+def test_language_needs_a_letter_of_category_l(spark):
+    model = language_id.fit(frame(spark, ["the cat walks", "a dog runs far"]).withColumn("lang", F.lit("en")))
+    got = language_id.identify(frame(spark, ["²½", "Ⅳ", "x", "ª"]), model).collect()
+    assert sorted(r.nearest for r in got) == ["en", "en", "und", "und"]
+
+
+def test_long_texts_join(spark):
+    long = " ".join(f"w{k % 9973}x{k % 7919}" for k in range(60_000))
+    rows = [(1, long), (2, long + " and a tail"), (3, long[: len(long) // 2]), (4, "a few words of another text")]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
