@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradelake.functions.grades import grade_of_marks, grade_of_points, points, to_double, to_int
-from gradelake.functions.text import USN, semester
+from gradelake.functions.grades import points, to_double
+from gradelake.functions.text import ROMAN, USN, USN_LABEL, semester, stripped
+from gradelake.operators.quality import normal_subject
 from gradelake.sources.folders import shared_folder
 
-FAIL_LETTERS = ("F", "E", "U", "AB", "W", "X")
+#: Letters that stand for a fail, in lists and after marks.
+FAIL_LETTERS = ("F", "E", "U", "AB", "W")
+FAIL_AFTER_MARKS = ("F", "AB", "W", "X")
+_SUBJECT = "struct<code:string,name:string,marks:int,max_marks:int,grade:string,status:string>"
 
 
 @dataclass(frozen=True)
@@ -22,55 +29,267 @@ class LineFormat:
     name: str
     pattern: str
     fields: dict[str, int]
+    trim: str = ""
+    fails: tuple[str, ...] = ()
+    skip: tuple[str, ...] = field(default=())
 
 
-#: Line formats in the order in which they are tried; a later one counts only where no earlier one found a subject.
+#: Line formats in the order in which they are tried; a later one counts only where no earlier one found a subject.
 FORMATS = (
-    LineFormat("dash", r"(?im)^[ \t]*([A-Z][A-Z0-9]{2,11})[ \t]*-[ \t]*([^:\n]+?)[ \t]*:[ \t]*([0-9]{1,3})[ \t]*/[ \t]*([0-9]{1,3})[ \t]*-[ \t]*(PASS|FAIL|ABSENT)\b", {"code": 1, "name": 2, "marks": 3, "max": 4, "status": 5}),
-    LineFormat("pipe", r"(?im)^\|?[ \t]*([A-Z]{2,5}[0-9]{2,6})[ \t]*\|[ \t]*([^|\n]+?)[ \t]*\|[ \t]*([0-9]{1,3})[ \t]*\|[ \t]*([0-9]{1,3})[ \t]*\|[ \t]*([A-F][+]?|O|P)[ \t]*\|?[ \t]*$", {"code": 1, "name": 2, "marks": 3, "max": 4, "grade": 5}),
-    LineFormat("bullet", r"(?im)^[ \t]*[-*][ \t]*([^:\n]+?)[ \t]*:[ \t]*([0-9]{1,3})(?:[ \t]*/[ \t]*([0-9]{1,3}))?[ \t]*$", {"name": 1, "marks": 2, "max": 3}),
-    LineFormat("comma", r"(?im)^[ \t]*([A-Z]{2,5}[0-9]{2,6})[ \t]*,[ \t]*([^,\n]+?)[ \t]*,[ \t]*([0-9]{1,3})[ \t]*,[ \t]*(O|A[+]?|B[+]?|C|P|F|AB|W)[ \t]*$", {"code": 1, "name": 2, "marks": 3, "grade": 4}),
-    LineFormat("grade", r"(?im)^[ \t]*([A-Z][^:\n]*?)[ \t]+-[ \t]+([0-9]{1,3})[ \t]+marks[ \t]+-[ \t]+Grade[ \t]+(O|A[+]?|B[+]?|C|P|F|AB|W|X)\b", {"name": 1, "marks": 2, "grade": 3}),
+    LineFormat("A", r"(?im)^([A-Z0-9]{4,12})\s*[-–:]\s*([^:\n]{3,60}?)[:\s]+(\d{1,3})(?:[/ ](\d{1,3}))?\s*(?:marks?)?\s*[-–]?\s*(PASS|FAIL|P|F)\b", {"code": 1, "name": 2, "marks": 3, "max": 4, "status": 5}, " -–:"),
+    LineFormat("D", r"(?i)([A-Z0-9]{4,10})\s*\|\s*([^|\n]{3,50}?)\s*\|[^|]*\|[^|]*\|\s*(\d{1,3})\s*\|\s*(\d{1,3})\s*\|\s*([A-Za-z][+\-]?)\s*\|\s*(PASS|FAIL|P|F)", {"code": 1, "name": 2, "marks": 3, "max": 4, "grade": 5, "status": 6}),
+    LineFormat("E", r"(?im)([A-Za-z][\w\s&/()'\-]{2,50}?)\s*\|\s*(\d{1,3})\s*(?:\|[^|]*)?\|\s*(PASS|FAIL|P|F)", {"name": 1, "marks": 2, "status": 3}, " -–*•|", skip=("subject", "paper", "course", "name")),
+    LineFormat("B", r"(?i)(?:[-•*]\s*)([^:|\n]{3,50}):\s*(\d{1,3})(?:/(\d{1,3}))?\s*[-–]?\s*(PASS|FAIL)", {"name": 1, "marks": 2, "max": 3, "status": 4}, " -–*•"),
+    LineFormat("C", r"(?i)Subject[:\s]+([\w\s&-]+?)\s*\|.*?Marks[:\s]+(\d{1,3}).*?Status[:\s]+(PASS|FAIL)", {"name": 1, "marks": 2, "status": 3}),
+    LineFormat("F", r"(?m)^[A-Za-z0-9_\-]+\s*,\s*([A-Za-z][A-Za-z0-9\s&/()'\-]{1,50}?)\s*,\s*(\d{1,3})\s*,\s*([A-Za-z][+\-]?)\s*$", {"name": 1, "marks": 2, "grade": 3}, fails=FAIL_LETTERS),
+    LineFormat("G", r"(?m)^(.{3,60}?)\s*[–\-]\s*(\d{1,3})\s*[–\-]\s*Grade\s+([A-Za-z][+\-]?)\s*$", {"name": 1, "marks": 2, "grade": 3}, " -–", FAIL_AFTER_MARKS),
 )
+#: Averages, names, and blocks of several semesters.
+_SGPA = r"(?i)(?:s\.?g\.?p\.?a|semester\s+gpa|grade\s+point)[^\d]*(\d{1,2}\.\d{1,2})"
+_CGPA = r"(?i)(?:c\.?g\.?p\.?a|cumulative\s+gpa|overall\s+gpa)[^\d]*(\d{1,2}\.\d{1,2})"
+_NAME = r"(?i)(?:student\s*(?:name)?|name|dear)\s*[:\s,]+([A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+){0,4})"
+_BLOCK = r"(?is)Semester\s+(\d{1,2})(?:\s+Results?)?\b[^\n]*\n(.*?)(?=\n[-—]{3,}|\nSemester\s+\d|\z)"
+_BLOCK_SGPA = r"(?i)SGPA\s*:\s*(\d{1,2}\.\d{1,2})"
+_RAW_SUBJECT = r"(?i)\b([A-Z]{2,4}\d{2,4})\b[^\n]*?(\d{2,3})\s*/?\s*(\d{2,3})?\s+([A-F][+-]?)\s+(PASS|FAIL)"
+_CUT = "\x01"
 
 
-def _field(name: str) -> Column:
-    """A field of the line in column ``text`` by its format in column ``form``; null where the format lacks it."""
-    out = F.lit(None).cast("string")
-    for f in FORMATS:
-        if name in f.fields:
-            out = F.when(F.col("form") == f.name, F.nullif(F.regexp_extract("text", f.pattern, f.fields[name]), F.lit(""))).otherwise(out)
-    return out
+def _number(text: Column, pattern: str) -> Column:
+    return F.regexp_extract(text, pattern, 1).try_cast("double")
+
+
+def _trimmed(text: Column, chars: str) -> Column:
+    return F.regexp_replace(text, f"^[{chars}\\s]+|[{chars}\\s]+$".replace("-", r"\-"), "") if chars else stripped(text)
+
+
+def subjects_in(text: Column, f: LineFormat) -> Column:
+    """The subjects that a text states in a format, as an array of structs, in order.
+
+    Each matched line is taken apart by one replacement that puts a mark between its groups.
+    """
+    lines = F.regexp_extract_all(text, F.lit(f.pattern), F.lit(0))
+    n = max(f.fields.values())
+    marked = lambda line: F.split(F.regexp_replace(line, f.pattern, _CUT.join(f"${k}" for k in range(1, n + 1))), _CUT)
+
+    def subject(groups: Column) -> Column:
+        get = lambda k: F.nullif(F.get(groups, F.lit(f.fields[k] - 1)), F.lit("")) if k in f.fields else F.lit(None).cast("string")
+        grade = F.upper(stripped(F.coalesce(get("grade"), F.lit(""))))
+        said = F.upper(get("status"))
+        status = F.when(said.startswith("P"), "PASS").otherwise("FAIL") if "status" in f.fields else F.when(grade.isin(*f.fails), "FAIL").otherwise("PASS")
+        return F.struct(
+            F.upper(stripped(F.coalesce(get("code"), F.lit("")))).alias("code"), _trimmed(F.coalesce(get("name"), F.lit("")), f.trim).alias("name"), get("marks").try_cast("int").alias("marks"),
+            F.coalesce(get("max").try_cast("int"), F.lit(100)).alias("max_marks"), grade.alias("grade"), status.alias("status"),
+        ).cast(_SUBJECT)
+
+    def counts(s: Column) -> Column:
+        ok = s["marks"].between(0, 200)
+        if "code" in f.fields:
+            ok &= ~s["code"].rlike(rf"^{USN}\b")
+        if f.name == "A":
+            ok &= s["code"].rlike(r"\d")
+        return ok & ~F.lower(s["name"]).isin(*f.skip) if f.skip else ok
+
+    return F.filter(F.transform(F.transform(lines, marked), subject), counts)
+
+
+def first_of_each(subjects: Column) -> Column:
+    """Subjects without later ones of the same code (or name where there is no code); nameless ones go."""
+    keys = F.transform(subjects, lambda s: F.upper(stripped(F.coalesce(F.nullif(s["code"], F.lit("")), s["name"]))))
+    return F.filter(subjects, lambda s, i: (F.get(keys, i) != "") & (F.array_position(keys, F.get(keys, i)) == i + 1))
+
+
+def usns_in(text: Column) -> Column:
+    """The student numbers of a text, those after a label first."""
+    found = F.concat(F.regexp_extract_all(text, F.lit(USN_LABEL), F.lit(1)), F.regexp_extract_all(text, F.lit(rf"(?i)\b({USN})\b"), F.lit(1)))
+    return F.array_distinct(F.transform(found, lambda u: F.upper(u)))
+
+
+def extract_records(mails: DataFrame, key: str = "mail_id", subject: str = "subject", body: str = "body") -> DataFrame:
+    """One row per mail, student and semester: usn, name, semester, sgpa, cgpa, subjects, confidence, strategy.
+
+    Formats are tried in order, each only where the earlier ones found nothing. A mail in which a semester's block lists
+    subjects by grade gives a record for each such block instead. A mail without a student number gives nothing.
+    Column expressions throughout: no shuffle.
+    """
+    text = F.concat(F.coalesce(F.col(subject), F.lit("")), F.lit("\n"), F.coalesce(F.col(body), F.lit("")))
+    rows = mails.select(key, text.alias("text")).withColumn("usns", usns_in(F.col("text"))).filter("size(usns) > 0")
+    name = stripped(F.regexp_replace(F.regexp_extract("text", _NAME, 1), r"(?i)\s+(USN|No|Number|ID|Code|Register|Student)\s*$", ""))
+    name = F.when(F.replace(name, F.lit(" "), F.lit("")).rlike(rf"(?i)^{USN}\b"), "").otherwise(name)
+    rows = rows.withColumns({"name": name, "semester": semester(F.col("text")), "sgpa": _number(F.col("text"), _SGPA), "cgpa": _number(F.col("text"), _CGPA)})
+    blocks = F.transform(F.regexp_extract_all("text", F.lit(_BLOCK), F.lit(0)), lambda b: F.struct(F.regexp_extract(b, r"(?i)^Semester\s+(\d{1,2})", 1).cast("int").alias("semester"), F.regexp_replace(b, r"^[^\n]*\n", "").alias("text")))
+    grades = FORMATS[-1]
+    told = F.transform(blocks, lambda b: F.struct(b["semester"].alias("semester"), _number(b["text"], _BLOCK_SGPA).alias("sgpa"), subjects_in(b["text"], grades).alias("subjects")))
+    rows = rows.withColumn("blocks", F.filter(told, lambda b: F.size(b["subjects"]) > 0))
+    none = F.array().cast(f"array<{_SUBJECT}>")
+    found = F.when(F.size("blocks") > 0, none).otherwise(none)
+    for f in FORMATS:  # a step for each format: the next one's pattern runs only where this one's array is empty
+        rows = rows.withColumn(f"found_{f.name}", F.when((F.size("blocks") == 0) & (F.size(found) == 0), subjects_in(F.col("text"), f)).otherwise(found))
+        found = F.col(f"found_{f.name}")
+    whole = F.array(F.struct(F.col("semester"), F.col("sgpa"), first_of_each(found).alias("subjects"), F.lit(0.80).alias("confidence"), F.lit("text_regex").alias("strategy")))
+    each = F.transform("blocks", lambda b: F.struct(b["semester"].alias("semester"), b["sgpa"].alias("sgpa"), b["subjects"].alias("subjects"), F.lit(0.90).alias("confidence"), F.lit("text_regex_vtu_multisem").alias("strategy")))
+    out = rows.select(key, "usns", "name", "cgpa", F.explode(F.when(F.size("blocks") > 0, each).otherwise(whole)).alias("r"))
+    return out.select(key, F.explode("usns").alias("usn"), "name", "r.semester", "r.sgpa", "cgpa", "r.subjects", "r.confidence", "r.strategy")
+
+
+def subject_rows(records: DataFrame, *keys: str) -> DataFrame:
+    """One row per subject of each record."""
+    return records.select(*keys, F.explode("subjects").alias("s")).select(*keys, "s.*")
 
 
 def extract_results(mails: DataFrame, key: str = "mail_id", subject: str = "subject", body: str = "body") -> DataFrame:
-    """One row per student, mail and subject: the first format that finds subjects counts, a subject's first line too.
+    """One row per student, mail and subject."""
+    return subject_rows(extract_records(mails, key, subject, body), key, "usn", "semester")
+
+
+def raw_text_records(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Records of free text cut at each student number: a row for each subject line, else one with the averages."""
+    blocks = texts.select(key, F.posexplode(F.split(F.col(text), rf"(?i)(?=\b{USN}\b)")).alias("at", "block"))
+    usn = F.upper(F.regexp_extract("block", rf"(?i)\b({USN})\b", 1))
+    post = stripped(F.regexp_replace("block", rf"(?is)^.*?\b{USN}\b", ""))
+    name = F.regexp_extract(post, r"^([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+){1,3})", 1)
+    rows = blocks.withColumn("usn", usn).filter("usn <> ''")
+    sem = F.coalesce(F.regexp_extract("block", r"(?i)semester[:\s]+(\d)", 1).try_cast("int"), F.lit(1))
+    gpa = r"(?i)(?:s\.?g\.?p\.?a|semester\s+gpa)[^\d]*(\d{1,2}\.\d{1,2})"
+    rows = rows.withColumns({"name": F.coalesce(F.nullif(name, F.lit("")), F.col("usn")), "semester": sem, "sgpa": _number(F.col("block"), gpa), "cgpa": _number(F.col("block"), _CGPA)})
+    marked = lambda line: F.split(F.regexp_replace(line, _RAW_SUBJECT, _CUT.join(f"${k}" for k in range(1, 6))), _CUT)
+    lines = F.transform(F.regexp_extract_all("block", F.lit(_RAW_SUBJECT), F.lit(0)), marked)
+    rows = rows.select(key, "at", "usn", "name", "semester", "sgpa", "cgpa", F.explode_outer(lines).alias("g"))
+    got = lambda k: F.nullif(F.get("g", F.lit(k)), F.lit(""))
+    bare = F.col("g").isNull()
+    return rows.select(
+        key, "at", "usn", "name", "semester", F.when(bare, F.col("sgpa")).alias("sgpa"), F.when(bare, F.col("cgpa")).alias("cgpa"), F.upper(got(0)).alias("code"), got(1).try_cast("double").alias("marks"),
+        F.when(~bare, F.coalesce(got(2).try_cast("double"), F.lit(100.0))).alias("max_marks"), F.upper(got(3)).alias("grade"), F.upper(got(4)).alias("status"),
+    )
+
+
+#: The field that a header cell names, by the first line below of which it holds a word.
+HEADERS = (
+    (("usn", "register", "reg no", "roll no"), "usn"),
+    (("student name", "name"), "name"),
+    (("sub code", "subject code", "course code", "code"), "subject_code"),
+    (("subject name", "subject", "course", "paper"), "subject_name"),
+    (("credits", "credit"), "credits"),
+    (("internal", "cie", "ia", "int"), "internal_marks"),
+    (("external", "see", "ext", "theory"), "external_marks"),
+    (("total marks", "total", "marks obtained", "scored"), "total_marks"),
+    (("max marks", "maximum", "out of"), "max_marks"),
+    (("grade pts", "grade point", "gp"), "grade_points"),
+    (("grade",), "grade"),
+    (("status", "result"), "status"),
+    (("sgpa",), "sgpa"),
+    (("cgpa",), "cgpa"),
+    (("sem", "semester"), "semester"),
+)
+FIELDS = tuple(name for _, name in HEADERS)
+
+
+def header_field(cell: Column) -> Column:
+    """The field that a header cell names; null if none."""
+    low = F.lower(stripped(cell))
+    out = F.when(F.lit(False), F.lit(""))
+    for words, name in HEADERS:
+        out = out.when(reduce(lambda a, b: a | b, (low.contains(w) for w in words)), F.lit(name))
+    return out
+
 
-    Student numbers come from the subject line and the body, those after a label first; without one a mail gives
-    nothing. Everything is a column expression; the only shuffle drops repeated subjects.
+def table_rows(cells: DataFrame, document: str, table: str, row: str) -> DataFrame:
+    """Subject rows of raw tables (one row of ``cells`` each): a column for each field of the table's header.
+
+    The header is the first of ten rows in which three cells name fields. A student's number and name are carried down
+    to the rows that lack them. Rows without a subject, or with neither marks nor grade, are left out.
     """
-    text = F.concat_ws("\n", F.col(subject), F.col(body))
-    labelled = F.regexp_extract_all(text, F.lit(rf"(?i)\bUSN\s*[:\-]?\s*({USN})\b"), F.lit(1))
-    plain = F.regexp_extract_all(text, F.lit(rf"(?i)\b({USN})\b"), F.lit(1))
-    usns = F.array_distinct(F.transform(F.concat(labelled, plain), lambda u: F.upper(u)))
-    lines = [f"lines_{f.name}" for f in FORMATS]
-    rows = mails.select(key, usns.alias("usns"), semester(text).alias("semester"), *(F.regexp_extract_all(F.col(body), F.lit(f.pattern), F.lit(0)).alias(n) for f, n in zip(FORMATS, lines, strict=True)))
-    form, found = F.lit(None).cast("string"), F.array().cast("array<string>")
-    for f, n in reversed(list(zip(FORMATS, lines, strict=True))):
-        form, found = F.when(F.size(n) > 0, f.name).otherwise(form), F.when(F.size(n) > 0, F.col(n)).otherwise(found)
-    rows = rows.filter("size(usns) > 0").select(key, "usns", "semester", form.alias("form"), F.posexplode(found).alias("at", "text"))
-    rows = rows.select(key, "usns", "semester", "at", F.struct(*(_field(k).alias(k) for k in ("code", "name", "marks", "max", "grade", "status"))).alias("line"))
-    rows = rows.filter(to_int(F.col("line.marks")).between(0, 200))
-    marks, top = to_int(F.col("line.marks")), F.coalesce(to_int(F.col("line.max")), F.lit(100))
-    letter = F.upper(F.col("line.grade"))
-    status = F.coalesce(F.upper("line.status"), F.when(letter.isin(*FAIL_LETTERS), "FAIL"), F.when(marks * 100 >= 40 * top, "PASS").otherwise("FAIL"))
-    rows = rows.select(
-        key, "usns", "semester", "at", F.upper(F.col("line.code")).alias("code"), F.trim("line.name").alias("name"), marks.alias("marks"), top.alias("max_marks"),
-        F.coalesce(letter, grade_of_marks(marks, top)).alias("grade"), status.alias("status"),
+    of = Window.partitionBy(document, table)
+    rows = cells.select(document, table, row, "cells", F.transform("cells", header_field).alias("named"))
+    is_header = (F.col(row) < 10) & (F.size(F.filter("named", lambda n: n.isNotNull())) >= 3)
+    rows = rows.withColumn("header", F.min(F.when(is_header, F.struct(F.col(row).alias("row"), F.col("named").alias("named")))).over(of))
+    rows = rows.filter(F.col("header").isNotNull() & (F.col(row) > F.col("header.row")) & F.exists("cells", lambda c: stripped(c) != ""))
+
+    def cell(name: str) -> Column:  # the last column of that name counts
+        at = F.size("header.named") - F.array_position(F.reverse("header.named"), name)
+        return F.when(F.array_contains("header.named", name), F.coalesce(stripped(F.get("cells", at.cast("int"))), F.lit("")))
+
+    rows = rows.select(document, table, row, *(cell(n).alias(n) for n in FIELDS))
+    new = F.col("usn").rlike(rf"(?i)^{USN}\b")
+    above = of.orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"usn": F.coalesce(F.last(F.when(new, F.upper("usn")), True).over(above), F.col("usn")), "name": F.coalesce(F.last(F.when(new, F.col("name")), True).over(above), F.col("name"))})
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    return rows.filter(~(blank("subject_code") & blank("subject_name")) & ~(blank("total_marks") & blank("grade")))
+
+
+def table_records(rows: DataFrame, document: str) -> DataFrame:
+    """Records of subject rows (``table_rows``): one per document, student and semester, subjects normalised."""
+    number = lambda c: F.trim(F.col(c)).try_cast("double").try_cast("int")
+    typed = rows.select(
+        document, F.upper(F.trim(F.coalesce(F.nullif("usn", F.lit("")), F.lit("UNKNOWN")))).alias("usn"), F.least(F.greatest(F.coalesce(number("semester"), F.lit(1)), F.lit(1)), F.lit(8)).alias("semester"),
+        F.upper(F.trim(F.coalesce("subject_code", F.lit("")))).alias("code"), F.trim(F.coalesce("subject_name", F.lit(""))).alias("name"), number("internal_marks").alias("internal"), number("external_marks").alias("external"),
+        number("total_marks").alias("total"), F.coalesce(F.nullif(number("max_marks"), F.lit(0)), F.lit(100)).alias("max_marks"), F.col("grade"), F.trim("grade_points").try_cast("double").alias("grade_points"),
+        number("credits").alias("credits"), F.col("status"),
     )
-    first = Window.partitionBy(key, F.coalesce("code", F.upper("name"))).orderBy("at")
-    kept = rows.withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth", "at")
-    return kept.withColumn("usn", F.explode("usns")).drop("usns")
+    subject = F.struct("code", "name", "internal", "external", "total", "max_marks", "grade", "grade_points", "credits", "status")
+    out = normal_subject(typed).groupBy(document, "usn", "semester").agg(F.sort_array(F.collect_list(subject)).alias("subjects"))
+    return out.withColumns({"confidence": F.lit(0.80), "strategy": F.lit("document_parser")})
+
+
+#: Fixed value: words that show a header cell.
+_HEADER_WORD = re.compile(r"\b(subject|code|name|usn|marks|grade|status|result|total|max|pass|fail|serial|no\.?|s\.no|sl\.?|semester|sem|sgpa|cgpa|credits?)\b", re.IGNORECASE)
+
+
+def _is_header_row(row: list[str]) -> bool:
+    return sum(bool(_HEADER_WORD.search(c)) for c in row) >= max(1, len(row) // 3) if row else False
+
+
+def stitched(tables: list[list[list[str]]], least: float = 0.6) -> list[list[list[str]]]:
+    """Tables that go on over several pages joined: a repeated header is dropped, a page without one just goes on."""
+    out: list[list[list[str]]] = []
+    for t in (t for k, t in enumerate(tables) if t or not k):
+        if out and t:
+            header, first = (out[-1][0] if out[-1] else []), t[0]
+            if abs(len(header) - len(first)) <= 1:
+                same = sum(a.strip().lower() == b.strip().lower() for a, b in zip(header, first, strict=False))
+                if not _is_header_row(first):
+                    out[-1] = out[-1] + t
+                    continue
+                if same / max(len(header), len(first), 1) >= least:
+                    out[-1] = out[-1] + t[1:]
+                    continue
+        out.append(t)
+    return out
+
+
+def stitch_tables(cells: DataFrame, document: str, table: str, row: str) -> DataFrame:
+    """``cells`` with pages of one table joined: document, table and row numbered anew, cells. A document is the unit of work."""
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([table, row])
+        tables = [[list(c) for c in g["cells"]] for _, g in pdf.groupby(table, sort=True)]
+        rows = [(pdf[document].iloc[0], t, k, c) for t, own in enumerate(stitched(tables)) for k, c in enumerate(own)]
+        return pd.DataFrame(rows, columns=[document, table, row, "cells"])
+
+    kind = cells.schema[document].dataType.simpleString()
+    return cells.select(document, table, row, "cells").groupBy(document).applyInPandas(join, f"{document} {kind}, {table} int, {row} int, cells array<string>")
+
+
+def row_maps(cells: DataFrame, *keys: str, row: str) -> DataFrame:
+    """Rows of a table as maps from the first row's cells, in lower case, to values; short rows are filled with blanks."""
+    of = Window.partitionBy(*keys).orderBy(row)
+    rows = cells.withColumn("header", F.first("cells").over(of)).withColumn("nth", F.row_number().over(of)).filter("nth > 1")
+    names = F.transform("header", lambda h: F.lower(stripped(h)))
+    values = F.transform("header", lambda h, i: F.coalesce(stripped(F.get("cells", i)), F.lit("")))
+    last = F.filter(F.arrays_zip(names.alias("k"), values.alias("v"), F.sequence(F.lit(1), F.size("header")).alias("i")), lambda x: x["i"] == F.size("header") - F.array_position(F.reverse(names), x["k"]) + 1)
+    made = F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"])))
+    return rows.select(*keys, row, made.alias("fields")).filter(F.exists(F.map_values("fields"), lambda v: v != ""))
+
+
+def piped_rows(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows of a table written with bars: cells, and the confidence that a last cell between 0 and 1 states (else 1)."""
+    lines = texts.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line", "said")).withColumn("said", stripped(F.col("said")))
+    rows = lines.filter("said <> '' and not startswith(said, '#')").select(key, "line", F.transform(F.split("said", r"\|"), stripped).alias("cells"))
+    rows = rows.filter((F.size("cells") >= 2) & F.exists("cells", lambda c: c != ""))
+    last = F.element_at("cells", -1).try_cast("double")
+    scored = last.between(0, 1)
+    header = F.row_number().over(Window.partitionBy(key).orderBy("line")) == 1
+    out = rows.withColumns({"confidence": F.when(header | ~F.coalesce(scored, F.lit(False)), 1.0).otherwise(last), "scored": F.coalesce(scored, F.lit(False))})
+    return out.select(key, "line", F.when(F.col("scored"), F.slice("cells", 1, F.size("cells") - 1)).otherwise(F.col("cells")).alias("cells"), "confidence")
 
 
 def sheet_rows(sheet: DataFrame, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -94,25 +313,40 @@ def unpivot_grades(sheet: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("grade_points", points(F.col("grade"))).withColumn("status", F.when((F.col("grade") == "F") | (F.col("grade_points") == 0), "FAIL").otherwise("PASS"))
 
 
+def grade_report(cells: DataFrame, document: str, row: str) -> DataFrame:
+    """A wide grade report as cells, back to rows: document, usn, semester, code, name, grade, grade_points, status.
+
+    The row with a USN cell (among the first 21) holds the subject codes, the next one their names; a row of GR and GP
+    cells within eight rows says which columns are grades and which points. Students follow. A roman numeral in a
+    column headed by the word semester is theirs.
+    """
+    of = Window.partitionBy(document)
+    low = F.transform("cells", lambda c: F.lower(stripped(F.coalesce(c, F.lit("")))))
+    rows = cells.select(document, row, "cells", low.alias("low"))
+    rows = rows.withColumn("head", F.min(F.when((F.col(row) <= 20) & F.exists("low", lambda c: c.contains("usn")), F.col(row))).over(of))
+    kinds = F.exists("low", lambda c: c == "gr") & (F.col(row) > F.col("head")) & (F.col(row) <= F.col("head") + 8)
+    rows = rows.withColumn("kinds", F.min(F.when(kinds, F.col(row))).over(of))
+    pick = lambda at, c: F.max(F.when(F.col(row) == at, F.col(c))).over(of)
+    rows = rows.withColumns({"codes": pick(F.col("head"), "cells"), "heads": pick(F.col("head"), "low"), "names": pick(F.col("head") + 1, "cells"), "what": pick(F.col("kinds"), "low")})
+    at = F.array_position(F.transform("heads", lambda c: c.contains("usn")), True)
+    sem_at = F.array_position(F.transform("heads", lambda c: c.contains("sem")), True)
+    roman = F.try_element_at(F.create_map(*(F.lit(x) for p in ROMAN.items() for x in p)), F.get("low", (sem_at - 1).cast("int")))
+    body = rows.filter(F.col(row) > F.coalesce("kinds", F.col("head") + 1)).withColumns({"usn": F.upper(F.regexp_extract(F.get("cells", (at - 1).cast("int")), rf"(?i)({USN})", 1)), "semester": F.coalesce(roman, F.lit(1))}).filter("usn <> ''")
+    long = body.select(document, "usn", "semester", "codes", "names", "what", "cells", F.posexplode("cells").alias("col", "cell")).filter(F.get("what", F.col("col")) == "gr")
+    grade = F.upper(stripped(F.col("cell")))
+    has_points = F.get("what", F.col("col") + 1) == "gp"
+    gp = F.coalesce(F.when(has_points, F.get("cells", F.col("col") + 1).try_cast("double")), points(grade))
+    long = long.select(document, "usn", "semester", F.upper(stripped(F.get("codes", F.col("col")))).alias("code"), stripped(F.coalesce(F.get("names", F.col("col")), F.lit(""))).alias("name"), grade.alias("grade"), gp.alias("grade_points"))
+    long = long.filter(~F.col("grade").isin("NAN", "", "NE", "AB"))
+    return long.withColumn("status", F.when((F.col("grade") == "F") | (F.coalesce("grade_points", F.lit(1.0)) == 0), "FAIL").otherwise("PASS"))
+
+
 def carried_down(rows: DataFrame, document: str, order: str, *columns: str) -> DataFrame:
     """Blank cells of ``columns`` filled from the last row above that has one."""
     above = Window.partitionBy(document).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumns({c: F.last(F.nullif(F.trim(c), F.lit("")), ignorenulls=True).over(above) for c in columns})
 
 
-def normal_subject(rows: DataFrame) -> DataFrame:
-    """Table rows with total, grade, points and status repaired; rows without marks and grade go."""
-    total = F.coalesce(F.col("total"), F.col("internal") + F.col("external"))
-    total = F.when(total.isNotNull(), F.least(total, F.col("max_marks")))  # least() passes over nulls
-    rows = rows.withColumn("total", total)
-    known = points(F.col("grade"))
-    grade = F.when(known.isNotNull(), F.upper(F.trim("grade"))).otherwise(F.coalesce(grade_of_points(to_double(F.col("grade"))), grade_of_marks(F.col("total"), F.col("max_marks"))))
-    rows = rows.filter(F.col("total").isNotNull() | F.col("grade").isNotNull()).withColumn("grade", grade)
-    gp = F.when(F.col("grade_points").isNull() | (F.abs(F.col("grade_points") - points(F.col("grade"))) > 0.5), points(F.col("grade"))).otherwise(F.col("grade_points"))
-    passing = F.floor(F.col("max_marks") * 0.4)
-    return rows.withColumn("grade_points", gp).withColumn("credits", F.coalesce("credits", F.lit(3))).withColumn("status", F.when(F.col("total") >= passing, "PASS").otherwise("FAIL"))
-
-
 def threads(messages: DataFrame, key: str, parent: str) -> DataFrame:
     """Every message with its thread's root and its depth; an unknown parent makes a root.
 
@@ -138,6 +372,3 @@ def threads(messages: DataFrame, key: str, parent: str) -> DataFrame:
             at = at.join(over, "up").select("id", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("up") != F.col("next")).alias("moved"))
     at = held if moving else at
     return at.select(F.col("id").alias(key), F.col("up").alias("root"), F.col("steps").cast("int").alias("depth"))
-
-
-__all__ = ["FORMATS", "carried_down", "extract_results", "normal_subject", "sheet_rows", "threads", "unpivot_grades"]

@@ -59,20 +59,28 @@ def gpa_positive(results: DataFrame, subjects: DataFrame, *keys: str) -> DataFra
 
 
 def cgpa_latest_pass(results: DataFrame, subjects: DataFrame) -> DataFrame:
-    """Per student: each subject's latest passing attempt."""
-    latest = Window.partitionBy("student_id", "subject_id")
-    passed = results.filter("status = 'PASS'").withColumn("latest", F.max("attempt_number").over(latest)).filter("attempt_number = latest")
+    """Per student: each subject's latest passing attempt, found in the aggregation itself."""
+    passed = results.filter("status = 'PASS'").groupBy("student_id", "subject_id").agg(F.max_by("grade_points", "attempt_number").alias("grade_points"))
     return credited(passed, subjects).groupBy("student_id").agg(ratio(F.sum(F.col("grade_points") * F.col("credits")), F.sum("credits"), 2).alias("cgpa"))
 
 
 def cgpa_with_fallbacks(students: DataFrame, results: DataFrame, subjects: DataFrame) -> DataFrame:
-    """Per student: the average over positive rows, else of semester averages, else of marks; 0 without any."""
-    by_points = gpa_positive(results, subjects, "student_id").withColumnRenamed("gpa", "by_points")
-    by_semester = gpa_positive(results, subjects, "student_id", "semester").filter("gpa > 0").groupBy("student_id").agg(F.avg("gpa").alias("by_semester"))
-    by_marks = results.groupBy("student_id").agg((ratio(F.sum("total_marks"), F.sum("max_marks"), 6) * 10).alias("by_marks"))
-    out = students.select("student_id").join(by_points, "student_id", "left").join(by_semester, "student_id", "left").join(by_marks, "student_id", "left")
+    """Per student: the average over positive rows, else of semester averages, else of marks; 0 without any.
+
+    One pass over the fact: sums by student and semester, and from them the student's.
+    """
+    good = F.col("grade_points") > 0
+    known = subjects.select("subject_id", "credits", F.lit(True).alias("known"))
+    rows = results.join(known, "subject_id", "left").withColumn("credits", F.when(F.col("known"), F.coalesce("credits", F.lit(3))))
+    per = rows.groupBy("student_id", "semester").agg(
+        F.sum(F.when(good, F.col("grade_points") * F.col("credits"))).alias("p"), F.sum(F.when(good, F.col("credits"))).alias("c"), F.sum("total_marks").alias("m"), F.sum("max_marks").alias("x")
+    )
+    own = ratio(F.col("p"), F.col("c"), 2)
+    per = per.withColumn("own", F.when(own > 0, own)).groupBy("student_id").agg(
+        ratio(F.sum("p"), F.sum("c"), 2).alias("by_points"), F.avg("own").alias("by_semester"), (ratio(F.sum("m"), F.sum("x"), 6) * 10).alias("by_marks")
+    )
     value = F.coalesce("by_points", "by_semester", "by_marks", F.lit(0.0))
-    return out.select("student_id", F.round(F.least(F.greatest(value, F.lit(0.0)), F.lit(10.0)), 2).alias("cgpa"))
+    return students.select("student_id").join(per, "student_id", "left").select("student_id", F.round(F.least(F.greatest(value, F.lit(0.0)), F.lit(10.0)), 2).alias("cgpa"))
 
 
 def backlogs_any_fail(results: DataFrame) -> DataFrame:

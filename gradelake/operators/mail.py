@@ -4,15 +4,33 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.functions.text import USN
+from gradelake.functions.text import USN, normal_text
 
-STRONG = ("result", "marksheet", "grade card", "sgpa", "cgpa")
-WEAK = ("semester", "exam", "marks", "grade", "backlog")
-NEGATIVE = ("unsubscribe", "offer", "newsletter", "invoice", "webinar", "discount")
+LABELS = ("result_email", "administrative", "spam", "other")
+#: A model's label counts from this probability on.
+MODEL_FROM = 0.65
+#: Keywords of the pipeline's rules.
+STRONG = (
+    "sgpa", "cgpa", "marksheet", "scorecard", "grade card", "grade sheet", "semester result", "exam result", "internal marks", "grade points", "marks obtained", "total marks", "subject code", "subject wise",
+    "result declared", "result published", "university result", "cie marks", "see marks", "semester gpa", "cumulative gpa",
+)
+WEAK = ("result", "marks", "grade", "usn", "pass", "fail", "subject", "semester", "1ms", "2ms", "3ms", "4ms", "backlog", "arrear", "revaluation", "re-appear")
+NEGATIVE = (
+    "unsubscribe", "click here to unsubscribe", "opt-out", "opt out", "internship opportunity", "job opening", "hiring", "we are hiring", "job alert", "apply now", "career", "recruitment", "newsletter", "promotional",
+    "discount", "offer expires", "congratulations on your purchase", "your order", "invoice", "meeting invite", "calendar event", "zoom link", "follow us on", "social media", "linkedin", "twitter", "click to unsubscribe",
+    "marketing", "sponsored", "limited time", "act now", "free trial", "sign up",
+)
+SUBJECT_WORDS = ("result", "marks", "marksheet", "grade", "sgpa", "cgpa")
+SHEETS = (".pdf", ".xlsx", ".xls", ".csv")
+#: Keywords of the classifier's own rules, for texts that no model labels.
+PLAIN_STRONG = ("result", "marks", "grade", "sgpa", "cgpa", "marksheet", "semester result", "examination result", "backlog", "grade card", "transcript", "internal marks", "pass", "fail")
+PLAIN_WEAK = ("exam", "test", "score", "performance", "academic", "gpa", "percentage", "assessment")
+PLAIN_NEGATIVE = ("unsubscribe", "promotional", "offer", "discount", "click here", "prize", "winner", "free")
 
 
 def count_of(text: Column, keywords: tuple[str, ...]) -> Column:
@@ -20,36 +38,85 @@ def count_of(text: Column, keywords: tuple[str, ...]) -> Column:
     return sum((F.when(text.contains(k), 1).otherwise(0) for k in keywords), F.lit(0))
 
 
-def by_keywords(mails: DataFrame, text: str, has_attachment: Column | None = None) -> DataFrame:
-    """label and confidence from counts of strong, weak and negative keywords, student numbers and attachments."""
-    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
-    strong, weak, negative = (count_of(lower, k) for k in (STRONG, WEAK, NEGATIVE))
-    usn, attached = F.coalesce(F.col(text), F.lit("")).rlike(rf"(?i)\b{USN}\b"), has_attachment if has_attachment is not None else F.lit(False)
+def _ruled(rules: list[tuple[Column, str, Column]], label: str, confidence: float) -> dict[str, Column]:
+    name, value = F.lit(label), F.lit(confidence)
+    for condition, n, v in reversed(rules):
+        name, value = F.when(condition, n).otherwise(name), F.when(condition, v).otherwise(value)
+    return {"label": name, "confidence": F.round(value, 2)}
+
+
+def by_keywords(mails: DataFrame, subject: str, body: str, attachments: str | None = None) -> DataFrame:
+    """label (result_email or other) and confidence from counts of keywords, student numbers and attached sheets (an array of file names)."""
+    said = F.lower(F.concat_ws(" ", F.coalesce(F.col(subject), F.lit("")), F.coalesce(F.col(body), F.lit(""))))
+    names = F.coalesce(F.col(attachments), F.array().cast("array<string>")) if attachments else F.array().cast("array<string>")
+    rows = mails.withColumns({"strong": count_of(said, STRONG), "weak": count_of(said, WEAK), "negative": count_of(said, NEGATIVE), "numbered": said.rlike(rf"(?i)\b{USN}\b"), "topical": count_of(F.lower(F.coalesce(F.col(subject), F.lit(""))), SUBJECT_WORDS) > 0})
+    sheet = F.exists(names, lambda n: F.lower(n).rlike(r"(?:%s)$" % "|".join(x.replace(".", r"\.") for x in SHEETS)))
+    strong, weak = F.col("strong"), F.col("weak")
     rules = [
-        (negative >= 2, "other", F.lit(0.1)),
-        (strong > 0, "result", F.least(F.lit(0.95), 0.7 + 0.05 * strong + 0.02 * weak)),
-        (usn & (weak > 0), "result", F.least(F.lit(0.9), 0.65 + 0.05 * weak)),
-        (usn & attached, "result", F.lit(0.7)),
-        (attached & (weak > 0), "result", F.lit(0.6)),
+        (F.col("negative") >= 2, "other", F.lit(0.1)),
+        (strong >= 1, "result_email", F.least(F.lit(0.95), 0.70 + strong * 0.08 + weak * 0.03)),
+        (F.col("numbered") & (weak >= 2), "result_email", F.least(F.lit(0.90), 0.65 + weak * 0.05)),
+        (F.col("numbered") & sheet, "result_email", F.lit(0.85)),
+        (sheet & (weak >= 2), "result_email", F.lit(0.75)),
+        (F.col("topical") & (weak >= 2), "result_email", F.least(F.lit(0.85), 0.60 + weak * 0.04)),
     ]
-    label, confidence = F.lit("other"), F.lit(0.2)
-    for condition, name, value in reversed(rules):
-        label, confidence = F.when(condition, name).otherwise(label), F.when(condition, value).otherwise(confidence)
-    return mails.withColumns({"label": label, "confidence": F.round(confidence, 4)})
+    return rows.withColumns(_ruled(rules, "other", 0.1)).drop("strong", "weak", "negative", "numbered", "topical")
+
+
+def by_plain_keywords(texts: DataFrame, text: str) -> DataFrame:
+    """label (result_email, spam or other) and confidence by the classifier's own rules, over the first 1000 characters of a text."""
+    low = F.lower(F.substring(F.coalesce(F.col(text), F.lit("")), 1, 1000))
+    rows = texts.withColumns({"strong": count_of(low, PLAIN_STRONG), "weak": count_of(low, PLAIN_WEAK), "negative": count_of(low, PLAIN_NEGATIVE)})
+    strong, weak = F.col("strong"), F.col("weak")
+    rules = [
+        (F.col("negative") > 0, "spam", F.lit(0.85)),
+        (strong >= 2, "result_email", F.least(F.lit(0.90), 0.75 + strong * 0.05)),
+        (strong == 1, "result_email", 0.65 + weak * 0.05),
+        (weak >= 2, "result_email", F.lit(0.50)),
+    ]
+    return rows.withColumns(_ruled(rules, "other", 0.60)).drop("strong", "weak", "negative")
 
 
 def fit_classifier(rows: DataFrame, text: str = "text", label: str = "label", terms: int = 5000) -> PipelineModel:
-    """Multinomial regression on log-scaled TF-IDF of words and word pairs, classes weighted alike."""
+    """Multinomial regression on log-scaled TF-IDF of words and word pairs, classes weighted alike.
+
+    ``label`` holds whole numbers from 0. The ``terms`` that most texts hold are kept.
+    """
     counts = rows.groupBy(label).count()
-    total, kinds = rows.count(), counts.count()
-    weighted = rows.join(F.broadcast(counts), label).withColumn("weight", F.lit(total) / (F.lit(kinds) * F.col("count"))).drop("count")
+    shape = counts.agg(F.sum("count"), F.count("*")).first()
+    weighted = rows.join(F.broadcast(counts), label).withColumn("weight", F.lit(shape[0]) / (F.lit(shape[1]) * F.col("count"))).drop("count").withColumn("plain", normal_text(F.coalesce(F.col(text), F.lit(""))))
     stages = [
-        RegexTokenizer(inputCol=text, outputCol="words", pattern=r"[^\p{L}\p{N}]+"),
+        RegexTokenizer(inputCol="plain", outputCol="words", pattern=r"\s+"),
         NGram(n=2, inputCol="words", outputCol="pairs"),
         SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
-        CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=terms, minDF=2),
-        IDF(inputCol="counts", outputCol="weights_idf"),
-        VectorAssembler(inputCols=["weights_idf"], outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", family="multinomial", regParam=0.01, maxIter=30),
+        CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=terms),
+        IDF(inputCol="counts", outputCol="weighted_terms"),
+        Normalizer(inputCol="weighted_terms", outputCol="features"),
+        LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", family="multinomial", regParam=0.001, maxIter=60),
     ]
     return Pipeline(stages=stages).fit(weighted)
+
+
+def predicted(model: PipelineModel, rows: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` with the model's predicted label number and its probability."""
+    out = model.transform(rows.withColumn("plain", normal_text(F.coalesce(F.col(text), F.lit("")))))
+    return out.select(*(out[c] for c in rows.columns), F.col("prediction").cast("int").alias("predicted"), F.array_max(vector_to_array("probability")).alias("certainty"))
+
+
+def classified(model: PipelineModel, names: list[str], mails: DataFrame, subject: str, body: str, attachments: str | None = None) -> DataFrame:
+    """Label and confidence of mails: the model's where it is certain enough, else the keyword rules'."""
+    joined = mails.withColumn("_text", F.substring(F.concat_ws(" ", F.coalesce(F.col(subject), F.lit("")), F.coalesce(F.col(body), F.lit(""))), 1, 1000))
+    told = predicted(model, by_keywords(joined, subject, body, attachments), "_text")
+    sure = F.col("certainty") >= MODEL_FROM
+    label = F.when(sure, F.element_at(F.array(*(F.lit(n) for n in names)), F.col("predicted") + 1)).otherwise(F.col("label"))
+    return told.withColumns({"label": label, "confidence": F.when(sure, F.col("certainty")).otherwise(F.col("confidence"))}).drop("_text", "predicted", "certainty")
+
+
+def retrained(examples: DataFrame, more: DataFrame, names: list[str]) -> PipelineModel:
+    """A model of the examples (text, label by name) and what reviewers have added or corrected; unknown labels are an error."""
+    both = examples.select("text", "label").unionByName(more.select("text", "label"))
+    unknown = both.filter(~F.col("label").isin(*names)).select("label").limit(1).collect()
+    if unknown:
+        raise ValueError(f"unknown label: {unknown[0]['label']}")
+    number = F.array_position(F.array(*(F.lit(n) for n in names)), F.col("label")) - 1
+    return fit_classifier(both.withColumn("label", number.cast("double")))
