@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='academic-')}"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``), or a temporary one where it is unset, as in tests."""
+    """The folder all executors share (``spark.checkpoint.dir``). Where it is unset, a temporary one in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='academic-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if not found and not re.match(r"local(\[[^,]*\])?$", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (found or _local_folder()).rstrip("/")

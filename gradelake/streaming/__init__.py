@@ -27,3 +27,27 @@ def tumbling_counts(stream: DataFrame, time: str, width: str, *keys: str, late:
 def run_available(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> None:
     """Process all that is there in micro-batches; ``handle`` must be idempotent per batch number."""
     stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def stage_counts(events: DataFrame, time: str, width: str, stage: str, status: str, late: str = "1 hour") -> DataFrame:
+    """Events of each stage and status in each window."""
+    return tumbling_counts(events, time, width, stage, status, late=late)
+
+
+def resumed(spark: SparkSession, path: str, schema, checkpoint: str, sink: str, key: str, time: str = "ts") -> None:
+    """Take up new files since the last run: each batch's rows, once a key, go to a folder of their own number.
+
+    The offsets are in ``checkpoint``; a batch that is run again after a failure overwrites its own folder.
+    """
+    once = deduplicated(event_stream(spark, path, schema, time), key, time)
+    run_available(once, checkpoint, lambda batch, n: batch.write.mode("overwrite").parquet(f"{sink}/batch={n}"))
+
+
+def recomputed(changes: DataFrame, keys: list[str], compute: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
+    """A handler that works out aggregates again for the keys a batch touches alone, from all of ``changes``, and stores them by batch number."""
+
+    def handle(batch: DataFrame, n: int) -> None:
+        affected = batch.select(*keys).distinct()
+        compute(changes.join(affected, keys, "left_semi")).write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return handle

@@ -1,6 +1,7 @@
 """Known answers of single operators."""
 
 import base64
+import hashlib
 import io
 import json
 import zipfile
@@ -13,8 +14,8 @@ from gradelake.functions import grades, hashing, text
 from gradelake.operators import dedup, extract, gpa, mail, quality, search, writes
 from gradelake.plans.academic import academic
 from gradelake.plans.intents import Intent, answer, checked, guarded, guarded_rows, quick_kind, template, understand
-from gradelake.sources.mail import MESSAGE, flat_messages, read_messages
-from gradelake.sources.sheets import read_cells, read_csv
+from gradelake.sources.mail import MESSAGE, flat_messages, key_of_delivery, read_messages, search_mails
+from gradelake.sources.sheets import read_cells, read_csv, read_documents
 
 
 def one(spark, expression):
@@ -370,7 +371,16 @@ def test_messages(spark, tmp_path):
     got = {r.message_id: r for r in flat_messages(read_messages(spark, str(tmp_path))).collect()}
     assert (got["1"].body, got["1"].subject, got["1"].attachments, got["1"].thread_depth) == ("Grüße?>", "Hi", ["a.pdf"], 2)
     assert (got["2"].body, got["2"].thread_depth) == ("", 0)
-    assert "payload" in MESSAGE
+    deep = part
+    for _ in range(12):
+        deep = {"mimeType": "multipart/mixed", "filename": "", "body": {}, "parts": [deep, {"mimeType": "x", "filename": "f", "body": {}}]}
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines/m.json").write_text(json.dumps({"id": "3", "payload": {"headers": [{"name": "In-Reply-To", "value": "<1>"}], "parts": [deep]}}) + "\n" + json.dumps({"id": "4", "payload": {"body": {"data": "eHl6"}}}) + "\n")
+    rows = {r.message_id: r for r in flat_messages(read_messages(spark, str(tmp_path / "lines"), lines=True)).collect()}
+    assert (rows["3"].body, len(rows["3"].attachments), rows["3"].thread_depth) == ("Grüße?>", 12, 1)
+    assert rows["4"].body == "xyz" and "payload" in MESSAGE
+    assert [r.message_id for r in search_mails(flat_messages(read_messages(spark, str(tmp_path / "lines"), lines=True)), "GRÜSSE", 5).collect()] == []
+    assert one(spark, key_of_delivery(F.lit(" "), F.lit("b"))) == hashlib.sha256(b"b").hexdigest()
 
 
 def test_sheets(spark, tmp_path):
@@ -383,6 +393,20 @@ def test_sheets(spark, tmp_path):
         z.writestr("xl/worksheets/sheet1.xml", '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row><c r="B1"><v>7</v></c></row></sheetData></worksheet>')
     (tmp_path / "e.xlsx").write_bytes(book.getvalue())
     (tmp_path / "broken.xlsx").write_bytes(b"not a zip")
+    odt = io.BytesIO()
+    with zipfile.ZipFile(odt, "w") as z:
+        z.writestr("content.xml", '<d xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0"><text:h>Title</text:h><text:p>one <text:span>two</text:span></text:p></d>')
+    (tmp_path / "f.bin").write_bytes(odt.getvalue())
+    (tmp_path / "g.rtf").write_bytes(rb"{\rtf1{\fonttbl{\f0 Arial;}}\f0 Hello\par W\'f6rld\u8364 ?!}")
+    (tmp_path / "h.txt").write_bytes(b"a,b\njust text")
+    (tmp_path / "i.dat").write_bytes(b"<html><head><title>x</title></head><body><p>Dear</p><table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2</td></tr></table><script>no</script></body></html>")
+    (tmp_path / "j.pdf").write_bytes(b"%PDF-1.4")
+    docs = {r.path.rpartition("/")[2]: r for r in read_documents(spark, str(tmp_path)).collect()}
+    assert (docs["f.bin"].kind, docs["f.bin"].text, docs["f.bin"].confidence) == ("odt", "Title\none two", 0.80)
+    assert (docs["g.rtf"].kind, docs["g.rtf"].text) == ("rtf", "Hello\nWörld€!")
+    assert (docs["h.txt"].kind, docs["h.txt"].text, docs["h.txt"].confidence) == ("txt", "a,b\njust text", 0.75)
+    assert (docs["i.dat"].kind, docs["i.dat"].text) == ("html", "Dear\n\nA | B\n\n1 | 2")
+    assert (docs["j.pdf"].kind, docs["j.pdf"].confidence) == ("unknown", 0.0) and docs["broken.xlsx"].confidence == 0.4
     got = {r.path.rpartition("/")[2]: [] for r in read_cells(spark, str(tmp_path)).collect()}
     cells = [tuple(r.cells) for r in read_cells(spark, str(tmp_path)).collect()]
     assert ("1MS21CS001", "José") in cells and ("1", "two words") in cells and ("", "7") in cells
@@ -401,3 +425,15 @@ def test_stream_windows_equal_batch(spark, small, tmp_path):
     seen = []
     streaming.run_available(stream, str(tmp_path / "c"), lambda batch, n: seen.append(batch.count()))
     assert sum(seen) == events.count()
+
+
+def test_stream_is_taken_up_again(spark, small, tmp_path):
+    events = spark.read.parquet(f"{small}/events.parquet")
+    for k in range(2):
+        events.filter(F.col("event_id") % 2 == k).unionByName(events.limit(5)).write.mode("append").parquet(str(tmp_path / "in"))
+        streaming.resumed(spark, str(tmp_path / "in"), events.schema, str(tmp_path / "c"), str(tmp_path / "out"), "event_id")
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == got.select("event_id").distinct().count() == events.count()
+    handle = streaming.recomputed(events, ["user_id"], lambda r: r.groupBy("user_id").agg(F.count("*").alias("n")), str(tmp_path / "agg"))
+    handle(events.filter("user_id < 3"), 0)
+    assert spark.read.parquet(str(tmp_path / "agg")).agg(F.sum("n")).first()[0] == events.filter("user_id < 3").count()
