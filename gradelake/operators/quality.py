@@ -82,6 +82,21 @@ def repaired(rows: DataFrame) -> DataFrame:
     return rows.withColumns({k: v for k, v in fixed.items() if k != "fixed"})
 
 
+def corrected_usn(usn: Column) -> Column:
+    """A student number as scans get it wrong, put right: the letter O read for 0, a small l for 1 (where it is still small), blanks."""
+    return F.replace(F.translate(F.upper(F.trim(usn)), "O", "0"), F.lit(" "), F.lit(""))
+
+
+def guard_problems(record: Column) -> Column:
+    """What keeps a record (sgpa, confidence, subjects of total_marks, grade_points) from being taken at all, as messages."""
+    subjects = F.transform(
+        record["subjects"],
+        lambda s: F.filter(F.array(F.when(s["total_marks"].isNull(), "marks missing").when(s["total_marks"] < 0, "marks negative"), F.when(~s["grade_points"].between(0, 10), "points out of range")), lambda p: p.isNotNull()),
+    )
+    own = F.array(F.when(~record["sgpa"].between(0, 10), "sgpa out of range"), F.when(~record["confidence"].between(0, 1), "confidence out of range"))
+    return F.concat(F.filter(own, lambda p: p.isNotNull()), F.coalesce(F.flatten(subjects), F.array().cast("array<string>")))
+
+
 def sgpa_of(subjects: Column) -> Column:
     """Points by credits of an array of subjects (grade_points, credits): 0 points count, missing points don't; 3 credits if none."""
     known = F.filter(subjects, lambda s: s["grade_points"].isNotNull())

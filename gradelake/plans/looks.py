@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradelake.functions import grades, hashing, text
-from gradelake.operators import dedup, gpa, mail, profile, search
+from gradelake.operators import dedup, gpa, mail, profile, quality, search
 from gradelake.plans.academic import academic, table, view
 from gradelake.plans.registry import CGPA, GRADE, POINTS, query
 from gradelake.plans.stores import messages
@@ -286,6 +286,59 @@ def f35_object_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.object_name(F.concat("url", F.lit(" <a>\\b"))).alias("name"))
 
 
+@query("f03_normal_names", "SELECT student_id, upper(name) || ' X' AS normal FROM students")
+def f03_normal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in upper case with single spaces."""
+    return view(spark, sf_dir, "students").select("student_id", text.normal_name(F.concat(F.lit("  "), "name", F.lit(" \t x "))).alias("normal"))
+
+
+@query("f06_grades_of_points", "SELECT p AS tenths, CASE WHEN p >= 100 THEN 'O' WHEN p >= 90 THEN 'A+' WHEN p >= 80 THEN 'A' WHEN p >= 70 THEN 'B+' WHEN p >= 60 THEN 'B' WHEN p >= 50 THEN 'C' WHEN p >= 40 THEN 'P' ELSE 'F' END AS grade FROM range(111) t(p)")
+def f06_grades_of_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grade that each tenth of a point reaches."""
+    return spark.range(111).select(F.col("id").alias("tenths"), grades.grade_of_points(F.col("id") / 10).alias("grade"))
+
+
+@query("f16_bits_apart", "SELECT event_id, bit_count(xor(event_id, user_id))::int AS apart FROM events")
+def f16_bits_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many bits two numbers differ in."""
+    return table(spark, sf_dir, "events").select("event_id", F.bit_count(F.col("event_id").bitwiseXOR(F.col("user_id"))).alias("apart"))
+
+
+@query("v01_usn_problems", "SELECT student_id, CASE student_id % 4 WHEN 0 THEN 'missing_usn' WHEN 1 THEN 'missing_usn' WHEN 2 THEN 'invalid_usn_format:' || usn || 'x' END AS problem FROM students")
+def v01_usn_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with numbers that are blank, unknown, too long, and right."""
+    k = F.col("student_id") % 4
+    said = F.when(k == 0, " ").when(k == 1, "unknown").when(k == 2, F.concat("usn", F.lit("x"))).otherwise(F.concat(F.lit(" "), F.lower("usn")))
+    return view(spark, sf_dir, "students").select("student_id", quality.usn_problem(said).alias("problem"))
+
+
+@query("v10_guards", """
+SELECT student_id, CASE student_id % 5 WHEN 0 THEN 'sgpa out of range' WHEN 1 THEN 'confidence out of range,marks negative' WHEN 2 THEN 'points out of range' WHEN 3 THEN 'marks missing' ELSE '' END AS problems, replace(usn, 'O', '0') AS usn FROM students""")
+def v10_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps records from being taken, and numbers put right."""
+    k = F.col("student_id") % 5
+    subject = F.struct(F.when(k == 1, -1).when(k != 3, 50).alias("total_marks"), F.when(k == 2, 10.5).otherwise(F.lit(None).cast("double")).alias("grade_points"))
+    record = F.struct(F.when(k == 0, 11.0).alias("sgpa"), F.when(k == 1, 1.5).otherwise(0.9).alias("confidence"), F.array(subject).alias("subjects"))
+    rows = view(spark, sf_dir, "students").withColumn("record", record)
+    return rows.select("student_id", F.array_join(quality.guard_problems(F.col("record")), ",").alias("problems"), quality.corrected_usn(F.concat(F.lit(" "), F.substring("usn", 1, 4), F.lit(" "), F.substring("usn", 5, 20))).alias("usn"))
+
+
+@query("x07_document_rows", "SELECT usn, code, total_marks::double AS marks, grade, 'PASS' AS status FROM results JOIN students USING (student_id) JOIN (SELECT subject_id, 'SB' || lpad((subject_id % 10000)::varchar, 4, '0') AS code FROM subjects) USING (subject_id) WHERE status = 'PASS' AND grade IN ('A+', 'A', 'B') AND semester = 1 AND student_id < 20")
+def x07_document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of documents: written as files, read by what they are, cut at student numbers."""
+    from gradelake.operators import extract
+    from gradelake.sources.sheets import read_documents
+
+    a = academic(spark, sf_dir)
+    rows = a.results.filter("status = 'PASS' and grade in ('A+', 'A', 'B') and semester = 1 and student_id < 20").join(a.students.select("student_id", "usn"), "student_id")
+    line = F.concat(F.lit("SB"), F.lpad((F.col("subject_id") % 10000).cast("string"), 4, "0"), F.lit("\tpaper\t"), F.col("total_marks").cast("string"), F.lit("\t"), "grade", F.lit("\tPASS"))
+    said = rows.groupBy("usn").agg(F.array_join(F.collect_list(line), "\n").alias("lines")).select(F.concat("usn", F.lit("\n"), "lines").alias("value"))
+    folder = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    said.write.option("lineSep", "\n").text(folder)
+    found = extract.raw_text_records(read_documents(spark, folder).filter("text <> ''"), "path", "text")
+    return found.select("usn", "code", "marks", "grade", "status")
+
+
 # Duplicates, search, classification
 
 

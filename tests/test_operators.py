@@ -13,7 +13,7 @@ from gradelake import streaming
 from gradelake.functions import grades, hashing, text
 from gradelake.operators import dedup, extract, gpa, mail, quality, search, writes
 from gradelake.plans.academic import academic
-from gradelake.plans.intents import Intent, answer, checked, guarded, guarded_rows, quick_kind, template, understand
+from gradelake.plans.intents import Intent, answer, at_path, checked, filled, guarded, guarded_rows, quick_kind, template, understand
 from gradelake.sources.mail import MESSAGE, flat_messages, key_of_delivery, read_messages, search_mails
 from gradelake.sources.sheets import read_cells, read_csv, read_documents
 
@@ -289,6 +289,13 @@ def test_questions(spark, small):
     assert answer(understand(f"progress of {student}"), data).columns[:3] == ["student_id", "semester", "sgpa"]
 
 
+def test_references_between_steps():
+    outputs = {"step_0": {"rows": [{"usn": "1MS21CS001"}], "n": 1}, "step_1": [1, 2]}
+    given = {"a": "{step_0.rows}", "b": "for {step_0.rows[0].usn} of {step_0.n}: {step_1[1]}", "c": "{step_9.x}", "d": "{step_0.no} {step_0.rows}", "e": 5, "f": "{step_1}"}
+    want = {"a": [{"usn": "1MS21CS001"}], "b": "for 1MS21CS001 of 1: {step_1[1]}", "c": "{step_9.x}", "d": ' [{"usn": "1MS21CS001"}]', "e": 5, "f": [1, 2]}
+    assert filled(given, outputs) == want and at_path(outputs, "step_0.rows[0].usn") == "1MS21CS001" and at_path(outputs, "step_1[7]") is None
+
+
 @pytest.mark.parametrize(("kind", "n"), [("student_lookup", 1), ("top_n", 2), ("count", 1), ("aggregation", 1), ("backlogs", 1), ("else", 1)])
 def test_templates(spark, kind, n):
     students = spark.createDataFrame([("1MS21CS001", "A", 8.0, 0), ("1MS21CS002", "B", None, 2), ("1MS21CS003", "C", 9.0, 0)], "usn string, name string, cgpa double, total_backlogs int")
