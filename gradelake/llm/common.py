@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -16,7 +17,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handled in slices of about this many UTF-8 bytes inside a task.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: What operators remember in a worker process, by operator: how to forget it.
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def remembered(operator: str, forget: Callable[[], None]) -> None:
+    """Register how to forget what ``operator`` remembers from task to task."""
+    _REMEMBERED[operator] = forget
+
+
+def only(operator: str) -> None:
+    """Called where a task of ``operator`` starts: workers are used again, so what other operators remember is forgotten."""
+    for other, forget in _REMEMBERED.items():
+        if other != operator:
+            forget()
+
+
+def release() -> None:
+    """Called where a task ends: memory that is free goes back to the system, as the worker stays."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -38,11 +62,19 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or _local_dir()).rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again: cuts lineage, survives lost executors."""
+def files_for(spark: SparkSession, n_bytes: int) -> int:
+    """How many files an intermediate of an input of ``n_bytes`` is worth: one for each 8 MiB, two for each core at least."""
+    return int(max(2 * spark.sparkContext.defaultParallelism, n_bytes >> 23))
+
+
+def written(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read again: cuts lineage, survives lost executors.
+
+    At most ``files`` files, where that is given: small tables over many partitions would cost more in files than in rows.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd")
+    (df.coalesce(files) if files else df).write.parquet(path, compression="zstd")
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -136,6 +168,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    release()
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:

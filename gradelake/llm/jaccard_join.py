@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import discard, filtered, packed, raw_texts, sketch, slices, spread, unpacked, word_hashes, written
+from gradelake.llm.common import discard, files_for, filtered, only, packed, raw_texts, release, sketch, slices, spread, unpacked, word_hashes, written
 from gradelake.llm.graph import components
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -290,6 +290,7 @@ def _scan(docs: DataFrame, held, n_ranges: int, s: Settings) -> DataFrame:
     """Kind 0: each document's point and the cores it is in. Kinds 1 and 2: the points' differences, by chunks."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("regions")
         pivots, chunk = held.value, Chunk(s, n_ranges)
         for batch in slices(batches):
             sets = shingle_sets(raw_texts(batch), s.width)
@@ -345,6 +346,7 @@ def _entries(scanned: DataFrame, s: Settings) -> DataFrame:
         level = levels(tokens, np.frombuffer(b"".join(table.column("b").to_pylist()), np.uint8).astype(np.int64))
         shared = [(t[v > 0] ^ _SIGN).tobytes() for t, v in zip(np.split(tokens, cuts), np.split(level, cuts), strict=True)]
         columns = [table.column("chunk"), table.column("range"), pa.array([v.tobytes() for v in np.split(level, cuts)], pa.binary()), pa.array(shared, pa.binary())]
+        release()
         return pa.table(columns, names=["chunk", "range", "levels", "tokens"])
 
     counted = scanned.filter("kind = 1").select("chunk", "range", "a", "b").groupBy("range").applyInArrow(count, "chunk long, range int, levels binary, tokens binary")
@@ -368,6 +370,7 @@ def _entries(scanned: DataFrame, s: Settings) -> DataFrame:
         key = pa.Array.from_buffers(pa.binary(16), len(n), [None, pa.py_buffer(keys)]).cast(pa.binary()).take(pa.array(who))
         central = np.where(origin > 0, -apart / np.maximum(n, 1), many / np.maximum(lows, 1))[who]  # near the pivot; or with much that is common
         columns = {"token": token[place[at]], "n": n[who], "pos": pos[ok], "central": central, "own": own[who] > 0, "origin": origin[who], "apart": apart[who]}
+        release()
         return pa.table({"key": key, **{k: pa.array(v) for k, v in columns.items()}})
 
     points = scanned.filter("kind = 2").select("chunk", "a", "b", "c")
@@ -400,7 +403,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, s: Settings) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "m", "n").mapInArrow(near, "a binary, b binary")
 
 
-def _sets(docs: DataFrame, points: DataFrame, keys: DataFrame, s: Settings) -> DataFrame:
+def _sets(docs: DataFrame, points: DataFrame, keys: DataFrame, s: Settings, files: int) -> DataFrame:
     """The whole shingle sets of the points ``keys``, made again from the texts that a sketch of fixed size lets through."""
     held = sketch(points.join(keys, "key", "left_semi").select("text_key"), "text_key")
 
@@ -417,7 +420,7 @@ def _sets(docs: DataFrame, points: DataFrame, keys: DataFrame, s: Settings) -> D
             yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.binary()), pa.array(list(sets.values()), pa.binary()), pa.array(counts, pa.list_(pa.int16()))], names=["key", "tokens", "outline"])
 
     made = docs.select("text", F.xxhash64("text").alias("text_key")).mapInArrow(work, "key binary, tokens binary, outline array<smallint>")
-    return written(made.join(keys, "key", "left_semi").dropDuplicates(["key"]), "sets")
+    return written(made.join(keys, "key", "left_semi").dropDuplicates(["key"]), "sets", files)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -516,7 +519,7 @@ def _by_size(large: DataFrame, s: Settings) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links lead to)."""
-    return _placed(docs, settings).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return _placed(docs, settings)[0].select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -525,7 +528,8 @@ def keep_one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFr
     Rows with a null doc_id stay, one of each component that has no other id. Rows without words are components by
     themselves and all stay. Only what goes is shuffled with the texts.
     """
-    placed = written(_placed(docs, settings), "placed")
+    placed, files = _placed(docs, settings)
+    placed = written(placed, "placed", files)
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
 
     def is_row(of: DataFrame):
@@ -542,47 +546,49 @@ def keep_one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFr
         return left
     roots = twice.select(F.col("doc_id").alias("twice_id"), F.col("root").alias("twice_root"))
     same = kept["doc_id"].eqNullSafe(roots["twice_id"]) & (kept["root"] == roots["twice_root"])
-    again = written(kept.join(roots, same, "left_semi").select(F.col("doc_id").alias("row_id"), F.col("text_key").alias("row_key"), "root").distinct(), "twice")
+    again = written(kept.join(roots, same, "left_semi").select(F.col("doc_id").alias("row_id"), F.col("text_key").alias("row_key"), "root").distinct(), "twice", files)
     root = f"root_{uuid.uuid4().hex}"
     again = again.withColumnRenamed("root", root)
     rows = left.join(again, is_row(again)).select(*(left[c] for c in docs.columns), root)
     return left.join(again, is_row(again), "left_anti").unionByName(rows.dropDuplicates(["doc_id", root]).drop(root))
 
 
-def _placed(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, a hash of the text, set size, component's root (null without words) and component of every document."""
+def _placed(docs: DataFrame, s: Settings) -> tuple[DataFrame, int]:
+    """doc_id, a hash of the text, set size, component's root (null without words) and component of every document; and how many files a table of them is worth."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     n_docs, n_bytes = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     pivots = sampled_pivots(docs, n_docs, s)
     held = spark.sparkContext.broadcast(pivots)  # at most settings.pivots sets of settings.pivot_bytes bytes of text
+    files = files_for(spark, n_bytes or 0)
     scanned = written(_scan(docs, held, int(min(1 << 17, max(8, (n_bytes or 0) >> 24))), s), "scanned")
+    held.destroy()
     points = scanned.filter("kind = 0").select("doc_id", "text_key", "key", "n", "buckets")
-    entries = written(_entries(scanned, s).dropDuplicates(["token", "key"]).withColumn("home", F.lit(True)), "entries")
+    entries = written(_entries(scanned, s).dropDuplicates(["token", "key"]).withColumn("home", F.lit(True)), "entries", files)
     near = scanned.filter("kind = 0 and size(cores) > 0").select(F.col("key").alias("a"), F.explode("cores").alias("pivot"))
     core_of = spark.createDataFrame([(k, bytearray(key)) for k, key in enumerate(pivots.keys)], "pivot int, b binary")
-    links = written(near.join(F.broadcast(core_of), "pivot").select("a", "b").distinct(), "links")
-    roots = components(links)
+    links = written(near.join(F.broadcast(core_of), "pivot").select("a", "b").distinct(), "links", files)
+    roots = components(links, files)
     is_large = F.col("size") > s.direct
     used, sets = [entries], None
 
     def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Parts that are joined directly, and large ones, cut by size."""
-        regions = written(_regions(_labelled(rows, roots)), "regions")
-        cut = written(_by_size(regions.filter(is_large), s), "regions-by-size")
+        regions = written(_regions(_labelled(rows, roots)), "regions", files)
+        cut = written(_by_size(regions.filter(is_large), s), "regions-by-size", files)
         used.extend([regions, cut])
         return regions.filter(~is_large).unionByName(cut.filter(~is_large)), cut.filter(is_large)
 
     def joined(members: DataFrame, also: DataFrame | None = None) -> DataFrame:
         """The links among the members of small parts; the first call gathers the sets that these and ``also`` need."""
         nonlocal sets
-        pairs = written(_direct_pairs(members, s).distinct(), "pairs")
-        pairs_left = written(_bounded(pairs, points, s), "near-pairs")
+        pairs = written(_direct_pairs(members, s).distinct(), "pairs", files)
+        pairs_left = written(_bounded(pairs, points, s), "near-pairs", files)
         if sets is None:
             wanted = pairs_left.select(F.col("a").alias("key")).unionByName(pairs_left.select(F.col("b").alias("key"))).unionByName(also.select("key")).distinct()
-            sets = _sets(docs, points, wanted, s)
+            sets = _sets(docs, points, wanted, s, files)
         used.extend([pairs, pairs_left])
-        return written(_linked(pairs_left, sets, s), "links")
+        return written(_linked(pairs_left, sets, s), "links", files)
 
     small, large = parted(entries)
     links = links.unionByName(joined(small, large))
@@ -591,10 +597,10 @@ def _placed(docs: DataFrame, s: Settings) -> DataFrame:
         if not rows or work <= s.crowd * rows:
             break
         stars = large.filter("key <> pivot").select("key", "pivot").distinct()
-        about = written(_about_pivots(stars, sets, s), "about")
+        about = written(_about_pivots(stars, sets, s), "about", files)
         used.append(about)
         links = links.unionByName(about.filter("core").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
-        roots = components(links)
+        roots = components(links, files)
         differ = about.select("key", F.xxhash64("pivot").alias("origin"), "n", "apart", F.posexplode("prefix").alias("pos", "shingle"))
         differ = differ.withColumns({"token": F.xxhash64("origin", "shingle"), "own": F.lit(True), "home": F.lit(True), "central": -F.col("apart") / F.col("n"), "pos": F.col("pos").cast("long")})
         small, larger = parted(differ)
@@ -604,13 +610,14 @@ def _placed(docs: DataFrame, s: Settings) -> DataFrame:
         links = links.unionByName(joined(small))
         large, work, rows = larger, left, points_left
     if rows:  # at most settings.crowd points in a part on average, or parts that new pivots don't shrink: pairs of different components only
-        parts = _regions(_labelled(large.select("token", *_MEMBER), components(links)))
+        parts = _regions(_labelled(large.select("token", *_MEMBER), components(links, files)))
         links = links.unionByName(joined(parts.join(sets.select("key", "outline"), "key")))
-    roots = components(links)
+    roots = components(links, files)
     classes = points.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
-    classes = written(classes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key")), "classes")
-    smallest = written(classes.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
-    placed_classes = written(classes.join(smallest, "root").select("key", "root", "component_id"), "placed-classes")
+    classes = written(classes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key")), "classes", files)
+    smallest = written(classes.groupBy("root").agg(F.min("first").alias("component_id")), "smallest", files)
+    placed_classes = written(classes.join(smallest, "root").select("key", "root", "component_id"), "placed-classes", files)
     discard(*used, sets, classes, smallest)
     placed = points.join(placed_classes, "key", "left")
-    return placed.select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("root")).alias("root"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return placed.select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("root")).alias("root"), component), files

@@ -24,7 +24,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gradelake.llm.common import WordIds, raw_texts, segment_sums, slices, spread
+from gradelake.llm.common import WordIds, only, raw_texts, remembered, segment_sums, slices, spread
 
 SPACE = "▁"
 _SPACE_BYTES = SPACE.encode()
@@ -197,11 +197,15 @@ def model_at(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+remembered("pieces", model_at.cache_clear)
+
+
 def encode_and_decode(docs: DataFrame, model: str | None = None) -> DataFrame:
     """One row per document: doc_id, ids array<int>, decoded string; a map without a shuffle."""
     path = model or default_model()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("pieces")
         tables = model_at(path)
         for batch in slices(batches):
             ids, counts = tables.encode(raw_texts(batch))

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import WordIds, raw_texts, shared_dir, slices, written
+from gradelake.llm.common import WordIds, only, raw_texts, remembered, shared_dir, slices, written
 
 MAGIC = b"TIB1"
 BLOCK_IDS = 1 << 20
@@ -123,6 +123,9 @@ def encoder_at(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+remembered("tokens", encoder_at.cache_clear)
+
+
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of ``ranks``."""
     ranks = ranks.astype(np.uint32)
@@ -172,6 +175,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """doc_id and all ids of each text with the end id, as little-endian unsigned integers of 2 bytes (4 if need be)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("tokens")
         encoder = encoder_at(vocabulary)
         kind = "<u2" if max(encoder.size, end_id) < 1 << 16 else "<u4"
         for batch in slices(batches):

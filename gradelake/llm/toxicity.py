@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import labelled_sample, slices, texts
+from gradelake.llm.common import labelled_sample, only, release, slices, texts
 
 _WORD = re.compile(r"[^\W\d_]+")
 CATEGORIES = ("kind_a", "kind_b", "toxic")
@@ -185,6 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "text"])
         chain = learn_chain([t or "" for t in pdf["text"]], pdf["label"].to_numpy() == 1, settings)
+        release()
         names = [list(chain.features)] + [[]] * (len(chain.weights) - 1)
         return pd.DataFrame({"k": range(len(chain.weights)), "features": names, "weights": chain.weights})
 
@@ -198,6 +199,7 @@ def classify(docs: DataFrame, chain: Chain) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(chain)  # of fixed size: settings.features
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         chain = held.value
         for batch in slices(batches):
             p = np.concatenate([chain.probabilities(d) for d in _cut(texts(batch), 512)])
@@ -213,6 +215,7 @@ def keep_clean(docs: DataFrame, chain: Chain) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(chain)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         chain = held.value
         for batch in slices(batches):
             p = np.concatenate([chain.probabilities(d)[:, -1] for d in _cut(texts(batch), 512)])
