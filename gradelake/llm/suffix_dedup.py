@@ -5,13 +5,16 @@ are sorted:
 
 1. *Anchors*: the position of the smallest 16-byte hash among each ``length // 2 + 1`` neighbouring positions. A
    string of ``length`` bytes holds an anchor and the ``length // 2`` bytes from it on, so a repeated string has a
-   repeated anchor suffix. The leading token of an anchor suffix is the fingerprint of these bytes.
-2. *Candidates*: positions whose first smallest hash is a repeated anchor. A candidate's suffix has two leading tokens,
-   fingerprints of its first and second half (64 bits each).
-
-Both kinds are treated alike: sampled splitters range-partition the suffixes by leading token, each bucket sorts its
-suffixes by multikey quicksort (``multikey_order``), and equal neighbours are repeats. The order is that of the windows' fingerprints, not the alphabet's. A splitter never parts equal leading tokens, so the
-comparison across a boundary is decided by its first token. Documents are dealt into blocks by a hash of their text;
+   repeated anchor suffix.
+2. *Candidates*: positions whose first smallest hash is a repeated anchor.
+
+Both kinds are treated alike. A suffix's tokens are its first eight bytes as they are, and 64-bit fingerprints of
+the bytes that count: ``length // 2`` for an anchor, ``length`` for a candidate (and 32 bits of another one of its second
+half). Suffixes are in the order of their text by the first token, and of fingerprints within it. Splitters sampled as
+pairs of tokens range-partition the suffixes, so that a common beginning is dealt over several ranges; each bucket
+sorts its suffixes by multikey quicksort (``multikey_order``), and equal neighbours are repeats. Splitters are compared
+with both leading tokens, so equal suffixes never lie on both sides of a boundary: comparing a bucket's last suffix
+with the next one's first can't find a repeat, and isn't done. Documents are dealt into blocks by a hash of their text;
 a block sends each of its distinct suffixes once, so a passage that a third of all documents hold is sent at most once
 a block, and gets back a bit for each. Equal texts of one task are recognised before anything is shuffled.
 
@@ -21,7 +24,7 @@ same two steps run over each text's words, as 64-bit hashes, in place of its byt
 Defined results: null and empty texts, and texts shorter than ``length`` (and of fewer than ``n_words`` words), lose nothing; other equal
 texts lose all, in each document; matches never cross documents; strings are judged on the input; a null doc_id stays
 null; repeated rows each get their row; an empty table gives no rows. Equality of strings is equality of
-the two halves' 64-bit fingerprints; no bytes are compared.
+their first eight bytes and of 96 bits of fingerprints; the other bytes aren't compared.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import packed, raw_texts, slices, unpacked, word_hashes, written
+from gradelake.llm.common import files_for, only, raw_texts, release, remembered, slices, word_hashes, written
 
 SPAN = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 _SPAN_SQL = "array<struct<begin:bigint,end:bigint>>"
@@ -47,11 +50,11 @@ _GRAM = 16
 _WORD_GRAM = 4
 #: Suffixes that are sorted without parting them first.
 _SMALL = 1 << 16
-#: Splitters are sampled at so many quantiles at most; between them they are set evenly.
-_SAMPLED = 1 << 10
+#: Anchors from which splitters are taken.
+_SAMPLED = 1 << 15
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
@@ -59,6 +62,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+remembered("suffixes", _powers.cache_clear)
+
+
 @lru_cache(maxsize=1)
 def _byte_values() -> np.ndarray:
     return np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -107,7 +113,12 @@ class Piece:
         self.length, half = length, length // 2
         parts = [docs[d][a : b + length - 1] for d, a, b in spans]
         in_bytes = isinstance(parts[0], bytes)
-        data = _byte_values()[np.frombuffer(b"".join(parts), np.uint8)] if in_bytes else np.concatenate(parts)
+        if in_bytes:
+            self.text = b"".join([*parts, bytes(7)])
+            data = _byte_values()[np.frombuffer(self.text, np.uint8)[:-7]]
+            self.leads = np.ndarray(len(data), ">u8", self.text, strides=(1,))
+        else:
+            self.leads = data = np.concatenate(parts)
         gram = _GRAM if in_bytes else _WORD_GRAM
         sizes = np.array([b - a + length - 1 for _, a, b in spans], np.int64)
         first = np.cumsum(sizes) - sizes
@@ -121,7 +132,7 @@ class Piece:
         flag = np.zeros(len(data) + 1, bool)
         flag[self.anchor_of] = True
         self.anchors = np.flatnonzero(flag)
-        self.tokens = self.prints.at(self.anchors, half)
+        self.tokens = [self.leads[self.anchors].astype(np.uint64), self.prints.at(self.anchors, half)]
 
     def candidates(self, repeated: np.ndarray) -> np.ndarray:
         """Which starts have a repeated anchor."""
@@ -203,6 +214,29 @@ def repeats(tokens: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers as the bytes of their differences, most significant bytes first: these are mostly alike."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(">u8").ravel()
+    return np.cumsum(steps.astype(np.uint64), dtype=np.uint64)
+
+
+def ranges_of(tokens: list[np.ndarray], splitters: np.ndarray) -> np.ndarray:
+    """Where each range begins among sorted suffixes, and where the last one ends; ``splitters`` are ascending pairs of leading tokens.
+
+    A suffix equal to a splitter lies before it.
+    """
+    n, m = len(tokens[0]), len(splitters)
+    lead, print_ = np.r_[tokens[0], splitters[:, 0]], np.r_[tokens[1], splitters[:, 1]]
+    order = np.lexsort((np.arange(n + m) >= n, print_, lead))
+    before = np.flatnonzero(order >= n) - np.arange(m)
+    return np.r_[0, before, n]
+
+
 class Suffixes:
     """A block's distinct suffixes in order, and where each of its own suffixes is among them."""
 
@@ -220,22 +254,20 @@ class Suffixes:
         self.tokens = [t[order][new] for t in tokens]
         self.twice = np.bincount(number, minlength=int(new.sum())) > 1
 
-    def cuts(self, splitters: np.ndarray) -> np.ndarray:
-        """Where each range of the splitters begins and ends among the distinct suffixes."""
-        return np.r_[0, np.searchsorted(self.tokens[0], splitters, side="right"), len(self.tokens[0])]
-
     def rows(self, block: int, splitters: np.ndarray) -> pa.Table:
         """One row for each range of the splitters that has suffixes."""
-        cuts = self.cuts(splitters)
+        cuts = ranges_of(self.tokens, splitters)
         there = np.flatnonzero(np.diff(cuts))
-        first = [packed(self.tokens[0][cuts[r] : cuts[r + 1]]) for r in there]
-        second = [self.tokens[1][cuts[r] : cuts[r + 1]].astype("<u8").tobytes() if len(self.tokens) > 1 else b"" for r in there]
-        return pa.table({"range": pa.array(there, pa.int32()), "block": pa.array([block] * len(there), pa.int32()), "first": pa.array(first, pa.binary()), "second": pa.array(second, pa.binary())})
+        part = lambda t, kind: [t[cuts[r] : cuts[r + 1]].astype(kind).tobytes() for r in there]
+        lead = [_planes(self.tokens[0][cuts[r] : cuts[r + 1]]) for r in there]
+        more = part(self.tokens[2], "<u4") if len(self.tokens) > 2 else [b""] * len(there)
+        columns = [pa.array(there, pa.int32()), pa.array([block] * len(there), pa.int32()), pa.array(lead, pa.binary()), pa.array(part(self.tokens[1], "<u8"), pa.binary()), pa.array(more, pa.binary())]
+        return pa.table(columns, names=["range", "block", "lead", "print", "more"])
 
     def repeated(self, bits: dict[int, bytes], splitters: np.ndarray) -> np.ndarray:
         """Of each suffix of the block, whether it is repeated in the block or, by the ranges' bits, in another."""
         out = self.twice.copy()
-        cuts = self.cuts(splitters)
+        cuts = ranges_of(self.tokens, splitters)
         for r, data in bits.items():
             n = cuts[r + 1] - cuts[r]
             out[cuts[r] : cuts[r + 1]] |= np.unpackbits(np.frombuffer(data, np.uint8), count=int(n)).astype(bool)
@@ -246,13 +278,14 @@ def _judge(suffixes: DataFrame) -> DataFrame:
     """Sort each range's suffixes and give back, for each block, a bit per suffix: repeated in another block or not."""
 
     def sort(table):
-        firsts = [unpacked(x) for x in table.column("first").to_pylist()]
-        sizes = np.array([len(x) for x in firsts], np.int64)
-        tokens = [np.concatenate(firsts)]
-        second = b"".join(table.column("second").to_pylist())
-        if second:
-            tokens.append(np.frombuffer(second, "<u8"))
+        leads = [_from_planes(x) for x in table.column("lead").to_pylist()]
+        sizes = np.array([len(x) for x in leads], np.int64)
+        tokens = [np.concatenate(leads), np.frombuffer(b"".join(table.column("print").to_pylist()), "<u8")]
+        more = b"".join(table.column("more").to_pylist())
+        if more:
+            tokens.append(np.frombuffer(more, "<u4"))
         bits = np.split(repeats(tokens), np.cumsum(sizes)[:-1])
+        release()
         return pa.table({"block": table.column("block"), "range": table.column("range"), "bits": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())})
 
     return suffixes.groupBy("range").applyInArrow(sort, "block int, range int, bits binary")
@@ -275,21 +308,24 @@ def _block_docs(table: pa.Table) -> tuple[pa.Table, list[bytes], np.ndarray]:
 
 def _candidate_suffixes(docs: list, length: int, anchors: Suffixes, repeated: np.ndarray) -> tuple[Suffixes, np.ndarray, np.ndarray]:
     """The candidates' suffixes with their texts and places."""
-    doc, place, one, two, done = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], 0
+    none, half = np.zeros(0, np.int64), length // 2
+    doc, place, lead, whole, more, done = [none], [none], [none.astype(np.uint64)], [none.astype(np.uint64)], [none.astype(np.uint32)], 0
     for p in pieces(docs, length):
-        ok = p.candidates(repeated[done : done + len(p.tokens)])
-        done += len(p.tokens)
+        ok = p.candidates(repeated[done : done + len(p.anchors)])
+        done += len(p.anchors)
         if ok.any():
             starts = p.starts[ok]
             doc.append(p.doc[ok])
             place.append(p.place[ok])
-            one.append(p.prints.at(starts, length // 2))
-            two.append(p.prints.at(starts + length // 2, length - length // 2))
-    return Suffixes([np.concatenate(one), np.concatenate(two)]), np.concatenate(doc), np.concatenate(place)
+            lead.append(p.leads[starts].astype(np.uint64))
+            whole.append(p.prints.at(starts, length))
+            more.append((p.prints.at(starts + half, length - half) >> np.uint64(32)).astype(np.uint32))
+    return Suffixes([np.concatenate(lead), np.concatenate(whole), np.concatenate(more)]), np.concatenate(doc), np.concatenate(place)
 
 
 def _anchor_suffixes(docs: list, length: int) -> Suffixes:
-    return Suffixes([np.concatenate([*(p.tokens for p in pieces(docs, length)), np.zeros(0, np.uint64)])])
+    own = [p.tokens for p in pieces(docs, length)]
+    return Suffixes([np.concatenate([*(t[k] for t in own), np.zeros(0, np.uint64)]) for k in (0, 1)])
 
 
 def words_of(docs: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
@@ -341,44 +377,56 @@ def _kept(text: bytes, spans: list[dict[str, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _splitters(docs: DataFrame, length: int, ranges: int, in_words: bool) -> np.ndarray:
-    """Boundaries that deal leading tokens evenly, from the anchors of a hash-chosen fiftieth of the texts.
+def _splitters(docs: DataFrame, length: int, ranges: int, in_words: bool, total: int) -> np.ndarray:
+    """Pairs of leading tokens that deal suffixes evenly, from some anchors of a hash-chosen fiftieth of the texts.
 
-    Only the evenness of the ranges depends on them. At most ``_SAMPLED`` of them are sampled, whatever the input.
+    Only the evenness of the ranges depends on them. About ``_SAMPLED`` anchors reach the driver at most, whatever the
+    input; more ranges than that are set evenly between two of them.
     """
+    every = np.uint64(max(1, total // 50 // 100 // _SAMPLED))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            tokens = np.concatenate([*(p.tokens for p in pieces(_units(raw_texts(batch), in_words), length)), np.zeros(0, np.uint64)])
-            tokens = tokens[tokens % np.uint64(8) == 0]
-            yield pa.RecordBatch.from_arrays([pa.array((tokens >> np.uint64(11)).astype(np.float64))], names=["token"])
-
-    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(50)) == 0).select("text").mapInArrow(work, "token double")
-    n = min(ranges, _SAMPLED)
-    found = some.approxQuantile("token", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else []
-    if len(found) < n - 1:
-        found = [k / n * (1 << 53) for k in range(1, n)]
-    found = np.interp(np.arange(1, ranges) / ranges, np.arange(n + 1) / n, [0.0, *sorted(found), float(1 << 53)])
-    return found.astype(np.uint64) << np.uint64(11)
-
-
-def _repeat_bits(docs: DataFrame, blocks: DataFrame, length: int, ranges: int, in_words: bool) -> tuple[DataFrame, np.ndarray]:
+            own = [p.tokens for p in pieces(_units(raw_texts(batch), in_words), length)]
+            lead, print_ = (np.concatenate([*(t[k] for t in own), np.zeros(0, np.uint64)]) for k in (0, 1))
+            some = print_ % every == 0
+            yield pa.RecordBatch.from_arrays([pa.array(lead[some].view(np.int64)), pa.array(print_[some].view(np.int64))], names=["lead", "print"])
+
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(50)) == 0).select("text").mapInArrow(work, "lead long, print long")
+    found = some.limit(4 * _SAMPLED).toArrow()
+    lead, print_ = (found.column(c).to_numpy().view(np.uint64) for c in ("lead", "print"))
+    order = np.lexsort((print_, lead))
+    most = np.uint64(0xFFFFFFFFFFFFFFFF)
+    known = np.stack([np.r_[np.uint64(0), lead[order], most], np.r_[np.uint64(0), print_[order], most]], axis=1)
+    at = np.arange(1, ranges) / ranges * (len(known) - 1)
+    low, share = known[at.astype(np.int64)], at % 1
+    gap = known[at.astype(np.int64) + 1] - low
+    between = np.stack([low[:, 0] + (gap[:, 0] * share).astype(np.uint64), low[:, 1] + np.where(gap[:, 0] == 0, gap[:, 1] * share, 0).astype(np.uint64)], axis=1)
+    return between[np.lexsort((between[:, 1], between[:, 0]))]
+
+
+def _repeat_bits(docs: DataFrame, blocks: DataFrame, length: int, ranges: int, in_words: bool, total: int) -> tuple[DataFrame, np.ndarray]:
     """For each block and range, which anchors (stage 1; words: 4) and candidates (2; 5) are repeated, and the splitters."""
-    splitters, stage = _splitters(docs, length, ranges, in_words), 4 if in_words else 1
+    splitters, stage = _splitters(docs, length, ranges, in_words, total), 4 if in_words else 1
 
     def anchors(key, table):
+        only("suffixes")
         return _anchor_suffixes(_units(_block_docs(table)[1], in_words), length).rows(key[0].as_py(), splitters)
 
-    shape = "range int, block int, first binary, second binary"
+    files = files_for(docs.sparkSession, total)
+    shape = "range int, block int, lead binary, print binary, more binary"
     narrow = blocks.select("block", "print", "text")
-    one = written(_judge(narrow.groupBy("block").applyInArrow(anchors, shape)).withColumn("stage", F.lit(stage)), "anchor-bits")
+    one = written(_judge(narrow.groupBy("block").applyInArrow(anchors, shape)).withColumn("stage", F.lit(stage)), "anchor-bits", files)
 
     def windows(key, table, bits):
+        only("suffixes")
         docs = _units(_block_docs(table)[1], in_words)
         own = _anchor_suffixes(docs, length)
-        return _candidate_suffixes(docs, length, own, own.repeated(_bits_of(bits, stage), splitters))[0].rows(key[0].as_py(), splitters)
+        out = _candidate_suffixes(docs, length, own, own.repeated(_bits_of(bits, stage), splitters))[0].rows(key[0].as_py(), splitters)
+        release()
+        return out
 
-    two = written(_judge(narrow.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(windows, shape)).withColumn("stage", F.lit(stage + 1)), "window-bits")
+    two = written(_judge(narrow.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(windows, shape)).withColumn("stage", F.lit(stage + 1)), "window-bits", files)
     return one.unionByName(two), splitters
 
 
@@ -401,7 +449,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # A block sends a row to each range it has suffixes for, so both follow the bytes, not the number of partitions.
-    n_blocks = int(max(64, total >> 22))
+    n_blocks = int(max(64, total >> 21))
     n_ranges = int(max(32, total >> 23))
     n_buckets = int(max(parts, total >> 24, 1))
     extra = [f for f in docs.schema.fields if f.name in carry]
@@ -436,9 +484,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
     rows.repartition(n_buckets, "block").write.bucketBy(n_buckets, "block").sortBy("block").option("compression", "zstd").saveAsTable(name)
     again = spark.table(name).filter("block < 0")
     blocks = spark.table(name).filter("block >= 0").drop("home", "n_bytes")
-    bits, splitters = _repeat_bits(docs, blocks, length, n_ranges, False)
+    bits, splitters = _repeat_bits(docs, blocks, length, n_ranges, False, total)
     if n_words is not None:
-        more, word_splitters = _repeat_bits(docs, blocks, n_words, n_ranges, True)
+        more, word_splitters = _repeat_bits(docs, blocks, n_words, n_ranges, True, total // 6)
         bits = bits.unionByName(more)
     # Texts of which a task holds several, told to their blocks: at most one row for each text and task.
     told = again.select(F.col("home").alias("block"), F.lit(0).alias("range"), F.col("print").alias("bits"), F.lit(3).alias("stage")).distinct()
@@ -470,6 +518,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
         kept = [_kept(t, s) for t, s in zip(docs, spans, strict=True)]
         out = {"doc_id": table.column("doc_id"), "n_bytes": pa.array([len(docs[d]) for d in which], pa.int64())}
         out |= {"spans": pa.array([spans[d] for d in which], SPAN), "kept": pa.array([kept[d] for d in which], pa.binary())}
+        release()
         return pa.table(out | {c: table.column(c) for c in carry})
 
     result = f"doc_id long, n_bytes long, spans {_SPAN_SQL}, kept binary{carried}"

@@ -131,15 +131,32 @@ def test_multikey_order():
     assert suffix_dedup.repeats([a, b]).tolist() == [list(zip(a, b, strict=True)).count(x) > 1 for x in zip(a, b, strict=True)]
 
 
-def test_second_halves_differ_by_64_bits(spark):
-    none = np.zeros(0, np.uint64)
-    blocks = [suffix_dedup.Suffixes([np.full(1, 9 << 40, np.uint64), np.full(1, (5 << 40) + low, np.uint64)]).rows(k, none) for k, low in enumerate([1, 2, 1])]
-    rows = spark.createDataFrame([tuple(x.values()) for t in blocks for x in t.to_pylist()], "range int, block int, first binary, second binary")
-    assert {r.block: r.bits[0] >> 7 for r in suffix_dedup._judge(rows).collect()} == {0: 1, 1: 0, 2: 1}
+def test_suffixes_differ_in_any_token(spark):
+    none = np.zeros((0, 2), np.uint64)
+    same = [np.full(1, 9 << 40, np.uint64), np.full(1, 5 << 40, np.uint64), np.full(1, 7, np.uint32)]
+    for k in range(3):
+        blocks = [suffix_dedup.Suffixes([t + t.dtype.type(low if k == j else 0) for j, t in enumerate(same)]).rows(b, none) for b, low in enumerate([1, 2, 1])]
+        rows = spark.createDataFrame([tuple(x.values()) for t in blocks for x in t.to_pylist()], "range int, block int, lead binary, print binary, more binary")
+        assert {r.block: r.bits[0] >> 7 for r in suffix_dedup._judge(rows).collect()} == {0: 1, 1: 0, 2: 1}
     text = bytes(range(100)) * 2
     own = suffix_dedup._anchor_suffixes([text], 40)
     found = suffix_dedup._candidate_suffixes([text], 40, own, own.repeated({}, none))[0]
-    assert (found.tokens[1] & np.uint64(0xFFFFFFFF)).any()
+    leads = found.tokens[0].tolist()
+    assert leads == sorted(leads) and set(leads) <= {int.from_bytes(text[k : k + 8], "big") for k in range(100)} and (found.tokens[2] > 0).any()
+
+
+def test_ranges_part_no_equal_suffixes():
+    r = np.random.default_rng(7)
+    lead, print_ = r.integers(0, 9, 500, dtype=np.uint64), r.integers(0, 50, 500, dtype=np.uint64)
+    own = suffix_dedup.Suffixes([lead, print_])
+    splitters = np.array(sorted({(int(a), int(b)) for a, b in zip(r.integers(0, 9, 12), r.integers(0, 50, 12), strict=True)}), np.uint64)
+    cuts = suffix_dedup.ranges_of(own.tokens, splitters)
+    pairs = list(zip(own.tokens[0].tolist(), own.tokens[1].tolist(), strict=True))
+    assert pairs == sorted(set(pairs)) and cuts[-1] == len(pairs)
+    for k, s in enumerate(splitters.tolist()):
+        assert all(p <= tuple(s) for p in pairs[: cuts[k + 1]]) and all(p > tuple(s) for p in pairs[cuts[k + 1] :])
+    values = np.sort(r.integers(0, 1 << 63, 300, dtype=np.uint64))
+    assert (suffix_dedup._from_planes(suffix_dedup._planes(values)) == values).all()
 
 
 def test_repeats_of_a_task_are_settled_once(spark, tmp_path):

@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force on their own inputs, and whole."""
 
+import re
 import zlib
 
 import corpus_pipeline as pipeline
@@ -9,6 +10,22 @@ from gradelake.llm import jaccard_join, queries, sentence_pieces, toxicity
 from .test_operators import brute_repeats, words_of
 
 
+def brute_passages(texts, n):
+    seen, places = {}, []
+    for t in texts:
+        own = [(m.start(), m.end()) for m in re.finditer(rb"[^ \t-\r]+", t)]
+        places.append(own)
+        words = [t[a:b] for a, b in own]
+        for k in range(len(words) - n + 1):
+            seen[tuple(words[k : k + n])] = seen.get(tuple(words[k : k + n]), 0) + 1
+    for t, own in zip(texts, places, strict=True):
+        cut, words = np.zeros(len(t), bool), [t[a:b] for a, b in own]
+        for k in range(len(words) - n + 1):
+            if seen[tuple(words[k : k + n])] > 1:
+                cut[own[k][0] : own[k + n - 1][1]] = True
+        yield cut
+
+
 def test_stages(spark, small, tmp_path):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     columns, seen = docs.columns, {}
@@ -38,10 +55,16 @@ def test_stages(spark, small, tmp_path):
 
     before, after = seen["suffix_array_dedup"]
     raw = [t.encode() for t in before.text]
-    lost = {d: int(c.sum()) for d, c in zip(before.doc_id, brute_repeats(raw, 400), strict=True)}
     kept = dict(zip(after.doc_id, after.text, strict=True))
-    for d, t in zip(before.doc_id, raw, strict=True):
-        assert 0 <= len(t) - lost[d] - len(kept[d].encode()) <= 6 * (lost[d] > 0) + 12 * (lost[d] > 800)
+    for d, t, by_bytes, by_words in zip(before.doc_id, raw, brute_repeats(raw, 400), brute_passages(raw, 51), strict=True):
+        gone = by_bytes | by_words
+        for k in range(len(t)):  # whole characters go
+            if t[k] & 0xC0 == 0x80 and gone[k - 1]:
+                gone[k] = True
+        for k in range(len(t) - 1, 0, -1):
+            if t[k] & 0xC0 == 0x80 and gone[k]:
+                gone[k - 1] = True
+        assert kept[d].split() == np.frombuffer(t, np.uint8)[~gone].tobytes().decode().split()
     assert (after.n_chars == after.text.str.len()).all()
 
     before, after = seen["benchmark_decontamination"]
