@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gradelake.functions.grades import SCALE_8, SCALE_10, clamp, grade_of_marks, grade_of_points, points
 from gradelake.functions.text import USN
+from gradelake.operators import gpa
 
 #: How far each way of extraction is trusted; the first name that a strategy's name holds counts.
 WEIGHTS = {"universal_llm": 0.90, "enhanced_llm": 0.85, "llm": 0.80, "document_parser": 0.75, "text_regex": 0.65, "csv_format": 0.70}
@@ -98,12 +99,15 @@ def guard_problems(record: Column) -> Column:
 
 
 def sgpa_of(subjects: Column) -> Column:
-    """Points by credits of an array of subjects (grade_points, credits): 0 points count, missing points don't; 3 credits if none."""
+    """Points by credits of an array of subjects (grade_points, credits): 0 points count, missing points don't; 3 credits if none.
+
+    Points count in hundredths, so that the quotient is rounded in whole numbers.
+    """
     known = F.filter(subjects, lambda s: s["grade_points"].isNotNull())
     credit = lambda s: F.when(s["credits"] > 0, s["credits"]).otherwise(3)
-    weighted = F.aggregate(known, F.lit(0.0), lambda a, s: a + s["grade_points"] * credit(s))
+    weighted = F.aggregate(known, F.lit(0).cast("long"), lambda a, s: a + F.round(s["grade_points"] * 100).cast("long") * credit(s))
     total = F.aggregate(known, F.lit(0).cast("long"), lambda a, s: a + credit(s))
-    return F.when(total > 0, F.round(weighted / total, 2))
+    return gpa.ratio(weighted, total * 100, 2)
 
 
 def validated(records: DataFrame) -> DataFrame:

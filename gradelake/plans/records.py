@@ -212,7 +212,7 @@ def told_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOLD = f"""
 m AS (SELECT student_id, semester, subject_id, credits, CASE WHEN subject_id % 5 = 0 THEN least(total_marks + 100, 100) ELSE total_marks END AS m, CASE WHEN subject_id % 3 = 0 THEN NULL ELSE grade END AS g FROM results JOIN subjects USING (subject_id)),
 p AS (SELECT student_id, semester, credits, subject_id, {POINTS.format("coalesce(g, " + GRADE.format("m") + ")")} AS gp, m FROM m),
-s AS (SELECT student_id, semester, round(sum(gp * credits) / sum(credits), 2) AS own, count(*) AS n, count(*) - count(DISTINCT subject_id) AS again, sum(m)::bigint AS marks FROM p GROUP BY 1, 2)"""
+s AS (SELECT student_id, semester, {gpa.ratio_sql('sum(gp * credits * 100)', 'sum(credits) * 100', 2)} AS own, count(*) AS n, count(*) - count(DISTINCT subject_id) AS again, sum(m)::bigint AS marks FROM p GROUP BY 1, 2)"""
 
 
 @query("v04_validated_records", f"""
@@ -229,7 +229,7 @@ def v04_validated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("v07_merged_by_votes", f"""
 WITH r AS (SELECT student_id, semester, code, min_by(total_marks, attempt_number) AS m, min_by(grade, attempt_number) AS g, bool_or(status = 'FAIL') AS failed FROM results JOIN subjects USING (subject_id) WHERE status IN ('PASS', 'FAIL') GROUP BY 1, 2, 3)
-SELECT student_id || '-' || semester AS doc, usn, semester, count(*) AS n, sum(m)::bigint AS marks, round(sum({POINTS.format("g")} * 3) / sum(3), 2)::double AS sgpa, count(*) FILTER (WHERE failed) AS failed, 0.84::double AS confidence, 'text_regex+document_parser' AS strategy
+SELECT student_id || '-' || semester AS doc, usn, semester, count(*) AS n, sum(m)::bigint AS marks, {gpa.ratio_sql("sum(" + POINTS.format("g") + " * 300)", "count(*) * 300", 2)} AS sgpa, count(*) FILTER (WHERE failed) AS failed, 0.84::double AS confidence, 'text_regex+document_parser' AS strategy
 FROM r JOIN students USING (student_id) GROUP BY 1, 2, 3""")
 def v07_merged_by_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of two strategies merged by document: marks from the one, grades from the other, fails from either."""
