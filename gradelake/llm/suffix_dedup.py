@@ -306,11 +306,11 @@ def _block_docs(table: pa.Table) -> tuple[pa.Table, list[bytes], np.ndarray]:
     return table, table.filter(pa.array(first)).column("text").cast(pa.binary()).to_pylist(), which
 
 
-def _candidate_suffixes(docs: list, length: int, anchors: Suffixes, repeated: np.ndarray) -> tuple[Suffixes, np.ndarray, np.ndarray]:
-    """The candidates' suffixes with their texts and places."""
+def _candidate_suffixes(parts: list[Piece], length: int, repeated: np.ndarray) -> tuple[Suffixes, np.ndarray, np.ndarray]:
+    """The candidates' suffixes with their texts and places; ``repeated`` says which anchors are."""
     none, half = np.zeros(0, np.int64), length // 2
     doc, place, lead, whole, more, done = [none], [none], [none.astype(np.uint64)], [none.astype(np.uint64)], [none.astype(np.uint32)], 0
-    for p in pieces(docs, length):
+    for p in parts:
         ok = p.candidates(repeated[done : done + len(p.anchors)])
         done += len(p.anchors)
         if ok.any():
@@ -323,9 +323,8 @@ def _candidate_suffixes(docs: list, length: int, anchors: Suffixes, repeated: np
     return Suffixes([np.concatenate(lead), np.concatenate(whole), np.concatenate(more)]), np.concatenate(doc), np.concatenate(place)
 
 
-def _anchor_suffixes(docs: list, length: int) -> Suffixes:
-    own = [p.tokens for p in pieces(docs, length)]
-    return Suffixes([np.concatenate([*(t[k] for t in own), np.zeros(0, np.uint64)]) for k in (0, 1)])
+def _anchor_suffixes(parts: list[Piece]) -> Suffixes:
+    return Suffixes([np.concatenate([*(p.tokens[k] for p in parts), np.zeros(0, np.uint64)]) for k in (0, 1)])
 
 
 def words_of(docs: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
@@ -411,7 +410,9 @@ def _repeat_bits(docs: DataFrame, blocks: DataFrame, length: int, ranges: int, i
 
     def anchors(key, table):
         only("suffixes")
-        return _anchor_suffixes(_units(_block_docs(table)[1], in_words), length).rows(key[0].as_py(), splitters)
+        out = _anchor_suffixes(list(pieces(_units(_block_docs(table)[1], in_words), length))).rows(key[0].as_py(), splitters)
+        release()
+        return out
 
     files = files_for(docs.sparkSession, total)
     shape = "range int, block int, lead binary, print binary, more binary"
@@ -420,9 +421,9 @@ def _repeat_bits(docs: DataFrame, blocks: DataFrame, length: int, ranges: int, i
 
     def windows(key, table, bits):
         only("suffixes")
-        docs = _units(_block_docs(table)[1], in_words)
-        own = _anchor_suffixes(docs, length)
-        out = _candidate_suffixes(docs, length, own, own.repeated(_bits_of(bits, stage), splitters))[0].rows(key[0].as_py(), splitters)
+        parts = list(pieces(_units(_block_docs(table)[1], in_words), length))
+        told = _anchor_suffixes(parts).repeated(_bits_of(bits, stage), splitters)
+        out = _candidate_suffixes(parts, length, told)[0].rows(key[0].as_py(), splitters)
         release()
         return out
 
@@ -432,8 +433,8 @@ def _repeat_bits(docs: DataFrame, blocks: DataFrame, length: int, ranges: int, i
 
 def _repeated_strings(docs: list, length: int, bits: pa.Table, stage: int, splitters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The repeated strings' texts and places."""
-    own = _anchor_suffixes(docs, length)
-    found, doc, place = _candidate_suffixes(docs, length, own, own.repeated(_bits_of(bits, stage), splitters))
+    parts = list(pieces(docs, length))
+    found, doc, place = _candidate_suffixes(parts, length, _anchor_suffixes(parts).repeated(_bits_of(bits, stage), splitters))
     gone = found.repeated(_bits_of(bits, stage + 1), splitters)
     return doc[gone], place[gone]
 

@@ -139,8 +139,8 @@ def test_suffixes_differ_in_any_token(spark):
         rows = spark.createDataFrame([tuple(x.values()) for t in blocks for x in t.to_pylist()], "range int, block int, lead binary, print binary, more binary")
         assert {r.block: r.bits[0] >> 7 for r in suffix_dedup._judge(rows).collect()} == {0: 1, 1: 0, 2: 1}
     text = bytes(range(100)) * 2
-    own = suffix_dedup._anchor_suffixes([text], 40)
-    found = suffix_dedup._candidate_suffixes([text], 40, own, own.repeated({}, none))[0]
+    parts = list(suffix_dedup.pieces([text], 40))
+    found = suffix_dedup._candidate_suffixes(parts, 40, suffix_dedup._anchor_suffixes(parts).repeated({}, none))[0]
     leads = found.tokens[0].tolist()
     assert leads == sorted(leads) and set(leads) <= {int.from_bytes(text[k : k + 8], "big") for k in range(100)} and (found.tokens[2] > 0).any()
 
