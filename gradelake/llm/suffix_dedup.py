@@ -443,7 +443,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
     """One row per document: doc_id, n_bytes, spans (removed bytes), kept (the remaining bytes), and ``carry`` columns.
 
     Strings of ``length`` bytes that occur twice go, and runs of ``n_words`` words where that is given.
-    With ``whole_characters``, spans are widened to whole characters, so that what is kept is text again.
+    With ``whole_characters``, spans are widened to whole characters, so that what is kept is text again. The result
+    reads a bucketed table of its own until ``drop_blocks``.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", *carry)
@@ -528,4 +529,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
     none, empty = F.array().cast(_SPAN_SQL), F.lit("").cast("binary")
     copies = again.select("doc_id", "n_bytes", whole.alias("spans"), empty.alias("kept"), *carry)
     short = dealt.filter("block is null").select("doc_id", "n_bytes", none.alias("spans"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("kept"), *carry)
-    return cutted.unionByName(copies).unionByName(short)
+    out = cutted.unionByName(copies).unionByName(short)
+    out.blocks_table = name
+    return out
+
+
+def drop_blocks(result: DataFrame) -> None:
+    """Drop the table that a result of ``remove_repeats`` reads, once the result is stored elsewhere."""
+    result.sparkSession.sql(f"DROP TABLE IF EXISTS {result.blocks_table}")
