@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradelake.llm import decontaminate, jaccard_join, queries, sentence_pieces, suffix_dedup, toxicity
-from gradelake.llm.common import table, written
+from gradelake.llm.common import discard, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     left = suffix_dedup.remove_repeats(packed, carry=("carried",) if other else (), whole_characters=True, n_words=51)
     columns = {"doc_id": F.col("doc_id"), "text": F.col("kept").cast("string"), "n_chars": F.length(F.col("kept").cast("string")).cast("long")}
     columns |= {c: F.col("carried")[c] for c in other}
-    return left.select(*(columns[c].alias(c) for c in docs.columns))
+    out = left.select(*(columns[c].alias(c) for c in docs.columns))
+    out.blocks_table = left.blocks_table
+    return out
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +62,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; a stage's rows are deleted once the next one's are written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        found = stage(spark, docs, sf_dir)
+        docs = written(found, f"pipeline-{name}")
+        if "blocks_table" in vars(found):
+            suffix_dedup.drop_blocks(found)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
