@@ -6,7 +6,7 @@ and the mean, largest and smallest chunk figure are combined into one probabilit
 bounded sample of labelled texts; scoring is a map.
 
 Defined results: null and empty texts are one chunk of padding and get the score that the network gives it; with no
-labels of either kind to learn from every score is the share of label 1 (0.5 without labels); a null doc_id stays
+labels of either kind (or no texts of theirs) to learn from every score is the share of label 1 (0.5 without labels); a null doc_id stays
 null; repeated rows each get their row; an empty table gives no rows; other columns are ignored.
 """
 
@@ -190,11 +190,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     """Learn from the texts (doc_id, text) that ``labels`` (doc_id, label) marks 0 or 1; other labels are ignored."""
     some, counts = labelled_sample(docs, labels, settings.sample)
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
+    constant = Network.fresh(settings)
+    constant.p["pool"][:] = 0
+    constant.p["bias"][:] = np.log(max(share, 1e-3) / max(1 - share, 1e-3))
     if len(counts) < 2:
-        net = Network.fresh(settings)
-        net.p["pool"][:] = 0
-        net.p["bias"][:] = np.log(max(share, 1e-3) / max(1 - share, 1e-3))
-        return net
+        return constant
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "text"])
@@ -206,7 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         net.train([(t or "").encode() for t in pdf["text"]], labels, weights, settings)
         return pd.DataFrame({"weights": [net.dumped()]})
 
-    return Network.loaded(bytes(some.groupBy(F.lit(1).alias("one")).applyInPandas(learn, "weights binary").first()["weights"]))
+    found = some.groupBy(F.lit(1).alias("one")).applyInPandas(learn, "weights binary").first()
+    return Network.loaded(bytes(found["weights"])) if found else constant  # no labelled id may have a text
 
 
 def score(docs: DataFrame, network: Network) -> DataFrame:

@@ -179,8 +179,9 @@ def learn_chain(docs: list[str], toxic: np.ndarray, s: Settings) -> Chain:
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Chain:
     """Learn from the texts (doc_id, text) that ``labels`` (doc_id, label) marks 0 or 1 (toxic); others are ignored."""
     some, counts = labelled_sample(docs, labels, settings.sample)
+    nothing = Chain({}, [np.r_[np.zeros(k), -10.0] for k in range(len(CATEGORIES))], settings)
     if len(counts) < 2:
-        return Chain({}, [np.array([-10.0])] + [np.r_[np.zeros(k), -10.0] for k in range(1, len(CATEGORIES))], settings)
+        return nothing
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "text"])
@@ -190,6 +191,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         return pd.DataFrame({"k": range(len(chain.weights)), "features": names, "weights": chain.weights})
 
     found = some.groupBy(F.lit(1).alias("one")).applyInPandas(learn, "k int, features array<string>, weights array<double>").collect()
+    if not found:  # no labelled id has a text
+        return nothing
     out = sorted(found, key=lambda r: r["k"])
     return Chain({f: k for k, f in enumerate(out[0]["features"])}, [np.array(r["weights"]) for r in out], settings)
 

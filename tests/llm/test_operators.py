@@ -504,7 +504,7 @@ def test_calibrated_bands_reject_planted_junk(spark, small):
     assert got[got.label == 0].kept.mean() < 0.55
     random.seed(11)
     prose = [r.text for r in docs.join(labels.filter("label = 1"), "doc_id").filter("length(text) between 6000 and 9000").limit(5).collect()]
-    noise = ["".join(random.choice("abcdefghijklmnopqrstuvwxyz      ") for _ in range(n)) for n in (300, 1500, 6000)]
+    noise = ["".join(chr(random.randint(33, 126)) + " " * (k % 9 == 0) for k in range(n)) for n in (300, 1500, 6000)]
     again = [" ".join(w for k in range(30) for w in [*p.split()[:4], str(k * 7919)]) for p in prose]
     rows = spark.createDataFrame(list(enumerate(prose + noise + again)), "doc_id long, text string")
     said = [r.verdict for r in quality_rules.quality_rules(rows, limits).orderBy("doc_id").collect()]
@@ -521,6 +521,7 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, label int")
     assert toxicity.classify(empty, toxicity.fit(frame(spark, AWKWARD), labels.limit(0))).count() == 0
     assert quality_model.score(empty, quality_model.fit(empty, labels)).count() == 0
+    assert not any(r.rejected for r in toxicity.classify(frame(spark, AWKWARD), toxicity.fit(empty, labels)).collect())
     model = language_id.fit(frame(spark, ["the cat walks", "a dog runs far"]).withColumn("lang", F.lit("en")))
     assert language_id.identify(empty, model).count() == 0
 
