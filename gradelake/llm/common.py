@@ -229,7 +229,7 @@ class WordIds:
     than ``id_limit`` ids. Long words (a paragraph without spaces is one) add to it only until then.
     """
 
-    def __init__(self, encode_words, limit: int = 500_000, id_limit: int = 4_000_000) -> None:
+    def __init__(self, encode_words, limit: int = 1_500_000, id_limit: int = 8_000_000) -> None:
         self.encode_words, self.limit, self.id_limit = encode_words, limit, id_limit
         self._empty()
 
