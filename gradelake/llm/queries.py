@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import chat_format, decontaminate, jaccard_join, language_id, quality_model, quality_rules, sentence_pieces, suffix_dedup, token_files, toxicity
+from gradelake.llm import (
+    chat_format,
+    collocations,
+    decontaminate,
+    jaccard_join,
+    language_id,
+    mixture,
+    quality_model,
+    quality_rules,
+    sentence_pieces,
+    spelling,
+    suffix_dedup,
+    token_files,
+    toxicity,
+)
 from gradelake.llm.common import crc32_mod, table
 
 
@@ -148,6 +162,82 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its form and root, over runs of letters of which one in 199 is damaged."""
+    counts = spelling.word_counts(table(spark, sf_dir, "documents", "doc_id", "text"), min_length=6, every=199)
+    return spelling.spelling_groups(counts.filter("n >= 5"))
+
+
+_OP11_SQL = r"""
+WITH RECURSIVE
+crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)),
+  lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS tab),
+runs AS (SELECT doc_id, w, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS w FROM documents)
+  WHERE length(w) >= 6 GROUP BY doc_id, w),
+hashed AS (SELECT w, n, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
+    flatten(list_transform(string_split(doc_id || ':' || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END))),
+    lambda c, b: xor(tab[1 + (xor(c, b) & 255)], c // 256))) AS h FROM runs, crc),
+spelt AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n FROM hashed),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM v)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN v b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN v b ON a.rest = b.word),
+f AS (SELECT v.word, v.n, count(near) AS n_near, arg_min(near, (-near_n, near)) AS best, max(near_n) AS best_n FROM v LEFT JOIN pairs USING (word) GROUP BY v.word, v.n),
+g AS (SELECT word, n, n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n FROM f),
+r AS (SELECT word, form AS cur, 1 AS k FROM g WHERE form IS NOT NULL UNION ALL SELECT r.word, g.form, k + 1 FROM r JOIN g ON r.cur = g.word WHERE g.form IS NOT NULL),
+l AS (SELECT word, arg_max(cur, k) AS root FROM r GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM g LEFT JOIN l USING (word)"""
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix of sources takes, and its source's target."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    found = mixture.mixed(docs.select("doc_id", "source", mixture.words(F.col("text")).alias("size")))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+_OP12_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS words, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM d GROUP BY source),
+o AS (SELECT *, sum(words) OVER () AS total, sum(w) OVER () AS all_w, coalesce(sum(words) OVER below, 0) AS full_words, coalesce(sum(w) OVER below, 0) AS full_w
+  FROM s WINDOW below AS (ORDER BY words::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT coalesce(max(full_words + words), 0) AS full_words, coalesce(max(full_w + w), 0) AS full_w FROM o
+  WHERE w * (3 * total - 4 * full_words) >= 4 * words * (all_w - full_w)),
+t AS (SELECT o.source, o.words, least(CASE WHEN all_w > c.full_w THEN (w * (3 * total - 4 * c.full_words))::DOUBLE / (2 * (all_w - c.full_w)) ELSE 2 * o.words END, 2 * o.words)::DOUBLE AS target,
+  ('0x' || substr(md5('0:' || coalesce(o.source, chr(0))), 1, 12))::BIGINT % 1000000000 AS off FROM o, c),
+e AS (SELECT doc_id, size, words, target, off, CASE WHEN words = 0 THEN 0 ELSE least(round(target / words * 1000000000)::BIGINT, 2000000000) END AS x,
+  row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id NULLS LAST) - 1 AS k FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+n AS (SELECT *, ((off + (k::HUGEINT * x) % 1000000000) % 1000000000 + x)::BIGINT // 1000000000 AS copies FROM e)
+SELECT doc_id, size::BIGINT AS size, words::BIGINT AS source_size, target, (copies * size)::BIGINT AS taken, copies::BIGINT AS copies FROM n"""
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents", "lang", "text"), 2000)
+
+
+_OP13_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, k, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) t(k) WHERE len(w) >= k) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, k AS size, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND f >= 30),
+cuts AS (SELECT lang, phrase, size, a, w, unnest(range(1, size)) AS k FROM c),
+s AS (SELECT c.lang, c.phrase, c.size, c.a, c.k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a) // (x.f + y.f) AS score FROM cuts c
+  JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(c.w, 1, c.k), ' ')
+  JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(c.w, c.k + 1, c.size), ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, w, a, size, k, unnest(range(1, size - k + 2)) AS i FROM c, (VALUES (2), (3)) t(k) WHERE k < size) GROUP BY 1, 2),
+o AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, score
+  FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT o.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM o JOIN n USING (lang) WHERE rank <= 2000"""
+
+
 def _op9_sql() -> str:
     template = chat_format.DEFAULT
     quote = lambda s: "'" + s.replace("'", "''") + "'" if "\u001b" not in s else " || ".join(["chr(27)", *(quote(x) for x in s.split("\u001b") if x)])
@@ -188,9 +278,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_chat_format": op9_chat_format,
         "op10_quality_model": op10_quality_model,
+        "op11_spelling_groups": op11_spelling_groups,
+        "op12_source_mix": op12_source_mix,
+        "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op3_decontaminate": _OP3_SQL, "op6_jaccard_join": _OP6_SQL, "op9_chat_format": _op9_sql()}
+    return {
+        "op3_decontaminate": _OP3_SQL,
+        "op6_jaccard_join": _OP6_SQL,
+        "op9_chat_format": _op9_sql(),
+        "op11_spelling_groups": _OP11_SQL,
+        "op12_source_mix": _OP12_SQL,
+        "op13_collocations": _OP13_SQL,
+    }
