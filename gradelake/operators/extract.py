@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import re
-import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradelake.functions.grades import points, to_double
 from gradelake.functions.text import ROMAN, USN, USN_LABEL, semester, stripped
 from gradelake.operators.quality import normal_subject
-from gradelake.sources.folders import shared_folder
 
 #: Letters that stand for a fail, in lists and after marks.
 FAIL_LETTERS = ("F", "E", "U", "AB", "W")
@@ -231,42 +228,38 @@ def table_records(rows: DataFrame, document: str) -> DataFrame:
 
 
 #: Fixed value: words that show a header cell.
-_HEADER_WORD = re.compile(r"\b(subject|code|name|usn|marks|grade|status|result|total|max|pass|fail|serial|no\.?|s\.no|sl\.?|semester|sem|sgpa|cgpa|credits?)\b", re.IGNORECASE)
-
-
-def _is_header_row(row: list[str]) -> bool:
-    return sum(bool(_HEADER_WORD.search(c)) for c in row) >= max(1, len(row) // 3) if row else False
-
-
-def stitched(tables: list[list[list[str]]], least: float = 0.6) -> list[list[list[str]]]:
-    """Tables that go on over several pages joined: a repeated header is dropped, a page without one just goes on."""
-    out: list[list[list[str]]] = []
-    for t in (t for k, t in enumerate(tables) if t or not k):
-        if out and t:
-            header, first = (out[-1][0] if out[-1] else []), t[0]
-            if abs(len(header) - len(first)) <= 1:
-                same = sum(a.strip().lower() == b.strip().lower() for a, b in zip(header, first, strict=False))
-                if not _is_header_row(first):
-                    out[-1] = out[-1] + t
-                    continue
-                if same / max(len(header), len(first), 1) >= least:
-                    out[-1] = out[-1] + t[1:]
-                    continue
-        out.append(t)
-    return out
-
+HEADER_WORD = r"(?i)\b(subject|code|name|usn|marks|grade|status|result|total|max|pass|fail|serial|no\.?|s\.no|sl\.?|semester|sem|sgpa|cgpa|credits?)\b"
 
-def stitch_tables(cells: DataFrame, document: str, table: str, row: str) -> DataFrame:
-    """``cells`` with pages of one table joined: document, table and row numbered anew, cells. A document is the unit of work."""
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([table, row])
-        tables = [[list(c) for c in g["cells"]] for _, g in pdf.groupby(table, sort=True)]
-        rows = [(pdf[document].iloc[0], t, k, c) for t, own in enumerate(stitched(tables)) for k, c in enumerate(own)]
-        return pd.DataFrame(rows, columns=[document, table, row, "cells"])
+def stitch_tables(cells: DataFrame, document: str, table: str, row: str, percent: int = 60) -> DataFrame:
+    """``cells`` with pages of one table joined: document, table and row numbered anew, cells.
 
-    kind = cells.schema[document].dataType.simpleString()
-    return cells.select(document, table, row, "cells").groupBy(document).applyInPandas(join, f"{document} {kind}, {table} int, {row} int, cells array<string>")
+    Each page is known by its first row: whether a third of its cells hold header words, and its cells. A fold over a
+    document's pages numbers the tables: a page goes on if it is about as wide as the table's header and has no header of
+    its own, or one that is ``percent`` per cent the same, which is left out. Rows then follow by number; only first rows
+    are gathered, one array a document.
+    """
+    nth = F.row_number().over(Window.partitionBy(document, table).orderBy(row))
+    rows = cells.select(document, table, row, "cells").withColumn("nth", nth)
+    low = F.transform("cells", lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")))))
+    headed = F.size(F.filter(low, lambda c: c.rlike(HEADER_WORD))) >= F.greatest(F.lit(1), F.floor(F.size("cells") / 3))
+    pages = rows.filter("nth = 1").groupBy(document).agg(F.sort_array(F.collect_list(F.struct(F.col(table).alias("page"), low.alias("first"), ((F.size("cells") > 0) & headed).alias("headed")))).alias("pages"))
+
+    def placed(so_far: Column, page: Column) -> Column:
+        head, first = so_far["head"], page["first"]
+        same = F.size(F.filter(F.zip_with(head, first, lambda x, y: x == y), lambda e: F.coalesce(e, F.lit(False))))
+        alike = same * 100 >= F.greatest(F.size(head), F.size(first), F.lit(1)) * percent
+        goes_on = (so_far["n"] >= 0) & (F.abs(F.size(head) - F.size(first)) <= 1) & (~page["headed"] | alike)
+        n = F.when(goes_on, so_far["n"]).otherwise(so_far["n"] + 1)
+        own = F.struct(page["page"].alias("page"), n.alias("n"), (goes_on & page["headed"]).alias("bare"))
+        return F.struct(n.alias("n"), F.when(goes_on, head).otherwise(first).alias("head"), F.concat(so_far["pages"], F.array(own)).alias("pages"))
+
+    none = F.expr(f"cast(array() as array<struct<page: {cells.schema[table].dataType.simpleString()}, n: int, bare: boolean>>)")
+    start = F.struct(F.lit(-1).alias("n"), F.expr("cast(array() as array<string>)").alias("head"), none.alias("pages"))
+    numbered = pages.select(F.col(document).alias("of"), F.explode(F.aggregate("pages", start, placed)["pages"]).alias("p")).select("of", "p.*")
+    joined = rows.join(numbered, F.col(document).eqNullSafe(F.col("of")) & (F.col(table) == F.col("page"))).filter("not (bare and nth = 1)")
+    place = F.row_number().over(Window.partitionBy(document, "n").orderBy(table, row)) - 1
+    return joined.select(document, F.col("n").alias(table), place.alias(row), "cells")
 
 
 def row_maps(cells: DataFrame, *keys: str, row: str) -> DataFrame:
@@ -345,30 +338,3 @@ def carried_down(rows: DataFrame, document: str, order: str, *columns: str) -> D
     """Blank cells of ``columns`` filled from the last row above that has one."""
     above = Window.partitionBy(document).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumns({c: F.last(F.nullif(F.trim(c), F.lit("")), ignorenulls=True).over(above) for c in columns})
-
-
-def threads(messages: DataFrame, key: str, parent: str) -> DataFrame:
-    """Every message with its thread's root and its depth; an unknown parent makes a root.
-
-    A message points at its parent; pointers are doubled until none moves, so the rounds grow with the logarithm of the
-    depth, which isn't bounded. Each round is written to the shared folder. Messages that answer each other in a circle
-    have no root: there the rounds end once a pointer has gone over more steps than there are messages.
-    """
-    spark = messages.sparkSession
-    folder = f"{shared_folder(spark)}/threads-{uuid.uuid4().hex}"
-    ids = messages.select(F.col(key).alias("id"), F.col(parent).alias("parent"))
-    known = ids.select(F.col("id").alias("known"))
-    at = ids.join(known, ids["parent"] == known["known"], "left").select("id", F.coalesce("known", "id").alias("up"), F.when(F.col("known").isNull(), 0).otherwise(1).alias("steps"))
-    at = at.withColumns({"steps": F.col("steps").cast("long"), "moved": F.col("steps") > 0})
-    n, done, moving = None, 0, True
-    while moving and (n is None or 1 << (done - 1) <= n):
-        at.write.parquet(f"{folder}/{done}")
-        at = spark.read.schema(at.schema).parquet(f"{folder}/{done}")
-        n, moving = at.agg(F.count("*"), F.max("moved")).first()
-        done += 1
-        if moving:
-            held = at
-            over = at.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
-            at = at.join(over, "up").select("id", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("up") != F.col("next")).alias("moved"))
-    at = held if moving else at
-    return at.select(F.col("id").alias(key), F.col("up").alias("root"), F.col("steps").cast("int").alias("depth"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,20 +39,24 @@ def source_rule(old: Column, new: Column) -> Column:
 def merge_upsert(target: DataFrame, changes: DataFrame, keys: list[str], rules: dict[str, Rule]) -> DataFrame:
     """The next snapshot: rows only in the target stay, rows only in the changes come in, others follow the rules.
 
-    One full outer join on the keys; applying the same changes again changes nothing as long as the rules are idempotent.
-    ``changes`` has one row per key (see ``last_by_key``).
+    One full outer join on the keys, in which a null is a key like any other; applying the same changes again changes
+    nothing as long as the rules are idempotent. ``changes`` has one row per key (see ``last_by_key``): a key that is
+    changed twice fails the job that reads the result.
     """
-    t, c = target.alias("t"), changes.alias("c")
-    on = [F.col(f"t.{k}") == F.col(f"c.{k}") for k in keys]
-    there = F.col(f"c.{keys[0]}").isNotNull()
-    before = F.col(f"t.{keys[0]}").isNotNull()
-    out = [F.coalesce(F.col(f"t.{k}"), F.col(f"c.{k}")).alias(k) for k in keys]
+    rest = [c for c in changes.columns if c not in keys]
+    told = changes.groupBy(*(F.col(k).alias(f"key_{k}") for k in keys)).agg(F.count("*").alias("told"), F.any_value(F.struct(F.lit(1).alias("told"), *rest)).alias("new"))
+    t = target.select(*(F.col(k).alias(f"old_{k}") for k in keys), F.struct(F.lit(1).alias("there"), *target.columns).alias("old"))
+    on = reduce(Column.__and__, (F.col(f"old_{k}").eqNullSafe(F.col(f"key_{k}")) for k in keys))
+    both = t.join(told, on, "full_outer")
+    once = F.when(F.col("told") > 1, F.raise_error(F.lit("a key is changed more than once")).cast("boolean")).otherwise(F.col("told").isNotNull())
+    both = both.withColumns({"is_told": once, "was": F.col("old").isNotNull()})
+    out = [F.when(F.col("is_told"), F.col(f"key_{k}")).otherwise(F.col(f"old_{k}")).cast(target.schema[k].dataType).alias(k) for k in keys]
     for name in target.columns:
         if name not in keys:
-            old, new = F.col(f"t.{name}"), F.col(f"c.{name}") if name in changes.columns else F.lit(None)
-            merged = F.when(~before, new).when(there, rules.get(name, newest)(old, new)).otherwise(old)
+            old, new = F.col("old")[name], F.col("new")[name] if name in rest else F.lit(None)
+            merged = F.when(~F.col("was"), new).when(F.col("is_told"), rules.get(name, newest)(old, new)).otherwise(old)
             out.append(merged.cast(target.schema[name].dataType).alias(name))
-    return t.join(c, on, "full_outer").select(*out)
+    return both.select(*out)
 
 
 def last_by_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gradelake import streaming
 from gradelake.functions import grades, hashing, text
-from gradelake.operators import dedup, extract, gpa, mail, quality, search, writes
+from gradelake.operators import dedup, extract, gpa, mail, quality, search, threads, writes
 from gradelake.plans.academic import academic, table, view
 from gradelake.plans.registry import CGPA as _CGPA
 from gradelake.plans.registry import GRADE, POINTS, QUERIES, SQL, query
@@ -379,7 +379,7 @@ def w06_carried_down(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x14_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Root and depth of every message, each answering the turn before."""
     at = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))
-    return extract.threads(table(spark, sf_dir, "conversations").select(at(F.col("turn")).alias("id"), at(F.col("turn") - 1).alias("parent")), "id", "parent")
+    return threads.threads(table(spark, sf_dir, "conversations").select(at(F.col("turn")).alias("id"), at(F.col("turn") - 1).alias("parent")), "id", "parent")
 
 
 @query("v02_subject_problems", f"""

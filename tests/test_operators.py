@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gradelake import streaming
 from gradelake.functions import grades, hashing, text
-from gradelake.operators import dedup, extract, gpa, mail, quality, search, writes
+from gradelake.operators import dedup, extract, gpa, mail, quality, search, threads, writes
 from gradelake.plans.academic import academic
 from gradelake.plans.intents import Intent, answer, at_path, checked, filled, guarded, guarded_rows, quick_kind, template, understand
 from gradelake.sources.mail import MESSAGE, flat_messages, key_of_delivery, read_messages, search_mails
@@ -71,8 +71,8 @@ def test_threads_of_any_depth(spark, tmp_path):
     got = {(r.id, r.root, r.depth) for r in queries.x14_threads(spark, str(tmp_path)).collect()}
     assert got == {(f"{c}:{k}", f"{c}:0", k) for c, k in rows}
     circle = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", None), ("d", "c")], "id string, parent string")
-    assert {("c", "c", 0), ("d", "c", 1)} < {(r.id, r.root, r.depth) for r in extract.threads(circle, "id", "parent").collect()}
-    assert extract.threads(circle.limit(0), "id", "parent").count() == 0
+    assert {(r.id, r.root, r.depth) for r in threads.threads(circle, "id", "parent").collect()} == {("a", "a", 0), ("b", "a", 1), ("c", "c", 0), ("d", "c", 1)}
+    assert threads.threads(circle.limit(0), "id", "parent").count() == 0
 
 
 def test_simhash_matches_its_definition(spark):
@@ -185,10 +185,13 @@ def test_tables_become_records(spark):
     assert [(r.usn, r.semester, [(s.code, s.total, s.grade, s.grade_points, s.status) for s in r.subjects]) for r in got] == [("1MS21CS001", 3, [("CS101", 70, "A", 8.0, "PASS"), ("MA1", None, "A", 8.0, "FAIL")])]
 
 
-def test_pages_are_stitched():
+def test_pages_are_stitched(spark):
     head, other = ["USN", "Subject", "Marks"], ["Name", "City", "Phone", "Street", "Zip"]
     pages = [[head, ["1", "a", "2"]], [head, ["2", "b", "3"]], [["3", "c", "4"]], [other, ["x", "y", "z", "u", "v"]], [], [["Subject", "Code", "Status", "Total"], ["q", "w", "e", "r"]]]
-    assert extract.stitched(pages) == [[head, ["1", "a", "2"], ["2", "b", "3"], ["3", "c", "4"]], [other, ["x", "y", "z", "u", "v"]], pages[5]]
+    cells = spark.createDataFrame([(d, t, k, c) for d in (1, None) for t, page in enumerate(pages) for k, c in enumerate(page)], "d long, t int, k int, cells array<string>")
+    got = extract.stitch_tables(cells, "d", "t", "k").orderBy("d", "t", "k").collect()
+    tables = lambda d: [[r.cells for r in got if r.d == d and r.t == t] for t in range(3)]
+    assert len(got) == 2 * 8 and tables(1) == tables(None) == [[head, ["1", "a", "2"], ["2", "b", "3"], ["3", "c", "4"]], [other, ["x", "y", "z", "u", "v"]], pages[5]]
 
 
 def test_votes_keep_the_first_on_ties(spark):
@@ -444,3 +447,76 @@ def test_stream_is_taken_up_again(spark, small, tmp_path):
     handle = streaming.recomputed(events, ["user_id"], lambda r: r.groupBy("user_id").agg(F.count("*").alias("n")), str(tmp_path / "agg"))
     handle(events.filter("user_id < 3"), 0)
     assert spark.read.parquet(str(tmp_path / "agg")).agg(F.sum("n")).first()[0] == events.filter("user_id < 3").count()
+
+
+def brute_forest(rows):
+    """Root and depth by walking up, and trees by recursion: rows are (id, parent, date)."""
+    import collections
+
+    named = collections.defaultdict(list)
+    for k, p, _ in rows:
+        if k is not None:
+            named[k] += [p] if p is not None else []
+    parent = {k: min(ps, default=None) for k, ps in named.items()}
+    parent = {k: p if p in parent and p != k else None for k, p in parent.items()}
+    for k in list(parent):  # circles
+        way, at = [], k
+        while at is not None and at not in way:
+            way.append(at)
+            at = parent[at]
+        if at is not None:
+            parent[min(way[way.index(at) :])] = None
+    first = {}
+    for k, _, d in rows:
+        if k is not None:
+            first[k] = min(d, first.get(k, d))
+
+    def up(k):
+        n = 0
+        while parent[k] is not None:
+            k, n = parent[k], n + 1
+        return k, n
+
+    def tree(k):
+        kids = sorted((c for c in parent if parent[c] == k), key=lambda c: (first[c], c))
+        return {"id": k, "date": first[k], "replies": [tree(c) for c in kids]}
+
+    return {k: up(k) for k in parent}, {k: tree(k) for k in parent if parent[k] is None}
+
+
+def test_threads_and_trees_of_random_forests(spark):
+    import collections
+    import random
+
+    random.seed(3)
+    rows = [(f"m{k}", random.choice([None, f"m{random.randint(0, 300)}", f"m{max(0, k - 1)}", f"m{max(0, k - random.randint(1, 9))}"]), random.randint(0, 9)) for k in range(260)]
+    rows += [(k, p, d + 1) for k, p, d in random.sample(rows, 30)] + [(None, "m1", 3)] * 3 + [(None, None, 3)] + [("m5", "m5", 2), ("self", "self", 1), ("x", "y", 1), ("y", "z", 1), ("z", "x", 1), ("hang", "z", 1)]
+    messages = spark.createDataFrame(rows, "id string, parent string, date int").withColumns({"root": F.lit(1), "up": F.lit(2), "tree": F.lit("x")})
+    links, trees = brute_forest(rows)
+    got = threads.threads(messages, "id", "parent").collect()
+    count = collections.Counter
+    assert count((r.id, r.root, r.depth) for r in got) == count((k, *(links[k] if k is not None else (None, 0))) for k, _, _ in rows)
+    made = threads.reply_trees(messages, "id", "parent", F.col("date"), ["date"]).collect()
+    assert {r.root: json.loads(r.tree) for r in made if r.root is not None} == trees
+    assert [json.loads(r.tree) for r in made if r.root is None] == [{"id": None, "date": 3, "replies": []}] * 4
+    sizes = count(root for root, _ in links.values())
+    assert {r.root: r.messages for r in made if r.root is not None} == dict(sizes)
+    assert threads.reply_trees(messages.limit(0), "id", "parent", F.col("date"), ["date"]).count() == 0
+
+
+def test_threads_keep_repeated_rows(spark):
+    rows = [("r", None), ("r", None)] + [(f"c{k}", "r") for k in range(5)]
+    assert threads.threads(spark.createDataFrame(rows, "id string, parent string"), "id", "parent").count() == 7
+
+
+def test_upsert_with_null_keys(spark):
+    rules = {"v": writes.newest}
+    target = spark.createDataFrame([(None, "a", 5), (1, "a", 6), (1, None, 7), (2, "b", 8)], "k int, j string, v int")
+    changes = spark.createDataFrame([(None, "a", 9), (1, None, None), (3, None, 4)], "k int, j string, v int")
+    once = writes.merge_upsert(target, changes, ["k", "j"], rules)
+    want = {(None, "a", 9), (1, "a", 6), (1, None, 7), (2, "b", 8), (3, None, 4)}
+    assert {tuple(r) for r in once.collect()} == want
+    assert sorted(map(str, writes.merge_upsert(once, changes, ["k", "j"], rules).collect())) == sorted(map(str, once.collect()))
+    with pytest.raises(Exception, match="more than once"):
+        writes.merge_upsert(target, changes.unionByName(changes), ["k", "j"], rules).collect()
+    assert writes.merge_upsert(target.limit(0), changes, ["k", "j"], rules).count() == 3 and writes.merge_upsert(target, changes.limit(0), ["k", "j"], rules).count() == 4
