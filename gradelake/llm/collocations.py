@@ -87,7 +87,7 @@ def pieces(batches: Iterator[pa.RecordBatch], context: int) -> Iterator[tuple[li
                     kept = end - begin - (len(rest[0]) if len(rest) > context else 0) if context else 0
                 else:
                     end = len(text)
-                langs.append(lang or UNKNOWN)
+                langs.append(UNKNOWN if lang is None else lang)
                 held.append(text[at - own : end])
                 before.append(own)
                 n, at, own = n + end - at, end, kept
@@ -125,7 +125,7 @@ def words_of(langs: list[str], held: list[bytes], before: list[int], known: dict
 def gram_hashes(words: Words, hashes: np.ndarray, known: dict[str, int], longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each size from 1: where n-grams of that size start, and a 64-bit hash of each with its language."""
     own = hashes[words.number]
-    names = list(known)
+    names = [f".{x}" for x in known]
     data = np.frombuffer("\n".join(names).encode() + bytes(8), np.uint8)
     ends = np.cumsum([len(x.encode()) + 1 for x in names]) - 1
     by_lang = word_hashes(data, np.r_[0, ends[:-1] + 1], ends) if names else np.zeros(0, np.uint64)
