@@ -9,8 +9,8 @@ sketch holds; a sketch that the input has filled lets more through, and the seco
 Bounds: a sketch has ROWS x CELLS counters of one byte (they stop at the least count), 64 MiB in a task of the first pass and
 8 MiB of bits in a broadcast, at any size of the input. Texts are read in pieces of about SLICE_BYTES bytes; a longer
 text is cut where a phrase can't go on, and if there is no such place at a space, with the words before it as context. A
-page of the sketch is merged as a stream, a common phrase is summed in each task before it is shuffled, and the best of a
-language are chosen in parts before they are ranked.
+page of the sketch is merged as a stream, a common phrase is summed in each task before it is shuffled, phrases are summed
+one of BUCKETS shares at a time, and the best of a language are chosen in parts before they are ranked.
 
 Defined results: a null text is empty; a null language is ``und``, one with a language of that name; an empty table gives an
 empty result; equal rows count as often as they stand there. Scores are whole numbers, worked out in 38 digits.
@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,6 +35,8 @@ ROWS, CELLS, PAGE = 2, 1 << 25, 1 << 16
 SLICE_BYTES = 4 << 20
 #: Distinct phrases that a task keeps before it hands them on.
 HELD_PHRASES = 1 << 19
+#: Shares of the phrases; one share at a time is summed in a task.
+BUCKETS = 2048
 UNKNOWN = "und"
 _END, _SPACE = np.zeros(256, bool), np.zeros(256, bool)
 _END[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -189,8 +192,12 @@ def merged(pages: DataFrame, least: int) -> dict[int, bytes]:
     return {r.page: bytes(r.bits) for r in pages.repartition("page").mapInArrow(work, "page int, bits binary").toLocalIterator()}
 
 
-def survivors(docs: DataFrame, reached: dict[int, bytes], settings: Settings) -> DataFrame:
-    """(lang, phrase, f) of the n-grams whose cells all reached the least count; the empty phrase counts all words."""
+def survivors(docs: DataFrame, reached: dict[int, bytes], settings: Settings, least: int = 1) -> DataFrame:
+    """(lang, phrase, f) of the n-grams whose cells all reached the least count; the empty phrase counts all words.
+
+    A task sums what it has read and hands it on in blocks, a block for each of BUCKETS shares of the phrases; a share is
+    then summed on its own, blocks of one share after another, and what has ``least`` occurrences goes on.
+    """
     sent, longest = docs.sparkSession.sparkContext.broadcast(reached), settings.longest
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,11 +208,18 @@ def survivors(docs: DataFrame, reached: dict[int, bytes], settings: Settings) ->
         bits = bits.reshape(ROWS, -1)
 
         def summed() -> pa.Table:
-            return pa.concat_tables(held).combine_chunks().group_by(["lang", "phrase"]).aggregate([("f", "sum")]).rename_columns(["lang", "phrase", "f"])
+            return _summed(pa.concat_tables(held), ["share", "lang", "phrase"])
 
         def handed(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            table = table.sort_by("share")
+            share = table.column("share").to_numpy()
             names = pa.array(list(known), pa.string()).take(table.column("lang").combine_chunks())
-            yield from table.set_column(0, "lang", names).to_batches(1 << 16)
+            rows = pa.table({"lang": names, "phrase": table.column("phrase"), "f": table.column("f")})
+            edges = [*np.flatnonzero(np.r_[True, share[1:] != share[:-1]]).tolist(), len(share)]
+            for part in range(0, len(edges) - 1, 64):
+                own = edges[part : part + 65]
+                blocks = [_packed(rows.slice(a, z - a)) for a, z in pairwise(own)]
+                yield pa.record_batch([pa.array(share[own[:-1]], pa.int32()), pa.array(blocks, pa.binary())], names=["share", "block"])
 
         for langs, texts, before in pieces(batches, longest - 1):
             words, hashes = words_of(langs, texts, before, known)
@@ -222,16 +236,48 @@ def survivors(docs: DataFrame, reached: dict[int, bytes], settings: Settings) ->
             yield from handed(summed())
         release()
 
-    found = docs.select("lang", "text").mapInArrow(work, "lang string, phrase string, f long")
-    return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held, n = None, [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                total = _summed(pa.concat_tables(held), ["lang", "phrase"])
+                yield from total.filter((pc.field("f") >= least) | (pc.field("phrase") == "")).to_batches(1 << 16)
+
+        for batch in batches:
+            for share, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if share != own:
+                    yield from done()
+                    own, held, n = share, [], 0
+                held.append(pa.ipc.open_stream(block).read_all())
+                n += held[-1].num_rows
+                if n >= 2 * max(HELD_PHRASES, held[0].num_rows):
+                    held = [_summed(pa.concat_tables(held), ["lang", "phrase"])]
+                    n = held[0].num_rows
+        yield from done()
+        release()
+
+    blocks = docs.select("lang", "text").mapInArrow(work, "share int, block binary")
+    return blocks.repartition("share").sortWithinPartitions("share").mapInArrow(merge, "lang string, phrase string, f long")
+
+
+def _summed(table: pa.Table, keys: list[str]) -> pa.Table:
+    return table.combine_chunks().group_by(keys).aggregate([("f", "sum")]).rename_columns([*keys, "f"])
+
+
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 def exact(words: Words, grams: list[tuple[np.ndarray, np.ndarray]], bits: np.ndarray) -> pa.Table:
-    """(lang, phrase, f) of a slice's n-grams that may be frequent. N-grams are told apart by their words, not by hashes."""
+    """(share, lang, phrase, f) of a slice's n-grams that may be frequent. They are told apart by their words, not by hashes."""
     total = len(words.number)
     n_words = np.bincount(words.lang[words.fresh])
     there = np.flatnonzero(n_words)
-    out = [pa.table({"lang": there, "phrase": pa.array([""] * len(there), pa.string()), "f": n_words[there]})]
+    out = [pa.table({"share": np.zeros(len(there), np.int64), "lang": there, "phrase": pa.array([""] * len(there), pa.string()), "f": n_words[there]})]
     code, may = words.lang, np.ones(total + 1, bool)
     for size, (at, hashes) in enumerate(grams, 1):
         # Both parts one word shorter must be frequent too.
@@ -239,12 +285,13 @@ def exact(words: Words, grams: list[tuple[np.ndarray, np.ndarray]], bits: np.nda
         for row in range(ROWS):
             cell = cells(hashes[likely], row)
             likely = likely[(bits[row, cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)]
-        at = at[likely]
+        at, hashes = at[likely], hashes[likely]
         key = code[at] * (len(words.distinct) + 1) + words.number[at + size - 1]
         _, first, number, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         parts = [words.distinct.take(pa.array(words.number[at[first] + k])) for k in range(size)]
         phrase = pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
-        out.append(pa.table({"lang": words.lang[at[first]], "phrase": phrase, "f": n}))
+        share = (hashes[first] >> np.uint64(40)).astype(np.int64) % BUCKETS
+        out.append(pa.table({"share": share, "lang": words.lang[at[first]], "phrase": phrase, "f": n}))
         # Context words have no n-gram of their own here; what starts among them has been judged before its last word came.
         may = np.zeros(total + 1, bool)
         may[at] = True
@@ -273,7 +320,7 @@ def _with_context(words: Words, may: np.ndarray, code: np.ndarray, size: int) ->
 def counts(docs: DataFrame, settings: Settings) -> DataFrame:
     """(lang, phrase, f): exact numbers of all n-grams with ``least`` occurrences, and of all words under the empty phrase."""
     reached = merged(sketched(docs, settings), settings.least)
-    return survivors(docs, reached, settings).filter((F.col("f") >= settings.least) | (F.col("phrase") == ""))
+    return survivors(docs, reached, settings, settings.least)
 
 
 def scored(found: DataFrame, settings: Settings) -> DataFrame:

@@ -175,7 +175,10 @@ class Trie:
         stack = [self.root]
         for k, word in enumerate(words):
             self._close(stack, shared[k])
-            stack.append([len(word), k, None, k])
+            if word:
+                stack.append([len(word), k, None, k])
+            else:
+                self.root[3] = k
         self._close(stack, 0)
 
     def _close(self, stack: list[list], depth: int) -> None:

@@ -247,7 +247,7 @@ def test_phrases_over_cuts(monkeypatch, limit):
         words, hashes = collocations.words_of(langs, held, before, known)
         found = collocations.exact(words, list(collocations.gram_hashes(words, hashes, known, 4)), bits)
         names = list(known)
-        for lang, phrase, f in zip(*(found.column(k).to_pylist() for k in range(3)), strict=True):
+        for lang, phrase, f in zip(*(found.column(c).to_pylist() for c in ("lang", "phrase", "f")), strict=True):
             n[names[lang], phrase] += f
     want = Counter()
     for lang, text in rows:
