@@ -13,7 +13,7 @@ from gradelake import streaming
 from gradelake.functions import grades, hashing, text
 from gradelake.operators import dedup, extract, gpa, mail, quality, search, threads, writes
 from gradelake.plans.academic import academic
-from gradelake.plans.intents import Intent, answer, at_path, checked, filled, guarded, guarded_rows, quick_kind, template, understand
+from gradelake.plans.intents import Intent, answer, answered, at_path, checked, filled, guarded, guarded_rows, quick_kind, template, understand
 from gradelake.sources.mail import MESSAGE, flat_messages, key_of_delivery, read_messages, search_mails
 from gradelake.sources.sheets import read_cells, read_csv, read_documents
 
@@ -315,6 +315,13 @@ def test_guard(spark):
     assert guarded(spark, "SELECT count(*) AS n FROM t;", t=t).first().n == 3
     assert guarded(spark, "WITH a AS (SELECT * FROM t) SELECT * FROM a", t=t).count() == 3
     assert guarded(spark, "SELECT t.id FROM t, u WHERE t.id IN (SELECT id FROM u) AND t.id = u.id UNION SELECT 9", t=t, u=t).count() == 4
+    assert guarded(spark, "SELECT id, sum(id) OVER (ORDER BY id) AS s, CASE WHEN id BETWEEN 1 AND 2 THEN 'x' ELSE upper('y') END AS c FROM t WHERE EXISTS (SELECT 1 FROM u WHERE u.id = t.id) AND id NOT IN (7) ORDER BY 1 DESC LIMIT 2", t=t, u=t).count() == 2
+    assert guarded(spark, "WITH a AS (SELECT 1 AS id), b AS (SELECT * FROM a) SELECT * FROM b WHERE id IN (SELECT id FROM a)", t=t).count() == 1
+    spark.range(1).createOrReplaceTempView("secret")
+    wide = ", ".join(f"id AS c{k}" for k in range(40))
+    for statement in ("WITH secret AS (SELECT * FROM secret) SELECT * FROM secret", "SELECT * FROM secret WHERE id IN (WITH secret AS (SELECT 1 AS id) SELECT id FROM secret)", f"SELECT {wide}, reflect('java.lang.System', 'nanoTime') FROM t", "SELECT current_user FROM t", "SELECT input_file_name() FROM t", "SELECT (SELECT (SELECT max(id) FROM secret)) FROM t", "SELECT * FROM t JOIN LATERAL (SELECT * FROM secret)", "SELECT sum(id) FILTER (WHERE id IN (SELECT id FROM secret)) FROM t", "SELECT * FROM t ORDER BY (SELECT max(id) FROM secret)", "SELECT * FROM spark_catalog.default.t", "SELECT * FROM IDENTIFIER('secret')", "SELECT java_method('java.lang.System', 'nanoTime')", "SELECT transform(array(1), x -> reflect('java.lang.System', 'nanoTime')) FROM t", "VALUES (reflect('java.lang.System', 'nanoTime'))", "SELECT 1 FROM t LATERAL VIEW java_method('a', 'b') AS x"):
+        with pytest.raises(ValueError):
+            guarded(spark, statement, t=t)
     bad = "DROP TABLE t", "SELECT 1; SELECT 2", "SELECT * FROM other", "INSERT INTO t SELECT 1", "SELECT * FROM t, other", "SELECT * FROM t WHERE id IN (SELECT id FROM other)", "SELECT * FROM parquet.`/x`", "SET a=1", "EXPLAIN SELECT 1", "CACHE TABLE t", "SELECT (SELECT max(id) FROM other)", "SELECT reflect('java.lang.System', 'nanoTime') FROM t", "SELECT * FROM range(5)", "WITH a AS (SELECT * FROM other) SELECT * FROM a", "nonsense"
     for statement in bad:
         with pytest.raises(ValueError):
@@ -520,3 +527,14 @@ def test_upsert_with_null_keys(spark):
     with pytest.raises(Exception, match="more than once"):
         writes.merge_upsert(target, changes.unionByName(changes), ["k", "j"], rules).collect()
     assert writes.merge_upsert(target.limit(0), changes, ["k", "j"], rules).count() == 3 and writes.merge_upsert(target, changes.limit(0), ["k", "j"], rules).count() == 4
+
+
+def test_answers_are_cited_and_audited(spark, small, tmp_path):
+    data = academic(spark, small)
+    audit = f"{tmp_path}/audit"
+    rows, who = answered(spark, "top students by cgpa", data, audit)
+    assert len(rows) == 10 and len(who) == 10 and len(set(who)) == 10
+    none, nobody = answered(spark, "results of 9XX99XX999", data, audit)
+    assert (none, nobody) == ([], [])
+    log = spark.read.parquet(audit).orderBy("asked_at").collect()
+    assert [(r.question, r.intent, r.n_rows) for r in log] == [("top students by cgpa", "top_n", 10), ("results of 9XX99XX999", "student_lookup", 0)]
