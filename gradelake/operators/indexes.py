@@ -2,7 +2,7 @@
 
 Each is built once from a table, in a folder of its own, and takes many queries at once: a table of queries is joined with
 what the index holds, so nothing is compared that shares no cell, word or trigram. Null ids are ids; null texts and names
-are empty and match nothing; vectors that are null, hold a null or are zero lie in a cell that is never probed.
+match nothing; vectors that are null, hold a null or are zero lie in a cell that is never probed.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradelake.operators.search import BLOCK, _matrix, name_similarity, trigrams
+from gradelake.operators.search import BLOCK, _matrix, trigrams
 
 #: Partitions that a word's postings may lie in.
 BUCKETS = 64
@@ -46,16 +46,27 @@ def centers_of(rows: np.ndarray, n: int, rounds: int = 12, seed: int = 7) -> np.
     return centers
 
 
+def probes_for(rows: np.ndarray, centers: np.ndarray, recall: float, k: int = 10, asked: int = 256) -> int:
+    """How many cells a query must read to meet ``recall`` of its ``k`` nearest rows, by the first ``asked`` rows among all."""
+    q = rows[:asked]
+    near = np.argsort(-(q @ rows.T), axis=1)[:, : min(k, len(rows))]
+    cell = (rows @ centers.T).argmax(axis=1)
+    place = np.argsort(np.argsort(-(q @ centers.T), axis=1), axis=1)
+    places = np.sort(np.take_along_axis(place, cell[near], axis=1).reshape(-1))
+    return int(places[min(len(places) - 1, int(np.ceil(recall * len(places))))]) + 1
+
+
 class VectorIndex:
     """Vectors in cells, a partition each; a query reads the cells whose centers are nearest to it."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def build(self, vectors: DataFrame, key: str, vector: str, cells: int | None = None, sample: int = 20_000) -> VectorIndex:
+    def build(self, vectors: DataFrame, key: str, vector: str, cells: int | None = None, sample: int = 20_000, recall: float = 0.95) -> VectorIndex:
         """Cells are learned from ``sample`` vectors at most (the first by a hash of their key), then every row is placed.
 
-        About as many cells as the square root of the number of rows, 4096 at most, unless ``cells`` is given.
+        About as many cells as the square root of the number of rows, 4096 at most, unless ``cells`` is given. The sample also
+        tells how many cells a query has to read for ``recall``; vectors without any clusters need most of them.
         """
         rows = vectors.select(F.col(key).alias("key"), F.col(vector).alias("vector"))
         n = rows.count()
@@ -63,6 +74,8 @@ class VectorIndex:
         matrix, good = _unit(_matrix(some.column(0).combine_chunks()))
         centers = centers_of(matrix[good], cells or min(4096, max(1, int(n**0.5)))) if good.any() else np.zeros((0, 0))
         self.spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centers)], "cell int, center array<double>").coalesce(1).write.parquet(f"{self.folder}/centers")
+        probes = probes_for(matrix[good], centers, recall) if len(centers) else 0
+        self.spark.createDataFrame([(probes,)], "probes int").coalesce(1).write.parquet(f"{self.folder}/probes")
         sent = self.spark.sparkContext.broadcast(centers)
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,13 +88,15 @@ class VectorIndex:
 
         kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
         # A large cell is several files, a small one is one.
-        placed = rows.mapInArrow(place, f"{kinds}, cell int").hint("rebalance", "cell")
+        placed = self.spark.sql("SELECT /*+ REBALANCE(cell) */ * FROM {placed}", placed=rows.mapInArrow(place, f"{kinds}, cell int"))
         placed.write.partitionBy("cell").parquet(f"{self.folder}/cells")
         return self
 
-    def search(self, queries: DataFrame, key: str, vector: str, k: int = 10, probes: int = 8, digits: int = 6) -> DataFrame:
+    def search(self, queries: DataFrame, key: str, vector: str, k: int = 10, probes: int | None = None, digits: int = 6) -> DataFrame:
         """(query_id, match_id, score, place): the ``k`` best by exact cosine among the vectors of ``probes`` cells a query.
 
+        Without ``probes``, as many as the index's recall needs.
+
         Queries are a stated set, taken in blocks that are broadcast; only the cells that a block probes are read.
         """
         centers = np.array([r.center for r in self.spark.read.parquet(f"{self.folder}/centers").orderBy("cell").collect()])
@@ -96,7 +111,7 @@ class VectorIndex:
             q, good = _unit(_matrix(own.column("q").combine_chunks())) if own.num_rows else (np.zeros((0, 0)), np.zeros(0, bool))
             if not good.any() or q.shape[1] != centers.shape[1]:
                 continue
-            n = min(probes, len(centers))
+            n = min(probes or self.spark.read.parquet(f"{self.folder}/probes").first().probes, len(centers))
             near = np.argpartition(-(q @ centers.T), n - 1, axis=1)[:, :n]
             of_cell = {c: np.flatnonzero((near == c).any(axis=1) & good) for c in np.unique(near[good]).tolist()}
             sent = self.spark.sparkContext.broadcast((own.column("query_id").combine_chunks(), q, of_cell))
@@ -211,8 +226,7 @@ class TrigramIndex:
 
     def build(self, names: DataFrame, key: str, name: str) -> TrigramIndex:
         """Count the trigrams, then post each name under its rarest ones; queries may ask for ``percent`` or more."""
-        rows = names.select(F.explode(trigrams(F.col(name))).alias("gram")) if name in names.columns else names
-        rows.groupBy("gram").agg(F.count("*").alias("n")).write.parquet(f"{self.folder}/counts")
+        names.filter(F.col(name).isNotNull()).select(F.explode(trigrams(F.col(name))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).write.parquet(f"{self.folder}/counts")
         posted = self._ordered(names, key, name, self.percent)
         posted.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int")).write.partitionBy("bucket").parquet(f"{self.folder}/postings")
         return self
@@ -229,5 +243,7 @@ class TrigramIndex:
         met = met.filter((F.col("y") * 100 >= F.col("x") * percent) & (F.col("x") * 100 >= F.col("y") * percent))
         met = met.filter((1 + F.least(F.col("x") - 1 - F.col("i"), F.col("y") - 1 - F.col("j"))) * (100 + percent) >= (F.col("x") + F.col("y")) * percent)
         pairs = met.select("query_id", "match_id", "asked", "name").distinct()
-        alike = name_similarity(F.col("asked"), F.col("name"))
-        return pairs.withColumn("s", alike).filter(F.col("s") * 100 >= percent).select("query_id", "match_id", F.round("s", 6).alias("similarity"))
+        a, b = trigrams(F.col("asked")), trigrams(F.col("name"))
+        both = F.size(F.array_intersect(a, b))
+        scored = pairs.select("query_id", "match_id", both.alias("both"), (F.size(a) + F.size(b) - both).alias("every"))
+        return scored.filter(F.col("both") * 100 >= F.col("every") * percent).select("query_id", "match_id", F.round(F.col("both") / F.col("every"), 6).alias("similarity"))

@@ -607,4 +607,4 @@ def r09_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 __all__ = ["QUERIES", "SQL"]
 
 # The other modules register theirs when they are imported.
-from gradelake.plans import looks, records, stores  # noqa: E402, F401
+from gradelake.plans import looks, records, stored, stores  # noqa: E402, F401
