@@ -7,6 +7,7 @@ match nothing; vectors that are null, hold a null or are zero lie in a cell that
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gradelake.operators.search import BLOCK, _matrix, trigrams
 
@@ -23,6 +25,17 @@ BUCKETS = 64
 LONG_WORD = 32
 
 
+def _store(rows: DataFrame, path: str, *by: str) -> None:
+    """Write ``rows`` partitioned, and their schema beside them: a table without rows has no file that tells it."""
+    rows.write.partitionBy(*by).parquet(path)
+    rows.sparkSession.createDataFrame([(rows.schema.json(),)], "kinds string").coalesce(1).write.parquet(f"{path}-schema")
+
+
+def _load(spark: SparkSession, path: str) -> DataFrame:
+    kinds = StructType.fromJson(json.loads(spark.read.parquet(f"{path}-schema").first().kinds))
+    return spark.read.schema(kinds).parquet(path)
+
+
 def _unit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of length 1, and which rows have a direction."""
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -89,7 +102,7 @@ class VectorIndex:
         kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
         # A large cell is several files, a small one is one.
         placed = self.spark.sql("SELECT /*+ REBALANCE(cell) */ * FROM {placed}", placed=rows.mapInArrow(place, f"{kinds}, cell int"))
-        placed.write.partitionBy("cell").parquet(f"{self.folder}/cells")
+        _store(placed, f"{self.folder}/cells", "cell")
         return self
 
     def search(self, queries: DataFrame, key: str, vector: str, k: int = 10, probes: int | None = None, digits: int = 6) -> DataFrame:
@@ -100,7 +113,7 @@ class VectorIndex:
         Queries are a stated set, taken in blocks that are broadcast; only the cells that a block probes are read.
         """
         centers = np.array([r.center for r in self.spark.read.parquet(f"{self.folder}/centers").orderBy("cell").collect()])
-        stored = self.spark.read.parquet(f"{self.folder}/cells")
+        stored = _load(self.spark, f"{self.folder}/cells")
         kind = stored.schema["key"].dataType.simpleString()
         asked = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("q")).filter("q is not null")
         n_blocks = max(1, -(-asked.count() // BLOCK))
@@ -172,8 +185,8 @@ class WordIndex:
         said = F.array(*(F.struct(F.lit(f).alias("field"), _words(F.col(f)).alias("words")) for f in fields))
         rows = docs.select(F.col(key).alias("key"), F.explode(said).alias("s")).select("key", "s.field", F.explode("s.words").alias("word"))
         counted = rows.groupBy("word", "field", "key").agg(F.count("*").alias("n"))
-        counted.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int")).write.partitionBy("bucket").parquet(f"{self.folder}/postings")
-        words = self.spark.read.parquet(f"{self.folder}/postings").select("word").distinct()
+        _store(counted.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int")), f"{self.folder}/postings", "bucket")
+        words = _load(self.spark, f"{self.folder}/postings").select("word").distinct()
         variants(words, "word").select("variant", "deleted", "word").write.parquet(f"{self.folder}/variants")
         words.filter(F.length("word") > LONG_WORD - 2).select("word", F.length("word").alias("size")).write.parquet(f"{self.folder}/long")
         return self
@@ -199,7 +212,7 @@ class WordIndex:
         """(query_id, key, score): each match counts its field's boost; the best ``limit`` of a query, ties by key."""
         bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int")
         found = self.matches(queries, query, text).withColumn("bucket", bucket)
-        postings = self.spark.read.parquet(f"{self.folder}/postings").filter(F.col("field").isin(list(boosts)))
+        postings = _load(self.spark, f"{self.folder}/postings").filter(F.col("field").isin(list(boosts)))
         boost = F.create_map(*(F.lit(x) for f, b in boosts.items() for x in (f, float(b))))[F.col("field")]
         scored = postings.join(found, ["bucket", "word"]).groupBy("query_id", "key").agg(F.round(F.sum(F.col("times") * F.col("n") * boost), 4).alias("score"))
         if limit is None:
@@ -228,7 +241,7 @@ class TrigramIndex:
         """Count the trigrams, then post each name under its rarest ones; queries may ask for ``percent`` or more."""
         names.filter(F.col(name).isNotNull()).select(F.explode(trigrams(F.col(name))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).write.parquet(f"{self.folder}/counts")
         posted = self._ordered(names, key, name, self.percent)
-        posted.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int")).write.partitionBy("bucket").parquet(f"{self.folder}/postings")
+        _store(posted.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int")), f"{self.folder}/postings", "bucket")
         return self
 
     def search(self, queries: DataFrame, key: str, name: str, percent: int) -> DataFrame:
@@ -237,7 +250,7 @@ class TrigramIndex:
             raise ValueError(f"the index holds what {self.percent} per cent and more need")
         bucket = F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int")
         asked = self._ordered(queries, key, name, percent).select(F.col("id").alias("query_id"), F.col("name").alias("asked"), F.col("size").alias("x"), F.col("at").alias("i"), "gram", bucket.alias("bucket"))
-        stored = self.spark.read.parquet(f"{self.folder}/postings").select(F.col("id").alias("match_id"), "name", F.col("size").alias("y"), F.col("at").alias("j"), "gram", "bucket")
+        stored = _load(self.spark, f"{self.folder}/postings").select(F.col("id").alias("match_id"), "name", F.col("size").alias("y"), F.col("at").alias("j"), "gram", "bucket")
         met = stored.join(asked, ["bucket", "gram"])
         # As long as need be, and enough trigrams left after this one to share as many as the similarity needs.
         met = met.filter((F.col("y") * 100 >= F.col("x") * percent) & (F.col("x") * 100 >= F.col("y") * percent))

@@ -150,10 +150,10 @@ def j15_claim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.checked_claims(claims, stored.filter("student_id % 11 > 0").select("usn", "cgpa"), "student_id").select("usn", "claimed", "actual", "verdict")
 
 
-@query("s19_fetched_mails", "SELECT doc_id FROM documents WHERE contains(lower(source), 'web') ORDER BY doc_id LIMIT 25")
+@query("s19_fetched_mails", "SELECT doc_id FROM documents WHERE contains(lower(source), 'src1') ORDER BY doc_id LIMIT 25")
 def s19_fetched_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first mails whose text holds a string."""
-    return table(spark, sf_dir, "documents").filter(profile.holds("WEB", "source")).select("doc_id").orderBy("doc_id").limit(25)
+    return table(spark, sf_dir, "documents").filter(profile.holds("SRC1", "source")).select("doc_id").orderBy("doc_id").limit(25)
 
 
 @query("s02_partitioned_scan", "SELECT o_orderstatus, count(*) AS n, sum(o_orderkey)::bigint AS keys FROM orders WHERE year(o_orderdate) = 1996 AND month(o_orderdate) BETWEEN 3 AND 4 GROUP BY 1")
@@ -292,10 +292,16 @@ def f03_normal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "students").select("student_id", text.normal_name(F.concat(F.lit("  "), "name", F.lit(" \t x "))).alias("normal"))
 
 
-@query("f06_grades_of_points", "SELECT p AS tenths, CASE WHEN p >= 100 THEN 'O' WHEN p >= 90 THEN 'A+' WHEN p >= 80 THEN 'A' WHEN p >= 70 THEN 'B+' WHEN p >= 60 THEN 'B' WHEN p >= 50 THEN 'C' WHEN p >= 40 THEN 'P' ELSE 'F' END AS grade FROM range(111) t(p)")
+@query("f06_grades_of_points", f"""
+WITH g AS ({CGPA}) SELECT student_id, CASE WHEN cgpa >= 10 THEN 'O' WHEN cgpa >= 9 THEN 'A+' WHEN cgpa >= 8 THEN 'A' WHEN cgpa >= 7 THEN 'B+' WHEN cgpa >= 6 THEN 'B' WHEN cgpa >= 5 THEN 'C' WHEN cgpa >= 4 THEN 'P' WHEN cgpa < 4 THEN 'F' END AS grade,
+  CASE WHEN cgpa IS NULL THEN NULL WHEN cgpa >= 5.5 THEN CASE WHEN cgpa + student_id % 5 >= 10 THEN 'O' WHEN cgpa + student_id % 5 >= 9 THEN 'A+' WHEN cgpa + student_id % 5 >= 8 THEN 'A' WHEN cgpa + student_id % 5 >= 7 THEN 'B+' WHEN cgpa + student_id % 5 >= 6 THEN 'B' ELSE 'C' END ELSE 'F' END AS raised
+FROM students LEFT JOIN g USING (student_id)""")
 def f06_grades_of_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grade that each tenth of a point reaches."""
-    return spark.range(111).select(F.col("id").alias("tenths"), grades.grade_of_points(F.col("id") / 10).alias("grade"))
+    """The grade that each student's average reaches, and the one it would reach with up to four points more; F below 5.5 there."""
+    a = academic(spark, sf_dir)
+    rows = a.students.select("student_id").join(gpa.gpa_positive(a.results, a.subjects, "student_id"), "student_id", "left")
+    raised = F.when(F.col("gpa") < 5.5, 0.0).otherwise(F.col("gpa") + F.col("student_id") % 5)
+    return rows.select("student_id", grades.grade_of_points(F.col("gpa")).alias("grade"), grades.grade_of_points(raised).alias("raised"))
 
 
 @query("f16_bits_apart", "SELECT event_id, bit_count(xor(event_id, user_id))::int AS apart FROM events")
@@ -323,14 +329,14 @@ def v10_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("student_id", F.array_join(quality.guard_problems(F.col("record")), ",").alias("problems"), quality.corrected_usn(F.concat(F.lit(" "), F.substring("usn", 1, 4), F.lit(" "), F.substring("usn", 5, 20))).alias("usn"))
 
 
-@query("x07_document_rows", "SELECT usn, code, total_marks::double AS marks, grade, 'PASS' AS status FROM results JOIN students USING (student_id) JOIN (SELECT subject_id, 'SB' || lpad((subject_id % 10000)::varchar, 4, '0') AS code FROM subjects) USING (subject_id) WHERE status = 'PASS' AND grade IN ('A+', 'A', 'B') AND semester = 1 AND student_id < 20")
+@query("x07_document_rows", "SELECT usn, code, total_marks::double AS marks, grade, 'PASS' AS status FROM results JOIN students USING (student_id) JOIN (SELECT subject_id, 'SB' || lpad((subject_id % 10000)::varchar, 4, '0') AS code FROM subjects) USING (subject_id) WHERE status = 'PASS' AND grade IN ('A+', 'A', 'B')")
 def x07_document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of documents: written as files, read by what they are, cut at student numbers."""
     from gradelake.operators import extract
     from gradelake.sources.sheets import read_documents
 
     a = academic(spark, sf_dir)
-    rows = a.results.filter("status = 'PASS' and grade in ('A+', 'A', 'B') and semester = 1 and student_id < 20").join(a.students.select("student_id", "usn"), "student_id")
+    rows = a.results.filter("status = 'PASS' and grade in ('A+', 'A', 'B')").join(a.students.select("student_id", "usn"), "student_id")
     line = F.concat(F.lit("SB"), F.lpad((F.col("subject_id") % 10000).cast("string"), 4, "0"), F.lit("\tpaper\t"), F.col("total_marks").cast("string"), F.lit("\t"), "grade", F.lit("\tPASS"))
     said = rows.groupBy("usn").agg(F.array_join(F.collect_list(line), "\n").alias("lines")).select(F.concat("usn", F.lit("\n"), "lines").alias("value"))
     folder = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"

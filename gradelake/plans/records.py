@@ -280,12 +280,14 @@ def v12_review_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.review_list(e.select(F.col("event_id").alias("id"), "event_type", F.col("event_type").alias("status"), F.col("ts").alias("created_at")), "error").select("id", "event_type")
 
 
-@query("v13_strategy_weights", "SELECT 'w' || k AS id, CASE k WHEN 0 THEN 0.90 WHEN 1 THEN 0.85 WHEN 2 THEN 0.80 WHEN 3 THEN 0.75 WHEN 4 THEN 0.65 WHEN 5 THEN 0.70 WHEN 6 THEN 0.60 WHEN 7 THEN 0.90 END::double AS weight FROM range(8) t(k)")
+@query("v13_strategy_weights", """
+SELECT event_type, CASE event_id % 8 WHEN 0 THEN 0.90 WHEN 1 THEN 0.85 WHEN 2 THEN 0.80 WHEN 3 THEN 0.75 WHEN 4 THEN 0.65 WHEN 5 THEN 0.70 WHEN 6 THEN 0.60 WHEN 7 THEN 0.90 END::double AS weight, count(*) AS n FROM events GROUP BY 1, 2""")
 def v13_strategy_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far strategies are trusted, by the first known name within theirs."""
+    """How far the strategies of records are trusted, by the first known name within theirs, of which events stand for records."""
     names = ["universal_llm", "enhanced_llm_x", "my_llm", "document_parser", "text_regex_vtu", "csv_format", "other", "universal_llm_enhanced_llm"]
-    rows = spark.createDataFrame([(f"w{k}", n) for k, n in enumerate(names)], "id string, strategy string")
-    return rows.select("id", quality.strategy_weight(F.col("strategy")).alias("weight"))
+    strategy = F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % 8 + 1).cast("int"))
+    weight = quality.strategy_weight(F.concat(F.col("event_type"), F.lit(" "), strategy))
+    return table(spark, sf_dir, "events").groupBy("event_type", weight.alias("weight")).agg(F.count("*").alias("n"))
 
 
 @query("a19_semester_votes", """
@@ -297,12 +299,13 @@ def a19_semester_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.vote_semester(e.select("user_id", F.when(F.col("event_id") % 9 == 0, 12).otherwise(F.col("event_id") % 5 + 1).alias("semester"), F.col("event_id").alias("seq")), "user_id")
 
 
-@query("f31_header_fields", "SELECT k AS id, CASE k WHEN 0 THEN 'usn' WHEN 1 THEN 'name' WHEN 2 THEN 'subject_code' WHEN 3 THEN 'name' WHEN 4 THEN 'total_marks' WHEN 5 THEN 'grade_points' WHEN 6 THEN 'grade' WHEN 7 THEN 'internal_marks' WHEN 8 THEN 'semester' END AS field FROM range(10) t(k)")
+@query("f31_header_fields", """
+SELECT event_id, CASE event_id % 10 WHEN 0 THEN 'usn' WHEN 1 THEN 'name' WHEN 2 THEN 'subject_code' WHEN 3 THEN 'name' WHEN 4 THEN 'total_marks' WHEN 5 THEN 'grade_points' WHEN 6 THEN 'grade' WHEN 7 THEN 'internal_marks' WHEN 8 THEN 'semester' END AS field FROM events""")
 def f31_header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields that header cells name, by words within them in a fixed order."""
+    """Fields that header cells name, by words within them in a fixed order; each event writes one, with its number behind it."""
     cells = ["University Reg No", "Student Name", "Sub Code", "Subject Name", "Total", "GP", "Letter Grade", "CIE", "Sem", "remarks?"]
-    rows = spark.createDataFrame(list(enumerate(cells)), "id long, cell string")
-    return rows.select("id", extract.header_field(F.col("cell")).alias("field"))
+    cell = F.concat(F.element_at(F.array(*map(F.lit, cells)), (F.col("event_id") % 10 + 1).cast("int")), F.lit(" "), F.col("event_id").cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", extract.header_field(cell).alias("field"))
 
 
 @query("f01_usn_shapes", "SELECT usn, true AS any_shape, length(usn) = 10 AS planner FROM students")

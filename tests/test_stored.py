@@ -112,6 +112,8 @@ def test_word_index_scores_like_the_scan(spark):
         terms = [t for t in re.split("[^a-z0-9]+", text.lower()) if t]
         want |= {(k, r.id, r.score) for r in search.text_search(docs, "id", boosts, terms).collect()}
     assert {(r.query_id, r.key, r.score) for r in got} == want
+    none = WordIndex(spark, new_folder(spark, "words")).build(docs.limit(0), "id", ["usn", "name"])
+    assert none.search(spark.createDataFrame(asked, "q long, said string"), "q", "said", boosts).count() == 0
     best = index.search(spark.createDataFrame(asked, "q long, said string"), "q", "said", boosts, 2).groupBy("query_id").count().collect()
     assert max(r["count"] for r in best) == 2
 
@@ -132,6 +134,7 @@ def test_trigram_index_equals_brute_force(spark, percent):
                 want.add((q, k, round(both / every, 6)))
     got = index.search(spark.createDataFrame(asked, "id long, name string"), "id", "name", percent)
     assert {tuple(r) for r in got.collect()} == want
+    assert TrigramIndex(spark, new_folder(spark, "trigrams"), 50).build(rows.limit(0), "id", "name").search(rows, "id", "name", percent).count() == 0
     with pytest.raises(ValueError, match="50 per cent"):
         index.search(rows, "id", "name", 40)
 
