@@ -13,8 +13,8 @@ Documents with equal shingle sets are one point (128-bit keys). r is the radius
 5. *Recursion*: two points of a region that link, and aren't both of its core, differ from its pivot in a common
    shingle (else the pivot lies between them, within r of both). So a region is cut by a necessary prefix of each
    point's differences from its pivot, the rarest first. Small parts are joined directly. Large ones are cut by set
-   size, and if still large get a pivot of their own, and so on. A part that stops shrinking is joined directly, in
-   slices over several tasks.
+   size, and if still large get a pivot of their own, and so on. A part that stops shrinking is cut into blocks by a
+   hash, and each pair of blocks is joined directly as a part of its own.
 
 Rarity is the number of points of the region that have a difference, counted exactly; of the rest, whose differences
 from the empty set are their whole sets, over a fixed lower part of the hash range that is wide enough for the
@@ -57,22 +57,22 @@ _SIGN = np.uint64(1 << 63)
 class Settings:
     """Points link from a Jaccard similarity of ``percent`` / 100; the other figures only steer the work.
 
-    Of one text in ``sample_rate``, ``sample`` texts of ``pivot_bytes`` at most, up to ``pivots`` become pivots of the first
+    Of ``sample`` texts (all of a smaller table) of ``pivot_bytes`` at most, up to ``pivots`` become pivots of the first
     regions; ``direct`` is the largest part of a region
     joined without a pivot, ``rounds`` how often large parts get new pivots, as long as that halves the pairs in them
-    and a point's part holds more than ``crowd`` points on average; what is left of them is then joined directly.
-    ``chunk`` is the number of shingles that a chunk of points holds.
+    and a point's part holds more than ``crowd`` points on average; what is left of them is then joined directly, block by
+    block of about ``block`` points. ``chunk`` is the number of shingles that a chunk of points holds.
     """
 
     width: int = 5
     percent: int = 80
     pivots: int = 2048
     sample: int = 16384
-    sample_rate: int = 16
     pivot_bytes: int = 8192
     direct: int = 16
     rounds: int = 5
     crowd: int = 64
+    block: int = 1024
     chunk: int = 1_000_000
 
     @property
@@ -219,7 +219,7 @@ def sampled_pivots(docs: DataFrame, n_docs: int, s: Settings) -> Pivots:
 
     One task looks the sample over by an eighth of its shingles; the few texts that come back are the pivots.
     """
-    rate = min(1.0, 1 / s.sample_rate, s.sample / max(1, n_docs))
+    rate = min(1.0, s.sample / max(1, n_docs))
     draw = F.xxhash64("text", F.lit(31))
     some = docs.filter((F.octet_length("text") <= s.pivot_bytes) & (F.pmod(draw, F.lit(1 << 30)) < int(rate * (1 << 30))))
     some = some.groupBy(draw.alias("draw")).agg(F.first("text").alias("text"))
@@ -470,18 +470,29 @@ def _direct_pairs(members: DataFrame, s: Settings) -> DataFrame:
     """
     rest = (F.col("apart") - F.col("pos")).alias("rest")
     drawn = ["outline"] if "outline" in members.columns else []
-    side = lambda k: members.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("key", "label", "n", "own", "home", "apart", *drawn)), rest.alias(f"rest_{k}"))
+    blocks = ["block", "itself"] if "block" in members.columns else []
+    side = lambda k: members.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("key", "label", "n", "own", "home", "apart", *drawn, *blocks)), rest.alias(f"rest_{k}"))
     p, q = s.percent, 100 - s.percent
     look = (F.col("label_a") != F.col("label_b")) & (F.col("home_a") | F.col("home_b")) & (F.col("own_a") | F.col("own_b"))
     room = 2 * (100 + p) * F.least("rest_a", "rest_b") >= (100 + p) * (F.col("apart_a") + F.col("apart_b")) - q * (F.col("n_a") + F.col("n_b"))
     alike = 100 * F.least("n_a", "n_b") >= s.percent * F.greatest("n_a", "n_b")
     look &= (F.col("key_a") < F.col("key_b")) & room & alike
+    if "block" in members.columns:  # two of one block meet where it meets itself
+        look &= (F.col("block_a") != F.col("block_b")) | F.col("itself_a")
     if drawn:
         differ = F.aggregate(F.zip_with("outline_a", "outline_b", lambda x, y: F.abs(x - y).cast("int")), F.lit(0), lambda n, d: n + d)
         look &= (100 + p) * differ <= q * (F.col("n_a") + F.col("n_b"))
     return side("a").join(side("b"), "token").filter(look).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
 
 
+def _in_blocks(parts: DataFrame, s: Settings) -> DataFrame:
+    """Parts (with their ``size``) cut into blocks of about ``s.block`` points, a part for each pair of blocks of one."""
+    n = F.ceil(F.col("size") / s.block).cast("int")
+    rows = parts.withColumn("block", F.pmod(F.xxhash64("key"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    rows = rows.withColumn("itself", F.col("block") == F.col("other"))
+    return rows.withColumn("token", F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other"))).drop("other")
+
+
 def _labelled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     """``rows`` with each key's component by the links found so far."""
     if roots is None:
@@ -611,7 +622,7 @@ def _placed(docs: DataFrame, s: Settings) -> tuple[DataFrame, int]:
         large, work, rows = larger, left, points_left
     if rows:  # at most settings.crowd points in a part on average, or parts that new pivots don't shrink: pairs of different components only
         parts = _regions(_labelled(large.select("token", *_MEMBER), components(links, files)))
-        links = links.unionByName(joined(parts.join(sets.select("key", "outline"), "key")))
+        links = links.unionByName(joined(_in_blocks(parts, s).join(sets.select("key", "outline"), "key")))
     roots = components(links, files)
     classes = points.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
     classes = written(classes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key")), "classes", files)
