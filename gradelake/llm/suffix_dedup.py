@@ -36,10 +36,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import files_for, only, raw_texts, release, remembered, slices, word_hashes, written
+from gradelake.llm.common import files_for, only, raw_texts, release, remembered, shared_dir, slices, word_hashes, written
 
 SPAN = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 _SPAN_SQL = "array<struct<begin:bigint,end:bigint>>"
@@ -52,6 +52,8 @@ _WORD_GRAM = 4
 _SMALL = 1 << 16
 #: Anchors from which splitters are taken.
 _SAMPLED = 1 << 15
+#: Ranges of suffixes, whose splitters every task has, and buckets of blocks: more input makes them larger, not more of them.
+MOST_RANGES, MOST_BUCKETS = 1 << 17, 1 << 16
 
 
 @lru_cache(maxsize=1)
@@ -452,8 +454,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # A block sends a row to each range it has suffixes for, so both follow the bytes, not the number of partitions.
     n_blocks = int(max(64, total >> 21))
-    n_ranges = int(max(32, total >> 23))
-    n_buckets = int(max(parts, total >> 24, 1))
+    n_ranges = int(min(MOST_RANGES, max(32, total >> 23)))
+    n_buckets = int(min(MOST_BUCKETS, max(parts, total >> 24, 1)))
     extra = [f for f in docs.schema.fields if f.name in carry]
     carried = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in extra)
 
@@ -483,7 +485,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
     # negative blocks: which they are depends on the tasks, so it is written once and never worked out again.
     name = f"repeat_blocks_{uuid.uuid4().hex}"
     rows = dealt.filter("block is not null")
-    rows.repartition(n_buckets, "block").write.bucketBy(n_buckets, "block").sortBy("block").option("compression", "zstd").saveAsTable(name)
+    # The files lie in the shared folder, wherever the warehouse is.
+    place = _place(spark, name)
+    rows.repartition(n_buckets, "block").write.bucketBy(n_buckets, "block").sortBy("block").option("compression", "zstd").option("path", place).saveAsTable(name)
     again = spark.table(name).filter("block < 0")
     blocks = spark.table(name).filter("block >= 0").drop("home", "n_bytes")
     bits, splitters = _repeat_bits(docs, blocks, length, n_ranges, False, total)
@@ -534,6 +538,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
     return out
 
 
+def _place(spark: SparkSession, table: str) -> str:
+    return f"{shared_dir(spark)}/{table}"
+
+
 def drop_blocks(result: DataFrame) -> None:
-    """Drop the table that a result of ``remove_repeats`` reads, once the result is stored elsewhere."""
-    result.sparkSession.sql(f"DROP TABLE IF EXISTS {result.blocks_table}")
+    """Drop the table that a result of ``remove_repeats`` reads, and its files, once the result is stored elsewhere."""
+    spark = result.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {result.blocks_table}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(_place(spark, result.blocks_table))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
