@@ -7,8 +7,9 @@ of all earlier categories. While training, these probabilities come from models
 The labels table has one flag, so the chain's categories are derived from the texts it marks: two-means over their
 features splits them into ``kind_a`` (the larger part) and ``kind_b``; ``toxic`` itself comes last and decides.
 Features are words and four- and five-letter word beginnings that some toxic texts share; each counts by the
-logarithm of its occurrences. They are chosen anew for each fold, from the rows outside it only, so an out-of-fold
-probability owes nothing to its row's label. Training runs in one task over a bounded sample of labelled texts;
+logarithm of its occurrences. For each fold they are chosen anew, the kinds are found anew and the models trained anew,
+all from the rows outside it, with folds within these for the later models; so an out-of-fold probability owes nothing
+to any label of its row's fold. Training runs in one task over a bounded sample of labelled texts;
 scoring is a map.
 
 Defined results: a null text is empty; empty texts get the models' bias and are kept unless that alone rejects them;
@@ -143,33 +144,66 @@ def two_kinds(x: np.ndarray) -> np.ndarray:
     return second if second.sum() <= len(second) / 2 else ~second
 
 
+def kinds_of(x: np.ndarray, toxic: np.ndarray) -> dict[str, np.ndarray]:
+    """Which rows are of which kind, by the toxic ones' features alone."""
+    second, which = two_kinds(x[toxic]), np.flatnonzero(toxic)
+    out = {name: np.zeros(len(toxic), bool) for name in CATEGORIES[:-1]}
+    for name, own in zip(CATEGORIES[:-1], (~second, second), strict=True):
+        out[name][which[own]] = True
+    return out
+
+
+class Lesson:
+    """Labelled texts and what can be learned from parts of them."""
+
+    def __init__(self, docs: list[str], toxic: np.ndarray, s: Settings) -> None:
+        self.docs, self.toxic, self.s = docs, toxic, s
+        self.owns = [tuple({f for w in set(words_of(text)) for f in features_of(w)}) for text in docs]
+        self.fold = np.arange(len(docs)) % s.folds
+        self.inner = np.arange(len(docs)) // s.folds % s.folds
+
+    def features(self, rows: np.ndarray) -> dict[str, int]:
+        """The features chosen by the rows' labels."""
+        return {f: k for k, f in enumerate(chosen_features(self.owns, self.toxic, rows, self.s))}
+
+    def matrix(self, features: dict[str, int]) -> np.ndarray:
+        """All texts' features."""
+        part = Chain(features, [], self.s)
+        return np.concatenate([part.matrix(self.docs[k : k + 512]) for k in range(0, len(self.docs), 512)])
+
+    def out_of_fold(self) -> np.ndarray:
+        """Each row's probabilities of the kinds from models that owe nothing to the labels of its fold.
+
+        Features, kinds and models of a fold come from the other folds' rows. Among these a later model again sees earlier
+        probabilities from models without the row: inner folds, which share the features and kinds.
+        """
+        unseen = np.zeros((len(self.docs), len(CATEGORIES) - 1), np.float32)
+        for k in range(self.s.folds):
+            learnt = self.fold != k
+            own = self.matrix(self.features(learnt))
+            kinds, before = kinds_of(own, self.toxic & learnt), np.zeros((len(own), 0), np.float32)
+            for c, name in enumerate(CATEGORIES[:-1]):
+                both, y = np.concatenate([own, before], axis=1), kinds[name].astype(np.float32)
+
+                def predicted(by: np.ndarray, of: np.ndarray, both=both, y=y) -> np.ndarray:
+                    w = logistic(both[by], y[by], self.s)
+                    return _sigmoid(both[of] @ w[:-1] + w[-1]).astype(np.float32)
+
+                p = np.zeros(len(own), np.float32)
+                p[~learnt] = unseen[~learnt, c] = predicted(learnt, ~learnt)
+                for j in range(self.s.folds if c < len(CATEGORIES) - 2 else 0):
+                    own_part = learnt & (self.inner == j)
+                    p[own_part] = predicted(learnt & (self.inner != j), own_part)
+                before = np.concatenate([before, p[:, None]], axis=1)
+        return unseen
+
+
 def learn_chain(docs: list[str], toxic: np.ndarray, s: Settings) -> Chain:
     """Choose features and train the chain; the probabilities that later models see come from models without the row's fold."""
-    owns = [tuple({f for w in set(words_of(text)) for f in features_of(w)}) for text in docs]
-    every, fold = np.ones(len(docs), bool), np.arange(len(docs)) % s.folds
-    chain = Chain({f: k for k, f in enumerate(chosen_features(owns, toxic, every, s))}, [], s)
-
-    def matrix(features: dict[str, int]) -> np.ndarray:
-        part = Chain(features, [], s)
-        return np.concatenate([part.matrix(docs[k : k + 512]) for k in range(0, len(docs), 512)])
-
-    x = matrix(chain.features)
-    labels = {name: np.zeros(len(docs), bool) for name in CATEGORIES}
-    labels["toxic"] = toxic
-    second = two_kinds(x[toxic])
-    labels["kind_a"][np.flatnonzero(toxic)[~second]] = True
-    labels["kind_b"][np.flatnonzero(toxic)[second]] = True
-    unseen = np.zeros((len(docs), len(CATEGORIES)), np.float32)
-    for k in range(s.folds):
-        learnt = fold != k
-        own = matrix({f: i for i, f in enumerate(chosen_features(owns, toxic, learnt, s))})
-        before = np.zeros((len(docs), 0), np.float32)
-        for c, name in enumerate(CATEGORIES[:-1]):  # inside a fold's rows, earlier probabilities are those of its own models
-            both = np.concatenate([own, before], axis=1)
-            w = logistic(both[learnt], labels[name][learnt].astype(np.float32), s)
-            p = _sigmoid(both @ w[:-1] + w[-1]).astype(np.float32)
-            unseen[~learnt, c] = p[~learnt]
-            before = np.concatenate([before, p[:, None]], axis=1)
+    lesson = Lesson(docs, toxic, s)
+    chain = Chain(lesson.features(np.ones(len(docs), bool)), [], s)
+    x, unseen = lesson.matrix(chain.features), lesson.out_of_fold()
+    labels = kinds_of(x, toxic) | {CATEGORIES[-1]: toxic}
     for c, name in enumerate(CATEGORIES):
         w = logistic(np.concatenate([x, unseen[:, :c]], axis=1), labels[name].astype(np.float32), s)
         chain.weights.append(w.astype(np.float64))
