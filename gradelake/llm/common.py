@@ -298,23 +298,30 @@ class WordIds:
 
 
 def sampled(rows: DataFrame, group: str, per_group: int) -> tuple[DataFrame, dict]:
-    """About ``per_group`` rows of each value of ``group`` by a hash of doc_id, and all groups' row counts.
+    """About ``per_group`` rows at most of each value of ``group`` by a hash of doc_id, and all groups' row counts.
 
-    The groups are few (labels, languages): their counts are on the driver. Null groups are left out.
+    Of rows with one doc_id the smallest is taken, so an id that is repeated any number of times is one row. The groups are few
+    (labels, languages): their counts are on the driver. Null groups are left out.
     """
     counts = {r[0]: r[1] for r in rows.filter(F.col(group).isNotNull()).groupBy(group).count().collect()}
     if not counts:
         return rows.limit(0), counts
     rates = F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, per_group / n))))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.filter(draw < rates[F.col(group)]), counts
+    return once_an_id(rows.filter(draw < rates[F.col(group)])), counts
+
+
+def once_an_id(rows: DataFrame) -> DataFrame:
+    """The smallest row of each doc_id; taken in each task before anything is shuffled."""
+    rest = [c for c in rows.columns if c != "doc_id"]
+    return rows.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("one")).select(*(F.col(c) if c == "doc_id" else F.col("one")[c].alias(c) for c in rows.columns))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[DataFrame, dict]:
-    """Texts of about ``per_label`` rows of each label (0 or 1) in ``labels`` (doc_id, label), and the labels' counts.
+    """Texts of about ``per_label`` ids at most of each label (0 or 1) in ``labels`` (doc_id, label), and the labels' counts.
 
-    Only the sampled ids are broadcast, about ``2 * per_label`` at any size of the tables.
+    Only the sampled ids are broadcast, about ``2 * per_label`` at any size of the tables; of an id's texts the smallest counts.
     """
     known = labels.filter(F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("label"))
     some, counts = sampled(known, "label", per_label)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), counts
+    return once_an_id(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")), counts

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gradelake.llm import chat_format, decontaminate, jaccard_join, language_id, quality_model, quality_rules, queries, sentence_pieces, suffix_dedup, token_files, toxicity
+from gradelake.llm import chat_format, common, decontaminate, jaccard_join, language_id, quality_model, quality_rules, queries, sentence_pieces, suffix_dedup, token_files, toxicity
 from gradelake.llm.common import spread
 
 AWKWARD = ["", None, " ", "a", "a b", "A  b", "1234 !!", "é" * 300, "word " * 3000, "x" * 2000, "same text here to see", "same text here to see", "\x00nul", "▁▁ x", "\n\n"]
@@ -549,3 +549,80 @@ def test_long_texts_join(spark):
     rows = [(1, long), (2, long + " and a tail"), (3, long[: len(long) // 2]), (4, "a few words of another text")]
     got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_out_of_fold_probabilities_owe_nothing_to_the_fold():
+    rng = random.Random(8)
+    bad, other = [f"bad{k}" for k in range(12)], [f"vile{k}" for k in range(12)]
+    toxic = np.array([rng.random() < 0.4 for _ in range(300)])
+    docs = [" ".join([rng.choice([f"w{k}" for k in range(60)]) for _ in range(20)] + ([rng.choice(rng.choice([bad, other])) for _ in range(4)] if t else [])) for t in toxic]
+    s = toxicity.Settings()
+    before = toxicity.Lesson(docs, toxic, s).out_of_fold()
+    assert before.max() > 0.5
+    for fold in (0, 3):
+        own = np.arange(len(docs)) % s.folds == fold
+        changed = toxic.copy()
+        changed[own] = np.random.default_rng(fold).permutation(toxic[own])
+        assert (changed != toxic).any()
+        after = toxicity.Lesson(docs, changed, s).out_of_fold()
+        assert np.array_equal(before[own], after[own]) and not np.array_equal(before[~own], after[~own])
+
+
+def test_one_id_repeated_is_one_row_of_a_sample(spark):
+    docs = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 9).alias("text"), F.lit("en").alias("lang"))
+    docs = docs.unionByName(spark.range(100, 150).select(F.col("id").alias("doc_id"), F.lit("other text").alias("text"), F.lit("en").alias("lang")))
+    some, counts = common.sampled(docs, "lang", 200_000)
+    assert counts == {"en": 100_050} and some.count() == 51
+    labels = docs.select("doc_id", F.lit(1).alias("label"))
+    found, _ = common.labelled_sample(docs, labels, 200_000)
+    assert found.count() == 51 and found.filter("doc_id = 7").first().text == "text 0"
+
+
+def test_suffix_ranges_and_buckets_have_a_bound(spark, monkeypatch):
+    rng = random.Random(9)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 3000))) + (shared[rng.randint(0, 200) :] if k % 3 == 0 else "") for k in range(120)]
+    want = None
+    for ranges, buckets in ((1 << 17, 1 << 16), (3, 2)):
+        monkeypatch.setattr(suffix_dedup, "MOST_RANGES", ranges)
+        monkeypatch.setattr(suffix_dedup, "MOST_BUCKETS", buckets)
+        found = suffix_dedup.remove_repeats(frame(spark, texts), 400)
+        got = sorted((str(r.doc_id), [tuple(x) for x in r.spans], bytes(r.kept)) for r in found.collect())
+        suffix_dedup.drop_blocks(found)
+        want = want or got
+        assert got == want and any(x[1] for x in got)
+
+
+@pytest.mark.parametrize("block", [2, 1024])
+def test_jaccard_leftovers_in_blocks(spark, block):
+    rng = random.Random(10)
+    base = [f"b{k}" for k in range(40)]
+    texts = []
+    for k in range(60):  # many texts that share most words and differ in some
+        own = list(base)
+        for _ in range(rng.randint(0, 5)):
+            own[rng.randrange(40)] = f"x{rng.randint(0, 30)}"
+        texts.append(" ".join(own))
+    df = frame(spark, texts)
+    s = jaccard_join.Settings(width=1, percent=80, direct=1, rounds=1, crowd=1, pivots=1, block=block)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df, s).collect()}
+    plain = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df, jaccard_join.Settings(width=1, percent=80)).collect()}
+    assert got == plain and len(set(got.values())) < 60
+
+
+def test_linked_points_live_in_regions_of_pivots(spark):
+    """At sf0.01 nine tenths of the points that link are at home with a sampled pivot."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    s = jaccard_join.Settings(width=4, percent=85)
+    pivots = jaccard_join.sampled_pivots(docs, docs.count(), s)
+    sets = {jaccard_join.key_of(t): t for t in jaccard_join.shingle_sets([(r.text or "").encode() for r in docs.collect()], s.width)}
+    keys, own = list(sets), list(sets.values())
+    home, _ = pivots.regions(own)
+    every = jaccard_join.Pivots.__new__(jaccard_join.Pivots)
+    every.percent = s.percent
+    every._index(own)
+    a, b, both = every.common(own)
+    sizes = np.array([len(t) for t in own])
+    near = (a != b) & (100 * both >= s.percent * (sizes[a] + sizes[b] - both))
+    linked = np.unique(a[near])
+    assert len(linked) > 3 and home[linked].mean() >= 0.9 and len(keys) == len(own)
