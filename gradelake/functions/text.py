@@ -80,8 +80,7 @@ def semester(text: Column) -> Column:
 HTML_STEPS = (
     (r"(?is)<style[^>]*>.*?</style>", " "),
     (r"(?is)<script[^>]*>.*?</script>", " "),
-    (r"(?i)<br\s*/?>", "\n"),
-    (r"(?i)</(?:p|div|tr|li|h[1-6]|ul|ol)>", "\n"),
+    (r"(?i)<(?:br\s*/?|/(?:p|div|tr|li|h[1-6]|ul|ol))>", "\n"),
     (r"<[^>]+>", " "),
     (r"&nbsp;", " "),
     (r"&amp;", "&"),
@@ -95,8 +94,13 @@ HTML_HINTS = ("<html", "<table", "<br", "<div", "<p>", "&lt;", "&gt;", "&#")
 
 
 def strip_html(html: Column) -> Column:
-    """The text of a page."""
-    return stripped(reduce(lambda c, step: F.regexp_replace(c, step[0], step[1]), HTML_STEPS, html))
+    """The text of a page. Entities are plain strings, for which no pattern has to be searched."""
+
+    def rewritten(text: Column, step: tuple[str, str]) -> Column:
+        what, by = step
+        return F.replace(text, F.lit(what), F.lit(by)) if what.startswith("&") else F.regexp_replace(text, what, by)
+
+    return stripped(reduce(rewritten, HTML_STEPS, html))
 
 
 def looks_like_html(body: Column) -> Column:

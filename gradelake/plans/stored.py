@@ -7,7 +7,8 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.operators import dedup, partitions, seen, threads, writes
+from gradelake.functions import hashing
+from gradelake.operators import dedup, partitions, search, seen, threads, writes
 from gradelake.operators.indexes import TrigramIndex, VectorIndex, WordIndex
 from gradelake.operators.snapshots import Snapshots
 from gradelake.plans import functions
@@ -206,3 +207,12 @@ def q14_called_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All students' backlogs, by the tool's name."""
     return functions.call("backlogs", academic(spark, sf_dir), limit=None).select("usn", F.col("total_backlogs").cast("long").alias("value"))
 
+
+@query("m12_recalled_like")
+def m12_recalled_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every hundredth event the five memories of its kind, errors, whose content means most like its own."""
+    said = F.concat_ws(" ", "event_type", "user_id", "props")
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", said.alias("content"))
+    held = events.select(F.col("event_id").alias("memory_id"), F.col("event_type").alias("kind"), "content")
+    asked = events.filter("event_id % 100 = 0").select(F.col("event_id").alias("query_id"), F.col("content").alias("said"))
+    return search.recalled_like(held, asked, hashing.hash_embedding, "error", 5)

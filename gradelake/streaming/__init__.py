@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradelake.operators.snapshots import Snapshots
+
 
 def event_stream(spark: SparkSession, path: str, schema, time: str = "ts") -> DataFrame:
     """A folder of Parquet files as a stream with an event time that watermarks accept."""
@@ -43,11 +45,14 @@ def resumed(spark: SparkSession, path: str, schema, checkpoint: str, sink: str,
     run_available(once, checkpoint, lambda batch, n: batch.write.mode("overwrite").parquet(f"{sink}/batch={n}"))
 
 
-def recomputed(changes: DataFrame, keys: list[str], compute: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
-    """A handler that works out aggregates again for the keys a batch touches alone, from all of ``changes``, and stores them by batch number."""
+def recomputed(changes: DataFrame, keys: list[str], compute: Callable[[DataFrame], DataFrame], store: Snapshots) -> Callable[[DataFrame, int], None]:
+    """A handler that works out aggregates again for the keys a batch touches alone, from all of ``changes``, and stores them.
+
+    ``store`` holds one row a key, the newest one (its rules should be ``always``); a batch that is run again changes nothing.
+    """
 
     def handle(batch: DataFrame, n: int) -> None:
         affected = batch.select(*keys).distinct()
-        compute(changes.join(affected, keys, "left_semi")).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        store.upsert(compute(changes.join(affected, keys, "left_semi")), f"batch {n}")
 
     return handle

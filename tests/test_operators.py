@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gradelake import streaming
 from gradelake.functions import grades, hashing, text
 from gradelake.operators import dedup, extract, gpa, mail, quality, search, threads, writes
+from gradelake.operators.snapshots import Snapshots
 from gradelake.plans.academic import academic
 from gradelake.plans.intents import Intent, answer, answered, at_path, checked, filled, guarded, guarded_rows, quick_kind, template, understand
 from gradelake.sources.mail import MESSAGE, flat_messages, key_of_delivery, read_messages, search_mails
@@ -125,6 +126,8 @@ def test_unseen_keeps_new_messages_once(spark):
     key = hashing.message_key(F.col("sender"), F.col("n").cast("string"))
     seen = spark.createDataFrame([("b", 2)], "sender string, n int").select(key.alias("message_key"))
     assert sorted(r.sender for r in dedup.unseen(mails, seen, key).collect()) == ["a", "c"]
+    rows = spark.createDataFrame([("k", 3), ("k", 1), ("k", 2), ("m", 5)], "message_key string, n int")
+    assert sorted(tuple(r) for r in dedup.unseen(rows, seen, F.col("message_key")).select("message_key", "n").collect()) == [("k", 1), ("m", 5)]
 
 
 @pytest.mark.parametrize(
@@ -451,9 +454,15 @@ def test_stream_is_taken_up_again(spark, small, tmp_path):
         streaming.resumed(spark, str(tmp_path / "in"), events.schema, str(tmp_path / "c"), str(tmp_path / "out"), "event_id")
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == got.select("event_id").distinct().count() == events.count()
-    handle = streaming.recomputed(events, ["user_id"], lambda r: r.groupBy("user_id").agg(F.count("*").alias("n")), str(tmp_path / "agg"))
-    handle(events.filter("user_id < 3"), 0)
-    assert spark.read.parquet(str(tmp_path / "agg")).agg(F.sum("n")).first()[0] == events.filter("user_id < 3").count()
+    store = Snapshots(spark, f"file://{tmp_path}/agg", "user_id long, n long", ["user_id"], {"n": writes.always})
+    count = lambda r: r.groupBy("user_id").agg(F.count("*").alias("n"))
+    some = events.filter("event_id % 2 = 0")
+    streaming.recomputed(some, ["user_id"], count, store)(events.filter("user_id < 3"), 0)
+    handle = streaming.recomputed(events, ["user_id"], count, store)
+    handle(events.filter("user_id = 1"), 1)
+    handle(events.filter("user_id = 2"), 1)  # told again
+    want = {**{r.user_id: r.n for r in count(some.filter("user_id < 3")).collect()}, **{r.user_id: r.n for r in count(events.filter("user_id = 1")).collect()}}
+    assert {r.user_id: r.n for r in store.read().collect()} == want
 
 
 def brute_forest(rows):
@@ -538,3 +547,11 @@ def test_answers_are_cited_and_audited(spark, small, tmp_path):
     assert (none, nobody) == ([], [])
     log = spark.read.parquet(audit).orderBy("asked_at").collect()
     assert [(r.question, r.intent, r.n_rows) for r in log] == [("top students by cgpa", "top_n", 10), ("results of 9XX99XX999", "student_lookup", 0)]
+
+
+def test_recalled_by_meaning(spark):
+    letters = lambda c: F.array(*(F.length(F.regexp_replace(F.coalesce(c, F.lit("")), f"[^{x}]", "")).cast("double") for x in "abc"))
+    memories = spark.createDataFrame([(1, "x", "aab"), (2, "x", "ccc"), (3, "y", "aab"), (4, "x", "ab"), (5, "x", None)], "memory_id long, kind string, content string")
+    asked = spark.createDataFrame([(10, "aab"), (11, "c"), (12, None)], "query_id long, said string")
+    got = {(r.query_id, r.place): r.memory_id for r in search.recalled_like(memories, asked, letters, "x", 2, least=0.5).collect()}
+    assert got == {(10, 1): 1, (10, 2): 4, (11, 1): 2}
