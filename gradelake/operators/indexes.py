@@ -26,7 +26,8 @@ LONG_WORD = 32
 
 
 def _store(rows: DataFrame, path: str, *by: str) -> None:
-    """Write ``rows`` partitioned, and their schema beside them: a table without rows has no file that tells it."""
+    """Write ``rows`` partitioned, a large partition as several files, and their schema: a table without rows has no file that tells it."""
+    rows = rows.sparkSession.sql(f"SELECT /*+ REBALANCE({', '.join(by)}) */ * FROM {{rows}}", rows=rows)
     rows.write.partitionBy(*by).parquet(path)
     rows.sparkSession.createDataFrame([(rows.schema.json(),)], "kinds string").coalesce(1).write.parquet(f"{path}-schema")
 
@@ -100,9 +101,7 @@ class VectorIndex:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["key", "vector", "cell"])
 
         kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
-        # A large cell is several files, a small one is one.
-        placed = self.spark.sql("SELECT /*+ REBALANCE(cell) */ * FROM {placed}", placed=rows.mapInArrow(place, f"{kinds}, cell int"))
-        _store(placed, f"{self.folder}/cells", "cell")
+        _store(rows.mapInArrow(place, f"{kinds}, cell int"), f"{self.folder}/cells", "cell")
         return self
 
     def search(self, queries: DataFrame, key: str, vector: str, k: int = 10, probes: int | None = None, digits: int = 6) -> DataFrame:
