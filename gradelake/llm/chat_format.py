@@ -7,7 +7,8 @@ strings inside contents are escaped reversibly, so the formatted text splits bac
 Defined results: a null text is the empty text; a null role is the empty role and is rejected by the automaton;
 turns are ordered by turn, then role, then text (null first), so repeated or tied turns keep a fixed order and
 all of them are kept; rows with a null conv_id form one conversation of their own; an empty table gives no rows;
-columns other than the four named ones are ignored.
+columns other than the four named ones are ignored. A conversation is one row, so its turns meet in one task and
+have to fit into it, those without a conv_id too.
 """
 
 from __future__ import annotations
