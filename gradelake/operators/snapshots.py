@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradelake.operators.writes import Rule, merge_upsert
@@ -66,7 +66,7 @@ class Snapshots:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*(f"{self.folder}/{p}" for p in paths))
 
-    def bucket(self) -> F.Column:
+    def bucket(self) -> Column:
         """The bucket of a row."""
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 

@@ -121,7 +121,7 @@ def x14_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("x14_repeated_threads", """
 WITH t AS (SELECT conv_id, turn FROM conversations UNION ALL SELECT conv_id, turn FROM conversations WHERE (conv_id + turn) % 3 = 0)
 SELECT CASE WHEN turn <> 6 THEN conv_id::varchar || ':' || turn END AS id, CASE WHEN turn < 6 THEN conv_id::varchar || ':0' WHEN turn > 6 THEN conv_id::varchar || ':' || turn END AS root,
-  CASE WHEN turn < 6 THEN CASE WHEN turn < 2 THEN turn ELSE turn END ELSE 0 END AS depth FROM t""")
+  CASE WHEN turn < 6 THEN turn ELSE 0 END AS depth FROM t""")
 def x14_repeated_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threads of messages of which a third is told twice, every seventh has no id, and the first two answer each other."""
     turn = F.col("turn")

@@ -188,7 +188,6 @@ def test_mailbox_table(spark, tmp_path):
     nested = mail(1)
     nested.add_attachment(mail(7, "inner text"))
     nested.add_attachment(b"12345", maintype="application", subtype="pdf", filename="märks.pdf")
-    nested.add_alternative if False else None
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "one.eml").write_bytes(bytes(nested))
     (tmp_path / "bad.eml").write_bytes(b"no header at all\nContent-Type: multipart/mixed; boundary=zz\n\n--yy\nx")
@@ -276,8 +275,7 @@ def test_months_are_pruned_at_run_time(spark, small):
     rows.collect()
     plan = rows._jdf.queryExecution().executedPlan()
     assert "dynamicpruning" in plan.toString()
-    files = [int(x) for x in re.findall(r"number of files read=(\d+)", "")] or _metric(plan, "numFiles")
-    assert files and min(files) == 1
+    assert min(_metric(plan, "numFiles")) == 1
 
 
 def _metric(plan, name):
