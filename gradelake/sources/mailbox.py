@@ -23,6 +23,7 @@ import re
 from collections.abc import Iterator
 from email.header import decode_header, make_header
 from email.utils import getaddresses
+from typing import NamedTuple
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -32,11 +33,19 @@ SLICE_BYTES = 64 << 20
 _FROM = re.compile(rb"(?:\A|(?<=\n\n)|(?<=\n\r\n))From [^\n]*\n")
 
 
-class Slice(InputPartition):
+class Slice(NamedTuple):
     """The messages of one file that begin from ``begin`` on, before ``end``."""
 
-    def __init__(self, file: str, begin: int, end: int) -> None:
-        self.file, self.begin, self.end = file, begin, end
+    file: str
+    begin: int
+    end: int
+
+
+class Bundle(InputPartition):
+    """The slices that one task reads: about SLICE_BYTES in all, or one slice."""
+
+    def __init__(self, slices: list[Slice]) -> None:
+        self.slices = slices
 
 
 def _opened(path: str):
@@ -64,6 +73,18 @@ def slices_of(taken: dict[str, int], sizes: dict[str, int]) -> list[Slice]:
     return out
 
 
+def bundled(slices: list[Slice]) -> list[Bundle]:
+    """Slices in the order of their files, small ones together; one empty bundle where there are none."""
+    out, size = [Bundle([])], 0
+    for own in slices:
+        if out[-1].slices and size + own.end - own.begin > SLICE_BYTES:
+            out.append(Bundle([]))
+            size = 0
+        out[-1].slices.append(own)
+        size += own.end - own.begin
+    return out
+
+
 def raw_messages(data, begin: int, end: int, size: int) -> Iterator[tuple[int, bytes]]:
     """(place, bytes) of the messages of an mbox that begin from ``begin`` on, before ``end``; ``data(a, b)`` reads bytes."""
     # Four bytes before show whether a line at the very start begins a message.
@@ -167,11 +188,11 @@ class _Reader(DataSourceReader):
     def __init__(self, path: str, mbox: str) -> None:
         self.path, self.mbox = path, mbox
 
-    def partitions(self) -> list[Slice]:
-        return slices_of({}, listed(self.path, self.mbox)) or [Slice("", 0, 0)]
+    def partitions(self) -> list[Bundle]:
+        return bundled(slices_of({}, listed(self.path, self.mbox)))
 
-    def read(self, partition: Slice) -> Iterator[tuple]:
-        return rows_of(self.path, partition) if partition.file else iter(())
+    def read(self, partition: Bundle) -> Iterator[tuple]:
+        return (row for own in partition.slices for row in rows_of(self.path, own))
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -184,11 +205,11 @@ class _StreamReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {"taken": json.dumps(listed(self.path, self.mbox))}
 
-    def partitions(self, start: dict, end: dict) -> list[Slice]:
-        return slices_of(json.loads(start["taken"]), json.loads(end["taken"])) or [Slice("", 0, 0)]
+    def partitions(self, start: dict, end: dict) -> list[Bundle]:
+        return bundled(slices_of(json.loads(start["taken"]), json.loads(end["taken"])))
 
-    def read(self, partition: Slice) -> Iterator[tuple]:
-        return rows_of(self.path, partition) if partition.file else iter(())
+    def read(self, partition: Bundle) -> Iterator[tuple]:
+        return (row for own in partition.slices for row in rows_of(self.path, own))
 
     def commit(self, end: dict) -> None:
         """Nothing is held here that an offset could free."""

@@ -543,10 +543,10 @@ def test_answers_are_cited_and_audited(spark, small, tmp_path):
     audit = f"{tmp_path}/audit"
     rows, who = answered(spark, "top students by cgpa", data, audit)
     assert len(rows) == 10 and len(who) == 10 and len(set(who)) == 10
-    none, nobody = answered(spark, "results of 9XX99XX999", data, audit)
+    none, nobody = answered(spark, "results of 4ZZ99ZZZ999", data, audit)
     assert (none, nobody) == ([], [])
     log = spark.read.parquet(audit).orderBy("asked_at").collect()
-    assert [(r.question, r.intent, r.n_rows) for r in log] == [("top students by cgpa", "top_n", 10), ("results of 9XX99XX999", "student_lookup", 0)]
+    assert [(r.question, r.intent, r.n_rows) for r in log] == [("top students by cgpa", "top_n", 10), ("results of 4ZZ99ZZZ999", "student_lookup", 0)]
 
 
 def test_recalled_by_meaning(spark):

@@ -236,6 +236,14 @@ def test_mailboxes_are_cut_anywhere():
         assert [m.rstrip() for cut in cuts for _, m in cut] == want
 
 
+def test_small_files_share_a_task(monkeypatch):
+    monkeypatch.setattr(mailbox, "SLICE_BYTES", 100)
+    sizes = {f"{k}.eml": 30 for k in range(10)} | {"box.mbox": 250, "large.eml": 500}
+    got = mailbox.bundled(mailbox.slices_of({"0.eml": 30, "box.mbox": 20}, sizes))
+    assert [x for b in got for x in b.slices] == mailbox.slices_of({"0.eml": 30, "box.mbox": 20}, sizes)
+    assert [len(b.slices) for b in got] == [3, 3, 3, 1, 1, 1, 1] and len(mailbox.bundled([])) == 1
+
+
 def test_memory_expires(spark, tmp_path):
     spark.conf.set(*memory.STORE)
     kind = "run_id string, key string, value string, ts timestamp"
