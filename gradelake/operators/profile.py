@@ -109,9 +109,9 @@ def recent_extractions(extractions: DataFrame, messages: DataFrame, limit: int =
     return extractions.join(told, "email_id").orderBy(F.desc("created_at"), "extraction_id").limit(limit)
 
 
-def stored_students(records: DataFrame, students: DataFrame) -> DataFrame:
-    """The stored rows of the students that records name."""
-    return students.join(records.select(F.upper(F.trim("usn")).alias("usn")).distinct(), "usn", "left_semi")
+def stored_students(records: DataFrame, students: DataFrame, *also: str) -> DataFrame:
+    """The stored rows of the students that records name by number, and by the columns ``also`` where students share numbers."""
+    return students.join(records.select(F.upper(F.trim("usn")).alias("usn"), *also).distinct(), ["usn", *also], "left_semi")
 
 
 def claims_in(replies: DataFrame, key: str, text: str) -> DataFrame:
