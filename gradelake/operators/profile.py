@@ -124,9 +124,12 @@ def claims_in(replies: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, "at", "usn", F.filter(numbers, lambda n: (n > 0) & (n <= 10)).alias("numbers"))
 
 
-def checked_claims(claims: DataFrame, averages: DataFrame, key: str, tolerance: float = 0.15) -> DataFrame:
-    """Each claim with its verdict: not_found, mismatch (with the first number that is off), or ok. ``averages``: usn, cgpa."""
-    rows = claims.join(averages.select("usn", F.col("cgpa").alias("actual"), F.lit(True).alias("there")), "usn", "left")
+def checked_claims(claims: DataFrame, averages: DataFrame, key: str, tolerance: float = 0.15, on: tuple[str, ...] = ("usn",)) -> DataFrame:
+    """Each claim with its verdict: not_found, mismatch (with the first number that is off), or ok. ``averages``: ``on``, cgpa.
+
+    Where students share numbers, ``on`` names what tells them apart too.
+    """
+    rows = claims.join(averages.select(*on, F.col("cgpa").alias("actual"), F.lit(True).alias("there")), list(on), "left")
     off = F.get(F.filter("numbers", lambda n: F.abs(n - F.col("actual")) > tolerance), F.lit(0))
     wrong = F.col("actual").isNotNull() & (F.col("actual") != 0) & off.isNotNull()
     return rows.select(key, "usn", F.when(wrong, off).alias("claimed"), "actual", F.when(F.col("there").isNull(), "not_found").when(wrong, "mismatch").otherwise("ok").alias("verdict"))
