@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,12 +89,13 @@ def record_subjects(records: DataFrame) -> DataFrame:
     )
 
 
-def save_records(records: DataFrame, tables: dict[str, DataFrame], pre_clean: bool = False) -> dict[str, DataFrame]:
+def save_records(records: DataFrame, tables: dict[str, DataFrame], pre_clean: bool = False, cleaned_by: Callable[[Column], Column] = lambda usn: usn) -> dict[str, DataFrame]:
     """The next snapshots of students, subjects, results and averages after records are stored.
 
     ``tables`` has students (usn, name, email, source), subjects (subject_id and code, the same here, name, credits,
     pass_marks), results (student_id is the usn) and averages (student_id, cgpa). With ``pre_clean``, earlier results of
-    each student and semester that the records name go first. Of a result told twice, the last one in its record counts.
+    each student and semester that the records name go first; ``cleaned_by`` gives what students have in common whose
+    results go together. Of a result told twice, the last one in its record counts.
     Averages are worked out again for the students named alone.
     """
     rows = record_subjects(records)
@@ -103,8 +106,8 @@ def save_records(records: DataFrame, tables: dict[str, DataFrame], pre_clean: bo
     changes = last_by_key(result_changes(fresh, subjects).join(fresh.select("student_id", "subject_id", "semester", "at").groupBy("student_id", "subject_id", "semester").agg(F.max("at").alias("at")), ["student_id", "subject_id", "semester"]), list(RESULT_KEY), "at").drop("at")
     old = tables["results"]
     if pre_clean:
-        named = records.filter(F.length(F.trim("usn")) >= 5).select(F.upper(F.trim("usn")).alias("student_id"), F.coalesce("semester", F.lit(1)).alias("semester")).distinct()
-        old = old.join(named, ["student_id", "semester"], "left_anti")
+        named = records.filter(F.length(F.trim("usn")) >= 5).select(cleaned_by(F.upper(F.trim("usn"))).alias("_by"), F.coalesce("semester", F.lit(1)).alias("semester")).distinct()
+        old = old.withColumn("_by", cleaned_by(F.col("student_id"))).join(named, ["_by", "semester"], "left_anti").select(old.columns)
     results = upsert_results(old, changes)
     compute = lambda r: gpa.gpa_positive(r, subjects, "student_id").withColumnRenamed("gpa", "cgpa")
     affected = changes.select("student_id").distinct()
