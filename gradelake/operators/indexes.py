@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gradelake.operators.search import BLOCK, _matrix, trigrams
+from gradelake.operators.search import BLOCK, trigrams
 
 #: Partitions that a word's postings may lie in.
 BUCKETS = 64
@@ -37,6 +37,13 @@ def _load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(kinds).parquet(path)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows; vectors with nulls or of another length become rows of NaN."""
+    rows = column.to_pylist()
+    size = max((len(r) for r in rows if r is not None), default=0)
+    return np.array([r if r is not None and len(r) == size and None not in r else [np.nan] * size for r in rows], np.float64).reshape(len(rows), size)
+
+
 def _unit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of length 1, and which rows have a direction."""
     with np.errstate(invalid="ignore", divide="ignore"):
