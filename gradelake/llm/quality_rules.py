@@ -3,8 +3,8 @@
 Each whole text is compressed with zstandard, once as a whole and once in fixed chunks. Repetitive text
 compresses far better than prose, noise far worse, and how much is normal depends on the length: a band gives the
 lowest and highest accepted ratio (bytes over compressed bytes) for texts up to a length, and the share of chunks
-that may lie outside the chunk band. ``calibrated`` sets the bands from a bounded sample of texts labelled good: by half
-octaves of the length, the outer quantiles of their ratios and some slack. Without such texts wide default bands hold.
+that may lie outside the chunk band. ``calibrated`` sets the bands from all texts labelled good: by half octaves of
+the length, the outer quantiles of their ratios and some slack. Without such texts wide default bands hold.
 
 Chunks cover the whole text: what is left after the full ones is a chunk too, judged by the band of its length; fewer
 bytes than ``least_tail`` say too little and belong to the chunk before. A text shorter than a chunk is one.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import labelled_sample, numbered, raw_texts, slices
+from gradelake.llm.common import filtered, numbered, raw_texts, sketch, slices
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -34,6 +34,8 @@ SCHEMA = (
 _SYMBOLS = b"#*$%&|<>"
 _NOT_SPACE = bytes(b for b in range(256) if b == 0x20 or 9 <= b <= 13)
 _CONTINUATION = bytes(range(0x80, 0xC0))
+#: Lengths are counted by this many steps an octave, ratios by this many steps a factor of e.
+_PLACES, _STEPS = 8, 512
 
 
 @dataclass(frozen=True)
@@ -47,9 +49,8 @@ class Band:
 
 @dataclass(frozen=True)
 class Calibration:
-    """How bands are learned: from ``sample`` good texts; a band rests on the ``least`` texts nearest in length, or more."""
+    """How bands are learned: a band rests on the ``least`` texts nearest in length, or more."""
 
-    sample: int = 3000
     least: int = 40
     quantile: float = 0.005
     slack: float = 0.03
@@ -128,46 +129,64 @@ def compression(limits: Limits) -> Callable[[bytes], float]:
     return lambda data: len(data) / len(packer.compress(data)) if data else 0.0
 
 
-def bands_of(sizes: np.ndarray, ratios: np.ndarray, c: Calibration) -> tuple[Band, ...]:
-    """Bands by half octaves from the texts' sizes and ratios; each rests on the ``least`` texts nearest in length at least."""
-    place, out = np.log2(sizes), []
+def outer_steps(steps: np.ndarray, counts: np.ndarray, c: Calibration) -> tuple[float, float]:
+    """The lowest and highest accepted ratio by the counts of steps."""
+    order = np.argsort(steps)
+    upto = np.cumsum(counts[order])
+    low, high = (steps[order][np.searchsorted(upto, q * (upto[-1] - 1), side="right")] for q in (c.quantile, 1 - c.quantile))
+    return float(np.exp(low / _STEPS)) * (1 - c.slack), float(np.exp((high + 1) / _STEPS)) * (1 + c.slack)
+
+
+def bands_of(places: np.ndarray, steps: np.ndarray, counts: np.ndarray, c: Calibration) -> tuple[Band, ...]:
+    """Bands by half octaves from the counts of texts by length and ratio; each rests on the ``least`` texts nearest in length at least."""
+    out = []
     for k in range(10, 42):  # from 32 bytes to 2 MiB, and beyond
-        apart = np.abs(place - (k + 0.5) / 2)
-        own = ratios[apart <= max(0.5, np.sort(apart)[min(c.least, len(apart)) - 1])]
-        low, high = np.quantile(own, [c.quantile, 1 - c.quantile])
-        out.append(Band(2 ** ((k + 1) / 2) if k < 41 else float("inf"), float(low) * (1 - c.slack), float(high) * (1 + c.slack)))
+        apart = np.abs((places + 0.5) / _PLACES - (k + 0.5) / 2)
+        order = np.argsort(apart)
+        enough = apart[order][min(np.searchsorted(np.cumsum(counts[order]), c.least), len(order) - 1)]
+        own = apart <= max(0.5, enough)
+        low, high = outer_steps(steps[own], counts[own], c)
+        out.append(Band(2 ** ((k + 1) / 2) if k < 41 else float("inf"), low, high))
     return tuple(out)
 
 
 def calibrated(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), c: Calibration = Calibration()) -> Limits:
     """Limits whose bands follow the texts that ``labels`` (doc_id, label) marks 1; ``limits`` itself if there are under ``least``.
 
-    At most about ``sample`` rows of a few numbers reach the driver.
+    All such texts are measured where they lie, an id once; what reaches the driver are counts by length and ratio, whose
+    number doesn't grow with the tables.
     """
-    good, _ = labelled_sample(docs, labels.filter("label = 1"), c.sample)
+    good = labels.filter("label = 1").select("doc_id").distinct()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = compression(limits)
+        step = lambda data: int(np.floor(np.log(ratio(data)) * _STEPS))
+        schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("step", pa.int64()), ("chunks", pa.list_(pa.int64()))])
         for batch in slices(batches):
-            for t in raw_texts(batch):
+            ids, rows = batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), []
+            for key, t in zip(ids, raw_texts(batch), strict=True):
                 words = t.split()
                 if len(words) < 10 or 100 * int(repeated_words(np.zeros(len(words), np.int64), numbered(words)[0], 1)[0]) > 20 * len(words):
                     continue
                 ends = [e for e in chunk_ends(len(t), limits) if e % limits.chunk_bytes == 0]
-                row = {"size": len(t), "ratio": ratio(t), "chunks": [ratio(t[e - limits.chunk_bytes : e]) for e in ends]}
-                yield pa.RecordBatch.from_pylist([row], pa.schema([("size", pa.int64()), ("ratio", pa.float64()), ("chunks", pa.list_(pa.float64()))]))
-
-    found = good.select("text").mapInArrow(measure, "size long, ratio double, chunks array<double>").orderBy(F.xxhash64("size", "ratio"), "size", "ratio").limit(2 * c.sample).collect()
-    found.sort(key=lambda r: (r["size"], r["ratio"]))
-    if len(found) < c.least:
+                rows.append({"doc_id": key, "size": len(t), "step": step(t), "chunks": [step(t[e - limits.chunk_bytes : e]) for e in ends]})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    may = filtered(docs.select("doc_id", "text"), F.xxhash64("doc_id"), sketch(good.select(F.xxhash64("doc_id").alias("h")), "h"))[0]
+    measured = may.select("doc_id", "text").mapInArrow(measure, "doc_id long, size long, step long, chunks array<long>")
+    once = measured.join(good, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("size", "step", "chunks")).alias("r")).select("r.*")
+    place = F.floor(F.log2("size") * _PLACES).cast("int")
+    each = F.concat(F.array(F.struct(place.alias("place"), F.col("step").alias("step"))), F.transform("chunks", lambda x: F.struct(F.lit(-1).alias("place"), x.alias("step"))))
+    found = once.select(F.explode(each).alias("e")).groupBy("e.place", "e.step").agg(F.count("*").alias("n")).toPandas()
+    whole, chunks = found[found.place >= 0], found[found.place < 0]
+    if whole.n.sum() < c.least:
         return limits
-    bands = bands_of(np.array([r["size"] for r in found], float), np.array([r["ratio"] for r in found]), c)
-    chunks = np.array([x for r in found for x in r["chunks"]])
-    if len(chunks) < c.least:
+    bands = bands_of(whole.place.to_numpy(), whole.step.to_numpy(), whole.n.to_numpy(), c)
+    if chunks.n.sum() < c.least:
         full = next(b for b in bands if limits.chunk_bytes < b.below)
         return replace(limits, bands=bands, chunk_lowest=full.lowest, chunk_highest=full.highest)
-    low, high = np.quantile(chunks, [c.quantile, 1 - c.quantile])
-    return replace(limits, bands=bands, chunk_lowest=float(low) * (1 - c.slack), chunk_highest=float(high) * (1 + c.slack))
+    low, high = outer_steps(chunks.step.to_numpy(), chunks.n.to_numpy(), c)
+    return replace(limits, bands=bands, chunk_lowest=low, chunk_highest=high)
 
 
 def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:

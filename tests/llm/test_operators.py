@@ -494,6 +494,23 @@ def test_quality_query_equals_brute_force(spark, small):
         assert (r.verdict, r.kept) == (said, said == "kept")
 
 
+def test_calibrated_bands_count_all_good_texts(spark):
+    """Sixty long texts among 12000 are enough for a band of their own, if all count."""
+    rng = random.Random(5)
+    short = ["the cat sat on the mat and saw a dog by the door number %d again" % k for k in range(11940)]
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(40)]
+    long = [" ".join(rng.choices(vocabulary, k=400)) for _ in range(60)]
+    rows = list(enumerate(short + long))
+    docs = spark.createDataFrame(rows + rows[-20:], "doc_id long, text string").repartition(4)
+    limits = quality_rules.calibrated(docs, docs.select("doc_id", F.lit(1).alias("label")))
+    ratio, c = quality_rules.compression(limits), quality_rules.Calibration()
+    for texts in (short, long):
+        ratios = sorted(ratio(t.encode()) for t in texts)
+        band = next(b for b in limits.bands if len(texts[0]) < b.below)
+        assert abs(band.lowest / ratios[int(c.quantile * (len(texts) - 1))] / (1 - c.slack) - 1) < 0.004
+        assert abs(band.highest / ratios[int((1 - c.quantile) * (len(texts) - 1))] / (1 + c.slack) - 1) < 0.004
+
+
 def test_calibrated_bands_reject_planted_junk(spark, small):
     folder = f"{small[: -len('sf0.001')]}sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet").selectExpr("doc_id", "quality AS label")
