@@ -233,36 +233,43 @@ class TrigramIndex:
     def __init__(self, spark: SparkSession, folder: str, percent: int = 50) -> None:
         self.spark, self.folder, self.percent = spark, folder.rstrip("/"), percent
 
-    def _ordered(self, names: DataFrame, key: str, name: str, percent: int) -> DataFrame:
-        """(id, name, size, at, gram): each name's rarest trigrams of the indexed ones, those not indexed first."""
-        rows = names.select(F.col(key).alias("id"), F.col(name).alias("name")).filter("name is not null").distinct()
+    def _ordered(self, names: DataFrame, name: str, percent: int) -> DataFrame:
+        """(name, size, at, gram): each different name's rarest trigrams of the indexed ones, those not indexed first."""
+        rows = names.select(F.col(name).alias("name")).filter("name is not null").distinct()
         counts = self.spark.read.parquet(f"{self.folder}/counts")
-        grams = rows.select("id", "name", F.explode(trigrams(F.col("name"))).alias("gram")).join(counts, "gram", "left")
-        own = grams.groupBy("id", "name").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("grams"))
+        grams = rows.select("name", F.explode(trigrams(F.col("name"))).alias("gram")).join(counts, "gram", "left")
+        own = grams.groupBy("name").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("grams"))
         own = own.withColumn("size", F.size("grams"))
         prefix = F.col("size") - F.ceil(F.col("size") * percent / 100).cast("int") + 1
-        return own.select("id", "name", "size", F.posexplode(F.slice("grams", F.lit(1), prefix)).alias("at", "g")).select("id", "name", "size", "at", "g.gram")
+        return own.select("name", "size", F.posexplode(F.slice("grams", F.lit(1), prefix)).alias("at", "g")).select("name", "size", "at", "g.gram")
 
     def build(self, names: DataFrame, key: str, name: str) -> TrigramIndex:
-        """Count the trigrams, then post each name under its rarest ones; queries may ask for ``percent`` or more."""
-        names.filter(F.col(name).isNotNull()).select(F.explode(trigrams(F.col(name))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).write.parquet(f"{self.folder}/counts")
-        posted = self._ordered(names, key, name, self.percent)
+        """Count the trigrams of the different names, then post each of these under its rarest ones, and store whose it is; queries may ask for ``percent`` or more."""
+        rows = names.select(F.col(key).alias("match_id"), F.col(name).alias("name")).filter("name is not null").distinct()
+        rows.write.parquet(f"{self.folder}/names")
+        rows.select("name").distinct().select(F.explode(trigrams(F.col("name"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).write.parquet(f"{self.folder}/counts")
+        posted = self._ordered(rows, "name", self.percent)
         _store(posted.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int")), f"{self.folder}/postings", "bucket")
         return self
 
     def search(self, queries: DataFrame, key: str, name: str, percent: int) -> DataFrame:
-        """(query_id, match_id, similarity) of the names whose trigrams are ``percent`` per cent the same or more."""
+        """(query_id, match_id, similarity) of the names whose trigrams are ``percent`` per cent the same or more.
+
+        Different names meet; whose they are is joined to what is left.
+        """
         if percent < self.percent:
             raise ValueError(f"the index holds what {self.percent} per cent and more need")
         bucket = F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int")
-        asked = self._ordered(queries, key, name, percent).select(F.col("id").alias("query_id"), F.col("name").alias("asked"), F.col("size").alias("x"), F.col("at").alias("i"), "gram", bucket.alias("bucket"))
-        stored = _load(self.spark, f"{self.folder}/postings").select(F.col("id").alias("match_id"), "name", F.col("size").alias("y"), F.col("at").alias("j"), "gram", "bucket")
+        asked = self._ordered(queries, name, percent).select(F.col("name").alias("asked"), F.col("size").alias("x"), F.col("at").alias("i"), "gram", bucket.alias("bucket"))
+        stored = _load(self.spark, f"{self.folder}/postings").select("name", F.col("size").alias("y"), F.col("at").alias("j"), "gram", "bucket")
         met = stored.join(asked, ["bucket", "gram"])
         # As long as need be, and enough trigrams left after this one to share as many as the similarity needs.
         met = met.filter((F.col("y") * 100 >= F.col("x") * percent) & (F.col("x") * 100 >= F.col("y") * percent))
         met = met.filter((1 + F.least(F.col("x") - 1 - F.col("i"), F.col("y") - 1 - F.col("j"))) * (100 + percent) >= (F.col("x") + F.col("y")) * percent)
-        pairs = met.select("query_id", "match_id", "asked", "name").distinct()
+        pairs = met.select("asked", "name").distinct()
         a, b = trigrams(F.col("asked")), trigrams(F.col("name"))
         both = F.size(F.array_intersect(a, b))
-        scored = pairs.select("query_id", "match_id", both.alias("both"), (F.size(a) + F.size(b) - both).alias("every"))
-        return scored.filter(F.col("both") * 100 >= F.col("every") * percent).select("query_id", "match_id", F.round(F.col("both") / F.col("every"), 6).alias("similarity"))
+        scored = pairs.select("asked", "name", both.alias("both"), (F.size(a) + F.size(b) - both).alias("every"))
+        near = scored.filter(F.col("both") * 100 >= F.col("every") * percent).select("asked", "name", F.round(F.col("both") / F.col("every"), 6).alias("similarity"))
+        who = queries.select(F.col(key).alias("query_id"), F.col(name).alias("asked")).filter("asked is not null").distinct()
+        return near.join(who, "asked").join(self.spark.read.parquet(f"{self.folder}/names"), "name").select("query_id", "match_id", "similarity")

@@ -139,6 +139,15 @@ def test_trigram_index_equals_brute_force(spark, percent):
         index.search(rows, "id", "name", 40)
 
 
+def test_equal_names_are_posted_once(spark):
+    rows = spark.createDataFrame([(k, f"Customer {k % 5}") for k in range(50)], "id long, name string")
+    index = TrigramIndex(spark, new_folder(spark, "trigrams"), 50).build(rows, "id", "name")
+    one = TrigramIndex(spark, new_folder(spark, "trigrams"), 50).build(rows.limit(5), "id", "name")
+    assert spark.read.parquet(f"{index.folder}/postings").count() == spark.read.parquet(f"{one.folder}/postings").count()
+    got = {(r.query_id, r.match_id) for r in index.search(rows.filter("id < 2"), "id", "name", 100).collect()}
+    assert got == {(q, k) for q in (0, 1) for k in range(50) if k % 5 == q}
+
+
 def files_of(store):
     return {x for _, _, names in os.walk(store.folder.removeprefix("file://") + "/data") for x in names if x.startswith("part-")}
 
