@@ -14,7 +14,8 @@ Documents with equal shingle sets are one point (128-bit keys). r is the radius
    shingle (else the pivot lies between them, within r of both). So a region is cut by a necessary prefix of each
    point's differences from its pivot, the rarest first. Small parts are joined directly. Large ones are cut by set
    size, and if still large get a pivot of their own, and so on. A part that stops shrinking is cut into blocks by a
-   hash, and each pair of blocks is joined directly as a part of its own.
+   hash, and each pair of blocks is joined directly as a part of its own; where such parts of a region have so many points
+   in common that all of the region's are fewer pairs, its points are one part.
 
 Rarity is the number of points of the region that have a difference, counted exactly; of the rest, whose differences
 from the empty set are their whole sets, over a fixed lower part of the hash range that is wide enough for the
@@ -485,6 +486,18 @@ def _direct_pairs(members: DataFrame, s: Settings) -> DataFrame:
     return side("a").join(side("b"), "token").filter(look).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
 
 
+def _merged(parts: DataFrame) -> DataFrame:
+    """Parts (with their ``size``) of one region become one part of all their points where that holds no more pairs.
+
+    A point has the first of its places and all its rights, so no pair of the parts is passed over.
+    """
+    points = parts.groupBy("origin", "key").agg(*(F.min(c).alias(c) for c in ("label", "n", "apart", "pos")), *(F.bool_or(c).alias(c) for c in ("own", "home")), F.max("central").alias("central"), F.sum("size").alias("met"))
+    merge = points.groupBy("origin").agg(F.count("*").alias("size"), F.sum("met").alias("pairs")).filter(F.col("size") * F.col("size") <= F.col("pairs")).select("origin", "size")
+    whole = points.join(merge, "origin").withColumn("token", F.xxhash64(F.lit("points"), "origin"))
+    apart = parts.join(merge.select("origin"), "origin", "left_anti")
+    return apart.select("token", *_MEMBER, "size").unionByName(whole.select("token", *_MEMBER, "size"))
+
+
 def _in_blocks(parts: DataFrame, s: Settings) -> DataFrame:
     """Parts (with their ``size``) cut into blocks of about ``s.block`` points, a part for each pair of blocks of one."""
     n = F.ceil(F.col("size") / s.block).cast("int")
@@ -622,7 +635,9 @@ def _placed(docs: DataFrame, s: Settings) -> tuple[DataFrame, int]:
         large, work, rows = larger, left, points_left
     if rows:  # at most settings.crowd points in a part on average, or parts that new pivots don't shrink: pairs of different components only
         parts = _regions(_labelled(large.select("token", *_MEMBER), components(links, files)))
-        links = links.unionByName(joined(_in_blocks(parts, s).join(sets.select("key", "outline"), "key")))
+        parts = written(parts, "parts", files)
+        used.append(parts)
+        links = links.unionByName(joined(_in_blocks(_merged(parts), s).join(sets.select("key", "outline"), "key")))
     roots = components(links, files)
     classes = points.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
     classes = written(classes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key")), "classes", files)
