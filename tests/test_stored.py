@@ -1,5 +1,6 @@
 """What is kept in the shared storage: stored signatures, indexes, snapshots, raw messages, state, partitions, functions, runs."""
 
+import collections
 import dataclasses
 import itertools
 import os
@@ -17,6 +18,7 @@ from gradelake.operators.indexes import LONG_WORD, TrigramIndex, VectorIndex, Wo
 from gradelake.operators.snapshots import Snapshots
 from gradelake.plans import functions
 from gradelake.plans.academic import academic, view
+from gradelake.plans.queries import QUERIES
 from gradelake.sources import mailbox
 from gradelake.sources.folders import new_folder
 from gradelake.streaming import memory, runs
@@ -55,6 +57,36 @@ def test_batches_give_the_pairs_of_one_run(spark, small, name, limit):
     assert got == want and {tuple(r) for r in store.members(len(batches)).collect()} == members
 
 
+@pytest.mark.parametrize(("name", "block"), [("simhash", 65536), ("simhash", 9), ("minhash", 65536), ("minhash", 9)])
+def test_batches_count_the_links_of_one_run(spark, small, name, block):
+    rows, scheme, kind = signed(spark, small, name)
+    base = rows[0][1]
+    near = lambda k: base ^ 5 << k if name == "simhash" else [*base[:k], *range(k, k + 9), *base[k + 9 :]]
+    rows = sorted([*rows, *((10_000_000 + k, near(k)) for k in range(0, 50, 2))])  # a family, in several batches
+    random.Random(5).shuffle(rows)
+    pairs, _ = near_pairs(rows, scheme.differ)
+    store = seen.SeenStore(spark, new_folder(spark, "seen"), scheme)
+    frame = lambda own: spark.createDataFrame(own, f"doc_id long, sig {kind}")
+    third = len(rows) // 3
+    batches = [sorted(rows)[:third], sorted(rows)[third : 2 * third], [], sorted(rows)[2 * third :]]
+    for n, own in enumerate(batches):
+        links = sorted(store.count(frame([*own, (None, None)]), "doc_id", "sig", n, block).collect())
+        if n == 1:  # taken again, it gives the same
+            assert sorted(store.count(frame(own), "doc_id", "sig", n, block).collect()) == links
+    _, members = near_pairs(rows, scheme.differ)
+    many = collections.Counter(k for a, b, _ in pairs for k in (a, b))
+    assert {tuple(r) for r in store.linked(4).collect()} == {(k, first, many[first]) for k, first in members} and len(pairs) > 100
+    with pytest.raises(ValueError, match="by add or by count"):
+        store.add(frame(rows[:1]), "doc_id", "sig", 4)
+
+
+@pytest.mark.parametrize("name", ["simhash", "minhash"])
+def test_stored_signatures_give_a_row_a_document(spark, small, name):
+    got = QUERIES[f"j13_stored_{name}"](spark, small)
+    want = QUERIES[f"m02_{name}_pairs"](spark, small)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+
+
 def test_a_dead_batch_is_not_read(spark, small, monkeypatch):
     rows, scheme, kind = signed(spark, small, "simhash")
     store = seen.SeenStore(spark, new_folder(spark, "seen"), scheme)
