@@ -12,8 +12,8 @@ Documents with equal shingle sets are one point (128-bit keys). r is the radius
    windows of 2r would copy everything everywhere; they are the region of one more pivot, the empty set.
 5. *Recursion*: two points of a region that link, and aren't both of its core, differ from its pivot in a common
    shingle (else the pivot lies between them, within r of both). So a region is cut by a necessary prefix of each
-   point's differences from its pivot, the rarest first. Small parts are joined directly. Large ones are cut by set
-   size, and if still large get a pivot of their own, and so on. A part that stops shrinking is cut into blocks by a
+   point's differences from its pivot, the rarest first. Small parts are joined directly. Large ones with one pivot are
+   one part where that has fewer pairs; they are cut by set size, and if still large get a pivot of their own, and so on. A part that stops shrinking is cut into blocks by a
    hash, and each pair of blocks is joined directly as a part of its own; where such parts of a region have so many points
    in common that all of the region's are fewer pairs, its points are one part.
 
@@ -486,15 +486,15 @@ def _direct_pairs(members: DataFrame, s: Settings) -> DataFrame:
     return side("a").join(side("b"), "token").filter(look).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
 
 
-def _merged(parts: DataFrame) -> DataFrame:
-    """Parts (with their ``size``) of one region become one part of all their points where that holds no more pairs.
+def _merged(parts: DataFrame, *by: str) -> DataFrame:
+    """Parts (with their ``size``) that are equal ``by`` these columns, the region's origin first, become one part of all their points where that holds no more pairs.
 
     A point has the first of its places and all its rights, so no pair of the parts is passed over.
     """
-    points = parts.groupBy("origin", "key").agg(*(F.min(c).alias(c) for c in ("label", "n", "apart", "pos")), *(F.bool_or(c).alias(c) for c in ("own", "home")), F.max("central").alias("central"), F.sum("size").alias("met"))
-    merge = points.groupBy("origin").agg(F.count("*").alias("size"), F.sum("met").alias("pairs")).filter(F.col("size") * F.col("size") <= F.col("pairs")).select("origin", "size")
-    whole = points.join(merge, "origin").withColumn("token", F.xxhash64(F.lit("points"), "origin"))
-    apart = parts.join(merge.select("origin"), "origin", "left_anti")
+    points = parts.groupBy(*by, "key").agg(*(F.min(c).alias(c) for c in ("label", "n", "apart", "pos")), *(F.bool_or(c).alias(c) for c in ("own", "home")), F.max("central").alias("central"), F.sum("size").alias("met"))
+    merge = points.groupBy(*by).agg(F.count("*").alias("size"), F.sum("met").alias("pairs")).filter(F.col("size") * F.col("size") <= F.col("pairs")).select(*by, "size")
+    whole = points.join(merge, [*by]).withColumn("token", F.xxhash64(F.lit("points"), *by))
+    apart = parts.join(merge.select(*by), [*by], "left_anti")
     return apart.select("token", *_MEMBER, "size").unionByName(whole.select("token", *_MEMBER, "size"))
 
 
@@ -596,11 +596,18 @@ def _placed(docs: DataFrame, s: Settings) -> tuple[DataFrame, int]:
     is_large = F.col("size") > s.direct
     used, sets = [entries], None
 
-    def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Parts that are joined directly, and large ones, cut by size."""
+    def parted(rows: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame] | None:
+        """Parts that are joined directly, and large ones, cut by size; None where the large ones hold more than ``most`` before they are cut.
+
+        Large parts of a region that have one pivot mostly have the same points, and are one part.
+        """
         regions = written(_regions(_labelled(rows, roots)), "regions", files)
-        cut = written(_by_size(regions.filter(is_large), s), "regions-by-size", files)
-        used.extend([regions, cut])
+        whole = written(_merged(regions.filter(is_large), "origin", "pivot"), "regions-of-points", files)
+        used.extend([regions, whole])
+        if most is not None and (whole.agg(F.sum("size")).first()[0] or 0) > most:
+            return None
+        cut = written(_by_size(whole, s), "regions-by-size", files)
+        used.append(cut)
         return regions.filter(~is_large).unionByName(cut.filter(~is_large)), cut.filter(is_large)
 
     def joined(members: DataFrame, also: DataFrame | None = None) -> DataFrame:
@@ -627,9 +634,12 @@ def _placed(docs: DataFrame, s: Settings) -> tuple[DataFrame, int]:
         roots = components(links, files)
         differ = about.select("key", F.xxhash64("pivot").alias("origin"), "n", "apart", F.posexplode("prefix").alias("pos", "shingle"))
         differ = differ.withColumns({"token": F.xxhash64("origin", "shingle"), "own": F.lit(True), "home": F.lit(True), "central": -F.col("apart") / F.col("n"), "pos": F.col("pos").cast("long")})
-        small, larger = parted(differ)
+        found = parted(differ, work)
+        if found is None:  # new pivots no longer help
+            break
+        small, larger = found
         left, points_left = larger.agg(F.sum("size"), F.count("*")).first()
-        if left and 2 * left > work:  # new pivots no longer help
+        if left and 2 * left > work:  # nor here
             break
         links = links.unionByName(joined(small))
         large, work, rows = larger, left, points_left
@@ -637,7 +647,7 @@ def _placed(docs: DataFrame, s: Settings) -> tuple[DataFrame, int]:
         parts = _regions(_labelled(large.select("token", *_MEMBER), components(links, files)))
         parts = written(parts, "parts", files)
         used.append(parts)
-        links = links.unionByName(joined(_in_blocks(_merged(parts), s).join(sets.select("key", "outline"), "key")))
+        links = links.unionByName(joined(_in_blocks(_merged(parts, "origin"), s).join(sets.select("key", "outline"), "key")))
     roots = components(links, files)
     classes = points.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
     classes = written(classes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key")), "classes", files)

@@ -658,6 +658,36 @@ def test_jaccard_leftovers_of_a_region_meet_once(spark, monkeypatch):
     assert rows and max(rows) <= 2 * len(texts) * -(-len(texts) // 25)
 
 
+def test_jaccard_large_parts_of_one_pivot_are_cut_once(spark, monkeypatch):
+    """What is cut by size grows with the points, not with the parts that a point is in; the links stay those of all pairs."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(80):  # all share most words, none links with many
+        own = [f"b{k}" for k in range(40)]
+        for k in rng.sample(range(40), 9):
+            own[k] = f"x{rng.randint(0, 400)}"
+        texts.append(" ".join(own))
+    texts += [t + " more" for t in texts[:10]]
+    df, by_size, rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), jaccard_join._by_size, []
+
+    def counted(large, s):
+        rows.append(large.count())
+        return by_size(large, s)
+
+    monkeypatch.setattr(jaccard_join, "_by_size", counted)
+    s = jaccard_join.Settings(width=1, percent=80, direct=16, rounds=1, crowd=1, pivots=1)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df, s).collect()}
+    sets = [set(t.split()) for t in texts]
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert got == dict(enumerate(root))
+    assert rows and max(rows) <= 3 * len(texts), rows
+
+
 def test_linked_points_live_in_regions_of_pivots(spark):
     """At sf0.01 nine tenths of the points that link are at home with a sampled pivot."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
