@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,13 +43,13 @@ def merge_upsert(target: DataFrame, changes: DataFrame, keys: list[str], rules:
     changed twice fails the job that reads the result.
     """
     rest = [c for c in changes.columns if c not in keys]
-    told = changes.groupBy(*(F.col(k).alias(f"key_{k}") for k in keys)).agg(F.count("*").alias("told"), F.any_value(F.struct(F.lit(1).alias("told"), *rest)).alias("new"))
-    t = target.select(*(F.col(k).alias(f"old_{k}") for k in keys), F.struct(F.lit(1).alias("there"), *target.columns).alias("old"))
-    on = reduce(Column.__and__, (F.col(f"old_{k}").eqNullSafe(F.col(f"key_{k}")) for k in keys))
-    both = t.join(told, on, "full_outer")
+    # Structs are equal where both have a null, and rows that are grouped by one needn't be dealt again to be joined on it.
+    told = changes.groupBy(F.struct(*keys).alias("key")).agg(F.count("*").alias("told"), F.any_value(F.struct(F.lit(1).alias("told"), *rest)).alias("new"))
+    t = target.select(F.struct(*keys).alias("old_key"), F.struct(F.lit(1).alias("there"), *target.columns).alias("old"))
+    both = t.join(told, F.col("old_key") == F.col("key"), "full_outer")
     once = F.when(F.col("told") > 1, F.raise_error(F.lit("a key is changed more than once")).cast("boolean")).otherwise(F.col("told").isNotNull())
     both = both.withColumns({"is_told": once, "was": F.col("old").isNotNull()})
-    out = [F.when(F.col("is_told"), F.col(f"key_{k}")).otherwise(F.col(f"old_{k}")).cast(target.schema[k].dataType).alias(k) for k in keys]
+    out = [F.when(F.col("is_told"), F.col("key")[k]).otherwise(F.col("old_key")[k]).cast(target.schema[k].dataType).alias(k) for k in keys]
     for name in target.columns:
         if name not in keys:
             old, new = F.col("old")[name], F.col("new")[name] if name in rest else F.lit(None)
