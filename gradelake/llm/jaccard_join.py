@@ -40,6 +40,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -592,16 +593,24 @@ def _placed(docs: DataFrame, s: Settings) -> tuple[DataFrame, int]:
     near = scanned.filter("kind = 0 and size(cores) > 0").select(F.col("key").alias("a"), F.explode("cores").alias("pivot"))
     core_of = spark.createDataFrame([(k, bytearray(key)) for k, key in enumerate(pivots.keys)], "pivot int, b binary")
     links = written(near.join(F.broadcast(core_of), "pivot").select("a", "b").distinct(), "links", files)
-    roots = components(links, files)
+    roots, fresh = components(links, files), []
     is_large = F.col("size") > s.direct
     used, sets = [entries], None
 
+    def known() -> DataFrame:
+        """Components by all links so far: what was known before is a tree of each component, so a link is followed once."""
+        nonlocal roots, fresh
+        if fresh:
+            trees = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+            roots, fresh = components(reduce(DataFrame.unionByName, fresh, trees), files), []
+        return roots
+
     def parted(rows: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame] | None:
         """Parts that are joined directly, and large ones, cut by size; None where the large ones hold more than ``most`` before they are cut.
 
         Large parts of a region that have one pivot mostly have the same points, and are one part.
         """
-        regions = written(_regions(_labelled(rows, roots)), "regions", files)
+        regions = written(_regions(_labelled(rows, known())), "regions", files)
         whole = written(_merged(regions.filter(is_large), "origin", "pivot"), "regions-of-points", files)
         used.extend([regions, whole])
         if most is not None and (whole.agg(F.sum("size")).first()[0] or 0) > most:
@@ -622,7 +631,7 @@ def _placed(docs: DataFrame, s: Settings) -> tuple[DataFrame, int]:
         return written(_linked(pairs_left, sets, s), "links", files)
 
     small, large = parted(entries)
-    links = links.unionByName(joined(small, large))
+    fresh.append(joined(small, large))
     work, rows = large.agg(F.sum("size"), F.count("*")).first()  # twice the pairs in the large parts, their points
     for _ in range(s.rounds):
         if not rows or work <= s.crowd * rows:
@@ -630,8 +639,7 @@ def _placed(docs: DataFrame, s: Settings) -> tuple[DataFrame, int]:
         stars = large.filter("key <> pivot").select("key", "pivot").distinct()
         about = written(_about_pivots(stars, sets, s), "about", files)
         used.append(about)
-        links = links.unionByName(about.filter("core").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
-        roots = components(links, files)
+        fresh.append(about.filter("core").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
         differ = about.select("key", F.xxhash64("pivot").alias("origin"), "n", "apart", F.posexplode("prefix").alias("pos", "shingle"))
         differ = differ.withColumns({"token": F.xxhash64("origin", "shingle"), "own": F.lit(True), "home": F.lit(True), "central": -F.col("apart") / F.col("n"), "pos": F.col("pos").cast("long")})
         found = parted(differ, work)
@@ -641,16 +649,15 @@ def _placed(docs: DataFrame, s: Settings) -> tuple[DataFrame, int]:
         left, points_left = larger.agg(F.sum("size"), F.count("*")).first()
         if left and 2 * left > work:  # nor here
             break
-        links = links.unionByName(joined(small))
+        fresh.append(joined(small))
         large, work, rows = larger, left, points_left
     if rows:  # at most settings.crowd points in a part on average, or parts that new pivots don't shrink: pairs of different components only
-        parts = _regions(_labelled(large.select("token", *_MEMBER), components(links, files)))
+        parts = _regions(_labelled(large.select("token", *_MEMBER), known()))
         parts = written(parts, "parts", files)
         used.append(parts)
-        links = links.unionByName(joined(_in_blocks(_merged(parts, "origin"), s).join(sets.select("key", "outline"), "key")))
-    roots = components(links, files)
+        fresh.append(joined(_in_blocks(_merged(parts, "origin"), s).join(sets.select("key", "outline"), "key")))
     classes = points.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
-    classes = written(classes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key")), "classes", files)
+    classes = written(classes.join(known().select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key")), "classes", files)
     smallest = written(classes.groupBy("root").agg(F.min("first").alias("component_id")), "smallest", files)
     placed_classes = written(classes.join(smallest, "root").select("key", "root", "component_id"), "placed-classes", files)
     discard(*used, sets, classes, smallest)

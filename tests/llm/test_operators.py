@@ -688,6 +688,37 @@ def test_jaccard_large_parts_of_one_pivot_are_cut_once(spark, monkeypatch):
     assert rows and max(rows) <= 3 * len(texts), rows
 
 
+def test_jaccard_links_are_followed_once(spark, monkeypatch):
+    """Components of later steps start from a tree of what was known: the links so far aren't followed again in each."""
+    rng = random.Random(13)
+    base, texts = [f"b{k}" for k in range(40)], []
+    for _ in range(70):  # a family with many links, and texts that link with few
+        own = list(base)
+        for k in rng.sample(range(40), rng.randint(0, 8)):
+            own[k] = f"x{rng.randint(0, 30)}"
+        texts.append(" ".join(own))
+    df, components, edges = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), jaccard_join.components, []
+
+    def counted(links, files=None):
+        edges.append({(bytes(r.a), bytes(r.b)) for r in links.collect()})
+        return components(links, files)
+
+    monkeypatch.setattr(jaccard_join, "components", counted)
+    s = jaccard_join.Settings(width=1, percent=80, direct=1, rounds=2, crowd=1, pivots=1, block=25)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df, s).collect()}
+    sets = [set(t.split()) for t in texts]
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert got == dict(enumerate(root))
+    most = max(edges, key=len)
+    after = edges[edges.index(most) + 1 :]
+    assert len(most) > len(texts) and after and all(2 * len(e) <= len(most) for e in after), [len(e) for e in edges]
+
+
 def test_linked_points_live_in_regions_of_pivots(spark):
     """At sf0.01 nine tenths of the points that link are at home with a sampled pivot."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
