@@ -186,7 +186,11 @@ FIELDS = tuple(name for _, name in HEADERS)
 
 def header_field(cell: Column) -> Column:
     """The field that a header cell names; null if none."""
-    low = F.lower(stripped(cell))
+    return _named(F.lower(stripped(cell)))
+
+
+def _named(low: Column) -> Column:
+    """The field that a stripped cell in lower case names."""
     out = F.when(F.lit(False), F.lit(""))
     for words, name in HEADERS:
         out = out.when(reduce(lambda a, b: a | b, (low.contains(w) for w in words)), F.lit(name))
@@ -198,18 +202,26 @@ def table_rows(cells: DataFrame, document: str, table: str, row: str) -> DataFra
 
     The header is the first of ten rows in which three cells name fields. A student's number and name are carried down
     to the rows that lack them. Rows without a subject, or with neither marks nor grade, are left out.
+
+    A cell is stripped once, and only the first ten rows are looked at for a header: a header brings each field's place.
     """
     of = Window.partitionBy(document, table)
-    rows = cells.select(document, table, row, "cells", F.transform("cells", header_field).alias("named"))
-    is_header = (F.col(row) < 10) & (F.size(F.filter("named", lambda n: n.isNotNull())) >= 3)
-    rows = rows.withColumn("header", F.min(F.when(is_header, F.struct(F.col(row).alias("row"), F.col("named").alias("named")))).over(of))
-    rows = rows.filter(F.col("header").isNotNull() & (F.col(row) > F.col("header.row")) & F.exists("cells", lambda c: stripped(c) != ""))
-
-    def cell(name: str) -> Column:  # the last column of that name counts
-        at = F.size("header.named") - F.array_position(F.reverse("header.named"), name)
-        return F.when(F.array_contains("header.named", name), F.coalesce(stripped(F.get("cells", at.cast("int"))), F.lit("")))
-
-    rows = rows.select(document, table, row, *(cell(n).alias(n) for n in FIELDS))
+    first = F.col(row) < 10
+    rows = cells.select(document, table, row, F.transform("cells", stripped).alias("cells"))
+    # Steps of their own: a value that is used in each branch of a choice would be made again for each.
+    low = rows.withColumn("low", F.when(first, F.transform("cells", F.lower)))
+    rows = low.withColumn("named", F.when(first, F.transform("low", _named))).drop("low")
+    is_header = first & (F.size(F.filter("named", lambda n: n.isNotNull())) >= 3)
+    last = F.reverse("named")  # the last column of a name counts
+    places = F.array(*(F.when(F.array_contains("named", n), (F.size("named") - F.array_position(last, n)).cast("int")) for n in FIELDS))
+    rows = rows.withColumn("header", F.min(F.when(is_header, F.struct(F.col(row).alias("row"), places.alias("at")))).over(of))
+    rows = rows.filter(F.col("header").isNotNull() & (F.col(row) > F.col("header.row")) & F.exists("cells", lambda c: c != ""))
+
+    def cell(k: int) -> Column:
+        at = F.get("header.at", F.lit(k))
+        return F.when(at.isNotNull(), F.coalesce(F.get("cells", at), F.lit("")))
+
+    rows = rows.select(document, table, row, *(cell(k).alias(n) for k, n in enumerate(FIELDS)))
     new = F.col("usn").rlike(rf"(?i)^{USN}\b")
     above = of.orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"usn": F.coalesce(F.last(F.when(new, F.upper("usn")), True).over(above), F.col("usn")), "name": F.coalesce(F.last(F.when(new, F.col("name")), True).over(above), F.col("name"))})
