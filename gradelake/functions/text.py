@@ -57,7 +57,7 @@ def normal_name(name: Column) -> Column:
 
 def normal_text(text: Column) -> Column:
     """Lower case, everything but letters, digits and spaces folded to single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " "))
 
 
 def subject_code(name: Column) -> Column:

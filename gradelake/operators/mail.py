@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer
+from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +77,13 @@ def by_plain_keywords(texts: DataFrame, text: str) -> DataFrame:
     return rows.withColumns(_ruled(rules, "other", 0.60)).drop("strong", "weak", "negative")
 
 
+#: Steps from a plain text to its words and pairs of words.
+_TERMS = (
+    "if(plain = '', cast(array() as array<string>), split(plain, ' ')) AS words",
+    "concat(words, zip_with(slice(words, 1, greatest(size(words) - 1, 0)), slice(words, 2, greatest(size(words) - 1, 0)), (a, b) -> concat(a, ' ', b))) AS terms",
+)
+
+
 def fit_classifier(rows: DataFrame, text: str = "text", label: str = "label", terms: int = 5000) -> PipelineModel:
     """Multinomial regression on log-scaled TF-IDF of words and word pairs, classes weighted alike.
 
@@ -85,16 +92,19 @@ def fit_classifier(rows: DataFrame, text: str = "text", label: str = "label", te
     counts = rows.groupBy(label).count()
     shape = counts.agg(F.sum("count"), F.count("*")).first()
     weighted = rows.join(F.broadcast(counts), label).withColumn("weight", F.lit(shape[0]) / (F.lit(shape[1]) * F.col("count"))).drop("count").withColumn("plain", normal_text(F.coalesce(F.col(text), F.lit(""))))
-    stages = [
-        RegexTokenizer(inputCol="plain", outputCol="words", pattern=r"\s+"),
-        NGram(n=2, inputCol="words", outputCol="pairs"),
-        SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
-        CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=terms),
+    words = [SQLTransformer(statement=f"SELECT *, {said} FROM __THIS__") for said in _TERMS]
+    split = PipelineModel(words).transform(weighted)
+    counter = CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=terms).fit(split)
+    # Texts are taken apart for the vocabulary and for these counts; what follows reads the counts.
+    counted = counter.transform(split).select(label, "weight", "counts").persist()
+    later = [
         IDF(inputCol="counts", outputCol="weighted_terms"),
         Normalizer(inputCol="weighted_terms", outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", family="multinomial", regParam=0.001, maxIter=60),
     ]
-    return Pipeline(stages=stages).fit(weighted)
+    fitted = Pipeline(stages=later).fit(counted)
+    counted.unpersist()
+    return PipelineModel([*words, counter, *fitted.stages])
 
 
 def predicted(model: PipelineModel, rows: DataFrame, text: str = "text") -> DataFrame:
