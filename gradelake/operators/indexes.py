@@ -23,6 +23,8 @@ from gradelake.operators.search import BLOCK, trigrams
 BUCKETS = 64
 #: Words of more letters have no table of variants (it grows with the square of the length); they meet by length.
 LONG_WORD = 32
+#: Words of 64 bits that tell a name's trigrams.
+WORDS = 2
 
 
 def _store(rows: DataFrame, path: str, *by: str) -> None:
@@ -234,14 +236,20 @@ class TrigramIndex:
         self.spark, self.folder, self.percent = spark, folder.rstrip("/"), percent
 
     def _ordered(self, names: DataFrame, name: str, percent: int) -> DataFrame:
-        """(name, size, at, gram): each different name's rarest trigrams of the indexed ones, those not indexed first."""
+        """(name, size, bits, at, gram): each different name's rarest trigrams of the indexed ones, those not indexed first.
+
+        ``bits`` has a bit for each of a name's trigrams; bits that two names don't share are no more than trigrams they don't.
+        """
         rows = names.select(F.col(name).alias("name")).filter("name is not null").distinct()
         counts = self.spark.read.parquet(f"{self.folder}/counts")
         grams = rows.select("name", F.explode(trigrams(F.col("name"))).alias("gram")).join(counts, "gram", "left")
-        own = grams.groupBy("name").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("grams"))
+        place = F.pmod(F.xxhash64("gram"), F.lit(64 * WORDS)).cast("int")
+        bit = lambda k: F.when(F.floor(place / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), place % 64)).otherwise(F.lit(0).cast("long"))
+        sorted_grams = F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")))
+        own = grams.groupBy("name").agg(sorted_grams.alias("grams"), F.array(*(F.bit_or(bit(k)) for k in range(WORDS))).alias("bits"))
         own = own.withColumn("size", F.size("grams"))
         prefix = F.col("size") - F.ceil(F.col("size") * percent / 100).cast("int") + 1
-        return own.select("name", "size", F.posexplode(F.slice("grams", F.lit(1), prefix)).alias("at", "g")).select("name", "size", "at", "g.gram")
+        return own.select("name", "size", "bits", F.posexplode(F.slice("grams", F.lit(1), prefix)).alias("at", "g")).select("name", "size", "bits", "at", "g.gram")
 
     def build(self, names: DataFrame, key: str, name: str) -> TrigramIndex:
         """Count the trigrams of the different names, then post each of these under its rarest ones, and store whose it is; queries may ask for ``percent`` or more."""
@@ -255,21 +263,25 @@ class TrigramIndex:
     def search(self, queries: DataFrame, key: str, name: str, percent: int) -> DataFrame:
         """(query_id, match_id, similarity) of the names whose trigrams are ``percent`` per cent the same or more.
 
-        Different names meet; whose they are is joined to what is left.
+        Different names meet; whose they are is joined to what is left. Names that meet on a trigram grow with the square of
+        their number, so their bits are compared there, and trigrams for what is left.
         """
         if percent < self.percent:
             raise ValueError(f"the index holds what {self.percent} per cent and more need")
         bucket = F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int")
-        asked = self._ordered(queries, name, percent).select(F.col("name").alias("asked"), F.col("size").alias("x"), F.col("at").alias("i"), "gram", bucket.alias("bucket"))
-        stored = _load(self.spark, f"{self.folder}/postings").select("name", F.col("size").alias("y"), F.col("at").alias("j"), "gram", "bucket")
+        asked = self._ordered(queries, name, percent).select(F.col("name").alias("asked"), F.col("size").alias("x"), F.col("bits").alias("own"), F.col("at").alias("i"), "gram", bucket.alias("bucket"))
+        stored = _load(self.spark, f"{self.folder}/postings").select("name", F.col("size").alias("y"), "bits", F.col("at").alias("j"), "gram", "bucket")
         met = stored.join(asked, ["bucket", "gram"])
         # As long as need be, and enough trigrams left after this one to share as many as the similarity needs.
         met = met.filter((F.col("y") * 100 >= F.col("x") * percent) & (F.col("x") * 100 >= F.col("y") * percent))
         met = met.filter((1 + F.least(F.col("x") - 1 - F.col("i"), F.col("y") - 1 - F.col("j"))) * (100 + percent) >= (F.col("x") + F.col("y")) * percent)
-        pairs = met.select("asked", "name").distinct()
-        a, b = trigrams(F.col("asked")), trigrams(F.col("name"))
-        both = F.size(F.array_intersect(a, b))
-        scored = pairs.select("asked", "name", both.alias("both"), (F.size(a) + F.size(b) - both).alias("every"))
+        apart = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("own")[k])) for k in range(WORDS)), F.lit(0))
+        met = met.filter(apart * (100 + percent) <= (F.col("x") + F.col("y")) * (100 - percent))
+        # Sizes come from the aggregate: a filter on names alone would be moved into the join and take apart all that meet.
+        tasks = 4 * self.spark.sparkContext.defaultParallelism
+        pairs = met.repartition(tasks, "asked", "name").groupBy("asked", "name").agg(F.max(F.col("x") + F.col("y")).alias("sizes"))
+        both = F.size(F.array_intersect(trigrams(F.col("asked")), trigrams(F.col("name"))))
+        scored = pairs.select("asked", "name", both.alias("both"), (F.col("sizes") - both).alias("every"))
         near = scored.filter(F.col("both") * 100 >= F.col("every") * percent).select("asked", "name", F.round(F.col("both") / F.col("every"), 6).alias("similarity"))
         who = queries.select(F.col(key).alias("query_id"), F.col(name).alias("asked")).filter("asked is not null").distinct()
         return near.join(who, "asked").join(self.spark.read.parquet(f"{self.folder}/names"), "name").select("query_id", "match_id", "similarity")

@@ -171,6 +171,18 @@ def test_trigram_index_equals_brute_force(spark, percent):
         index.search(rows, "id", "name", 40)
 
 
+def test_trigrams_are_not_compared_where_names_meet(spark):
+    words = [f"{a}{b} number {a * b % 97}" for a in range(30) for b in range(9)]
+    words += [" ".join(words[:40]), " ".join(words[1:41]), " ".join(words[60:100])]  # more trigrams than there are bits
+    rows = spark.createDataFrame(list(enumerate(words)), "id long, name string")
+    found = TrigramIndex(spark, new_folder(spark, "trigrams")).build(rows, "id", "name").search(rows, "id", "name", 80)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in plan if "Join" in line and "array_intersect" in line]
+    grams = [{f"  {w.upper()} "[k : k + 3] for k in range(len(w) + 1)} for w in words]
+    want = {(a, b) for a, x in enumerate(grams) for b, y in enumerate(grams) if len(x & y) * 100 >= len(x | y) * 80}
+    assert {(r.query_id, r.match_id) for r in found.collect()} == want
+
+
 def test_equal_names_are_posted_once(spark):
     rows = spark.createDataFrame([(k, f"Customer {k % 5}") for k in range(50)], "id long, name string")
     index = TrigramIndex(spark, new_folder(spark, "trigrams"), 50).build(rows, "id", "name")
