@@ -235,9 +235,13 @@ def merged_subjects(rows: DataFrame, document: str) -> DataFrame:
     return groups.select(document, first["code"].alias("code"), first["name"].alias("name"), F.coalesce(first["credits"], F.lit(3)).cast("int").alias("credits"), F.struct(first["weight"], first["seq"]).alias("place"), merged.alias("m")).select(document, "code", "name", "credits", "place", "m.*")
 
 
+def _confidence() -> Column:
+    return F.round(F.least(F.lit(0.97), F.avg("confidence") + 0.04 * (F.size(F.collect_set("strategy")) - 1)), 3)
+
+
 def merged_confidence(confidences: DataFrame, document: str) -> DataFrame:
     """Mean confidence and a bonus for each further strategy, at most 0.97."""
-    return confidences.groupBy(document).agg(F.round(F.least(F.lit(0.97), F.avg("confidence") + 0.04 * (F.count_distinct("strategy") - 1)), 3).alias("confidence"))
+    return confidences.groupBy(document).agg(_confidence().alias("confidence"))
 
 
 def merged_by_votes(records: DataFrame, document: str) -> DataFrame:
@@ -247,12 +251,14 @@ def merged_by_votes(records: DataFrame, document: str) -> DataFrame:
     grade_points, credits, status). Number and semester are voted on, subjects merged in ascending order of trust, the
     average worked out from them (else the mean of those stated), the longest name taken. A model's records of several
     semesters are kept as they are. Documents without number and subjects give nothing.
+
+    A document's records are gathered first: every vote starts from that one exchange, and none is dealt again.
     """
-    models = F.col("strategy").isin(*SEMESTERS_CONFIDENCE)
-    several = records.filter(models & F.col("semester").between(1, 8)).groupBy(document, "strategy").agg(F.count_distinct("semester").alias("n")).filter("n > 1")
-    order = F.struct(-strategy_weight(F.col("strategy")), "strategy")
-    chosen = several.groupBy(document).agg(F.min_by("strategy", order).alias("chosen"))
-    rows = records.join(chosen, document, "left")
+    told = F.struct("strategy", "seq", "usn", "name", "semester", "sgpa", "cgpa", "confidence", "subjects")
+    trust = lambda p: -next((w for name, w in WEIGHTS.items() if name in p), OTHER_WEIGHT)
+    several = lambda p: F.size(F.array_distinct(F.transform(F.filter("told", lambda r: (r["strategy"] == p) & r["semester"].between(1, 8)), lambda r: r["semester"]))) > 1
+    chosen = F.when(F.col(document).isNotNull(), F.coalesce(*(F.when(several(p), p) for p in sorted(SEMESTERS_CONFIDENCE, key=lambda p: (trust(p), p)))))
+    rows = records.groupBy(document).agg(F.collect_list(told).alias("told")).select(document, chosen.alias("chosen"), F.explode("told").alias("r")).select(document, "chosen", "r.*")
     confidence = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in SEMESTERS_CONFIDENCE.items() for x in p)), F.col("strategy")), F.lit(0.85))
     shape = "array<struct<code:string,name:string,marks:int,max_marks:int,grade:string,grade_points:double,credits:int,status:string>>"
     each = rows.filter(F.col("strategy") == F.col("chosen")).select(
@@ -262,12 +268,12 @@ def merged_by_votes(records: DataFrame, document: str) -> DataFrame:
     seen = lambda c: F.avg(F.when(F.col(c).between(0, 10), F.col(c)))
     facts = rows.groupBy(document).agg(
         F.max_by(F.trim("name"), F.struct(F.length(F.trim("name")), -F.col("weight"), -F.col("seq"))).alias("name"), F.round(seen("sgpa"), 2).alias("said_sgpa"), F.round(seen("cgpa"), 2).alias("cgpa"),
-        F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("seq", "strategy"))), lambda x: x["strategy"]), "+").alias("strategies"),
+        F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("seq", "strategy"))), lambda x: x["strategy"]), "+").alias("strategies"), _confidence().alias("confidence"),
     )
     long = rows.select(document, "weight", F.col("seq").alias("record"), F.posexplode("subjects").alias("at", "s")).select(document, "weight", (F.col("record") * 100000 + F.col("at")).alias("seq"), "s.*")
     subject = F.struct("place", "code", "name", "marks", "max_marks", "grade", "grade_points", "credits", "status")
     merged = merged_subjects(long, document).groupBy(document).agg(F.transform(F.sort_array(F.collect_list(subject)), lambda s: s.dropFields("place")).cast(shape).alias("subjects"))
-    out = facts.join(merged, document, "left").join(vote_usn(rows, document), document, "left").join(vote_semester(rows, document), document, "left").join(merged_confidence(rows, document), document, "left")
+    out = facts.join(merged, document, "left").join(vote_usn(rows, document), document, "left").join(vote_semester(rows, document), document, "left")
     subjects = F.coalesce("subjects", F.array().cast(shape))
     out = out.select(
         document, F.coalesce("usn", F.lit("UNKNOWN")).alias("usn"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce("semester", F.lit(1)).cast("int").alias("semester"),
